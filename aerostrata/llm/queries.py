@@ -2,14 +2,20 @@
 
 from aerostrata.llm.chat_format import op8_chat_format
 from aerostrata.llm.html_text import op5_html_text
+from aerostrata.llm.langid import op6_language_id
+from aerostrata.llm.packing import op1_token_packing
 from aerostrata.llm.secrets import op9_secret_scan
 from aerostrata.llm.sentencepiece_bpe import op2_sentencepiece
+from aerostrata.llm.simhash import op10_simhash_dedup
 
 QUERIES = {
+    "op1_token_packing": op1_token_packing,
     "op2_sentencepiece": op2_sentencepiece,
     "op5_html_text": op5_html_text,
+    "op6_language_id": op6_language_id,
     "op8_chat_format": op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}
