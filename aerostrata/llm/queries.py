@@ -1,5 +1,6 @@
 """Registered queries of the corpus operators and the DuckDB counterparts of those that SQL can express."""
 
+from aerostrata.llm import decontaminate, licenses
 from aerostrata.llm.chat_format import op8_chat_format
 from aerostrata.llm.html_text import op5_html_text
 from aerostrata.llm.langid import op6_language_id
@@ -11,11 +12,13 @@ from aerostrata.llm.simhash import op10_simhash_dedup
 QUERIES = {
     "op1_token_packing": op1_token_packing,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_html_text": op5_html_text,
     "op6_language_id": op6_language_id,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_chat_format": op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE}
