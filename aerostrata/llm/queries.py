@@ -1,6 +1,7 @@
 """Registered queries of the corpus operators and the DuckDB counterparts of those that SQL can express."""
 
 from aerostrata.llm import decontaminate, licenses
+from aerostrata.llm.ann import op4_nearest_vectors
 from aerostrata.llm.chat_format import op8_chat_format
 from aerostrata.llm.html_text import op5_html_text
 from aerostrata.llm.langid import op6_language_id
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_token_packing": op1_token_packing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_nearest_vectors": op4_nearest_vectors,
     "op5_html_text": op5_html_text,
     "op6_language_id": op6_language_id,
     "op7_license_scan": licenses.op7_license_scan,
