@@ -19,7 +19,7 @@ Equal vectors are one entry of the index with its `k + 1` smallest ids (more can
 to smaller ids), found with a map-side limit, so a vector that fills a third of the table costs no more than any other.
 
 Cases: vectors that are null, empty, zero or hold a null or non-finite component, and those whose length is not the
-most frequent one, take no part, neither as queries nor as candidates; fewer candidates than k give fewer rows; empty
+most frequent one, take no part, neither as queries nor as candidates, nor do rows without an id; fewer candidates than k give fewer rows; empty
 tables give no rows; rows with one id and different vectors are different candidates.
 """
 
@@ -167,7 +167,7 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row where `queries` holds, itself left out."""
     spark = df.sparkSession
-    rows = df.select(F.col(vec_id).alias("id"), F.col(vector).alias("v"), queries.alias("asks")).where(usable("v"))
+    rows = df.select(F.col(vec_id).alias("id"), F.col(vector).alias("v"), queries.alias("asks")).where(F.col("id").isNotNull() & usable("v"))
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:

@@ -1,6 +1,6 @@
 """Benchmark decontamination by canonical templates, in DataFrame functions only.
 
-Texts become tokens in which numbers, units after numbers and names (capitalised words inside a sentence) are typed
+Texts become tokens in which numbers, units after numbers and names (capitalised words inside a sentence, not words in capitals) are typed
 placeholders that remember their value. Windows of `width` canonical tokens are hashed; the benchmark's windows (with at
 least half of their tokens lexical) are joined by hash. Matches of a document and an item at one shift must fill
 each slot value of the item with one value throughout (slot consistency), so re-parameterised questions are found and
@@ -23,16 +23,16 @@ from aerostrata.llm.common import table
 
 BROADCAST_ROWS = 500_000
 MIN_WIDTH = 4
-ENDS = (".", "!", "?", "\n")
+ENDS = (".", "!", "?")
 UNITS = (
     "mm cm m km in ft mi mg g kg t oz lb lbs ml cl l gal s sec min h hr hrs ms hz khz mhz ghz kb mb gb tb w kw mw kwh j kj v mv a ma pa kpa hpa bar k c f "
     "usd eur gbp percent meters metres kilometers kilometres miles feet inches hours minutes seconds days weeks months years dollars euros pounds grams liters litres degrees"
 ).split()
-TOKEN = r"[\\p{L}\\p{M}]+|\\p{N}+(?:[.,]\\p{N}+)*|[%€$£°.!?\\n]"
+TOKEN = r"[\\p{L}\\p{M}]+|\\p{N}+(?:[.,]\\p{N}+)*|[%€$£°.!?]"
 
 
 def _sql(values) -> str:
-    return "(" + ", ".join("'" + v.replace("\n", "\\n") + "'" for v in values) + ")"
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
 def tokens(df: DataFrame, text: str) -> DataFrame:
@@ -44,7 +44,7 @@ def tokens(df: DataFrame, text: str) -> DataFrame:
             WHEN x IN ('%', '€', '$', '£', '°') THEN concat('#u', x)
             WHEN x RLIKE '^\\\\p{{N}}' THEN concat('#n', x)
             WHEN i > 0 AND lower(x) IN {_sql(UNITS)} AND get(raw, i - 1) RLIKE '^\\\\p{{N}}' THEN concat('#u', lower(x))
-            WHEN i > 0 AND left(x, 1) <> lower(left(x, 1)) AND get(raw, i - 1) NOT IN {_sql(ENDS)} THEN concat('#p', lower(x))
+            WHEN i > 0 AND left(x, 1) <> lower(left(x, 1)) AND x <> upper(x) AND get(raw, i - 1) NOT IN {_sql(ENDS)} THEN concat('#p', lower(x))
             ELSE lower(x) END), x -> x <> '')"""
     )
     return raw.withColumn("toks", typed).drop("raw")
@@ -118,14 +118,14 @@ ORACLE = rf"""
 WITH texts AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
 ), raw AS (
-  SELECT side, id, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,]\p{{N}}+)*|[%€$£°.!?\n]') AS raw FROM texts
+  SELECT side, id, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,]\p{{N}}+)*|[%€$£°.!?]') AS raw FROM texts
 ), toks AS (
   SELECT side, id, list_filter(list_transform(raw, lambda x, i: CASE
-    WHEN x IN ('.', '!', '?', chr(10)) THEN ''
+    WHEN x IN ('.', '!', '?') THEN ''
     WHEN x IN ('%', '€', '$', '£', '°') THEN concat('#u', x)
     WHEN regexp_matches(x, '^\p{{N}}') THEN concat('#n', x)
     WHEN i > 1 AND lower(x) IN {_UNITS_SQL} AND regexp_matches(raw[i - 1], '^\p{{N}}') THEN concat('#u', lower(x))
-    WHEN i > 1 AND left(x, 1) <> lower(left(x, 1)) AND raw[i - 1] NOT IN ('.', '!', '?', chr(10)) THEN concat('#p', lower(x))
+    WHEN i > 1 AND left(x, 1) <> lower(left(x, 1)) AND x <> upper(x) AND raw[i - 1] NOT IN ('.', '!', '?') THEN concat('#p', lower(x))
     ELSE lower(x) END), lambda x: x <> '') AS toks FROM raw
 ), wins AS (
   SELECT side, id, len(toks) - 7 AS total, p AS pos, toks[p:p + 7] AS w FROM toks, unnest(range(1, len(toks) - 6)) AS u(p) WHERE len(toks) >= 8

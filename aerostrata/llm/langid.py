@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,8 +149,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col("l") == name, F.lit(min(1.0, (per_language + 6 * per_language**0.5) / n))).otherwise(share)
-    from pyspark.sql import Window
-
     few = rows.withColumn("h", order).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     kept = few.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("k") <= per_language)
 
@@ -158,15 +156,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         return [[vector_of(t).astype(np.float16).tobytes() if has_letter(t) else None for t in texts]]
 
     got = append_columns(kept.select("i", "l", "t"), [F.col("t")], [T.StructField("v", T.BinaryType())], vectors, keep=["i", "l"]).where("v is not null").collect()
-    got.sort(key=lambda r: (r["l"], r["i"]))
+    got.sort(key=lambda r: (r["l"], str(r["i"]), r["v"]))
     x = np.stack([np.frombuffer(r["v"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, DIMS), np.float32)
     return Model(x, np.array([r["l"] for r in got], dtype=object))
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score. The model (under 1 MB for a few languages) is sent once to each executor."""
+def predict(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score under `names`. The model (under 1 MB for a few languages) is sent once to each executor."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     return append_columns(df, [F.col(text)], fields, lambda texts: sent.value.predict(texts), keep)
 
 

@@ -44,16 +44,16 @@ NOT_WORD = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def words_of(df: DataFrame, text: str) -> DataFrame:
-    """Adds `norm` (words joined by one space) and `words`."""
+    """Adds `__norm` (words joined by one space) and `__words`."""
     norm = F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD.replace("\\\\", "\\"), " "))
-    return df.withColumn("norm", norm).withColumn("words", F.expr("if(norm = '', array(), split(norm, ' ', -1))"))
+    return df.withColumn("__norm", norm).withColumn("__words", F.expr("if(__norm = '', array(), split(__norm, ' ', -1))"))
 
 
 def phrase_idf(words: DataFrame, templates=TEMPLATES) -> dict[str, float]:
     """Inverse document frequency of the words of all key phrases, over all documents."""
     vocabulary = sorted({w for _, _, phrase in templates for w in phrase.split()})
     listed = "array(" + ", ".join(f"'{w}'" for w in vocabulary) + ")"
-    counted = words.select(F.expr(f"explode(array_union(array_intersect(words, {listed}), array('')))").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = words.select(F.expr(f"explode(array_union(array_intersect(__words, {listed}), array('')))").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r["w"]: r["n"] for r in counted}
     total = n.get("", 0)
     from math import log
@@ -62,38 +62,38 @@ def phrase_idf(words: DataFrame, templates=TEMPLATES) -> dict[str, float]:
 
 
 def _at(words: list[str], start: str) -> str:
-    return " AND ".join(f"get(words, {start} + {k}) = '{w}'" for k, w in enumerate(words))
+    return " AND ".join(f"get(__words, {start} + {k}) = '{w}'" for k, w in enumerate(words))
 
 
 def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score."""
     docs = words_of(df, text)
-    idf = phrase_idf(docs.select("words"), templates)
+    idf = phrase_idf(docs.select("__words"), templates)
     starts = [
-        f"if(instr(concat(' ', norm, ' '), ' {p} ') = 0, array(), filter(sequence(0, size(words) - 1), i -> {_at(p.split(), 'i')}))"
+        f"if(instr(concat(' ', __norm, ' '), ' {p} ') = 0, array(), filter(sequence(0, size(__words) - 1), i -> {_at(p.split(), 'i')}))"
         for p in BASE
     ]
     for k, s in enumerate(starts):
-        docs = docs.withColumn(f"b{k}", F.expr(f"cast({s} as array<int>)"))
+        docs = docs.withColumn(f"__b{k}", F.expr(f"cast({s} as array<int>)"))
     for k, (_, body, phrase) in enumerate(templates):
         tokens, key = body.split(), phrase.split()
         where = next(i for i in range(len(tokens)) if tokens[i : i + len(key)] == key)
         rarest = min(range(len(key)), key=lambda j: (-idf[key[j]], j))
         place = where + rarest  # of the index word in the template
-        hits = " + ".join(f"int(coalesce(get(words, s + {q}), '') = '{w}')" for q, w in enumerate(tokens))
+        hits = " + ".join(f"int(coalesce(get(__words, s + {q}), '') = '{w}')" for q, w in enumerate(tokens))
         docs = docs.withColumn(
-            f"t{k}",
+            f"__t{k}",
             F.expr(
-                f"""if(instr(concat(' ', norm, ' '), ' {key[rarest]} ') = 0, cast(0 as double), coalesce(array_max(transform(
-                    filter(transform(filter(sequence(0, size(words) - 1), i -> get(words, i) = '{key[rarest]}'), i -> i - {place}),
+                f"""if(instr(concat(' ', __norm, ' '), ' {key[rarest]} ') = 0, cast(0 as double), coalesce(array_max(transform(
+                    filter(transform(filter(sequence(0, size(__words) - 1), i -> get(__words, i) = '{key[rarest]}'), i -> i - {place}),
                         s -> {_at(key, f's + {where}')}),
                     s -> ({hits}) / cast({len(tokens)} as double))), cast(0 as double)))"""
             ),
         )
-    labels = [F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]
-    more = [F.when(F.col(f"t{k}") >= coverage, F.lit(t[0])) for k, t in enumerate(templates)]
-    places = F.concat(*[F.col(f"b{k}") for k in range(len(BASE))])
-    best = F.greatest(*[F.when(F.col(f"t{k}") >= coverage, F.col(f"t{k}")).otherwise(F.lit(0.0)) for k in range(len(templates))])
+    labels = [F.when(F.size(f"__b{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]
+    more = [F.when(F.col(f"__t{k}") >= coverage, F.lit(t[0])) for k, t in enumerate(templates)]
+    places = F.concat(*[F.col(f"__b{k}") for k in range(len(BASE))])
+    best = F.greatest(*[F.when(F.col(f"__t{k}") >= coverage, F.col(f"__t{k}")).otherwise(F.lit(0.0)) for k in range(len(templates))])
 
     def joined(columns):
         return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*columns)))), ",")
@@ -101,7 +101,7 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, coverage: float
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
     return docs.select(
         *kept,
-        F.size("words").cast("long").alias("n_words"),
+        F.size("__words").cast("long").alias("n_words"),
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"),

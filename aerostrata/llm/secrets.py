@@ -220,8 +220,9 @@ def scan(df: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -
     return append_columns(df, [F.col(text)], fields, _scan, keep)
 
 
-def redact(df: DataFrame, text: str = "text", mask: str = "[{kind}]") -> DataFrame:
-    """Replace every found span (overlapping ones together) by its first kind's mask; adds n_secrets. Nulls stay."""
+def redact(df: DataFrame, text: str = "text", mask: str = "[{kind}]", count: str | None = "n_secrets") -> DataFrame:
+    """Replace every found span (overlapping ones together) by its first kind's mask; adds their number as `count`
+    (None: not). Null texts stay null; the columns keep their order."""
 
     def run(texts):
         new, counts = [], []
@@ -243,9 +244,10 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[{kind}]") -> DataFra
             new.append("".join([*out, t[at:]]))
         return [new, counts]
 
-    columns = df.columns
-    got = append_columns(df.withColumnRenamed(text, "__text"), [F.col("__text")], [T.StructField(text, T.StringType()), T.StructField("n_secrets", T.LongType())], run)
-    return got.select(*[c for c in columns if c != "n_secrets"], "n_secrets")
+    named = count or "__n_secrets"
+    fields = [T.StructField(text, T.StringType()), T.StructField(named, T.LongType())]
+    got = append_columns(df, [F.col(text)], fields, run)
+    return got.select(*[f"`{c}`" for c in df.columns if c.lower() != named.lower()], *([named] if count else []))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ from aerostrata.llm.common import checkpointed, table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without text or without a letter go. A missing `lang` is filled in."""
     model = langid.fit(docs.where(~langid.held_out()))
-    marked = langid.predict(docs, model).where(F.col("lang_pred") != "und")
-    return marked.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    marked = langid.predict(docs, model, names=("__lang", "__score")).where(F.col("__lang") != "und")
+    return marked.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return secrets.redact(docs, count=None).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,311 @@
+"""Packing, SentencePiece, HTML, language, license, chat and secret operators against brute force and libraries."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import urllib.parse
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from aerostrata.llm import chat_format, html_text, langid, licenses, packing, secrets, sentencepiece_bpe
+
+DIR = "/root/testdata/sf0.001"
+
+
+# token packing
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=80))
+def test_best_fit_decreasing(lengths):
+    rows = packing.best_fit_decreasing(lengths, 50)
+    assert sorted(i for r in rows for i in r) == list(range(len(lengths)))
+    # brute force: the open row with the least sufficient capacity, longest items first
+    free = []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        fits = [c for c in free if c >= lengths[i]]
+        if fits:
+            free.remove(min(fits))
+            free.append(min(fits) - lengths[i])
+        else:
+            free.append(50 - lengths[i])
+    assert sorted(50 - sum(lengths[i] for i in r) for r in rows) == sorted(free)
+
+
+def test_packing_round_trip(spark, edge_docs, no_docs):
+    import public_tokenizers
+
+    docs = edge_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    packed = packing.pack(docs, seq_len=128, block_tokens=2000).cache()
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        bpe = packing.ByteBpe(f.read(), public_tokenizers.PATTERN)
+    back = {}
+    for r in packing.unpack(packed).orderBy("doc_id", "piece").collect():
+        back[r.doc_id] = back.get(r.doc_id, b"") + bytes(r.ids)
+    want = {r.doc_id: bpe.encode([r.text])[0].tobytes() for r in docs.collect()}
+    assert back == want
+    for r in packed.collect():
+        assert len(r.ids) == 256 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 128 and r.resets == r.cu_seqlens[:-1]
+    assert packed.select("pack_id").distinct().count() == packed.count()
+    assert packing.pack(no_docs).count() == 0
+    assert packing.pack(edge_docs).count() > 0
+
+
+# SentencePiece
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@pytest.fixture(scope="module")
+def model():
+    return sentencepiece_bpe.model_of(sentencepiece_bpe.read_model())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" abcdeinrst.,%*▁\n09'"), st.characters(exclude_categories=["Cs"])), max_size=120))
+def test_ids_and_text_equal_library(library, model, text):
+    ids = model.encode(text)
+    assert ids == library.encode(text) + [2]
+    assert model.decode(ids) == library.decode(ids)
+
+
+def test_hard_texts_equal_library(library, model):
+    rnd = random.Random(5)
+    texts = [" " * n + "x" + " " * m for n in (0, 1, 15, 16, 17, 33, 200) for m in (0, 1, 16, 40)]
+    texts += ["".join(rnd.choice(model.pieces[259:]) for _ in range(40)) for _ in range(400)]
+    texts += ["a" * 3000, "ab" * 1000, base64.b64encode(rnd.randbytes(6000)).decode(), "=" * 500]
+    for t in texts:
+        assert model.encode(t) == library.encode(t) + [2], t[:60]
+    for _ in range(200):
+        ids = [rnd.randrange(32000) for _ in range(20)]
+        assert model.decode(ids) == library.decode(ids)
+
+
+def test_encode_edges(spark, edge_docs, no_docs, library):
+    got = sentencepiece_bpe.encode(edge_docs, digests=True).collect()
+    assert len(got) == edge_docs.count()
+    for r in got:
+        ids = library.encode(r.text or "") + [2]
+        assert r.ids == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    assert sentencepiece_bpe.encode(no_docs).count() == 0
+
+
+# HTML
+
+
+CASES = {
+    "plain": ("<p>The quick brown fox is in the house of the dog and it is not to be seen there.</p>", "The quick brown fox is in the house of the dog and it is not to be seen there."),
+    "article": (
+        "<html><head><title>T</title></head><body><nav><ul><li><a href=a>Home</a></ul></nav><div class='cookie-banner'>We use the cookies of the site</div>"
+        "<article><header><h1>Big news</h1></header><p>Short.<br>Line<p>A longer&nbsp;&amp; fine\n text of the <b>day</b>.</p><aside>The side of the story</aside></article>"
+        "<section id=comments><p>I like the text and it is the best of the year, is it not?</p></section><footer>&copy; of the site</footer>",
+        "Big news\nShort. Line\nA longer & fine text of the day.",
+    ),
+    "form": ("<main><p>The text of the day is here.</p><form><label>Name of the user</label><input></form><script>var a='<p>no</p>'</script></main>", "The text of the day is here."),
+    "unclosed": ("<article><p>One of the two<p>Two of the two<ul><li>a<li>b", "One of the two\nTwo of the two\na\nb"),
+    "comment": ("<article><p>One of<!-- not <p>this --> them</p><!-- open <p>gone", "One of them"),
+    "empty": ("", ""),
+    "links": ("<div><p><a href=x>all of it is a link in the page</a></p></div>", ""),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_html_cases(name):
+    html, want = CASES[name]
+    assert html_text.main_text(html) == want
+
+
+def test_html_pages(spark):
+    from html import unescape
+
+    for r in html_text.op5_html_text(spark, DIR).join(spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        body = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
+        parts = [" ".join(unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", body)]
+        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+    odd = spark.createDataFrame([(1, None, "a"), (2, "<" * 5000, "b"), (3, "<p>" * 20000 + "the end of it", "c")], "page_id long, html string, text string")
+    assert html_text.extract(odd).count() == 3
+    assert html_text.extract(odd.limit(0)).count() == 0
+
+
+# language
+
+
+def test_language_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    got = langid.op6_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = got.where("held_out")
+    assert held.count() > 200
+    assert held.where("lang = lang_pred").count() >= 0.97 * held.count()
+    import zlib as z
+
+    for r in got.limit(50).collect():
+        assert r.held_out == (z.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1
+
+
+def test_language_edges(spark, edge_docs, no_docs):
+    model = langid.fit(edge_docs)
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(edge_docs, model).collect()}
+    for (_, text), (lang, score) in got.items():
+        assert (lang == "und") == (not text or not any(c.isalpha() for c in text))
+        assert 0 <= score <= 1
+    assert langid.predict(no_docs, model).count() == 0
+    nothing = langid.fit(no_docs)
+    assert {r.lang_pred for r in langid.predict(edge_docs, nothing).collect()} == {"und"}
+
+
+def test_language_features_cover_whole_text():
+    a, b = "abc " * 10, "xyz " * 10
+    assert (langid.counts_of(a * 50 + b) != langid.counts_of(a * 50)).any()
+    keep, langid._CHUNK = langid._CHUNK, 64
+    try:
+        small = langid.counts_of(a * 20 + b)
+    finally:
+        langid._CHUNK = keep
+    assert (small == langid.counts_of(a * 20 + b)).all()
+
+
+# licenses
+
+
+def by_hand(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    def places(phrase):
+        p = phrase.split()
+        return [i for i in range(len(words)) if words[i : i + len(p)] == p]
+
+    base = {label: places(p) for p, label in licenses.BASE.items()}
+    labels = {label for label, at in base.items() if at}
+    for label, body, phrase in licenses.TEMPLATES:
+        t, key = body.split(), phrase.split()
+        off = next(i for i in range(len(t)) if t[i : i + len(key)] == key)
+        for at in places(phrase):
+            s = at - off
+            if sum(0 <= s + q < len(words) and words[s + q] == w for q, w in enumerate(t)) / len(t) >= licenses.COVERAGE:
+                labels.add(label)
+    found = sorted(i for at in base.values() for i in at)
+    return len(words), len(found), found[0] if found else None, found[-1] if found else None, ",".join(sorted(x for x, at in base.items() if at)), ",".join(sorted(labels))
+
+
+def test_licenses_by_hand(spark, edge_docs, no_docs):
+    texts = [
+        "CC BY cc-by CC  BY", "GNU General Public License, version 3; all RIGHTS reserved. all rights reserved", "Licensed under the Apache License, Version 2.0.",
+        "apache license version 2", "Permission is hereby granted, free of charge, to any person obtaining a copy", "hereby granted free of charge", "ccc by all rights", "x" * 50000 + " cc by",
+        "é cc by é", "SOURCE AND BINARY FORMS, with or without modification, are permitted",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(edge_docs.select("doc_id", "text"))
+    for r in licenses.scan(df).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == by_hand(r.text), (r.text or "")[:80]
+    wide = licenses.scan(edge_docs)
+    assert wide.count() == edge_docs.count() and wide.first()["b0"] == "x"
+    assert licenses.scan(no_docs).count() == 0
+
+
+# chat
+
+
+def test_chat_read_back(spark):
+    rnd = random.Random(1)
+    bits = ["</s>", "[INST]", "[/INST]", "<s>", "\\", "a", "\n", "<", "<|text|>", "<|role|>", "<|end|>", " ", "<<SYS>>", "<</SYS>>", "é"]
+    rows = []
+    for conv in range(60):
+        for turn in range(rnd.randint(1, 7)):
+            rows.append((conv, turn, rnd.choice(["user", "assistant", "system", "tool", None]), rnd.choice([None, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9)))]), "x"))
+    rows += [(None, 0, "user", "hi", "x"), (60, None, "user", None, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, valid string")
+    got = {r.conv_id: r for r in chat_format.summarise(df).collect()}
+    assert len(got) == 62
+    for conv in {r[0] for r in rows}:
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1]))]
+        learnt = "".join(t for role, t in turns if role == "assistant")
+        r = got[conv]
+        assert r.n_turns == len(turns)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in turns).encode()).hexdigest()
+        assert (r.loss_chars, r.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    segments = chat_format.format_turns(df)
+    lengths = {r.conv_id: r.n for r in segments.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert all(lengths[c] == got[c].formatted_chars for c in got)
+    assert chat_format.summarise(df.limit(0)).count() == 0
+
+
+def test_chat_order(spark):
+    df = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "assistant", "a"), (3, 0, "user", "u")], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.valid for r in chat_format.summarise(df).collect()} == {1: True, 2: False, 3: False}
+    fixed = {r.conv_id: r for r in chat_format.op8_chat_format(spark, DIR).where("conv_id = -7").collect()}[-7]
+    text = "</s>[INST] ok [/INST]"
+    assert fixed.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert fixed.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+# secrets
+
+
+def base_by_hand(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["password", "API_KEY", "token", '"', "'", " ", "=", ":", "AKIA", "ABCDEFGHIJ0123", "0123456789abcdef", "é", "😀", "secret_thing.x", "\n", "%41", "\\u0041"]), max_size=25))
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert ",".join(f"{k}:{a}:{b}" for a, b, k in secrets.all_spans(text) if k in secrets.KINDS) == base_by_hand(text)
+
+
+SECRET = 'password = "abcdefghijkl123"'
+
+
+def wrap(kind, x):
+    if kind == "base64":
+        return base64.b64encode(x.encode()).decode()
+    if kind == "zlib":
+        return base64.b64encode(zlib.compress(x.encode())).decode()
+    if kind == "gzip":
+        return base64.b64encode(gzip.compress(x.encode())).decode()
+    if kind == "url":
+        return urllib.parse.quote(x, safe="")
+    return "".join(f"\\u{ord(c):04x}" for c in x)
+
+
+@pytest.mark.parametrize("kinds", [("base64",), ("url",), ("unicode",), ("zlib",), ("gzip",), ("base64", "base64"), ("url", "url"), ("url", "base64"), ("base64", "zlib"), ("unicode", "base64"), ("base64", "url", "gzip")])
+def test_layers_are_found(kinds):
+    x = SECRET
+    for k in reversed(kinds):
+        x = wrap(k, x)
+    text = f"é😀 see {x} here"
+    spans = [s for s in secrets.all_spans(text) if s[2] == "assign_layer"]
+    assert spans
+    a, b = text.index(x), text.index(x) + len(x)
+    assert all(a <= s[0] < s[1] <= b for s in spans)
+
+
+def test_secret_edges(spark, edge_docs, no_docs):
+    assert secrets.scan(edge_docs).count() == edge_docs.count()
+    assert secrets.scan(no_docs).count() == 0
+    bomb = "x " + base64.b64encode(zlib.compress(b"a" * (secrets.INFLATE_LIMIT + 10))).decode()
+    assert [k for _, _, k in secrets.all_spans(bomb)] == ["oversize"]
+    df = spark.createDataFrame([(1, f"a {SECRET} b {wrap('base64', SECRET)} c", "k"), (2, None, None), (3, "clean", "k")], "doc_id long, text string, n_secrets string")
+    out = {r.doc_id: (r.text, r.n_secrets) for r in secrets.redact(df).collect()}
+    assert out[1][0].startswith('a [assign]" b [assign]') and "abcdefghijkl" not in out[1][0]
+    assert out[2] == (None, 0) and out[3] == ("clean", 0)
