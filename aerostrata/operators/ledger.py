@@ -11,10 +11,11 @@ from aerostrata.functions.scalar import crop_name
 from aerostrata.operators.predicates import is_useful, raw_only
 
 
-def request_plan(stations: DataFrame, pollutants: DataFrame, resolutions: Sequence[str], date_from: str, date_to: str) -> DataFrame:
-    """Every station with every pollutant and resolution: file name and query text. The other sides are tiny dimensions."""
-    kinds = F.explode(F.array(*[F.lit(r) for r in resolutions]))
-    plan = stations.crossJoin(F.broadcast(pollutants)).withColumn("resolution", kinds)
+def request_plan(stations: DataFrame, pollutants: Sequence[tuple[str, str]], resolutions: Sequence[str], date_from: str, date_to: str) -> DataFrame:
+    """Every station with every (pollutant, parameter code) and resolution, made inside the station's row: file name and query text."""
+    codes = F.array(*[F.struct(F.lit(p).alias("pollutant"), F.lit(c).alias("param_code")) for p, c in pollutants])
+    plan = stations.withColumn("_p", F.explode(codes)).withColumn("resolution", F.explode(F.array(*[F.lit(r) for r in resolutions])))
+    plan = plan.withColumn("pollutant", F.col("_p.pollutant")).withColumn("param_code", F.col("_p.param_code")).drop("_p")
     name = F.format_string(f"%s_%s_%s_{date_from}_{date_to}.csv", "region", "station_id", "resolution")
     macro = F.format_string("./%s/Cal/%s//%s.%s.%s.ic&", "region", "station_id", "param_code", "resolution", "resolution")
     return plan.withColumn("file_name", name).withColumn("macro", macro)

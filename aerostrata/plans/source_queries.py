@@ -240,7 +240,7 @@ def crop_ratio(spark, d):
 def request_plan(spark, d):
     """Series to ask for: stations, pollutants and resolutions."""
     stations = fixture(spark, d, "v_station").withColumn("region", F.concat(F.lit("R"), F.col("comuna").cast("string")))
-    return L.request_plan(stations, R.param_codes(spark), ["horario", "diario"], "190101", "241231").select("station_id", "pollutant", "resolution", "file_name", "macro")
+    return L.request_plan(stations, R.PARAM_CODES, ["horario", "diario"], "190101", "241231").select("station_id", "pollutant", "resolution", "file_name", "macro")
 
 
 _PENDING = "replace(granule, '.nc', '.chile.nc') NOT IN (SELECT replace(name, '.vacio', '') FROM v_ledger)"

@@ -12,14 +12,14 @@ def write_manifest(df: DataFrame, path: str) -> None:
 
 
 def write_cropped(df: DataFrame, path: str, days: tuple[str, str] = ("product", "granule_day")) -> None:
-    """Cropped rows by product and day. A day that is written again replaces itself, others stay."""
-    df.repartition(*days).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*days).parquet(path)
+    """Cropped rows by product and day; rebalancing splits a crowded day over tasks. A day that is written again replaces itself, others stay."""
+    df.hint("rebalance", *days).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*days).parquet(path)
 
 
 def write_monthly(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Grid rows by year and month; only months that are written are replaced."""
     dated = df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
-    dated.repartition("year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    dated.hint("rebalance", "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
 
 
 def write_panel(df: DataFrame, path: str) -> None:
