@@ -3,7 +3,8 @@
 Markup is cut into blocks at block-level tags. The first pass decides a block by its place (a region of the page that
 holds menus, adverts, forms, comments and the like, or the article), its link density, its length and its density of
 stop words. Blocks that stay open, short ones above all, inherit in the second pass the label of the nearest decided
-block, looked up first within their own article region and then on the whole page (ties: the block before).
+block, looked up first within their own article region and then on the whole page (ties: the block before; headings look
+at the block after them).
 
 Cases: null html counts as empty and gives an empty text; unclosed tags, stray end tags, unterminated comments and
 scripts are read to the end of the page; a page without any decided block keeps the open blocks of its article, if it
@@ -36,13 +37,19 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ASIDE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 HOLDERS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "blockquote", "form", "aside", "nav", "body"}
 MAIN_TAGS = {"article", "main"}
-#: Parts of class, id and role values that name a region beside the article.
-ASIDE_WORDS = (
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header hidden menu modal "
-    "nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related respond replies sidebar share sharing social "
-    "sponsor sponsored subscribe toolbar widget alert complementary contentinfo search signup login masthead skip toc disclaimer outbrain taboola"
+#: Words in class, id and role values that name a part of the layout beside the article (an article may lie in a wrapper so named) ...
+LAYOUT_WORDS = "banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation sidebar toolbar widget widgets complementary contentinfo search skip toc hidden modal".split()
+#: ... and words that name what is never the article.
+OTHER_WORDS = (
+    "ad ads advert adverts advertisement advertisements advertising comment comments consent cookie cookies disqus gdpr newsletter notice notices pagination pager popup "
+    "promo promos promotion promoted related respond reply replies share sharing social sponsor sponsors sponsored subscribe alert signup login disclaimer outbrain taboola"
 ).split()
-ASIDE_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(ASIDE_WORDS)})(?:$|[\s_-]|\d)", re.I)
+LAYOUT_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(LAYOUT_WORDS)})(?:$|[\s_-]|\d)", re.I)
+OTHER_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(OTHER_WORDS)}|comment(?:list|s?form)\w*)(?:$|[\s_-]|\d)", re.I)
+#: Whole class, id or role values of the article on pages without article or main tags.
+MAIN_NAMES = {"main", "content", "main-content", "article", "article-body", "article-content", "post", "post-content", "post-body", "entry-content", "story", "story-body", "articlebody"}
+HAS_MAIN = re.compile(r"<(?:article|main)[\s>/]", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 STOP_WORDS = frozenset(
     (
@@ -54,7 +61,7 @@ STOP_WORDS = frozenset(
     ).split()
 )
 
-TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
+TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>")
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -64,6 +71,7 @@ class Rules:
     """Thresholds of the first pass."""
 
     link_density: float = 0.34
+    main_link_density: float = 0.6
     short_chars: int = 40
     long_chars: int = 160
     stop_low: float = 0.10
@@ -71,46 +79,100 @@ class Rules:
 
 
 class Block:
-    __slots__ = ("text", "linked", "aside", "main", "label")
+    __slots__ = ("text", "linked", "aside", "main", "heading", "label")
 
-    def __init__(self, text: str, linked: int, aside: bool, main: int):
-        self.text, self.linked, self.aside, self.main, self.label = text, linked, aside, main, None
+    def __init__(self, text: str, linked: int, aside: bool, main: int, heading: bool):
+        self.text, self.linked, self.aside, self.main, self.heading, self.label = text, linked, aside, main, heading, None
 
 
-def blocks(html: str) -> list[Block]:
-    """Blocks in page order; `main` numbers the article region they are in (0: none)."""
-    out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, begins an aside, article region before it
-    asides = links = silent = regions = region = 0
-
-    def pop():
-        nonlocal asides, links, silent, region
-        t, aside, before = stack.pop()
-        asides -= aside
-        links -= t == "a"
-        silent -= t in SILENT
-        region = before if t in MAIN_TAGS else region
-        return t
-
-    def close_block():
-        if parts:
-            words = unescape("".join(p for p, _ in parts)).split()
+def _values(attrs: str) -> list[str]:
+    """Class, id and role values, with camel case cut up."""
+    return [CAMEL.sub("-", a[1] or a[2] or a[3] or "") for a in NAMES.finditer(attrs)] if "=" in attrs else []
+
+
+class Reader:
+    """Reads tags in page order and keeps what is open: links, silent elements, places beside the article, article regions."""
+
+    def __init__(self, named_main: bool):
+        self.out: list[Block] = []
+        self.parts: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, int, tuple[int, int, int] | None]] = []  # tag, kind of aside, state before an article region
+        self.named_main = named_main
+        self.links = self.silent = self.hard = self.soft = 0
+        self.regions = self.region = self.base = 0  # number of regions, the open one, soft asides around it
+
+    def text(self, s: str) -> None:
+        if not self.silent:
+            self.parts.append((s, self.links > 0))
+
+    def close_block(self, heading: bool = False) -> None:
+        if self.parts:
+            words = unescape("".join(p for p, _ in self.parts)).split()
             if words:
-                linked = len(" ".join(unescape("".join(p for p, l in parts if l)).split()))
-                out.append(Block(" ".join(words), linked, asides > 0, region))
-            parts.clear()
+                linked = len(" ".join(unescape("".join(p for p, l in self.parts if l)).split()))
+                self.out.append(Block(" ".join(words), linked, self.hard > 0 or self.soft > self.base, self.region, heading))
+            self.parts.clear()
+
+    def pop(self) -> str:
+        tag, aside, before = self.stack.pop()
+        self.hard -= aside == 2
+        self.soft -= aside == 1
+        self.links -= tag == "a"
+        self.silent -= tag in SILENT
+        if before is not None:
+            self.region, self.base, _ = before
+        return tag
+
+    def open(self, tag: str, attrs: str) -> None:
+        if tag in ("p", "li", "td", "tr", "dt", "dd", "option") and not self.silent:
+            # one of these ends the one before it, unless a container was opened in between
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] == tag:
+                    while len(self.stack) > k:
+                        self.pop()
+                    break
+                if self.stack[k][0] in HOLDERS:
+                    break
+        values = _values(attrs) if tag in BLOCK and tag not in ("html", "body") else []
+        aside = 2 if tag in ASIDE_TAGS else 0
+        if any(OTHER_NAME.search(v) for v in values) or STYLE_HIDDEN.search(attrs):
+            aside = 2
+        elif tag not in MAIN_TAGS and any(LAYOUT_NAME.search(v) for v in values):
+            aside = max(aside, 1)
+        heads = tag == "header" or any(re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", v, re.I) for v in values)
+        if heads and self.region and not self.hard and not any(OTHER_NAME.search(v) for v in values):
+            aside = 0  # the article's own heading
+        main = tag in MAIN_TAGS or self.named_main and any(w in MAIN_NAMES for v in values for w in v.lower().split())
+        before = None
+        if main and aside < 2 and not self.hard and not self.region:
+            before = (self.region, self.base, 0)
+            self.regions += 1
+            self.region, self.base, aside = self.regions, self.soft, 0
+        self.stack.append((tag, aside, before))
+        self.hard += aside == 2
+        self.soft += aside == 1
+        self.links += tag == "a"
+        self.silent += tag in SILENT
+
+    def close(self, tag: str) -> None:
+        if any(s[0] == tag for s in self.stack):
+            while self.stack and self.pop() != tag:
+                pass
+
 
+def blocks(html: str) -> list[Block]:
+    """Blocks in page order; `main` numbers the article region they are in (0: none)."""
+    reader = Reader(not HAS_MAIN.search(html))
     at, n = 0, len(html)
+    last = html.rfind(">") + 1  # behind it nothing is a tag
     lower = None
     while at < n:
-        m = TAG.search(html, at)
+        m = TAG.search(html, at, last)
         if m is None:
-            if not silent:
-                parts.append((html[at:], links > 0))
+            reader.text(html[at:])
             break
-        if m.start() > at and not silent:
-            parts.append((html[at : m.start()], links > 0))
+        if m.start() > at:
+            reader.text(html[at : m.start()])
         at = m.end()
         if m[0] == "<!--":
             end = html.find("-->", at)
@@ -120,54 +182,24 @@ def blocks(html: str) -> list[Block]:
             continue
         tag, closing, attrs = m[2].lower(), bool(m[1]), m[3]
         if not closing and tag in RAW:
-            if lower is None:
-                lower = html.lower()
+            lower = html.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at) if len(lower) == n else html.find(f"</{tag}", at)
             close = -1 if end < 0 else html.find(">", end)
             at = n if close < 0 else close + 1
             continue
         if tag == "br":
-            parts.append((" ", False))
+            reader.text(" ")
             continue
         if tag in BLOCK:
-            close_block()
+            reader.close_block(closing and tag in HEADINGS)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
-        if not closing:
-            if tag in ("p", "li", "td", "tr", "dt", "dd", "option") and not silent:
-                # one of these ends the one before it, unless a container was opened in between
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in HOLDERS:
-                        break
-            aside = tag in ASIDE_TAGS
-            if tag not in ("html", "body", "article", "main"):
-                if tag in BLOCK or tag in ("span", "a"):
-                    for a in NAMES.finditer(attrs):
-                        value = a[1] or a[2] or a[3] or ""
-                        if tag in BLOCK and ASIDE_NAME.search(CAMEL.sub("-", value)):
-                            aside = True
-                if STYLE_HIDDEN.search(attrs):
-                    aside = True
-            elif tag == "article" and any(ASIDE_NAME.search(CAMEL.sub("-", a[1] or a[2] or a[3] or "")) for a in NAMES.finditer(attrs)):
-                aside = True
-            if tag == "header" and region and not asides:
-                aside = False  # the article's own heading
-            stack.append((tag, aside, region))
-            asides += aside
-            links += tag == "a"
-            silent += tag in SILENT
-            if tag in MAIN_TAGS and not asides and not region:
-                regions += 1
-                region = regions
-        elif any(s[0] == tag for s in stack):
-            while stack and pop() != tag:
-                pass
-    close_block()
-    return out
+        if closing:
+            reader.close(tag)
+        else:
+            reader.open(tag, attrs)
+    reader.close_block()
+    return reader.out
 
 
 def decide(found: list[Block], rules: Rules) -> None:
@@ -177,7 +209,8 @@ def decide(found: list[Block], rules: Rules) -> None:
         n = len(b.text)
         words = b.text.split(" ")
         stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
-        if b.aside or b.linked / n > rules.link_density or (has_main and not b.main):
+        limit = rules.main_link_density if b.main else rules.link_density
+        if b.aside or b.linked / n > limit or (has_main and not b.main):
             b.label = False
         elif b.main and (n >= rules.short_chars or stops >= rules.stop_low):
             b.label = True
@@ -186,7 +219,7 @@ def decide(found: list[Block], rules: Rules) -> None:
 
 
 def _nearest(found: list[Block], usable: list[bool]) -> list[bool | None]:
-    """Label of the nearest usable block of each place, the one before on ties."""
+    """Label of the nearest usable block of each place, the one before on ties; of a heading, the one after it."""
     n = len(found)
     before, after = [-1] * n, [n] * n
     for i in range(1, n):
@@ -196,7 +229,8 @@ def _nearest(found: list[Block], usable: list[bool]) -> list[bool | None]:
     out: list[bool | None] = []
     for i in range(n):
         b, a = before[i], after[i]
-        out.append(None if b < 0 and a == n else found[b if b >= 0 and (a == n or i - b <= a - i) else a].label)
+        first = b >= 0 and (a == n or i - b <= a - i and not found[i].heading)
+        out.append(None if b < 0 and a == n else found[b if first else a].label)
     return out
 
 

@@ -122,7 +122,7 @@ def links(fps: DataFrame, max_bits: int = 4, width: int | None = None, hot: int
 def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id reachable over links, itself included."""
     marked = checkpointed(fingerprints(df.select(doc_id, text), text, words, keep=[doc_id]))
-    nodes = marked.groupBy("fp").agg(F.min(doc_id).alias("first"))
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min(doc_id).alias("first")))
     found = connected_components(links(nodes.select("fp"), max_bits))
     groups = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = groups.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -120,6 +120,18 @@ CASES = {
     "unclosed": ("<article><p>One of the two<p>Two of the two<ul><li>a<li>b", "One of the two\nTwo of the two\na\nb"),
     "comment": ("<article><p>One of<!-- not <p>this --> them</p><!-- open <p>gone", "One of them"),
     "empty": ("", ""),
+    "wrapper": ("<div class='page with-sidebar'><div class=sidebar>Menu of the site and of it all</div><article><p>The text of the day is here.</p></article></div>", "The text of the day is here."),
+    "comments": (
+        "<article><h1>A title</h1><p>The text of the day is here.</p><section class='post-comments'><article><p>I like the text of the day, and it is of the best.</p></article></section></article>",
+        "A title\nThe text of the day is here.",
+    ),
+    "named": (
+        "<div id=top>Site of the day and of it all, for the people of the town and all of the world</div><div id=content><h2>Title</h2><div class=entry-header>Sub</div><p>Go.</p></div><div>tail of it</div>",
+        "Title\nSub\nGo.",
+    ),
+    "heading": ("<ul><li><a href=x>Home of it</a></ul><h1>Title</h1><p>The quick brown fox is in the house of the dog and it is not to be seen there.</p>", "Title\nThe quick brown fox is in the house of the dog and it is not to be seen there."),
+    "quotes": ("<article><p title=\"it's>One of the two</p><p>Two of the two</p>", "One of the two\nTwo of the two"),
+    "linked": ("<article><p>It is <a href=x>half of the text</a> of the day.</p><p><a href=y>More</a></p></article>", "It is half of the text of the day."),
     "links": ("<div><p><a href=x>all of it is a link in the page</a></p></div>", ""),
 }
 
