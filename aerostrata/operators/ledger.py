@@ -17,7 +17,7 @@ def request_plan(stations: DataFrame, pollutants: Sequence[tuple[str, str]], res
     plan = stations.withColumn("_p", F.explode(codes)).withColumn("resolution", F.explode(F.array(*[F.lit(r) for r in resolutions])))
     plan = plan.withColumn("pollutant", F.col("_p.pollutant")).withColumn("param_code", F.col("_p.param_code")).drop("_p")
     name = F.format_string(f"%s_%s_%s_{date_from}_{date_to}.csv", "region", "station_id", "resolution")
-    macro = F.format_string("./%s/Cal/%s//%s.%s.%s.ic&", "region", "station_id", "param_code", "resolution", "resolution")
+    macro = F.format_string("./%s/%s/Cal/%s//%s.%s.%s.ic", "region", "station_id", "param_code", "param_code", "resolution", "resolution")
     return plan.withColumn("file_name", name).withColumn("macro", macro)
 
 

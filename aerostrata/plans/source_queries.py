@@ -232,7 +232,7 @@ def crop_ratio(spark, d):
 @query(
     duck(
         """SELECT station_id, pollutant, resolution, concat('R', CAST(comuna AS STRING), '_', station_id, '_', resolution, '_190101_241231.csv') AS file_name,
- concat('./R', CAST(comuna AS STRING), '/Cal/', station_id, '//', param_code, '.', resolution, '.', resolution, '.ic&') AS macro
+ concat('./R', CAST(comuna AS STRING), '/', station_id, '/Cal/', param_code, '//', param_code, '.', resolution, '.', resolution, '.ic') AS macro
  FROM v_station, (VALUES ('pm25', 'PM25'), ('pm10', 'PM10'), ('so2', '0001'), ('no2', '0003'), ('o3', '0008'), ('co', '0004')) p(pollutant, param_code), (VALUES ('horario'), ('diario')) r(resolution)""",
         "v_station",
     )

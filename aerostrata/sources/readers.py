@@ -10,22 +10,23 @@ STATION_CSV = "region_sinca string, estacion string, nombre string, comuna strin
 
 #: Parameter code of each pollutant in station requests.
 PARAM_CODES = (("pm25", "PM25"), ("pm10", "PM10"), ("so2", "0001"), ("no2", "0003"), ("o3", "0008"), ("co", "0004"))
-#: Products with short name, version, kind of crop and cadence.
+#: Product, short name, version, pollutant, level, cadence, start of coverage, whether it is cropped here.
 PRODUCTS = (
-    ("tropomi_no2", "S5P_L2__NO2____HiR", "2", "no2", "swath", "orbit", "2018-04-30", True),
-    ("tropomi_so2", "S5P_L2__SO2____HiR", "2", "so2", "swath", "orbit", "2018-04-30", True),
-    ("tropomi_co", "S5P_L2__CO_____HiR", "2", "co", "swath", "orbit", "2018-04-30", True),
-    ("tropomi_o3", "S5P_L2__O3_TOT_HiR", "2", "o3", "swath", "orbit", "2018-04-30", True),
-    ("omi_no2", "OMNO2d", "003", "no2", "grid", "daily", "2004-10-01", True),
-    ("omi_so2", "OMSO2e", "003", "so2", "grid", "daily", "2004-10-01", True),
-    ("omi_o3", "OMTO3d", "003", "o3", "grid", "daily", "2004-10-01", True),
-    ("mopitt_co", "MOP03J", "10", "co", "grid", "daily", "2000-03-01", True),
-    ("modis_aod", "MOD04_3K", "061", "pm25", "swath", "granule", "2000-02-24", True),
-    ("maiac_aod", "MCD19A2", "061", "pm25", "grid", "granule", "2000-02-24", True),
-    ("merra2_aer", "M2T1NXAER", "5.12.4", "pm25", "grid", "hourly", "1980-01-01", True),
-    ("cams_eac4", "cams-global-reanalysis-eac4", "1", "pm25", "grid", "3-hourly", "2003-01-01", False),
-    ("geoscf", "chm_tavg_1hr_g1440x721_v1", "1", "pm25", "grid", "hourly", "2018-01-01", False),
-    ("acag_pm25", "V6GL03", "V6GL03", "pm25", "grid", "annual", "1998-01-01", True),
+    ("tropomi_no2", "S5P_L2__NO2____HiR", "2", "no2", "swath", "orbit", "2018-04", True),
+    ("tropomi_o3", "S5P_L2__O3_TOT_HiR", "2", "o3", "swath", "orbit", "2018-04", True),
+    ("tropomi_so2", "S5P_L2__SO2____HiR", "2", "so2", "swath", "orbit", "2018-04", True),
+    ("tropomi_co", "S5P_L2__CO_____HiR", "2", "co", "swath", "orbit", "2018-04", True),
+    ("omi_no2", "OMNO2d", "004", "no2", "grid", "daily", "2004-10", True),
+    ("omi_o3", "OMTO3d", "004", "o3", "grid", "daily", "2004-10", True),
+    ("omi_so2", "OMSO2e", "004", "so2", "grid", "daily", "2004-10", True),
+    ("mopitt_co", "MOP03J", "10", "co", "grid", "daily", "2000-03", True),
+    ("modis_terra", "MOD04_3K", "6.1", "aod", "swath", "granule", None, True),
+    ("modis_aqua", "MYD04_3K", "6.1", "aod", "swath", "granule", None, True),
+    ("maiac", "MCD19A2", "061", "aod", "grid", "granule", None, True),
+    ("merra2_aer", "M2T1NXAER", "5.12.4", "aerosol", "grid", "hourly", "1980-01", True),
+    ("cams_eac4", "cams-global-reanalysis-eac4", None, "all", "grid", "3-hourly", "2003-01", False),
+    ("geoscf", "aqc_tavg_1hr_g1440x721_v1", None, "all", "grid", "hourly", "2018-01", False),
+    ("acag_pm25", "V6GL03", "V6GL03", "pm25", "grid", "annual", None, True),
 )
 
 
