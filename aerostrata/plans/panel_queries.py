@@ -226,13 +226,16 @@ def hour_gaps(spark, d):
 
 @query(
     duck(
-        f"""WITH {_HOURLY} SELECT s.comuna, s.hour, round(h.mean_value, 6) AS estimate FROM (SELECT comuna, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-07 23:00:00', INTERVAL 1 HOUR)) AS hour FROM v_geo) s
- LEFT JOIN hourly h ON h.pollutant = 'pm25' AND h.comuna = s.comuna AND h.hour = s.hour""",
+        f"""WITH {_HOURLY}, p AS (SELECT DISTINCT pollutant FROM v_obs) SELECT s.pollutant, s.comuna, s.hour, round(h.mean_value, 6) AS estimate
+ FROM (SELECT pollutant, comuna, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR)) AS hour FROM v_geo, p) s
+ LEFT JOIN hourly h ON h.pollutant = s.pollutant AND h.comuna = s.comuna AND h.hour = s.hour""",
         "v_obs",
         "v_geo",
     )
 )
 def surface_spine(spark, d):
-    """Every comuna and hour of a week with its estimate."""
-    estimates = _hourly(spark, d).where("pollutant = 'pm25'").select("comuna", "hour", F.round("mean_value", 6).alias("estimate"))
-    return N.surface_spine(fixture(spark, d, "v_geo").select("comuna"), "2024-01-01 00:00:00", "2024-01-07 23:00:00", estimates)
+    """Every pollutant, comuna and hour of a month with its estimate."""
+    pollutants = F.explode(F.array(*[F.lit(p) for p in ("pm25", "pm10", "no2", "o3", "so2")])).alias("pollutant")
+    places = fixture(spark, d, "v_geo").select("comuna", pollutants)
+    estimates = _hourly(spark, d).select("pollutant", "comuna", "hour", F.round("mean_value", 6).alias("estimate"))
+    return N.surface_spine(places, "2024-01-01 00:00:00", "2024-01-31 23:00:00", estimates, ["pollutant", "comuna", "hour"])
