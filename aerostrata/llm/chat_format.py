@@ -191,3 +191,33 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
     return summarise(rows.unionByName(extra))
+
+
+def _oracle() -> str:
+    template = Template()
+
+    def quoted(s: str) -> str:
+        return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+    marks = " ".join(f"WHEN '{name}' THEN {len(r.before) + len(r.after)}" for name, r in template.roles.items())
+    escapes = " + ".join(["length(text) - length(replace(text, '\\', ''))", *(f"(length(text) - length(replace(text, {quoted(c)}, ''))) // {len(c)}" for c in template.controls())])
+    steps = " OR ".join(f"(role = '{name}' AND coalesce(prev, 'start') IN ({', '.join(repr(f) for f in r.follows)}))" for name, r in template.roles.items())
+    learnt = "role IN (" + ", ".join(f"'{name}'" for name, r in template.roles.items() if r.learnt) + ")"
+    final = ", ".join(f"'{f}'" for f in template.final)
+    return f"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), o AS (
+  SELECT *, lag(role) OVER w AS prev, lead(role) OVER w AS next, row_number() OVER w AS k FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE {learnt}), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE {learnt}), '')) AS loss_sha256,
+  CAST(sum(CASE role {marks} END + length(text) + {escapes}) AS BIGINT) AS formatted_chars,
+  bool_and({steps}) AND bool_and(next IS NOT NULL OR role IN ({final})) AS valid
+FROM o GROUP BY conv_id
+"""
+
+
+#: The same digests in SQL, for tables whose roles are those of the template.
+ORACLE = _oracle()

@@ -1,8 +1,7 @@
 """Registered queries of the corpus operators and the DuckDB counterparts of those that SQL can express."""
 
-from aerostrata.llm import decontaminate, licenses
+from aerostrata.llm import chat_format, decontaminate, licenses
 from aerostrata.llm.ann import op4_nearest_vectors
-from aerostrata.llm.chat_format import op8_chat_format
 from aerostrata.llm.html_text import op5_html_text
 from aerostrata.llm.langid import op6_language_id
 from aerostrata.llm.packing import op1_token_packing
@@ -18,9 +17,9 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_language_id": op6_language_id,
     "op7_license_scan": licenses.op7_license_scan,
-    "op8_chat_format": op8_chat_format,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE, "op8_chat_format": chat_format.ORACLE}
