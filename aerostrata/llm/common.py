@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text handled at once inside a task, so that memory does not follow the batch size.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -54,11 +54,12 @@ def append_columns(
     fields: Sequence[T.StructField],
     fn: Callable[..., Sequence[Sequence]],
     keep: Sequence[str] | None = None,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Rows of `df` with new columns that `fn` computes from whole columns of values.
 
     `fn` gets one Python list per input and returns one sequence per field.
-    Columns of `df` named as a field are replaced. Runs as mapInArrow, without a shuffle.
+    `done` is called when a task ends. Columns of `df` named as a field are replaced. Runs as mapInArrow, without a shuffle.
     """
     names = [f.name for f in fields]
     base = df if keep is None else df.select(*[F.col(f"`{c}`") for c in keep])
@@ -71,12 +72,16 @@ def append_columns(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for part in blocks(batch, range(n, batch.num_columns)):
-                got = fn(*[part.column(i).to_pylist() for i in range(n, part.num_columns)])
-                fresh = [x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(n + i).type) for i, x in enumerate(got)]
-                held = [part.column(i) if part.column(i).type == arrow.field(i).type else part.column(i).cast(arrow.field(i).type) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*held, *fresh], schema=arrow)
+        try:
+            for batch in batches:
+                for part in blocks(batch, range(n, batch.num_columns)):
+                    got = fn(*[part.column(i).to_pylist() for i in range(n, part.num_columns)])
+                    fresh = [x.cast(arrow.field(n + i).type) if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(n + i).type) for i, x in enumerate(got)]
+                    held = [part.column(i) if part.column(i).type == arrow.field(i).type else part.column(i).cast(arrow.field(i).type) for i in range(n)]
+                    yield pa.RecordBatch.from_arrays([*held, *fresh], schema=arrow)
+        finally:
+            if done is not None:
+                done()
 
     return source.mapInArrow(run, schema)
 

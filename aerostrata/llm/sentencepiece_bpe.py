@@ -21,6 +21,7 @@ from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +31,8 @@ from aerostrata.llm.common import append_columns, table
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NO_RANK = np.int64(1 << 40)
-#: Chunks kept encoded in a worker; the store is emptied when full. Longer chunks are not kept.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 40
+#: Chunks kept encoded during a task; the store is emptied when full and when the task ends, as workers are used again. Longer chunks are not kept.
+CACHE_CHUNKS, CACHE_CHARS = 150_000, 40
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -354,6 +355,9 @@ class _Store:
             self.shown[c] = c if shown == c else shown  # one copy of the string
         return [c for c in fresh if len(c) > CACHE_CHARS]
 
+    def clear(self) -> None:
+        self.model, self.ids, self.shown = None, {}, {}
+
     def drop(self, chunks: Sequence[str]) -> None:
         for c in chunks:
             del self.ids[c], self.shown[c]
@@ -362,17 +366,26 @@ class _Store:
 _STORE = _Store()
 
 
+def _forget() -> None:
+    _STORE.clear()
+
+
 def _rows(data: bytes, texts: Sequence[str | None], want_ids: bool, want_digests: bool):
     """Columns: number of ids and, as asked, ids, digest of the ids, digest of the decoded text."""
-    gc.disable()  # the store holds only strings; collections would walk it again and again
     model = model_of(data)
     split = [model.split(t or "") for t in texts]
-    passing = _STORE.fill(model, split)
+    gc.disable()  # the store holds only strings; collections would walk it again and again
+    try:
+        passing = _STORE.fill(model, split)
+    finally:
+        gc.enable()
     ids_of, shown_of, end = _STORE.ids.__getitem__, _STORE.shown.__getitem__, [model.names[model.end_id]]
     joined = [" ".join([*map(ids_of, chunks), *end]) for chunks in split]
     out: list = [[j.count(" ") + 1 for j in joined]]
     if want_ids:
-        out.append([list(map(int, j.split(" "))) for j in joined])
+        lists = [np.fromstring(j, np.int32, sep=" ") for j in joined]
+        bounds = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(lists))) if lists else [])
     if want_digests:
         out.append([hashlib.sha256(j.encode()).hexdigest() for j in joined])
         out.append([hashlib.sha256(model.finish("".join(map(shown_of, chunks))).encode()).hexdigest() for chunks in split])
@@ -402,7 +415,7 @@ def encode(
     fields = [T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digests else []
-    return append_columns(df, [F.col(text)], fields, lambda texts: _rows(sent.value, texts, ids, digests), keep)
+    return append_columns(df, [F.col(text)], fields, lambda texts: _rows(sent.value, texts, ids, digests), keep, _forget)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
