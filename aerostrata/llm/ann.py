@@ -162,7 +162,7 @@ def nearest(
     trees: int = 16,
     leaf: int = 64,
     share: float = 0.7,
-    least: int = 6000,
+    least: int = 9000,
     sample: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row where `queries` holds, itself left out."""
