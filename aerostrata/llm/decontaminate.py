@@ -37,9 +37,11 @@ def _sql(values) -> str:
 
 def tokens(df: DataFrame, text: str) -> DataFrame:
     """Adds `toks`: lower-cased words and placeholders (#n number, #u unit, #p name) followed by their value."""
+    # the first case is the common one: a word in small ASCII letters after a word
     raw = df.withColumn("raw", F.expr(f"regexp_extract_all(coalesce({text}, ''), '{TOKEN}', 0)"))
     typed = F.expr(
         f"""filter(transform(raw, (x, i) -> CASE
+            WHEN x >= 'a' AND x < '{{' AND (i = 0 OR get(raw, i - 1) >= 'A' AND get(raw, i - 1) < '{{') THEN lower(x)
             WHEN x IN {_sql(ENDS)} THEN ''
             WHEN x IN ('%', '€', '$', '£', '°') THEN concat('#u', x)
             WHEN x RLIKE '^\\\\p{{N}}' THEN concat('#n', x)
@@ -52,10 +54,11 @@ def tokens(df: DataFrame, text: str) -> DataFrame:
 
 def windows(df: DataFrame, width: int, keep: list[str]) -> DataFrame:
     """(keep..., h, pos, slots) of every window of `width` canonical tokens of `toks`."""
-    canon = df.select(*keep, "toks", F.expr("transform(toks, x -> if(startswith(x, '#'), left(x, 2), x))").alias("canon"))
+    marked = "exists(toks, x -> startswith(x, '#'))"
+    canon = df.select(*keep, "toks", F.expr(marked).alias("marked"), F.expr(f"if({marked}, transform(toks, x -> if(startswith(x, '#'), left(x, 2), x)), toks)").alias("canon"))
     each = F.expr(
         f"""explode(if(size(toks) < {width}, array(), transform(sequence(1, size(toks) - {width - 1}), i -> struct(
-            xxhash64(slice(canon, i, {width})) AS h, i AS pos, filter(slice(toks, i, {width}), x -> startswith(x, '#')) AS slots))))"""
+            xxhash64(slice(canon, i, {width})) AS h, i AS pos, if(marked, filter(slice(toks, i, {width}), x -> startswith(x, '#')), cast(array() AS array<string>)) AS slots))))"""
     )
     return canon.select(*keep, each.alias("w")).select(*keep, "w.h", "w.pos", "w.slots")
 
