@@ -70,17 +70,19 @@ def has_letter(text: str | None) -> bool:
 
 def _svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 120) -> np.ndarray:
     """Weights and bias (last) of a squared-hinge linear SVM, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    step = 1.0 / (1.0 / c + 2.0 * 2.0)  # rows have squared length 2
+    step = 1.0 / (1.0 / c + 2.0 * 2.0)  # rows have squared length 2 with the bias
+    shrink = 1.0 / c / len(x)
     w = v = np.zeros(x.shape[1], np.float32)
+    b = u = np.float32(0)
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        grad = v / c / len(x) - 2 * x.T @ (weight * y * slack)
-        new = v - step * grad
-        v = new + t / (t + 3) * (new - w)
-        w = new
-    return w
+        pull = weight * y * np.maximum(0, 1 - y * (x @ v + u))
+        w_new, b_new = v - step * (v * shrink - 2 * (pull @ x)), u - step * (u * shrink - 2 * pull.sum())
+        ahead = np.float32(t / (t + 3))
+        v, u = w_new + ahead * (w_new - w), b_new + ahead * (b_new - b)
+        w, b = w_new.astype(np.float32), np.float32(b_new)
+        v, u = v.astype(np.float32), np.float32(u)
+    return np.append(w, b)
 
 
 class Duel:
@@ -92,7 +94,7 @@ class Duel:
         rows = []
         for i, j in self.pairs:
             mask = np.isin(labels, [self.names[i], self.names[j]])
-            rows.append(_svm(x[mask], np.where(labels[mask] == self.names[i], 1.0, -1.0).astype(np.float32)))
+            rows.append(_svm(x if mask.all() else x[mask], np.where(labels[mask] == self.names[i], 1.0, -1.0).astype(np.float32)))
         self.weights = np.array(rows, np.float32)
 
     def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +159,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 
     got = append_columns(kept.select("i", "l", "t"), [F.col("t")], [T.StructField("v", T.BinaryType())], vectors, keep=["i", "l"]).where("v is not null").collect()
     got.sort(key=lambda r: (r["l"], str(r["i"]), r["v"]))
-    x = np.stack([np.frombuffer(r["v"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, DIMS), np.float32)
-    return Model(x, np.array([r["l"] for r in got], dtype=object))
+    x = np.zeros((len(got), DIMS), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r["v"], np.float16)
+    labels = np.array([r["l"] for r in got], dtype=object)
+    del got  # the vectors are in x now
+    return Model(x, labels)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
