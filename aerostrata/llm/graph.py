@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating star contractions.
 
 Each round is two grouped minima and joins over the remaining links; no node's neighbours are collected.
-The number of rounds grows with the logarithm of the longest chain.
+Joins are merge joins, so nothing is gathered on the driver. The number of rounds grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         # large star: neighbours above a node move to the smallest node around it
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and the neighbours below it move to the smallest of these
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = large.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = checkpointed(small)
         after = _mark(edges)
         if after == before:

@@ -94,7 +94,7 @@ def links(fps: DataFrame, max_bits: int = 4, width: int | None = None, hot: int
         width = min(shared, 3 if fps.count() <= WIDE_FROM else 4)
     index = postings(fps, shared, width)
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = checkpointed(index.join(sizes, "key"))
+    sized = checkpointed(index.join(sizes.hint("merge"), "key"))
     same = " + ".join(f"int((shiftrightunsigned(x ^ y, {8 * i}) & 255L) = 0L)" for i in range(8))
     near = (
         sized.where(F.col("n") <= hot)
@@ -115,7 +115,7 @@ def links(fps: DataFrame, max_bits: int = 4, width: int | None = None, hot: int
         flips = "transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))"
     variants = crowded.select("fp", F.expr(f"explode(concat(array(fp), {flips}))").alias("v"))
     hubs = variants.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("v", "a")
-    through = variants.join(hubs, "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    through = variants.join(hubs.hint("merge"), "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return near.union(through)
 
 
@@ -124,10 +124,10 @@ def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     marked = checkpointed(fingerprints(df.select(doc_id, text), text, words, keep=[doc_id]))
     nodes = checkpointed(marked.groupBy("fp").agg(F.min(doc_id).alias("first")))
     found = connected_components(links(nodes.select("fp"), max_bits))
-    groups = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    groups = nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = groups.join(least, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(doc_id, "fp", "component_id")
+    by_fp = groups.join(least.hint("merge"), "component").select("fp", "component_id")
+    return marked.join(by_fp.hint("merge"), "fp").select(doc_id, "fp", "component_id")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
