@@ -1,8 +1,10 @@
 """Benchmark decontamination by canonical templates, in DataFrame functions only.
 
 Texts become tokens in which numbers, units after numbers and names (capitalised words inside a sentence, not words in capitals) are typed
-placeholders that remember their value. Windows of `width` canonical tokens are hashed; the benchmark's windows (with at
-least half of their tokens lexical) are joined by hash. Matches of a document and an item at one shift must fill
+placeholders that remember their value. Windows of `width` tokens are hashed twice, by their literal tokens in small
+letters and by their canonical ones; the benchmark's windows are joined by hash: all by their literal tokens, so that
+windows of numbers or names and copies in other letters are found, and those with at least half of their tokens lexical
+by their template, with names as placeholders and with names as words. Matches of a document and an item at one shift must fill
 each slot value of the item with one value throughout (slot consistency), so re-parameterised questions are found and
 texts that merely share a frame with changing fillers are not. A pair counts when its consistent matches cover
 `coverage` of the item's windows or `run` tokens in a row.
@@ -53,14 +55,24 @@ def tokens(df: DataFrame, text: str) -> DataFrame:
 
 
 def windows(df: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """(keep..., h, pos, slots) of every window of `width` canonical tokens of `toks`."""
+    """(keep..., h, pos, slots) of every window of `width` tokens of `toks`: one by its literal tokens, with no slots, and
+    one by its canonical tokens where it has slots. Canonical tokens of a kind (#n) are no literal ones, so the hashes are of one space."""
     marked = "exists(toks, x -> startswith(x, '#'))"
-    canon = df.select(*keep, "toks", F.expr(marked).alias("marked"), F.expr(f"if({marked}, transform(toks, x -> if(startswith(x, '#'), left(x, 2), x)), toks)").alias("canon"))
+    forms = df.select(
+        *keep,
+        "toks",
+        F.expr(marked).alias("marked"),
+        F.expr(f"if({marked}, transform(toks, x -> if(startswith(x, '#'), substr(x, 3), x)), toks)").alias("plain"),
+        F.expr(f"if({marked}, transform(toks, x -> if(startswith(x, '#'), left(x, 2), x)), toks)").alias("canon"),
+    )
+    places = f"sequence(1, size(toks) - {width - 1})"
     each = F.expr(
-        f"""explode(if(size(toks) < {width}, array(), transform(sequence(1, size(toks) - {width - 1}), i -> struct(
-            xxhash64(slice(canon, i, {width})) AS h, i AS pos, if(marked, filter(slice(toks, i, {width}), x -> startswith(x, '#')), cast(array() AS array<string>)) AS slots))))"""
+        f"""explode(if(size(toks) < {width}, array(), concat(
+            transform({places}, i -> struct(xxhash64(slice(plain, i, {width})) AS h, i AS pos, cast(array() AS array<string>) AS slots)),
+            if(marked, transform(filter({places}, i -> exists(slice(toks, i, {width}), x -> startswith(x, '#'))), i -> struct(
+                xxhash64(slice(canon, i, {width})) AS h, i AS pos, filter(slice(toks, i, {width}), x -> startswith(x, '#')) AS slots)), array()))))"""
     )
-    return canon.select(*keep, each.alias("w")).select(*keep, "w.h", "w.pos", "w.slots")
+    return forms.select(*keep, each.alias("w")).select(*keep, "w.h", "w.pos", "w.slots")
 
 
 def contaminated(
@@ -80,10 +92,13 @@ def contaminated(
     texts = tokens(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "t").drop("t")
     found = None
     for n in sorted(r["size"] for r in items.select("size").distinct().collect()):  # the usual width, and those of shorter items
-        theirs = windows(items.where(F.col("size") == n), n, ["item_id", "toks"]).select(
+        whole = items.where(F.col("size") == n)
+        # once more with names as plain words, as texts in small or in capital letters show them
+        named = whole.where("exists(toks, x -> startswith(x, '#p'))").withColumn("toks", F.expr("transform(toks, x -> if(startswith(x, '#p'), substr(x, 3), x))"))
+        theirs = windows(whole, n, ["item_id", "toks"]).unionByName(windows(named, n, ["item_id", "toks"]).where("size(slots) > 0")).select(
             "item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), (F.size("toks") - (n - 1)).alias("of")
         )
-        theirs = theirs.where(F.size("item_slots") * 2 <= n)
+        theirs = theirs.where(F.size("item_slots") * 2 <= n)  # templates need half of their tokens lexical; literal windows have no slots
         small = theirs.count() <= BROADCAST_ROWS
         mine = windows(texts, n, ["doc_id"])
         joined = mine.join(F.broadcast(theirs) if small else theirs, "h").select(
@@ -94,7 +109,7 @@ def contaminated(
         return texts.select("doc_id", F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(False).alias("reparameterised")).limit(0)
     placed = (
         found.groupBy("doc_id", "item_id", "of", "width", "shift")
-        .agg(F.collect_list("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("pairs"))
+        .agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("pairs"))
         .where("size(pairs) = size(array_distinct(transform(pairs, p -> p.item_slots)))")
         .withColumn("changed", F.expr("exists(pairs, p -> p.item_slots <> p.slots)"))
     )

@@ -151,6 +151,17 @@ def test_decontamination_short_items_and_empty(spark, edge_docs, no_docs):
     assert decontaminate.contaminated(edge_docs, bench.limit(0)).count() == 0
 
 
+def test_copies_of_numbers_and_names_are_found(spark):
+    sums = "12 + 30 = 42, 17 + 25 = 42, 3 + 9 = 12, 8 + 14 = 22, 60 + 7 = 67"
+    names = "the winners were Ada Lovelace, Alan Turing, Grace Hopper, Edsger Dijkstra, Barbara Liskov and Donald Knuth"
+    frame = "on a fine day Anna Schmidt walked with Peter to see 7 old boats near the quiet harbour of Hamburg"
+    texts = [f"Sums: {sums}.", f"List: {names}.", names.lower(), names.upper(), frame.lower().replace("7", "31"), sums.replace("42", "43").replace("12", "11").replace("7", "5")]
+    got = contaminated(spark, texts, [sums, names, frame])
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 2)}
+    assert all(got[k].coverage == 1.0 for k in got)
+    assert [k for k in got if got[k].reparameterised] == [(4, 2)]
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()}
