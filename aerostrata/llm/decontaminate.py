@@ -4,9 +4,10 @@ Texts become tokens in which numbers, units after numbers and names (capitalised
 placeholders that remember their value. Windows of `width` tokens are hashed twice, by their literal tokens in small
 letters and by their canonical ones; the benchmark's windows are joined by hash: all by their literal tokens, so that
 windows of numbers or names and copies in other letters are found, and those with at least half of their tokens lexical
-by their template, with names as placeholders and with names as words. Matches of a document and an item at one shift must fill
-each slot value of the item with one value throughout (slot consistency), so re-parameterised questions are found and
-texts that merely share a frame with changing fillers are not. A pair counts when its consistent matches cover
+by their template, with names as placeholders and with names as words. Matches of a document and an item at one shift count
+where they are word for word; of the others, those with a slot value of the item that they fill in more than one way don't
+(slot consistency), so re-parameterised questions and edited copies are found and
+texts that merely share a frame with changing fillers are not. A pair counts when its matches cover
 `coverage` of the item's windows or `run` tokens in a row.
 
 The benchmark's windows are broadcast when there are at most BROADCAST_ROWS of them, else the join is shuffled by hash.
@@ -107,11 +108,20 @@ def contaminated(
         found = joined if found is None else found.unionByName(joined)
     if found is None:
         return texts.select("doc_id", F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(False).alias("reparameterised")).limit(0)
+    found = found.withColumn("verbatim", F.expr("forall(slots, p -> p.item_slots = p.slots)"))
     placed = (
         found.groupBy("doc_id", "item_id", "of", "width", "shift")
-        .agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("pairs"))
-        .where("size(pairs) = size(array_distinct(transform(pairs, p -> p.item_slots)))")
-        .withColumn("changed", F.expr("exists(pairs, p -> p.item_slots <> p.slots)"))
+        .agg(
+            F.expr("collect_set(item_pos) FILTER (WHERE verbatim)").alias("same"),
+            F.expr("collect_set(struct(item_pos, slots)) FILTER (WHERE NOT verbatim)").alias("other"),
+        )
+        # values of the item that the re-parameterised windows fill in more than one way
+        .withColumn("pairs", F.expr("array_distinct(flatten(transform(other, o -> o.slots)))"))
+        .withColumn("clashing", F.expr("filter(array_distinct(transform(pairs, p -> p.item_slots)), v -> size(filter(pairs, p -> p.item_slots = v)) > 1)"))
+        .withColumn("filled", F.expr("transform(filter(other, o -> NOT exists(o.slots, p -> array_contains(clashing, p.item_slots))), o -> o.item_pos)"))
+        .withColumn("changed", F.expr("size(array_except(filled, same)) > 0"))
+        .withColumn("at", F.array_union("same", "filled"))
+        .where("size(at) > 0")
     )
     pairs = placed.groupBy("doc_id", "item_id", "of", "width").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"),

@@ -162,6 +162,17 @@ def test_copies_of_numbers_and_names_are_found(spark):
     assert [k for k in got if got[k].reparameterised] == [(4, 2)]
 
 
+def test_one_edit_does_not_void_a_copy(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
+    item = " ".join([*words[:20], "5", *words[20:40], "5", *words[40:60], "5", *words[60:]])
+    early = " ".join([*words[:20], "7", *words[20:40], "5", *words[40:60], "5", *words[60:]])
+    two = " ".join([*words[:20], "7", *words[20:40], "8", *words[40:60], "5", *words[60:]])
+    got = contaminated(spark, [item, early, two], [item])
+    assert set(got) == {(0, 0), (1, 0), (2, 0)}
+    assert [got[d, 0].n_windows for d in range(3)] == [76, 76, 60]  # the eight windows of each clashing filler don't count
+    assert [got[d, 0].reparameterised for d in range(3)] == [False, True, False]
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()}
