@@ -5,6 +5,10 @@ Every text is scanned with the base patterns. A worklist then unwraps encoded re
 with the same patterns and the spans found are mapped back to the code points of the original text that gave them.
 A layer already seen in the same text region (a cycle) is not entered again.
 
+Escapes are decoded over a whole layer, so that a secret may begin or end outside of them. Base64 regions are of both
+alphabets, in one line or broken over lines, and decoded from each of the four places where a group may start, so that
+words joined to them do no harm. What isn't UTF-8 is replaced; only bytes too few for any secret are dropped.
+
 Kinds: assign, access, hex in the text itself; the same with the suffix _layer for what a decoded layer shows;
 `oversize` marks a compressed region that inflates beyond INFLATE_LIMIT (it is reported instead of unpacked).
 
@@ -36,11 +40,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-TOKEN = re.compile(r"[^\s\"'<>]+")
-ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[^\s\\\"'])*")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{20,}={0,2}")
+SURROGATE = re.compile("[\ud800-\udfff]")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: The same over several lines, read from the start of a word.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\t\x20]*+[A-Za-z0-9+/_-]++)++={0,2}")
+SYMBOL = re.compile(r"[A-Za-z0-9+/_-]")
+#: Fewer characters than these hold no base pattern, whatever layers are between.
+PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{16}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -55,23 +63,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _percent(region: str) -> tuple[str, list[int]] | None:
-    """Decoded text and, for each of its characters and the end, the offset in the region."""
-    data, at, i = bytearray(), [], 0
-    while i < len(region):
-        if region[i] == "%" and re.match("[0-9A-Fa-f]{2}", region[i + 1 : i + 3]):
-            data += unquote_to_bytes(region[i : i + 3])
-            at.append(i)
-            i += 3
-        else:
-            raw = region[i].encode("utf-8", "surrogatepass")
-            data += raw
-            at += [i] * len(raw)
-            i += 1
-    return _readable(bytes(data), [*at, len(region)])
+def _percent(text: str) -> tuple[str, list[int]]:
+    """Decoded text and, for each of its characters and the end, the offset in the text."""
+    out, at, i = [], [], 0
+    for m in PERCENT.finditer(text):
+        out.append(text[i : m.start()])
+        at += range(i, m.start())
+        run, places = _decoded(unquote_to_bytes(m[0]), range(m.start(), m.end(), 3))
+        out.append(run)
+        at += places
+        i = m.end()
+    out.append(text[i:])
+    at += range(i, len(text) + 1)
+    return "".join(out), at
 
 
-def _escapes(region: str) -> tuple[str, list[int]] | None:
+def _escapes(region: str) -> tuple[str, list[int]]:
     out, at, i = [], [], 0
     for m in ONE_ESCAPE.finditer(region):
         out += region[i : m.start()]
@@ -82,7 +89,7 @@ def _escapes(region: str) -> tuple[str, list[int]] | None:
     out += region[i:]
     at += range(i, len(region) + 1)
     text = "".join(out)
-    if any(0xD800 <= ord(c) < 0xE000 for c in text):  # pairs of surrogates become one character, lone ones are replaced
+    if SURROGATE.search(text):  # pairs of surrogates become one character, lone ones are replaced
         joined, kept, k = [], [], 0
         while k < len(text):
             pair = text[k : k + 2].encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if 0xD800 <= ord(text[k]) < 0xE000 else ""
@@ -94,26 +101,26 @@ def _escapes(region: str) -> tuple[str, list[int]] | None:
     return text, at
 
 
-def _readable(data: bytes, at: list[int] | None) -> tuple[str, list[int]] | None:
-    """UTF-8 text of the data with offsets by character; None if it isn't text."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    if at is None:
-        return text, []
-    if len(text) == len(data):
-        return text, at
+def _decoded(data: bytes, at: Sequence[int]) -> tuple[str, list[int]]:
+    """Text of the data, bytes that aren't UTF-8 replaced one by one, with the offset of each character."""
+    text = data.decode("utf-8", "surrogateescape")
+    if len(text) == len(data) and text.isascii():
+        return text, list(at)
     offsets, i = [], 0
     for c in text:
         offsets.append(at[i])
-        i += len(c.encode())
-    return text, [*offsets, at[-1]]
+        i += 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+    return SURROGATE.sub("\ufffd", text), offsets
+
+
+def inflatable(data: bytes) -> bool:
+    """Whether data starts as gzip or zlib data do."""
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
 
 
 def inflate(data: bytes) -> tuple[bytes | None, bool]:
     """Whole zlib or gzip content (None if it is none), and whether it is larger than INFLATE_LIMIT."""
-    if not (data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)):
+    if not inflatable(data):
         return None, False
     z = zlib.decompressobj(47)
     try:
@@ -123,50 +130,49 @@ def inflate(data: bytes) -> tuple[bytes | None, bool]:
     return (None, True) if z.unconsumed_tail else (out, False) if out else (None, False)
 
 
-def _base64(region: str) -> tuple[tuple[str, list[int]] | None, bool]:
-    """Decoded layer of a base64 region; second: it is compressed beyond the limit."""
-    core = region.rstrip("=").translate({ord("-"): "+", ord("_"): "/"})
-    if len(core) % 4 == 1:
-        core = core[:-1]
-    try:
-        data = base64.b64decode(core + "=" * (-len(core) % 4))
-    except ValueError:
-        return None, False
-    content, over = inflate(data)
-    if over:
-        return None, True
-    if content is not None:
-        got = _readable(content, None)
-        if got is None:
-            return None, False
-        # what is compressed maps to the whole region
-        return (got[0], []), False
-    if not data or sum(32 <= b < 127 or b in (9, 10, 13) for b in data) < 0.9 * len(data):
-        return None, False
-    at = [i // 3 * 4 + i % 3 for i in range(len(data))]
-    return _readable(data, [*at, len(region)]), False
+def _symbols(text: str) -> bytes:
+    """Data of base64 symbols of either alphabet; a lone last symbol holds no byte."""
+    core = text.translate({ord("-"): "+", ord("_"): "/"})
+    core = core[: len(core) - (len(core) % 4 == 1)]
+    return base64.b64decode(core + "=" * (-len(core) % 4))
+
+
+def _base64(region: str) -> tuple[list[tuple[str, list[int]]], bool]:
+    """Decoded layers of a base64 region; second: some of it is compressed beyond the limit."""
+    places = [m.start() for m in SYMBOL.finditer(region)]
+    core = "".join(region[p] for p in places)
+    out, over = [], False
+    # compressed data starts a region, a line or what follows a - or _; what is compressed maps to the whole region
+    for i in range(len(core)):
+        if i == 0 or places[i] > places[i - 1] + 1 or core[i - 1] in "-_":
+            if inflatable(_symbols(core[i : i + 4])):
+                content, beyond = inflate(_symbols(core[i:]))
+                over |= beyond
+                if content:
+                    out.append((_decoded(content, range(len(content)))[0], []))
+    for i in range(min(4, len(core))):
+        data = _symbols(core[i:])
+        if PLAIN.search(data):
+            text, at = _decoded(data, [places[i + k // 3 * 4 + k % 3] for k in range(len(data))])
+            out.append((text, [*at, len(region)]))
+    return out, over
 
 
 def layers(text: str) -> list[tuple[str, list[int], int, int]]:
     """Decoded regions of one text: (layer, offsets or [] for the whole region, start, end)."""
     out = []
-    if PERCENT.search(text):
-        for m in TOKEN.finditer(text):
-            if "%" in m[0] and PERCENT.search(m[0]):
-                got = _percent(m[0])
-                if got and got[0] != m[0]:
-                    out.append((*got, m.start(), m.end()))
-    if "\\" in text:
-        for m in ESCAPES.finditer(text):
-            got = _escapes(m[0])
-            if got and got[0] != m[0]:
-                out.append((*got, m.start(), m.end()))
-    for m in BASE64.finditer(text):
+    if "%" in text and PERCENT.search(text):
+        out.append((*_percent(text), 0, len(text)))
+    if "\\" in text and ONE_ESCAPE.search(text):
+        out.append((*_escapes(text), 0, len(text)))
+    regions = list(BASE64.finditer(text))
+    if "\n" in text:
+        regions += [m for m in WRAPPED.finditer(text) if len(m[0]) >= 20]
+    for m in regions:
         got, over = _base64(m[0])
         if over:
             out.append(("", [-1], m.start(), m.end()))
-        elif got and got[0]:
-            out.append((*got, m.start(), m.end()))
+        out += [(*g, m.start(), m.end()) for g in got]
     return out
 
 
@@ -189,7 +195,12 @@ def all_spans(text: str) -> list[tuple[int, int, str]]:
             seen.add(key)
             # offsets of the layer in the original; empty: all of it stands for the whole region
             to = [] if not offsets or (at is not None and not at) else [o + start for o in offsets] if at is None else [at[start + o] for o in offsets]
+            plain = None
             for a, b, kind in base_spans(layer):
+                if offsets and now[start + offsets[a] : start + offsets[b]] == layer[a:b]:  # stands there undecoded
+                    plain = set(base_spans(now)) if plain is None else plain
+                    if (start + offsets[a], start + offsets[b], kind) in plain:
+                        continue
                 found.add((to[a], _end(to, b, last), f"{kind}_layer") if to else (first, last, f"{kind}_layer"))
             work.append((layer, to, first, last))
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]], s[1]))

@@ -312,6 +312,34 @@ def test_layers_are_found(kinds):
     assert all(a <= s[0] < s[1] <= b for s in spans)
 
 
+VALUE = "Zx81kQpL0aPq7"
+FOREIGN = f"Привет, это длинный русский текст о погоде. password={VALUE} И ещё немного слов."
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"pass\\u0077ord={VALUE}",
+        f'{{"\\u0070assword": "{VALUE}"}}',
+        "AKI\\u0041BCDEFGHIJKLMNOP",
+        f"%70assword = {VALUE}",
+        f"%FF%70assword%3D{VALUE}",
+        "see " + base64.b64encode(FOREIGN.encode()).decode(),
+        "blob:\nword\n" + base64.encodebytes(FOREIGN.encode()).decode() + "\nend",
+        "id-" + base64.urlsafe_b64encode(("начало~~~???>>> " + FOREIGN).encode()).decode(),
+        "wrapped\n" + base64.encodebytes(zlib.compress(FOREIGN.encode())).decode(),
+    ],
+)
+def test_secrets_in_part_of_a_layer(text):
+    found = [s for s in secrets.all_spans(f"é {text} z") if s[2] in ("assign_layer", "access_layer")]
+    assert found and all(2 <= a < b <= len(text) + 2 for a, b, _ in found)
+
+
+def test_plain_secrets_beside_escapes_count_once():
+    text = f"100%25 sure \\u0041 password={VALUE}"
+    assert [k for _, _, k in secrets.all_spans(text)] == ["assign"]
+
+
 def test_secret_edges(spark, edge_docs, no_docs):
     assert secrets.scan(edge_docs).count() == edge_docs.count()
     assert secrets.scan(no_docs).count() == 0
