@@ -6,6 +6,11 @@ stop words. Blocks that stay open, short ones above all, inherit in the second p
 block, looked up first within their own article region and then on the whole page (ties: the block before; headings look
 at the block after them).
 
+Where the stop words don't cover the text (letters of another script, or a page whose longer blocks hold hardly any),
+length and full sentences decide instead; signs of scripts without spaces count threefold. An article region with far
+less text than there is beside it doesn't rule the rest out. The wrapper of a page without other text is not layout,
+whatever its name.
+
 Cases: null html counts as empty and gives an empty text; unclosed tags, stray end tags, unterminated comments and
 scripts are read to the end of the page; a page without any decided block keeps the open blocks of its article, if it
 has one, or all open blocks with no link in them.
@@ -61,6 +66,12 @@ STOP_WORDS = frozenset(
     ).split()
 )
 
+#: Letters beyond the Latin script, which no stop word holds, and signs of scripts without spaces.
+OTHER_SCRIPT = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff]")
+LETTER = re.compile(r"[^\W\d_]")
+DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+SENTENCE = re.compile(r"[.!?…。！？؟।;:]['\"»”’）)\]]*$")
+
 TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>")
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -76,18 +87,21 @@ class Rules:
     long_chars: int = 160
     stop_low: float = 0.10
     stop_high: float = 0.22
+    stop_none: float = 0.05
+    main_share: float = 0.25
 
 
 class Block:
-    __slots__ = ("text", "linked", "aside", "main", "heading", "label")
+    __slots__ = ("text", "linked", "aside", "main", "heading", "label", "soft")
 
-    def __init__(self, text: str, linked: int, aside: bool, main: int, heading: bool):
+    def __init__(self, text: str, linked: int, aside: bool, main: int, heading: bool, soft: bool = False):
         self.text, self.linked, self.aside, self.main, self.heading, self.label = text, linked, aside, main, heading, None
+        self.soft = soft  # beside the article by the name of a layout part only
 
 
-def _values(attrs: str) -> list[str]:
+def _values(attrs: str, ids: bool = True) -> list[str]:
     """Class, id and role values, with camel case cut up."""
-    return [CAMEL.sub("-", a[1] or a[2] or a[3] or "") for a in NAMES.finditer(attrs)] if "=" in attrs else []
+    return [CAMEL.sub("-", a[1] or a[2] or a[3] or "") for a in NAMES.finditer(attrs) if ids or a[0][:2].lower() != "id"] if "=" in attrs else []
 
 
 class Reader:
@@ -110,7 +124,7 @@ class Reader:
             words = unescape("".join(p for p, _ in self.parts)).split()
             if words:
                 linked = len(" ".join(unescape("".join(p for p, l in self.parts if l)).split()))
-                self.out.append(Block(" ".join(words), linked, self.hard > 0 or self.soft > self.base, self.region, heading))
+                self.out.append(Block(" ".join(words), linked, self.hard > 0 or self.soft > self.base, self.region, heading, self.hard == 0 and self.soft > self.base))
             self.parts.clear()
 
     def pop(self) -> str:
@@ -133,7 +147,8 @@ class Reader:
                     break
                 if self.stack[k][0] in HOLDERS:
                     break
-        values = _values(attrs) if tag in BLOCK and tag not in ("html", "body") else []
+        # the id of a heading or paragraph is a mark to jump to and tells its subject
+        values = _values(attrs, tag != "p" and tag not in HEADINGS) if tag in BLOCK and tag not in ("html", "body") else []
         aside = 2 if tag in ASIDE_TAGS else 0
         if any(OTHER_NAME.search(v) for v in values) or STYLE_HIDDEN.search(attrs):
             aside = 2
@@ -202,19 +217,44 @@ def blocks(html: str) -> list[Block]:
     return reader.out
 
 
+def _size(text: str) -> int:
+    """Characters, signs of scripts without spaces threefold."""
+    return len(text) if text.isascii() else len(text) + 2 * len(DENSE.findall(text))
+
+
+def _foreign(text: str) -> bool:
+    """Whether most letters are of another script than the stop words'."""
+    return not text.isascii() and 2 * len(OTHER_SCRIPT.findall(text)) > len(LETTER.findall(text))
+
+
 def decide(found: list[Block], rules: Rules) -> None:
     """First pass: label True (text), False (beside it) or None (open)."""
-    has_main = any(b.main for b in found)
-    for b in found:
-        n = len(b.text)
-        words = b.text.split(" ")
-        stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
+    if not any(not b.aside and b.linked <= rules.link_density * len(b.text) and _size(b.text) >= rules.long_chars for b in found):
+        for b in found:
+            b.aside = b.aside and not (b.soft and _size(b.text) >= rules.long_chars)
+    sizes = [_size(b.text) for b in found]
+    words = [b.text.split(" ") for b in found]
+    counts = [sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in ws) for ws in words]
+    open_ = [not b.aside and b.linked <= rules.link_density * len(b.text) for b in found]
+    foreign = [_foreign(b.text) for b in found]
+    longer = [i for i, b in enumerate(found) if open_[i] and not foreign[i] and sizes[i] >= rules.short_chars]
+    unknown = sum(counts[i] for i in longer) < rules.stop_none * sum(len(words[i]) for i in longer)
+
+    def prose(i: int) -> bool:
+        n, stops = sizes[i], counts[i] / len(words[i])
+        if foreign[i] or unknown:
+            return n >= rules.long_chars or n >= rules.short_chars and not found[i].linked and SENTENCE.search(found[i].text) is not None
+        return n >= rules.long_chars and stops >= rules.stop_low or n >= rules.short_chars and stops >= rules.stop_high
+
+    texts = [open_[i] and prose(i) for i in range(len(found))]
+    inside = sum(sizes[i] for i, b in enumerate(found) if b.main and open_[i])
+    outside = sum(sizes[i] for i, b in enumerate(found) if not b.main and texts[i] and sizes[i] >= rules.long_chars)
+    has_main = any(b.main for b in found) and inside >= rules.main_share * outside
+    for i, b in enumerate(found):
         limit = rules.main_link_density if b.main else rules.link_density
-        if b.aside or b.linked / n > limit or (has_main and not b.main):
+        if b.aside or b.linked / len(b.text) > limit or (has_main and not b.main):
             b.label = False
-        elif b.main and (n >= rules.short_chars or stops >= rules.stop_low):
-            b.label = True
-        elif n >= rules.long_chars and stops >= rules.stop_low or n >= rules.short_chars and stops >= rules.stop_high:
+        elif b.main and (sizes[i] >= rules.short_chars or counts[i] / len(words[i]) >= rules.stop_low) or prose(i):
             b.label = True
 
 

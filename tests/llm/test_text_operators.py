@@ -142,6 +142,31 @@ def test_html_cases(name):
     assert html_text.main_text(html) == want
 
 
+LONG = {
+    "ru": "Вчера в городе прошёл сильный дождь, и многие улицы оказались под водой. " * 4,
+    "pl": "Wczoraj padał silny deszcz, dlatego liczne ulice znalazły się pod wodą. " * 4,
+    "tr": "Dün şehirde şiddetli yağmur yağdı ve birçok sokak sular altında kaldı. " * 4,
+    "zh": "昨天城里下了一场大雨，许多街道都被水淹没了，居民们只好绕道而行。" * 3,
+}
+
+
+@pytest.mark.parametrize("lang", sorted(LONG))
+def test_html_of_other_languages(lang):
+    text = LONG[lang].strip()
+    page = f'<body><nav><a href="/">A</a> <a href="/b">B</a></nav><div><p>{text}</p><p>{text[: len(text) // 4]}.</p></div><footer>C 2020</footer></body>'
+    assert html_text.main_text(page) == f"{text}\n{text[: len(text) // 4]}."
+
+
+def test_html_places_do_not_overrule_long_text():
+    text = "It was one of the days on which all of the people in the town had to be at home with their families by the evening. " * 8
+    teaser = f"<body><article><a href='/x'>More</a> news of today</article><div><p>{text}</p></div></body>"
+    assert text.strip() in html_text.main_text(teaser)
+    marked = f"<body><article><p>{text}</p><h2 id='social-history'>A social history</h2><p id='comments-on-it'>{text}</p></article></body>"
+    assert html_text.main_text(marked) == f"{text.strip()}\nA social history\n{text.strip()}"
+    wrapped = f"<body><div class='page has-sidebar'><p>{text}</p></div><footer>Imprint</footer></body>"
+    assert html_text.main_text(wrapped) == text.strip()
+
+
 def test_html_pages(spark):
     from html import unescape
 
