@@ -54,7 +54,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN CONCAT(text, ' Sin datos') WHEN doc_id % 13 = 0 THEN CONCAT(text, ' No Existe')
  WHEN doc_id % 17 = 0 THEN CONCAT(text, ' SIN DATOS') ELSE text END text FROM documents""",
     ),
-    # hourly mean of each station and pollutant, with a predictor that goes with the value
+    # daily mean of each station and pollutant (the day under the name `hour`), with a predictor that goes with the value
     "v_panel": (
         ("events",),
         f"""SELECT pollutant, station, comuna, CAST(hour AS TIMESTAMP_NTZ) AS hour, lon, lat, AVG(value) value, AVG(value)*0.5e0 + (station % 7)*3e0 + EXTRACT(DAY FROM hour)*0.25e0 x,

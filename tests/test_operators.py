@@ -165,3 +165,22 @@ def test_empty_tables(spark):
     assert aggregate.comuna_hourly(obs).count() == 0
     oof = fixture(spark, DIR, "v_oof").limit(0)
     assert aggregate.metrics(oof, [["pollutant"]]).count() == 0
+
+
+def test_regressions_reach_as_far_as_their_kernel(spark):
+    from aerostrata.plans import engine_queries as Q
+    from aerostrata.plans.fixtures import fixture
+
+    rows = Q.gwr_loso(spark, DIR).select("target", "pollutant", "hour", "n", "pred").orderBy("target", "pollutant", "hour").limit(5).collect()
+    panel = fixture(spark, DIR, "v_panel").toPandas()
+    for r in rows:
+        same = panel[(panel.pollutant == r.pollutant) & (panel.hour == r.hour)]
+        me, others = same[same.station == r.target].iloc[0], same[same.station != r.target]
+        a, b = np.radians(me.lat), np.radians(others.lat)
+        h = np.sin((a - b) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(me.lon - others.lon) / 2) ** 2
+        w = np.exp(-0.5 * (2 * 6371.0 * np.arcsin(np.sqrt(h)) / 300.0) ** 2)
+        assert r.n == (w >= 1e-12).sum()
+        mx, my = np.average(others.x, weights=w), np.average(others.value, weights=w)
+        slope = (w * (others.x - mx) * (others.value - my)).sum() / (w * (others.x - mx) ** 2).sum()
+        assert abs(my + slope * (me.x - mx) - r.pred) < 0.02
+    assert len(rows) == 5
