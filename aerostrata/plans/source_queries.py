@@ -373,8 +373,7 @@ def month_sequence(spark, d):
 )
 def day_chunks(spark, d):
     """Five-day chunks of a span, the last one clipped."""
-    spans = _spans(spark, d).withColumn("hi", F.least("hi", F.date_add("lo", 23)))
-    return S.day_chunks(spans, "lo", "hi").select("o_custkey", "chunk_start", "chunk_end")
+    return S.day_chunks(_spans(spark, d), "lo", "hi").select("o_custkey", "chunk_start", "chunk_end")
 
 
 @query(f"SELECT o_custkey, unnest(range(year(lo), year(hi) + 1)) AS year FROM ({_SPANS})")

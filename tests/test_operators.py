@@ -184,3 +184,12 @@ def test_regressions_reach_as_far_as_their_kernel(spark):
         slope = (w * (others.x - mx) * (others.value - my)).sum() / (w * (others.x - mx) ** 2).sum()
         assert abs(my + slope * (me.x - mx) - r.pred) < 0.02
     assert len(rows) == 5
+
+
+def test_day_chunks_cover_whole_spans(spark):
+    from aerostrata.plans import source_queries as Q
+
+    chunks = Q.day_chunks(spark, DIR)
+    last = {r.o_custkey: r.last for r in chunks.groupBy("o_custkey").agg(F.max("chunk_end").alias("last")).collect()}
+    orders = spark.read.parquet(f"{DIR}/orders.parquet").groupBy("o_custkey").agg(F.max("o_orderdate").cast("date").alias("hi"))
+    assert last == {r.o_custkey: r.hi for r in orders.collect()}
