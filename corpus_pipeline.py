@@ -17,6 +17,8 @@ from aerostrata.llm.common import checkpointed, table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without text or without a letter go. A missing `lang` is filled in."""
     model = langid.fit(docs.where(~langid.held_out()))
+    if not model.languages:  # nothing to learn from: only the text itself can be rejected
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     marked = langid.predict(docs, model, names=("__lang", "__score")).where(F.col("__lang") != "und")
     return marked.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 

@@ -267,3 +267,12 @@ def test_pipeline_edges(spark, edge_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, DIR)
     assert empty.count() == 0
+
+
+def test_language_without_labels_keeps_documents(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a clean text", None), (2, "ещё один текст", None), (3, "12 !", None), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language(spark, docs, DIR)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2] and got.columns == docs.columns
