@@ -5,15 +5,16 @@ sample (`sample` vectors with the smallest hashed ids); every vector of the tabl
 Where the table is much larger than the sample, further levels follow below the fitted leaves, with one random
 direction per tree and level and a threshold per leaf, so that leaves keep their size at any number of rows.
 
-A query descends all trees through one priority queue ordered by the margin to the hyperplanes passed, and stops
-after leaves that hold `share` of the index (and at least `least` vectors). Neighbouring leaves of a tree form buckets of
-about BUCKET vectors and queries form blocks of about QUERY_BLOCK; a task gets one bucket with the block's queries that
-probe it, takes the exact Euclidean distance in double precision to the members of the probed leaves, and returns the
-k + 1 best for each query. So no pair is a row of its own, and no group grows with the table.
+A query descends all trees through one priority queue, ordered by the sum of the squared margins to the hyperplanes it is
+on the wrong side of, and stops after leaves that hold `visits` * n ** `power` vectors (repetitions over trees included), a
+shrinking share of the table: 10 * n ** 0.7: 0.39 of it at 50,000 vectors and 0.02 at a billion. Leaves hold at least
+`leaf` vectors, and so many more that a query looks at about `probes` of them.
 
-How large `share` must be depends on the vectors: directions without structure, as in the test tables, have no near
-neighbours to speak of, and a recall of 0.9 needs the default (about half of the index, each vector once); clustered
-vectors do with a hundredth of that.
+Neighbouring leaves of a tree form buckets of about BUCKET vectors. A task gets a part of a bucket (at most about
+BUCKET members, so a leaf that is hotter than the sample showed is split) and a block of at most about QUERY_BLOCK of the
+queries that probe that bucket, takes the exact Euclidean distance in double precision to the members of the probed leaves, and
+returns the k + 1 best for each query. No pair is a row of its own. A vector is shuffled once for each tree, and again
+for every further QUERY_BLOCK queries of its bucket only; the rest of the shuffle is the probes themselves.
 
 Equal vectors are one entry of the index with its `k + 1` smallest ids (more can't be among the k nearest, as ties go
 to smaller ids), found with a map-side limit, so a vector that fills a third of the table costs no more than any other.
@@ -34,10 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerostrata.llm.common import checkpointed, table
+from aerostrata.llm.common import partitions, stored, table
 
-BUCKET = 8192
+BUCKET = 4096
 QUERY_BLOCK = 4096
+#: Queries that a task probes the forest with.
+ASKED_AT_ONCE = 256
+
 
 class Tree:
     """One fitted tree in arrays; leaves are numbered, children of inner nodes are >= 0 and leaves ~number."""
@@ -72,6 +76,7 @@ class Tree:
         self.normal = np.array(self.normals, np.float64).reshape(-1, dims)
         self.offset = np.array(self.offsets, np.float64)
         self.child = np.array(self.children, np.int64).reshape(-1, 2)
+        self.pairs = [tuple(c) for c in self.children]
         self.extra = rng.standard_normal((extra, dims))
         self.extra /= np.linalg.norm(self.extra, axis=1, keepdims=True) if extra else 1
         self.cuts = np.array(means) @ self.extra.T if extra else np.zeros((len(means), 0))
@@ -121,23 +126,26 @@ class Forest:
         self.leaves = [len(tree.sizes) << extra for tree in self.trees]
 
     def probes(self, q: np.ndarray, search: float) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs, best first, that hold about `search` vectors together."""
-        queue = [(-np.inf, t, tree.root, 0, 0) for t, tree in enumerate(self.trees)]
-        along = [tree.normal @ q - tree.offset for tree in self.trees]
+        """(tree, leaf) pairs, nearest first by the squared margins passed, that hold about `search` vectors together."""
+        along = [(tree.normal @ q - tree.offset).tolist() for tree in self.trees]
         below = [tree.extra @ q for tree in self.trees]
+        queue = [(0.0, t, tree.root, 0, 0) for t, tree in enumerate(self.trees)]
         heapq.heapify(queue)
         out, got = [], 0.0
         while queue and got < search:
             cost, t, node, level, bits = heapq.heappop(queue)
             tree = self.trees[t]
             if node >= 0:
-                margin, (left, right) = along[t][node], tree.child[node].tolist()
-                heapq.heappush(queue, (max(cost, -margin), t, right, 0, 0))
-                heapq.heappush(queue, (max(cost, margin), t, left, 0, 0))
+                margin = along[t][node]
+                left, right = tree.pairs[node]
+                near, far = (right, left) if margin > 0 else (left, right)
+                heapq.heappush(queue, (cost, t, near, 0, 0))
+                heapq.heappush(queue, (cost + margin * margin, t, far, 0, 0))
             elif level < len(tree.extra):
-                margin = below[t][level] - tree.cuts[~node, level]
-                heapq.heappush(queue, (max(cost, -margin), t, node, level + 1, bits * 2 + 1))
-                heapq.heappush(queue, (max(cost, margin), t, node, level + 1, bits * 2))
+                margin = float(below[t][level] - tree.cuts[~node, level])
+                side = int(margin > 0)
+                heapq.heappush(queue, (cost, t, node, level + 1, bits * 2 + side))
+                heapq.heappush(queue, (cost + margin * margin, t, node, level + 1, bits * 2 + 1 - side))
             else:
                 out.append((t, (~node << level) + bits))
                 got += tree.sizes[~node] * self.share
@@ -153,6 +161,11 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
 
 
+def visited(n: int, visits: float, power: float) -> float:
+    """Vectors that a query looks at in an index of n."""
+    return visits * n**power
+
+
 def nearest(
     df: DataFrame,
     queries: Column,
@@ -160,9 +173,10 @@ def nearest(
     vector: str = "embedding",
     k: int = 10,
     trees: int = 16,
-    leaf: int = 64,
-    share: float = 0.7,
-    least: int = 9000,
+    leaf: int = 16,
+    probes: int = 2048,
+    visits: float = 10.0,
+    power: float = 0.7,
     sample: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row where `queries` holds, itself left out."""
@@ -175,16 +189,15 @@ def nearest(
     dims = lengths["d"]
     rows = rows.where(F.size("v") == dims)
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
-    index = checkpointed(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    n = index.count()
-    picked = index.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("v").collect()
-    forest = Forest(np.array([r["v"] for r in picked], np.float64), n, trees, leaf)
+    entries = stored(few.groupBy("v").agg(F.sort_array(F.collect_list("id").cast("array<long>")).alias("ids")))
+    n = entries.count()
+    picked = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("v").collect()
+    search = visited(n, visits, power)
+    forest = Forest(np.array([r["v"] for r in picked], np.float64), n, trees, max(leaf, int(search / probes)))
+    del picked
     sent = spark.sparkContext.broadcast(forest)  # bounded by the sample
-
-    search = max(least, share * n)
     buckets = -(-n // BUCKET)
-    asking = rows.where("asks").groupBy("v").agg(F.min("id").cast("long").alias("q"))
-    query_blocks = -(-asking.count() // QUERY_BLOCK)
+    asking = stored(rows.where("asks").groupBy("v").agg(F.min("id").cast("long").alias("q")))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,18 +216,21 @@ def nearest(
                 columns = [pa.array([k[0] for k in by], pa.int32()), pa.array([k[1] for k in by], pa.int64()), pa.array(list(by.values()), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take([i] * m), b.column(1).take([i] * m), *columns], names=["v", "q", "tree", "bucket", "leaves"])
 
-    def rank(members: pa.Table, probes: pa.Table) -> pa.Table:
+    def rank(members: pa.Table, wanted: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if members.num_rows and probes.num_rows:
+        if members.num_rows and wanted.num_rows:
             members = members.sort_by("leaf")
             x, leaf_ = _matrix(members["v"].combine_chunks(), dims), members["leaf"].to_numpy()
             first = members["first"].to_numpy()
-            for q, v, wanted in zip(probes["q"].to_pylist(), _matrix(probes["v"].combine_chunks(), dims), probes["leaves"].to_pylist(), strict=True):
-                wanted = np.sort(np.array(wanted))
-                lo, hi = np.searchsorted(leaf_, wanted), np.searchsorted(leaf_, wanted, side="right")
+            for q, v, leaves in zip(wanted["q"].to_pylist(), _matrix(wanted["v"].combine_chunks(), dims), wanted["leaves"].to_pylist(), strict=True):
+                leaves = np.sort(np.array(leaves))
+                lo, hi = np.searchsorted(leaf_, leaves), np.searchsorted(leaf_, leaves, side="right")
                 at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
                 if len(at):
                     d = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
+                    if len(at) > 4 * k:  # ties of the last place stay in
+                        near = np.flatnonzero(d <= np.partition(d, k)[k])
+                        at, d = at[near], d[near]
                     best = np.lexsort((first[at], d))[: k + 1]
                     out += [(q, int(at[j]), float(d[j])) for j in best]
             ids = members["ids"].combine_chunks().take(pa.array([o[1] for o in out], pa.int64()))
@@ -229,16 +245,36 @@ def nearest(
         [T.StructField("v", vector_type), T.StructField("q", T.LongType()), T.StructField("tree", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("leaves", long_list)]
     )
     totals = F.array(*[F.lit(m) for m in forest.leaves])
+    bucket = F.floor(F.col("leaf") * buckets / totals[F.col("tree")]).cast("long")
+    index = stored(entries.mapInArrow(put, put_schema))
+    asked = max(1, -(-asking.count() // ASKED_AT_ONCE))
+    wants = stored(asking.select("v", "q").repartition(max(asked, partitions(spark)), "q").mapInArrow(ask, ask_schema))
+    # members of each bucket in parts, queries of each bucket in blocks
+    held = index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("members"))
+    plan = stored(
+        held.join(wants.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("asks")), ["tree", "bucket"]).select(
+            "tree", "bucket", F.ceil(F.col("members") / (2 * BUCKET)).cast("int").alias("parts"), F.ceil(F.col("asks") / QUERY_BLOCK).cast("int").alias("blocks")
+        )
+    )
+    keys = ["tree", "bucket", "part", "block"]
+    spread = max(partitions(spark), trees * buckets // 4)  # a few buckets a task
     members = (
-        index.select("v", F.col("ids").cast("array<long>").alias("ids"))
-        .mapInArrow(put, put_schema)
-        .select("v", "ids", F.col("ids")[0].alias("first"), F.posexplode("leaves").alias("tree", "leaf"))
-        .withColumn("bucket", F.floor(F.col("leaf") * buckets / totals[F.col("tree")]).cast("long"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, query_blocks - 1)))))
+        index.select("v", "ids", F.col("ids")[0].alias("first"), F.posexplode("leaves").alias("tree", "leaf"))
+        .withColumn("bucket", bucket)
+        .join(plan, ["tree", "bucket"])
+        .withColumn("part", F.pmod(F.xxhash64("first"), F.col("parts")))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(*keys, "leaf", "v", "ids", "first")
+        .repartition(spread, *keys)
+    )
+    probing = (
+        wants.join(plan, ["tree", "bucket"])
+        .withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))))
+        .select(*keys, "leaves", "v", "q")
+        .repartition(spread, *keys)
     )
-    probes = asking.select("v", "q").mapInArrow(ask, ask_schema).withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, query_blocks))).cast("int"))
-    keys = ["tree", "bucket", "block"]
-    found = members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(rank, "q long, ids array<long>, score double")
+    found = members.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInArrow(rank, "q long, ids array<long>, score double")
     best = found.groupBy("q", F.col("ids")[0].alias("first"), "score").agg(F.first("ids").alias("ids")).select("q", "score", F.explode("ids").alias("vec_id"))
     top = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
     who = rows.where("asks").select(F.col("id").cast("long").alias("query_id"), "v").join(asking, "v").select("query_id", "q")

@@ -1,8 +1,9 @@
-"""Helpers shared by the corpus operators: Arrow column mapping, table access, checkpoints."""
+"""Helpers shared by the corpus operators: Arrow column mapping, table access, intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -33,6 +34,21 @@ def clear_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name, like `name`, that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, gone: DataFrame, key: str, broadcast_rows: int = 500_000) -> DataFrame:
+    """Rows of `df` whose key isn't in `gone` (one column `key`, distinct, stored): a broadcast of what was counted to be
+    at most `broadcast_rows` keys, so that texts stay where they are, else a merge join."""
+    small = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return df.join(F.broadcast(gone) if small else gone.hint("merge"), key, "left_anti")
+
+
 def blocks(batch: pa.RecordBatch, weigh: Sequence[int]) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose columns `weigh` hold about BLOCK_CHARS bytes at most (a longer single row stays whole)."""
     if batch.num_rows == 0:
@@ -86,10 +102,40 @@ def append_columns(
     return source.mapInArrow(run, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names (its own where unset)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables, seen by all machines: the one that spark.checkpoint.dir names.
+
+    Where it is unset, a local master (as in tests) gets a folder of its own; on a cluster that is an error.
+    """
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         configured = context.getConf().get("spark.checkpoint.dir", None)
+        if configured is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="aerostrata-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+class Stored:
+    """A table written as Parquet into the shared folder: its lineage is cut, and a lost executor only reads it again."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Delete the files; for tables that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table after a round through the shared folder."""
+    return Stored(df).df
+
+
+def partitions(spark: SparkSession) -> int:
+    """Number of shuffle partitions of the session, for repartitions that must not be coalesced."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

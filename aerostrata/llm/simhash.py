@@ -14,6 +14,10 @@ Postings of more than HOT fingerprints are not paired: each of their fingerprint
 with up to max_bits / 2 flipped bits, and those that share a variant are linked through it. Two fingerprints share such
 a variant exactly if they differ in max_bits bits or fewer, so no link is lost and none invented, in linear space.
 
+With three bytes a key the tally drops the pairs of a posting that share those three only; with four it can't drop any, and
+the bits decide. Tables that are joined come from the shared folder, so that the adaptive plan splits a fingerprint or a hub
+with a large part of all rows over tasks.
+
 Equal fingerprints are handled once, by their smallest document. Cases: null and empty texts have the fingerprint zero,
 linked like any other; a text shorter than a shingle is one shingle; a null doc_id keeps its row and its fingerprint.
 """
@@ -29,11 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerostrata.llm.common import append_columns, checkpointed, table
+from aerostrata.llm.common import append_columns, partitions, stored, table
 from aerostrata.llm.graph import connected_components
 
 HOT = 64
 WIDE_FROM = 2_000_000
+BAGS = 3
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -58,6 +63,19 @@ def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def word_sets_of(text: str | None, seed: int = 42) -> list[int]:
+    """BAGS signed 64-bit fingerprints of the set of words of a text, by as many hashes of a word: a changed word is one
+    feature of them, but as many as a shingle has words of the shingles."""
+    from xxhash import xxh3_128_digest, xxh64_digest
+
+    words = sorted(set((text or "").encode("utf-8", "replace").lower().split()))
+    counts = np.zeros(64 * BAGS, np.int64)
+    for k in range(0, len(words), _HASHES_AT_ONCE):
+        hashes = b"".join([xxh3_128_digest(w, seed) + xxh64_digest(w, seed) for w in words[k : k + _HASHES_AT_ONCE]])
+        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8 * BAGS), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(words), bitorder="little").view("<i8").tolist()
+
+
 def fingerprints(df: DataFrame, text: str = "text", words: int = 4, seed: int = 42, keep: Sequence[str] | None = None) -> DataFrame:
     """Adds fp (signed 64-bit). A map over the scan, without a shuffle."""
     return append_columns(df, [F.col(text)], [T.StructField("fp", T.LongType())], lambda texts: [[fingerprint_of(t, words, seed) for t in texts]], keep)
@@ -93,8 +111,8 @@ def links(fps: DataFrame, max_bits: int = 4, width: int | None = None, hot: int
     if width is None:
         width = min(shared, 3 if fps.count() <= WIDE_FROM else 4)
     index = postings(fps, shared, width)
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = checkpointed(index.join(sizes.hint("merge"), "key"))
+    sizes = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sized = stored(index.join(sizes.hint("merge"), "key"))
     same = " + ".join(f"int((shiftrightunsigned(x ^ y, {8 * i}) & 255L) = 0L)" for i in range(8))
     near = (
         sized.where(F.col("n") <= hot)
@@ -109,27 +127,60 @@ def links(fps: DataFrame, max_bits: int = 4, width: int | None = None, hot: int
         .select("p.a", "p.b")
         .distinct()
     )
-    crowded = sized.where(F.col("n") > hot).select("fp").distinct()
+    crowded = sized.where(F.col("n") > hot).select("fp").distinct().repartition(partitions(fps.sparkSession), "fp")  # a row becomes two thousand
     flips = "flatten(transform(sequence(1, 64), i -> transform(sequence(0, i - 1), j -> fp ^ shiftleft(1L, j) ^ if(i = 64, 0L, shiftleft(1L, i)))))"
     if max_bits == 2:
         flips = "transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))"
     variants = crowded.select("fp", F.expr(f"explode(concat(array(fp), {flips}))").alias("v"))
-    hubs = variants.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("v", "a")
+    hubs = stored(variants.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("v", "a"))
     through = variants.join(hubs.hint("merge"), "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return near.union(through)
 
 
+def _classes(marked: DataFrame, fp: str, max_bits: int) -> DataFrame:
+    """(fp, c) of every distinct fingerprint of a column: the smallest fingerprint reachable over links."""
+    nodes = stored(marked.select(F.col(fp).alias("fp")).distinct())
+    found = connected_components(links(nodes, max_bits))
+    return stored(nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("c")))
+
+
 def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id reachable over links, itself included."""
-    marked = checkpointed(fingerprints(df.select(doc_id, text), text, words, keep=[doc_id]))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min(doc_id).alias("first")))
-    found = connected_components(links(nodes.select("fp"), max_bits))
-    groups = nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = groups.join(least.hint("merge"), "component").select("fp", "component_id")
+    marked = stored(fingerprints(df.select(doc_id, text), text, words, keep=[doc_id]))
+    classes = _classes(marked, "fp", max_bits)
+    firsts = marked.groupBy("fp").agg(F.min(doc_id).alias("first"))
+    least = stored(firsts.join(classes.hint("merge"), "fp").groupBy("c").agg(F.min("first").alias("component_id")))
+    by_fp = stored(classes.join(least.hint("merge"), "c").select("fp", "component_id"))
     return marked.join(by_fp.hint("merge"), "fp").select(doc_id, "fp", "component_id")
 
 
+def copies(df: DataFrame, key: str, text: str = "text", words: int = 5, max_bits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Rows that a near-duplicate group can do without, by their distinct `key`: the keys that aren't their group's smallest,
+    and the keys among the rest that more than one row has.
+
+    Texts are linked by the fingerprint of their shingles and by each of those of their set of words. Copies with a word in
+    fifty changed share 0.8 of their five-word shingles and differ in about ten bits of the first, but in about four of each of
+    the others, which are independent of one another.
+    """
+    fields = [T.StructField("v", T.ArrayType(T.LongType()))]
+    marked = stored(append_columns(df, [F.col(text)], fields, lambda texts: [[[fingerprint_of(t, words), *word_sets_of(t)] for t in texts]], [key]))
+    nodes = stored(marked.select("v").distinct().withColumn("node", F.monotonically_increasing_id()))  # fixed by being written
+    edges = None
+    for k in range(1 + BAGS):
+        firsts = stored(nodes.groupBy(F.col("v")[k].alias("fp")).agg(F.min("node").alias("m")))
+        same = nodes.select(F.col("v")[k].alias("fp"), "node").join(firsts.hint("merge"), "fp").select(F.col("node").alias("a"), F.col("m").alias("b"))
+        found = links(firsts.select("fp"), max_bits)
+        ends = [firsts.select(F.col("fp").alias(c), F.col("m").alias(f"m{c}")).hint("merge") for c in "ab"]
+        near = found.join(ends[0], "a").join(ends[1], "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+        edges = same.union(near) if edges is None else edges.union(same).union(near)
+    found = stored(connected_components(edges))
+    groups = stored(nodes.join(found.hint("merge"), "node", "left").select("v", F.coalesce("component", "node").alias("g")))
+    rows = stored(marked.groupBy("v", key).agg(F.count(F.lit(1)).alias("n")).join(groups.hint("merge"), "v").select(key, "n", "g"))
+    keep = stored(rows.groupBy("g").agg(F.min(key).alias("keep")))
+    judged = rows.join(keep.hint("merge"), "g")
+    return stored(judged.where(F.col(key) != F.col("keep")).select(key).distinct()), stored(judged.where((F.col(key) == F.col("keep")) & (F.col("n") > 1)).select(key).distinct())
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = components(table(spark, sf_dir, "documents"))

@@ -225,15 +225,134 @@ def test_nearest_recall_with_pruning(spark, monkeypatch):
     monkeypatch.setattr(ann, "BUCKET", 500)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
     found = {}
-    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, trees=8, leaf=32, share=0.15, least=100, sample=1500).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, trees=8, sample=1500).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     want = brute(rows, 10)
     assert sum(len(found[q] & {j for _, j in near}) for q, near in want.items()) >= 0.9 * 10 * len(want)
 
 
+def test_nearest_recall_and_share_at_defaults(spark):
+    """All queries of a table against brute force, and how much of the index they look at."""
+    d = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
+    found = {}
+    for r in ann.op4_nearest_vectors(spark, d).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, 10)
+    recall = sum(len(found[q] & {j for _, j in near}) for q, near in want.items()) / (10 * len(want))
+    x = np.array([v for _, v in rows], float)
+    search = ann.visited(len(x), 10.0, 0.7)
+    forest = ann.Forest(x, len(x), 16, 16)
+    leaves = np.stack([t.leaves(x) for t in forest.trees], axis=1)
+    shares = []
+    for q in want:
+        seen = np.zeros(len(x), bool)
+        for t, leaf in forest.probes(x[[i for i, _ in rows].index(q)], search):
+            seen |= leaves[:, t] == leaf
+        shares.append(seen.mean())
+    print(f"recall {recall:.3f}, distinct share {np.mean(shares):.3f}")
+    assert recall >= 0.9 and np.mean(shares) < 0.75
+    # what a query looks at grows slower than the table
+    assert ann.visited(10**9, 10.0, 0.7) / 10**9 < 0.05 < ann.visited(50_000, 10.0, 0.7) / 50_000 < 0.4
+
+
+def test_nearest_hot_bucket_and_blocks(spark, monkeypatch):
+    """Buckets above their size are dealt out in parts, and queries in blocks, with the same rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 10 == 0, leaf=64).collect()))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "BUCKET", 100)
+    assert sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 10 == 0, leaf=64).collect())) == want
+
+
 # pipeline
 
 
+def near_copies(spark, pairs):
+    """Which of two texts go together in the near-duplicate stage."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(2 * i + k, t, "en", "s", len(t)) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()}
+    assert all(2 * i in kept for i in range(len(pairs)))
+    return [2 * i + 1 not in kept for i in range(len(pairs))]
+
+
+def test_near_duplicates_of_changed_words(spark):
+    rnd = random.Random(4)
+
+    def words(n):
+        return ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n)]
+
+    pairs = []
+    for _ in range(20):  # one word in fifty changed: 0.8 of the five-word shingles stay
+        a = words(300)
+        b = list(a)
+        for k in range(25, 300, 50):
+            b[k] = words(1)[0] + "zz"
+        pairs.append((" ".join(a), " ".join(b)))
+    assert sum(near_copies(spark, pairs)) >= 16
+    assert not any(near_copies(spark, [(" ".join(words(200)), " ".join(words(200))) for _ in range(20)]))
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [
+        (1, long, "a"),
+        (2, long, "b"),  # a copy
+        (2, other, "c"),  # another text under the copy's id stays
+        (3, "alone in here with a few words", "d"),
+        (3, "alone in here with a few words", "d"),  # the same row twice: one stays
+        (3, "alone in here with a few words", "e"),
+        (None, other + " and", "f"),
+        (None, "no id at all for this one", "g"),
+        (None, "no id at all for this one", "g"),
+        (9, None, "h"),
+        (10, "", "i"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect())
+    assert [g for g in got if g[0] in (1, 2, 3)] == [(1, long), (2, other), (3, "alone in here with a few words")]
+    assert (0, "no id at all for this one") in got and got.count((0, "no id at all for this one")) == 1
+    assert (9, "") in got and (10, "") not in got  # texts without words are one group
+    assert len(got) in (5, 6)  # other and "other and" may or may not be near enough
+
+
+def test_leaks_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    rows = [(1, f"so {item} it is"), (1, "a clean text under the same id"), (None, item), (None, "clean and without an id"), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __key string")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.benchmark_leaks(spark, docs, DIR).collect()}
+    assert got == {(1, "a clean text under the same id"), (None, "clean and without an id"), (4, None)}
+
+
+def test_language_replaces_what_the_text_contradicts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wrong = docs.withColumn("given", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 40 == 3, F.lit("en")).otherwise(F.col("lang")))
+    got = corpus_pipeline.language(spark, wrong, DIR)
+    assert got.where("lang = given").count() >= 0.97 * got.count()
+
+
+def test_missing_shared_folder_is_an_error_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from aerostrata.llm import common
+
+    jvm = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: jvm), getConf=lambda: {}, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_folder(fake)
+
+
 def test_pipeline_stages(spark, edge_docs, tmp_path):
     import corpus_pipeline
 
@@ -250,7 +369,7 @@ def test_pipeline_stages(spark, edge_docs, tmp_path):
     comps = simhash.components(docs).collect()
     leaks = {r.doc_id for r in decontaminate.op3_decontaminate(spark, DIR).collect()}
     firsts = {r.component_id for r in comps}
-    assert ids == firsts - leaks
+    assert ids <= {r.doc_id for r in comps} - leaks and len(ids) >= 0.9 * len(firsts - leaks)
     last = corpus_pipeline.STAGES[-1][1](spark, kept, DIR)
     assert last.count() == len(ids)
     assert corpus_pipeline.run(spark, DIR).count() == len(ids)
