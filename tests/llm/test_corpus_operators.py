@@ -173,6 +173,37 @@ def test_one_edit_does_not_void_a_copy(spark):
     assert [got[d, 0].reparameterised for d in range(3)] == [False, True, False]
 
 
+def test_runs_are_consecutive(spark):
+    """Every ninth word changed: never more than eight words in a row, so neither coverage nor a run is reached."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    ninth = [f"x{w}" if i % 9 == 8 else w for i, w in enumerate(words)]
+    one_run = [w if 10 <= i < 23 else f"x{w}" for i, w in enumerate(words)]
+    short = [w if 10 <= i < 22 else f"x{w}" for i, w in enumerate(words)]
+    assert set(contaminated(spark, [" ".join(t) for t in (words, ninth, one_run, short)], [" ".join(words)])) == {(0, 0), (2, 0)}
+
+
+def test_slots_agree_across_an_inserted_word(spark):
+    item = "every day after lunch in the school yard you have 5 apples and give away some of the 5 apples then how many apples are left of them"
+    steady = item.replace("5", "8").replace("give away", "then give away")
+    mixed = item.replace("5", "8", 1).replace("5", "11").replace("give away", "then give away")
+    got = contaminated(spark, [steady, mixed], [item])
+    assert (1, 0) not in got and (0, 0) in got and got[0, 0].reparameterised
+
+
+def test_names_of_other_lengths(spark):
+    item = "on the way home my friend Tom saw that the bridge to Madrid was closed and had to walk around it again"
+    other = item.replace("Tom", "Mary Jane Watson").replace("Madrid", "San Juan")
+    got = contaminated(spark, [other, other.replace("San Juan", "Rome")], [item])
+    assert {d for d, _ in got} == {0, 1} and got[0, 0].reparameterised and got[0, 0].coverage == 1.0
+
+
+def test_items_of_numbers_word_for_word(spark):
+    item = "Sort 12 7 9 31 4 18 22 6 40 3 ascending now"
+    got = contaminated(spark, [f"Task. {item}.", "Sort 1 2 3 4 5 6 7 8 9 10 ascending now"], [item, "yes no"])
+    assert set(got) == {(0, 0)} and got[0, 0].coverage == 1.0 and not got[0, 0].reparameterised
+    assert set(contaminated(spark, ["Yes, no!", "yes no maybe", "Well yes no"], ["yes no"])) == {(0, 0)}  # tiny items: whole texts only
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()}
