@@ -1,113 +1,144 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 A text's words are runs of letters, digits and non-ASCII characters after A-Z became a-z. Base phrases are looked up
-word by word. For the method, every template is a short word sequence with a mandatory key phrase; the words of the
-phrases are ranked by their inverse document frequency over all documents, the rarest word of a phrase is its index
-entry, and each of its places in a file proposes a start of the template. Proposals are checked by relative position:
-the whole key phrase must stand at its place and `coverage` of the template's words at theirs. As a full key phrase holds
-its rarest word, no match is lost, whatever the frequencies.
+word by word. For the method, `license_texts` holds paragraphs and notices of licences, each with a mandatory key phrase;
+the index has a posting (template, position) for each of their words.
 
-Everything is a map over the scan; before it, one pass counts the documents of each phrase word (a table of at most
-a hundred rows).
+One pass over the corpus notes each file's licence words, its words where it has all key words of a template, and what
+the base phrases need; document frequencies over all files come from these notes. Then, for each file and
+template, the rarest words by inverse document frequency that the file has are looked up: as many positions of the template as may
+differ (1 - `coverage` of them, less those whose word the file lacks), and SUPPORT more. Each place of such a word in the
+file proposes a start of the template for each of its postings; starts that SUPPORT postings agree on by
+relative position are kept, and verified: the whole key phrase must stand at its place, and `coverage` of the template's words at theirs.
+At a start with so many words in place, SUPPORT of the positions looked up are in place too, so no match is lost, and
+frequencies only decide what is looked up: words that most files have ("the", "of") hardly ever are.
+
+Everything is a map over the scan but for the counting of words.
 
 Cases: null and empty texts have no words; overlapping and repeated places all count; a label found by both ways is
-listed once; score is 1 with a base label, else the best coverage of an accepted template, else 0.
+listed once; score is 1 with a base label, else the best coverage of an accepted template, else 0; columns of the table
+named like a result are replaced, all others stay.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerostrata.llm.common import ascii_lower, table
+from aerostrata.llm.common import ascii_lower, clear_of, stored, table
+from aerostrata.llm.license_texts import TEXTS
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: (label, words, key phrase within them); public headings and grants of well-known licences, as words.
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license", "affero general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "use copy modify and or distribute"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("cc-by-sa", "creative commons attribution sharealike license", "attribution sharealike"),
-    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc0", "cc0 1 0 universal public domain dedication", "public domain dedication"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
-    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
-)
 COVERAGE = 0.6
-NOT_WORD = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+SUPPORT = 2
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _as_words(text: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split())
 
 
-def words_of(df: DataFrame, text: str) -> DataFrame:
-    """Adds `__norm` (words joined by one space) and `__words`."""
-    norm = F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD.replace("\\\\", "\\"), " "))
-    return df.withColumn("__norm", norm).withColumn("__words", F.expr("if(__norm = '', array(), split(__norm, ' ', -1))"))
+#: (label, words, key phrase within them)
+TEMPLATES = tuple((label, _as_words(text), phrase) for label, phrase, text in TEXTS)
 
 
-def phrase_idf(words: DataFrame, templates=TEMPLATES) -> dict[str, float]:
-    """Inverse document frequency of the words of all key phrases, over all documents."""
-    vocabulary = sorted({w for _, _, phrase in templates for w in phrase.split()})
-    listed = "array(" + ", ".join(f"'{w}'" for w in vocabulary) + ")"
-    counted = words.select(F.expr(f"explode(array_union(array_intersect(__words, {listed}), array('')))").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = {r["w"]: r["n"] for r in counted}
-    total = n.get("", 0)
-    from math import log
+def words_of(text) -> F.Column:
+    """The words of a text, joined by one space."""
+    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
 
-    return {w: log((total + 1) / (n.get(w, 0) + 1)) for w in vocabulary}
+
+def _array(values, quote: bool = True) -> str:
+    return "array(" + ", ".join(f"'{v}'" if quote else str(v) for v in values) + ")"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """`body` with `name` standing for `value`, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 def _at(words: list[str], start: str) -> str:
-    return " AND ".join(f"get(__words, {start} + {k}) = '{w}'" for k, w in enumerate(words))
+    return " AND ".join(f"get(words, {start} + {k}) = '{w}'" for k, w in enumerate(words))
+
+
+def noted(df: DataFrame, text: str, templates) -> DataFrame:
+    """One pass over the texts: c0, c1, ... (the table's columns), n_words, b0, b1, b2 (places of base phrases), voc (distinct
+    licence words), cands (templates whose key words are all there) and, where there are any, words."""
+    vocabulary = sorted({w for _, body, _ in templates for w in body.split()})
+    keys = "array(" + ", ".join(_array(sorted(set(phrase.split()), key=lambda w: (-len(w), w))) for _, _, phrase in templates) + ")"
+    docs = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], words_of(F.col(f"`{text}`")).alias("norm"))
+    docs = docs.withColumn("words", F.expr("if(norm = '', array(), split(norm, ' ', -1))"))
+    for k, p in enumerate(BASE):
+        places = f"if(instr(concat(' ', norm, ' '), ' {p} ') = 0, array(), filter(sequence(0, size(words) - 1), i -> {_at(p.split(), 'i')}))"
+        docs = docs.withColumn(f"b{k}", F.expr(f"cast({places} as array<int>)"))
+    docs = docs.withColumn("voc", F.expr(f"array_distinct(filter(words, x -> x IN ({', '.join(repr(w) for w in vocabulary)})))"))
+    docs = docs.withColumn("cands", F.expr(f"filter(sequence(0, {len(templates) - 1}), c -> forall(get({keys}, c), w -> array_contains(voc, w)))"))
+    return docs.withColumn("n_words", F.size("words").cast("long")).withColumn("words", F.expr("if(size(cands) > 0, words, array())")).drop("norm")
+
+
+def idf_of(notes: DataFrame) -> dict[str, float]:
+    """Inverse document frequency of the licence words over all files (at most a row for each word of the templates)."""
+    counts = {r["w"]: r["n"] for r in notes.select(F.explode("voc").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = notes.count()
+    return {w: log((total + 1) / (n + 1)) for w, n in counts.items()}
+
+
+def lookup_order(body: str, idf: dict[str, float]) -> list[int]:
+    """Positions of a template, rarest words first (words of no file before all)."""
+    words = body.split()
+    return sorted(range(len(words)), key=lambda p: (-idf.get(words[p], float("inf")), p))
+
+
+def matches(templates, idf: dict[str, float], coverage: float) -> str:
+    """SQL of the accepted templates of a noted file: array of (label, score)."""
+    parts = []
+    for label, body, phrase in templates:
+        words, key = body.split(), phrase.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        slack = len(words) - ceil(len(words) * coverage - 1e-9)
+        order = _array(lookup_order(body, idf), quote=False)
+        parts.append(f"named_struct('label', '{label}', 'words', {_array(words)}, 'lookups', {order}, 'at', {at}, 'key', {len(key)}, 'slack', {slack})")
+    word = "coalesce(get(words, {}), '')"
+    score = f"""coalesce(array_max(transform(
+        filter(starts, s -> forall(sequence(0, t.key - 1), q -> {word.format("s + t.at + q")} = get(t.words, t.at + q))),
+        s -> size(filter(sequence(0, size(t.words) - 1), q -> {word.format("s + q")} = get(t.words, q))) / cast(size(t.words) as double))), cast(0 as double))"""
+    agreed = f"""if(size(tally) < {SUPPORT}, array(), array_distinct(transform(
+        filter(sequence(0, size(tally) - {SUPPORT}), i -> get(tally, i) = get(tally, i + {SUPPORT - 1})), i -> get(tally, i))))"""
+    proposed = """array_sort(flatten(transform(
+        filter(sequence(0, size(words) - 1), i -> array_contains(rare, get(words, i))),
+        i -> transform(filter(looked, p -> get(t.words, p) = get(words, i)), p -> i - p))))"""
+    looked = f"if(t.slack < size(t.words) - size(here), array(), slice(here, 1, t.slack - size(t.words) + size(here) + {SUPPORT}))"
+    body = _let("starts", agreed, score)
+    body = _let("tally", proposed, body)
+    body = _let("rare", "array_distinct(transform(looked, p -> get(t.words, p)))", body)
+    body = _let("looked", looked, body)
+    body = _let("here", "filter(t.lookups, p -> array_contains(voc, get(t.words, p)))", body)
+    each = _let("t", f"get(array({', '.join(parts)}), c)", f"named_struct('label', t.label, 'score', {body})")
+    return f"filter(transform(cands, c -> {each}), m -> m.score >= {coverage})"
 
 
 def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    docs = words_of(df, text)
-    idf = phrase_idf(docs.select("__words"), templates)
-    starts = [
-        f"if(instr(concat(' ', __norm, ' '), ' {p} ') = 0, array(), filter(sequence(0, size(__words) - 1), i -> {_at(p.split(), 'i')}))"
-        for p in BASE
-    ]
-    for k, s in enumerate(starts):
-        docs = docs.withColumn(f"__b{k}", F.expr(f"cast({s} as array<int>)"))
-    for k, (_, body, phrase) in enumerate(templates):
-        tokens, key = body.split(), phrase.split()
-        where = next(i for i in range(len(tokens)) if tokens[i : i + len(key)] == key)
-        rarest = min(range(len(key)), key=lambda j: (-idf[key[j]], j))
-        place = where + rarest  # of the index word in the template
-        hits = " + ".join(f"int(coalesce(get(__words, s + {q}), '') = '{w}')" for q, w in enumerate(tokens))
-        docs = docs.withColumn(
-            f"__t{k}",
-            F.expr(
-                f"""if(instr(concat(' ', __norm, ' '), ' {key[rarest]} ') = 0, cast(0 as double), coalesce(array_max(transform(
-                    filter(transform(filter(sequence(0, size(__words) - 1), i -> get(__words, i) = '{key[rarest]}'), i -> i - {place}),
-                        s -> {_at(key, f's + {where}')}),
-                    s -> ({hits}) / cast({len(tokens)} as double))), cast(0 as double)))"""
-            ),
-        )
-    labels = [F.when(F.size(f"__b{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]
-    more = [F.when(F.col(f"__t{k}") >= coverage, F.lit(t[0])) for k, t in enumerate(templates)]
-    places = F.concat(*[F.col(f"__b{k}") for k in range(len(BASE))])
-    best = F.greatest(*[F.when(F.col(f"__t{k}") >= coverage, F.col(f"__t{k}")).otherwise(F.lit(0.0)) for k in range(len(templates))])
-
-    def joined(columns):
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*columns)))), ",")
-
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
-    return docs.select(
-        *kept,
-        F.size("__words").cast("long").alias("n_words"),
+    notes = stored(noted(df, text, templates))
+    found = notes.withColumn("found", F.expr(matches(templates, idf_of(notes), coverage)))
+    base = F.array_compact(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]))
+    places = F.concat(*[F.col(f"b{k}") for k in range(len(BASE))])
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    kept = clear_of(df, RESULTS).columns
+    return found.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c in kept],
+        "n_words",
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"),
-        joined(labels).alias("base_labels"),
-        joined([*labels, *more]).alias("labels"),
-        F.round(F.when(F.size(places) > 0, F.lit(1.0)).otherwise(best), 6).alias("score"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, F.col("found.label"))).alias("labels"),
+        F.round(F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("found.score"), F.lit(0.0))), 6).alias("score"),
     )
 
 
@@ -117,40 +148,40 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    def at(words, start):
-        return " AND ".join(f"coalesce(words[{start} + {k}], '') = '{w}'" for k, w in enumerate(words))
-
-    base = ",\n  ".join(f"CASE WHEN contains(' ' || norm || ' ', ' {p} ') THEN list_filter(range(1, len(words) + 1), lambda i: {at(p.split(), 'i')}) ELSE [] END AS b{k}" for k, p in enumerate(BASE))
-    parts = []
-    for k, (_, body, phrase) in enumerate(TEMPLATES):
-        tokens, key = body.split(), phrase.split()
-        where = next(i for i in range(len(tokens)) if tokens[i : i + len(key)] == key)
-        hits = " + ".join(f"CASE WHEN i + {q - where} >= 1 AND coalesce(words[i + {q - where}], '') = '{w}' THEN 1 ELSE 0 END" for q, w in enumerate(tokens))
-        parts.append(
-            f"CASE WHEN contains(' ' || norm || ' ', ' {phrase} ') THEN coalesce(list_max(list_transform(list_filter(range(1, len(words) + 1), lambda i: {at(key, 'i')}), lambda i: ({hits}) / {len(tokens)}.0e0)), 0e0) ELSE 0e0 END AS t{k}"
-        )
-    templates = ",\n  ".join(parts)
-    labels = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, label in enumerate(BASE.values()))
-    more = ", ".join(f"CASE WHEN t{k} >= {COVERAGE} THEN '{t[0]}' END" for k, t in enumerate(TEMPLATES))
-    best = ", ".join(f"CASE WHEN t{k} >= {COVERAGE} THEN t{k} ELSE 0e0 END" for k in range(len(TEMPLATES)))
+    rows = []
+    for k, (label, body, phrase) in enumerate(TEMPLATES):
+        words, key = body.split(), phrase.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        rows += [f"({k}, '{label}', {q}, '{w}', {str(at <= q < at + len(key)).lower()}, {len(words)}, {len(key)})" for q, w in enumerate(words)]
+    base = [(k, label, q, w, len(p.split())) for k, (p, label) in enumerate(BASE.items()) for q, w in enumerate(p.split())]
     return f"""
 WITH n AS (
   SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) AS norm FROM documents
 ), w AS (
-  SELECT doc_id, norm, CASE WHEN norm = '' THEN [] ELSE string_split(norm, ' ') END AS words FROM n
-), f AS (
-  SELECT doc_id, words,
-  {base},
-  {templates}
-  FROM w
-), p AS (SELECT *, b0 || b1 || b2 AS places FROM f)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
-  CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{labels}], lambda x: x IS NOT NULL))), ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{labels}, {more}], lambda x: x IS NOT NULL))), ','), '') AS labels,
-  round(CASE WHEN len(places) > 0 THEN 1e0 ELSE greatest({best}) END, 6) AS score
-FROM p
+  SELECT doc_id, CASE WHEN norm = '' THEN [] ELSE string_split(norm, ' ') END AS words FROM n
+), p AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM w
+), phrases(k, label, q, word, n) AS (
+  VALUES {", ".join(f"({k}, '{label}', {q}, '{w}', {n})" for k, label, q, w, n in base)}
+), templates(k, label, q, word, must, n, musts) AS (
+  VALUES {", ".join(rows)}
+), b AS (
+  SELECT doc_id, label, i - q AS start FROM p JOIN phrases USING (word) GROUP BY doc_id, k, label, n, i - q HAVING count(*) = n
+), t AS (
+  SELECT doc_id, label, count(*) / n AS score FROM p JOIN templates USING (word) GROUP BY doc_id, k, label, n, musts, i - q
+  HAVING count(*) FILTER (WHERE must) = musts AND count(*) / n >= {COVERAGE}
+), bs AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id
+), ls AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM t) GROUP BY doc_id
+), ss AS (
+  SELECT doc_id, max(score) AS score FROM t GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(ss.score, 0e0) END, 6) AS score
+FROM w LEFT JOIN bs USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN ss USING (doc_id)
 """
 
 
+#: Every template at every start, without an index or frequencies.
 ORACLE = _oracle()

@@ -254,6 +254,49 @@ def test_licenses_by_hand(spark, edge_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_license_texts_in_full(spark):
+    from aerostrata.llm.license_texts import TEXTS
+
+    rnd = random.Random(9)
+    assert all(f" {phrase} " in f" {body} " for _, body, phrase in licenses.TEMPLATES)
+    texts = []
+    for label, _, text in TEXTS:
+        words = text.split()
+        texts.append(f"Copyright (c) 2020 somebody.\n\n{text}\nint main() {{}}")
+        texts.append(" ".join(words[len(words) // 4 :]))
+        texts.append(" ".join(w if rnd.random() < 0.75 else "other" for w in words))
+        texts.append(" ".join([*words[: len(words) // 2], "put in", *words[len(words) // 2 :]]))
+    texts.append("\n".join(t for _, _, t in TEXTS))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].labels == by_hand(t)[5], t[:80]
+    for i, (label, _, _) in enumerate(TEXTS):
+        assert label in got[4 * i].labels.split(",")
+    assert set(got[len(texts) - 1].labels.split(",")) >= {label for label, _, _ in TEXTS}
+
+
+def test_license_frequencies_choose_the_lookups(spark):
+    """What is rare in the corpus is looked up; what is found stays the same."""
+    grant = next(body for label, body, _ in licenses.TEMPLATES if label == "mit")
+    text = f"{grant} and more"
+    common, rare = ["granted charge person obtaining"] * 30, ["the of to in hereby permission"] * 30
+    orders, labels = [], []
+    for others in (common, rare):
+        df = spark.createDataFrame(list(enumerate([text, *others])), "doc_id long, text string")
+        orders.append(licenses.lookup_order(grant, licenses.idf_of(licenses.noted(df, "text", licenses.TEMPLATES))))
+        labels.append(licenses.scan(df).where("doc_id = 0").first().labels)
+    words = grant.split()
+    assert orders[0] != orders[1] and labels[0] == labels[1] and "mit" in labels[0]
+    assert words[orders[0][-1]] in common[0].split() and words[orders[1][-1]] in rare[0].split()
+
+
+def test_licenses_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "all rights reserved", "x", "y", "z", "w")], "doc_id long, text string, words string, c0 string, labels string, __b0 string")
+    r = licenses.scan(df).first()
+    assert (r.doc_id, r.words, r.c0, r["__b0"], r.labels) == (1, "x", "y", "w", "reserved")
+
+
 # chat
 
 
