@@ -7,10 +7,11 @@ A layer already seen in the same text region (a cycle) is not entered again.
 
 Escapes are decoded over a whole layer, so that a secret may begin or end outside of them. Base64 regions are of both
 alphabets, in one line or broken over lines, and decoded from each of the four places where a group may start, so that
-words joined to them do no harm. What isn't UTF-8 is replaced; only bytes too few for any secret are dropped.
+words joined to them do no harm. Compressed data is inflated in overlapping windows, whatever its size, and maps to its
+whole region; it is found in base64, percent escapes and runs of \\xXX. What isn't UTF-8 is replaced; only bytes too few for any
+secret are dropped. Offsets are arrays of four bytes a character, and layers are opened one at a time, depth first.
 
-Kinds: assign, access, hex in the text itself; the same with the suffix _layer for what a decoded layer shows;
-`oversize` marks a compressed region that inflates beyond INFLATE_LIMIT (it is reported instead of unpacked).
+Kinds: assign, access, hex in the text itself; the same with the suffix _layer for what a decoded layer shows.
 
 Cases: null text counts as empty; empty texts have no spans; several findings with one span and kind count once.
 """
@@ -21,9 +22,10 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,22 +33,26 @@ from pyspark.sql import types as T
 from aerostrata.llm.common import append_columns, table
 
 KINDS = ("assign", "access", "hex")
-ALL_KINDS = (*KINDS, "assign_layer", "access_layer", "hex_layer", "oversize")
+ALL_KINDS = (*KINDS, "assign_layer", "access_layer", "hex_layer")
 ORDER = {k: i for i, k in enumerate(ALL_KINDS)}
-#: Bytes to which one compressed region may inflate before it is reported as oversize.
-INFLATE_LIMIT = 64 << 20
+#: Bytes of compressed content that are scanned at once, and by how many the next ones overlap them.
+WINDOW = 8 << 20
+WINDOW_OVERLAP = 64 << 10
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+ONE_ESCAPE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+BYTE_RUN = re.compile(r"(?:\\x[0-9A-Fa-f]{2}){8,}")
 SURROGATE = re.compile("[\ud800-\udfff]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: The same over several lines, read from the start of a word.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\t\x20]*+[A-Za-z0-9+/_-]++)++={0,2}")
-SYMBOL = re.compile(r"[A-Za-z0-9+/_-]")
+_IS_SYMBOL = np.zeros(256, bool)
+_IS_SYMBOL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
+_PLAIN_ALPHABET = bytes.maketrans(b"-_", b"+/")
 #: Fewer characters than these hold no base pattern, whatever layers are between.
 PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{16}")
 
@@ -63,54 +69,56 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _percent(text: str) -> tuple[str, list[int]]:
-    """Decoded text and, for each of its characters and the end, the offset in the text."""
-    out, at, i = [], [], 0
-    for m in PERCENT.finditer(text):
-        out.append(text[i : m.start()])
-        at += range(i, m.start())
-        run, places = _decoded(unquote_to_bytes(m[0]), range(m.start(), m.end(), 3))
-        out.append(run)
-        at += places
-        i = m.end()
-    out.append(text[i:])
-    at += range(i, len(text) + 1)
-    return "".join(out), at
-
-
-def _escapes(region: str) -> tuple[str, list[int]]:
-    out, at, i = [], [], 0
-    for m in ONE_ESCAPE.finditer(region):
-        out += region[i : m.start()]
-        at += range(i, m.start())
-        out.append(chr(int(m[1] or m[2], 16)))
-        at.append(m.start())
-        i = m.end()
-    out += region[i:]
-    at += range(i, len(region) + 1)
-    text = "".join(out)
-    if SURROGATE.search(text):  # pairs of surrogates become one character, lone ones are replaced
-        joined, kept, k = [], [], 0
-        while k < len(text):
-            pair = text[k : k + 2].encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if 0xD800 <= ord(text[k]) < 0xE000 else ""
-            one = len(pair) == 1 and len(text) > k + 1
-            joined.append(pair if one else (pair[:1] or text[k]))
-            kept.append(at[k])
-            k += 2 if one else 1
-        return "".join(joined), [*kept, len(region)]
-    return text, at
-
-
-def _decoded(data: bytes, at: Sequence[int]) -> tuple[str, list[int]]:
+def _decoded(data: bytes, at: np.ndarray) -> tuple[str, np.ndarray]:
     """Text of the data, bytes that aren't UTF-8 replaced one by one, with the offset of each character."""
     text = data.decode("utf-8", "surrogateescape")
-    if len(text) == len(data) and text.isascii():
-        return text, list(at)
-    offsets, i = [], 0
-    for c in text:
-        offsets.append(at[i])
-        i += 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
-    return SURROGATE.sub("\ufffd", text), offsets
+    if len(text) == len(data):
+        return (text, at) if text.isascii() else (SURROGATE.sub("\ufffd", text), at)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    widths = 1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000)
+    widths[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+    return SURROGATE.sub("\ufffd", text), at[np.cumsum(widths) - widths]
+
+
+class _Pieces:
+    """A layer put together from pieces of a text and what stands for its escapes, with offsets."""
+
+    def __init__(self, text: str):
+        self.text, self.out, self.at, self.done = text, [], [], 0
+
+    def put(self, start: int, end: int, run: str, at: np.ndarray) -> None:
+        """`run`, whose characters come from the offsets `at`, for the text from start to end."""
+        self.out += [self.text[self.done : start], run]
+        self.at += [np.arange(self.done, start, dtype=np.int32), at]
+        self.done = end
+
+    def layer(self) -> tuple[str, np.ndarray]:
+        n = len(self.text)
+        return "".join([*self.out, self.text[self.done :]]), np.concatenate([*self.at, np.arange(self.done, n + 1, dtype=np.int32)])
+
+
+def _percent(text: str) -> tuple[str, np.ndarray, list[tuple[bytes, int, int]]]:
+    """Decoded text, for each of its characters and the end the offset in the text, and runs of bytes with their places."""
+    pieces, runs = _Pieces(text), []
+    for m in PERCENT.finditer(text):
+        data = unquote_to_bytes(m[0])
+        runs.append((data, m.start(), m.end()))
+        pieces.put(m.start(), m.end(), *_decoded(data, np.arange(m.start(), m.end(), 3, dtype=np.int32)))
+    return *pieces.layer(), runs
+
+
+def _escapes(text: str) -> tuple[str, np.ndarray, list[tuple[bytes, int, int]]]:
+    """The same for backslash escapes; two surrogates are one character, one alone is replaced."""
+    pieces, runs = _Pieces(text), []
+    for m in ONE_ESCAPE.finditer(text):
+        if m[1]:
+            char = chr(0x10000 + ((int(m[1], 16) - 0xD800) << 10) + int(m[2], 16) - 0xDC00)
+        else:
+            char = SURROGATE.sub("\ufffd", chr(int(m[3] or m[4], 16)))
+        pieces.put(m.start(), m.end(), char, np.array([m.start()], np.int32))
+    for m in BYTE_RUN.finditer(text):
+        runs.append((bytes.fromhex(m[0].replace("\\x", "")), m.start(), m.end()))
+    return *pieces.layer(), runs
 
 
 def inflatable(data: bytes) -> bool:
@@ -118,98 +126,103 @@ def inflatable(data: bytes) -> bool:
     return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
 
 
-def inflate(data: bytes) -> tuple[bytes | None, bool]:
-    """Whole zlib or gzip content (None if it is none), and whether it is larger than INFLATE_LIMIT."""
+def inflate(data: bytes) -> Iterator[bytes]:
+    """Content of zlib or gzip data in windows that overlap by WINDOW_OVERLAP; of broken data, as far as it can be read."""
     if not inflatable(data):
-        return None, False
-    z = zlib.decompressobj(47)
-    try:
-        out = z.decompress(data, INFLATE_LIMIT)
-    except zlib.error:
-        return None, False
-    return (None, True) if z.unconsumed_tail else (out, False) if out else (None, False)
+        return
+    z, tail = zlib.decompressobj(47), b""
+    while not z.eof:
+        try:
+            out = z.decompress(data, WINDOW)
+        except zlib.error:
+            return
+        if not out:
+            return
+        yield tail + out
+        tail, data = out[-WINDOW_OVERLAP:], z.unconsumed_tail
 
 
-def _symbols(text: str) -> bytes:
+def _inflated(data: bytes) -> Iterator[str]:
+    for window in inflate(data):
+        yield window.decode("utf-8", "replace")
+
+
+def _symbols(text: bytes) -> bytes:
     """Data of base64 symbols of either alphabet; a lone last symbol holds no byte."""
-    core = text.translate({ord("-"): "+", ord("_"): "/"})
+    core = text.translate(_PLAIN_ALPHABET)
     core = core[: len(core) - (len(core) % 4 == 1)]
-    return base64.b64decode(core + "=" * (-len(core) % 4))
-
-
-def _base64(region: str) -> tuple[list[tuple[str, list[int]]], bool]:
-    """Decoded layers of a base64 region; second: some of it is compressed beyond the limit."""
-    places = [m.start() for m in SYMBOL.finditer(region)]
-    core = "".join(region[p] for p in places)
-    out, over = [], False
-    # compressed data starts a region, a line or what follows a - or _; what is compressed maps to the whole region
-    for i in range(len(core)):
-        if i == 0 or places[i] > places[i - 1] + 1 or core[i - 1] in "-_":
-            if inflatable(_symbols(core[i : i + 4])):
-                content, beyond = inflate(_symbols(core[i:]))
-                over |= beyond
-                if content:
-                    out.append((_decoded(content, range(len(content)))[0], []))
+    return base64.b64decode(core + b"=" * (-len(core) % 4))
+
+
+def _base64(region: str) -> Iterator[tuple[str, np.ndarray | None]]:
+    """Decoded layers of a base64 region with offsets in it; None: the layer stands for the whole region."""
+    raw = region.encode()
+    places = np.flatnonzero(_IS_SYMBOL[np.frombuffer(raw, np.uint8)]).astype(np.int32)
+    core = raw if len(places) == len(raw) else np.frombuffer(raw, np.uint8)[places].tobytes()
+    # compressed data starts a region, a line or what follows a -, _ or /; what is compressed maps to the whole region
+    starts = {0, *(np.flatnonzero(np.diff(places) > 1) + 1).tolist(), *(m.end() for m in re.finditer(rb"[-_/]", core))}
+    for i in sorted(starts):
+        if inflatable(_symbols(core[i : i + 4])):
+            for content in _inflated(_symbols(core[i:])):
+                yield content, None
     for i in range(min(4, len(core))):
         data = _symbols(core[i:])
         if PLAIN.search(data):
-            text, at = _decoded(data, [places[i + k // 3 * 4 + k % 3] for k in range(len(data))])
-            out.append((text, [*at, len(region)]))
-    return out, over
-
-
-def layers(text: str) -> list[tuple[str, list[int], int, int]]:
-    """Decoded regions of one text: (layer, offsets or [] for the whole region, start, end)."""
-    out = []
-    if "%" in text and PERCENT.search(text):
-        out.append((*_percent(text), 0, len(text)))
-    if "\\" in text and ONE_ESCAPE.search(text):
-        out.append((*_escapes(text), 0, len(text)))
-    regions = list(BASE64.finditer(text))
+            k = np.arange(len(data), dtype=np.int32)
+            text, at = _decoded(data, places[i + k // 3 * 4 + k % 3])
+            yield text, np.append(at, np.int32(len(region)))
+
+
+def layers(text: str) -> Iterator[tuple[str, np.ndarray | None, int, int]]:
+    """Decoded regions of one text: (layer, offsets in the region or None for all of it, start, end)."""
+    for mark, pattern, decode in (("%", PERCENT, _percent), ("\\", ONE_ESCAPE, _escapes)):
+        if mark in text and pattern.search(text):
+            layer, at, runs = decode(text)
+            yield layer, at, 0, len(text)
+            for data, start, end in runs:
+                for content in _inflated(data):
+                    yield content, None, start, end
+    for m in BASE64.finditer(text):
+        for layer, at in _base64(m[0]):
+            yield layer, at, m.start(), m.end()
     if "\n" in text:
-        regions += [m for m in WRAPPED.finditer(text) if len(m[0]) >= 20]
-    for m in regions:
-        got, over = _base64(m[0])
-        if over:
-            out.append(("", [-1], m.start(), m.end()))
-        out += [(*g, m.start(), m.end()) for g in got]
-    return out
+        for m in WRAPPED.finditer(text):
+            if len(m[0]) >= 20:
+                for layer, at in _base64(m[0]):
+                    yield layer, at, m.start(), m.end()
 
 
 def all_spans(text: str) -> list[tuple[int, int, str]]:
     """Base spans and those of all layers, by start, then kind, then end."""
     found = set(base_spans(text))
-    work = [(text, None, 0, len(text))]  # text, offsets in the original, and its region there
-    seen: set[tuple[int, int, str]] = set()
+    # open layers, innermost last: what is left of them, their text, its offsets in the original, and their region there
+    work = [(layers(text), text, None, 0, len(text))]
+    seen: set[tuple[int, int, bytes]] = set()
     while work:
-        now, at, lo, hi = work.pop()
-        for layer, offsets, start, end in layers(now):
-            first = start + lo if at is None else at[start] if at else lo
-            last = end + lo if at is None else at[end] if at else hi
-            if offsets == [-1]:
-                found.add((first, last, "oversize"))
-                continue
-            key = (first, last, hashlib.sha256(layer.encode("utf-8", "surrogatepass")).hexdigest())
-            if key in seen:
-                continue
-            seen.add(key)
-            # offsets of the layer in the original; empty: all of it stands for the whole region
-            to = [] if not offsets or (at is not None and not at) else [o + start for o in offsets] if at is None else [at[start + o] for o in offsets]
-            plain = None
-            for a, b, kind in base_spans(layer):
-                if offsets and now[start + offsets[a] : start + offsets[b]] == layer[a:b]:  # stands there undecoded
-                    plain = set(base_spans(now)) if plain is None else plain
-                    if (start + offsets[a], start + offsets[b], kind) in plain:
-                        continue
-                found.add((to[a], _end(to, b, last), f"{kind}_layer") if to else (first, last, f"{kind}_layer"))
-            work.append((layer, to, first, last))
+        rest, now, at, lo, hi = work[-1]
+        got = next(rest, None)
+        if got is None:
+            work.pop()
+            continue
+        layer, offsets, start, end = got
+        outside = len(work) > 1 and at is None  # `now` stands for its whole region
+        first, last = (lo, hi) if outside else (start, end) if at is None else (int(at[start]), int(at[end]))
+        key = (first, last, hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest())
+        if key in seen:
+            continue
+        seen.add(key)
+        to = None if offsets is None or outside else offsets + start if at is None else at[start + offsets]
+        plain = None
+        for a, b, kind in base_spans(layer):
+            if offsets is not None and now[start + offsets[a] : start + offsets[b]] == layer[a:b]:  # stands there undecoded
+                plain = set(base_spans(now)) if plain is None else plain
+                if (start + offsets[a], start + offsets[b], kind) in plain:
+                    continue
+            found.add((first, last, f"{kind}_layer") if to is None else (int(to[a]), min(last, int(to[b])), f"{kind}_layer"))
+        work.append((layers(layer), layer, to, first, last))
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]], s[1]))
 
 
-def _end(offsets: list[int], end: int, last: int) -> int:
-    return min(last, offsets[end])
-
-
 def _joined(spans: Sequence[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 

@@ -408,11 +408,89 @@ def test_plain_secrets_beside_escapes_count_once():
     assert [k for _, _, k in secrets.all_spans(text)] == ["assign"]
 
 
+PLANTED = f"see password={VALUE} here"
+
+
+def span_of(text, part):
+    return text.index(part), text.index(part) + len(part)
+
+
+@pytest.mark.parametrize("before", ["", "path/", "data/", "/x/", "key", "a-b_", "data:text/plain;base64,"])
+@pytest.mark.parametrize("lead", range(6))
+@pytest.mark.parametrize("safe", [False, True])
+def test_base64_behind_anything(before, lead, safe):
+    """Exact spans of the symbols that hold the secret, for each prefix, alignment and alphabet."""
+    plain = "~?>" * 3 + "x" * lead + " " + PLANTED
+    code = (base64.urlsafe_b64encode if safe else base64.b64encode)(plain.encode()).decode()
+    text = f"é {before}{code} z"
+    at = text.index(code)
+    a, b = span_of(plain, f"password={VALUE}")
+    place = [at + i // 3 * 4 + i % 3 for i in range(len(plain) + 1)]
+    spans = [s for s in secrets.all_spans(text) if s[2] == "assign_layer"]
+    assert (place[a], place[b], "assign_layer") in spans
+    assert all(at <= s[0] and s[1] <= at + len(code) for s in spans)
+
+
+@pytest.mark.parametrize("words", ["Это длинное предложение по-русски, ", "Ένα κείμενο στα ελληνικά με λέξεις, ", "这是一个很长的中文句子，没有空格，", "naïve café "])
+def test_base64_of_other_scripts(words):
+    plain = words * 3 + PLANTED + words
+    code = base64.b64encode(plain.encode()).decode()
+    text = f"x {code} y"
+    data = plain.encode()
+    a = data.index(b"password")
+    b = a + len(f"password={VALUE}")
+    place = [2 + i // 3 * 4 + i % 3 for i in range(len(data) + 1)]
+    assert (place[a], place[b], "assign_layer") in secrets.all_spans(text)
+
+
+@pytest.mark.parametrize("bad", ["%FF", "%C3%28", "%E2%82", "%ZZ", "%"])
+def test_invalid_escapes_do_no_harm(bad):
+    text = f"a {bad}&password%3D{VALUE}&{bad} b"
+    assert secrets.all_spans(text) == [(*span_of(text, f"password%3D{VALUE}"), "assign_layer")]
+    text = f"a \\xff\\xe2 \\ud800 pass\\x77ord\\u003d{VALUE} \\xZZ"
+    assert secrets.all_spans(text) == [(*span_of(text, f"pass\\x77ord\\u003d{VALUE}"), "assign_layer")]
+
+
+def test_compressed_data_in_escapes():
+    data = gzip.compress(PLANTED.encode())
+    for code in ("".join(f"%{x:02x}" for x in data), "".join(f"\\x{x:02x}" for x in data)):
+        text = f"é {code} z"
+        assert (2, 2 + len(code), "assign_layer") in secrets.all_spans(text)
+    cut = base64.b64encode(zlib.compress((PLANTED * 50).encode())[:-8]).decode()
+    assert (2, 2 + len(cut.rstrip("=")), "assign_layer") in [(a, min(b, 2 + len(cut.rstrip("="))), k) for a, b, k in secrets.all_spans(f"x {cut} y")]
+
+
+def test_surrogate_pairs_and_offsets():
+    text = f"\\ud83d\\ude00 \\u0070assword={VALUE}"
+    assert secrets.all_spans(text) == [(*span_of(text, f"\\u0070assword={VALUE}"), "assign_layer")]
+
+
+def test_memory_of_a_long_text():
+    """50 MB of base64 in one text."""
+    import resource
+    import subprocess
+    import sys
+
+    code = (
+        "import base64, resource, sys; from aerostrata.llm import secrets\n"
+        f"plain = b'some text of no interest, ' * 1500000 + b' password={VALUE} '\n"
+        "text = base64.b64encode(plain).decode(); assert len(text) > 50_000_000; del plain\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "found = secrets.all_spans(text)\n"
+        "print(len(found), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=__file__.rsplit("/tests/", 1)[0])
+    n, mb = map(int, done.stdout.split())
+    assert n >= 1 and mb < 1500, done.stdout
+
+
 def test_secret_edges(spark, edge_docs, no_docs):
     assert secrets.scan(edge_docs).count() == edge_docs.count()
     assert secrets.scan(no_docs).count() == 0
-    bomb = "x " + base64.b64encode(zlib.compress(b"a" * (secrets.INFLATE_LIMIT + 10))).decode()
-    assert [k for _, _, k in secrets.all_spans(bomb)] == ["oversize"]
+    # compressed data of any size is read to its end
+    inside = b"#" * (70 << 20) + SECRET.encode()
+    bomb = "x " + base64.b64encode(zlib.compress(inside)).decode() + " y"
+    assert secrets.all_spans(bomb) == [(2, len(bomb) - 2, "assign_layer")]
     df = spark.createDataFrame([(1, f"a {SECRET} b {wrap('base64', SECRET)} c", "k"), (2, None, None), (3, "clean", "k")], "doc_id long, text string, n_secrets string")
     out = {r.doc_id: (r.text, r.n_secrets) for r in secrets.redact(df).collect()}
     assert out[1][0].startswith('a [assign]" b [assign]') and "abcdefghijkl" not in out[1][0]
