@@ -6,14 +6,16 @@ stop words. Blocks that stay open, short ones above all, inherit in the second p
 block, looked up first within their own article region and then on the whole page (ties: the block before; headings look
 at the block after them).
 
-Where the stop words don't cover the text (letters of another script, or a page whose longer blocks hold hardly any),
-length and full sentences decide instead; signs of scripts without spaces count threefold. An article region with far
-less text than there is beside it doesn't rule the rest out. The wrapper of a page without other text is not layout,
-whatever its name.
+Tags and names are evidence, densities decide: where the stop words don't cover the text (letters of another script, or a
+page whose longer blocks hold hardly any), length and full sentences decide instead; signs of scripts without spaces count threefold.
+An article region with far less text than there is in long blocks beside it counts for nothing, and one with not much more doesn't
+rule these out. The wrapper of a page without other text is not layout, whatever its name. Links make a block a menu, but
+not in an ordered list of the article, as references are. Names such as notice or related count alone or with words of layout
+(related-posts), not in a subject (related-work).
 
 Cases: null html counts as empty and gives an empty text; unclosed tags, stray end tags, unterminated comments and
-scripts are read to the end of the page; a page without any decided block keeps the open blocks of its article, if it
-has one, or all open blocks with no link in them.
+scripts are read to the end of the page; a page on which no block is decided to be text keeps the open blocks of its article, if it
+has one, and all open blocks with no link in them.
 """
 
 from __future__ import annotations
@@ -44,13 +46,21 @@ HOLDERS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "bloc
 MAIN_TAGS = {"article", "main"}
 #: Words in class, id and role values that name a part of the layout beside the article (an article may lie in a wrapper so named) ...
 LAYOUT_WORDS = "banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation sidebar toolbar widget widgets complementary contentinfo search skip toc hidden modal".split()
-#: ... and words that name what is never the article.
+#: ... words that name what is never the article ...
 OTHER_WORDS = (
-    "ad ads advert adverts advertisement advertisements advertising comment comments consent cookie cookies disqus gdpr newsletter notice notices pagination pager popup "
-    "promo promos promotion promoted related respond reply replies share sharing social sponsor sponsors sponsored subscribe alert signup login disclaimer outbrain taboola"
+    "ad ads advert adverts advertisement advertisements advertising comment comments consent cookie cookies disqus gdpr newsletter pagination pager popup "
+    "promo promos promoted sponsor sponsors sponsored signup login outbrain taboola"
+).split()
+#: ... and words that do so alone or with the companions, but not in a subject such as related-work or notice-board.
+WEAK_WORDS = "notice notices related respond reply replies share sharing social subscribe alert alerts disclaimer promotion promotions".split()
+COMPANIONS = (
+    "post posts article articles link links list item items content contents bar box widget widgets button buttons icon icons banner panel block area section container "
+    "wrapper story stories news media nav modal overlay form message messages module sidebar inner outer site page top bottom reader user more also"
 ).split()
 LAYOUT_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(LAYOUT_WORDS)})(?:$|[\s_-]|\d)", re.I)
-OTHER_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(OTHER_WORDS)}|comment(?:list|s?form)\w*)(?:$|[\s_-]|\d)", re.I)
+_COMPANY = rf"(?:{'|'.join(COMPANIONS)}|\d+)"
+_WEAK = rf"(?:{_COMPANY}[_-]+)*(?:{'|'.join(WEAK_WORDS)})(?:[_-]*\d+|[_-]+(?:{_COMPANY}|{'|'.join(WEAK_WORDS)}))*"
+OTHER_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(OTHER_WORDS)}|comment(?:list|s?form)\w*)(?:$|[\s_-]|\d)|(?:^|\s){_WEAK}(?:$|\s)", re.I)
 #: Whole class, id or role values of the article on pages without article or main tags.
 MAIN_NAMES = {"main", "content", "main-content", "article", "article-body", "article-content", "post", "post-content", "post-body", "entry-content", "story", "story-body", "articlebody"}
 HAS_MAIN = re.compile(r"<(?:article|main)[\s>/]", re.I)
@@ -89,14 +99,16 @@ class Rules:
     stop_high: float = 0.22
     stop_none: float = 0.05
     main_share: float = 0.25
+    beside_share: float = 0.5
 
 
 class Block:
-    __slots__ = ("text", "linked", "aside", "main", "heading", "label", "soft")
+    __slots__ = ("text", "linked", "aside", "main", "heading", "label", "soft", "listed")
 
-    def __init__(self, text: str, linked: int, aside: bool, main: int, heading: bool, soft: bool = False):
+    def __init__(self, text: str, linked: int, aside: bool, main: int, heading: bool, soft: bool = False, listed: bool = False):
         self.text, self.linked, self.aside, self.main, self.heading, self.label = text, linked, aside, main, heading, None
         self.soft = soft  # beside the article by the name of a layout part only
+        self.listed = listed  # in an ordered list, as references are
 
 
 def _values(attrs: str, ids: bool = True) -> list[str]:
@@ -112,7 +124,7 @@ class Reader:
         self.parts: list[tuple[str, bool]] = []
         self.stack: list[tuple[str, int, tuple[int, int, int] | None]] = []  # tag, kind of aside, state before an article region
         self.named_main = named_main
-        self.links = self.silent = self.hard = self.soft = 0
+        self.links = self.silent = self.hard = self.soft = self.ordered = 0
         self.regions = self.region = self.base = 0  # number of regions, the open one, soft asides around it
 
     def text(self, s: str) -> None:
@@ -124,7 +136,7 @@ class Reader:
             words = unescape("".join(p for p, _ in self.parts)).split()
             if words:
                 linked = len(" ".join(unescape("".join(p for p, l in self.parts if l)).split()))
-                self.out.append(Block(" ".join(words), linked, self.hard > 0 or self.soft > self.base, self.region, heading, self.hard == 0 and self.soft > self.base))
+                self.out.append(Block(" ".join(words), linked, self.hard > 0 or self.soft > self.base, self.region, heading, self.hard == 0 and self.soft > self.base, self.ordered > 0))
             self.parts.clear()
 
     def pop(self) -> str:
@@ -132,6 +144,7 @@ class Reader:
         self.hard -= aside == 2
         self.soft -= aside == 1
         self.links -= tag == "a"
+        self.ordered -= tag == "ol"
         self.silent -= tag in SILENT
         if before is not None:
             self.region, self.base, _ = before
@@ -167,6 +180,7 @@ class Reader:
         self.hard += aside == 2
         self.soft += aside == 1
         self.links += tag == "a"
+        self.ordered += tag == "ol"
         self.silent += tag in SILENT
 
     def close(self, tag: str) -> None:
@@ -249,10 +263,13 @@ def decide(found: list[Block], rules: Rules) -> None:
     texts = [open_[i] and prose(i) for i in range(len(found))]
     inside = sum(sizes[i] for i, b in enumerate(found) if b.main and open_[i])
     outside = sum(sizes[i] for i, b in enumerate(found) if not b.main and texts[i] and sizes[i] >= rules.long_chars)
-    has_main = any(b.main for b in found) and inside >= rules.main_share * outside
+    if inside < rules.main_share * outside:  # a teaser or the like: its place says nothing
+        for b in found:
+            b.main = 0
+    alone = inside > 0 and outside <= rules.beside_share * inside and any(b.main for b in found)
     for i, b in enumerate(found):
-        limit = rules.main_link_density if b.main else rules.link_density
-        if b.aside or b.linked / len(b.text) > limit or (has_main and not b.main):
+        limit = 1.0 if b.main and b.listed else rules.main_link_density if b.main else rules.link_density
+        if b.aside or b.linked / len(b.text) > limit or (alone and not b.main):
             b.label = False
         elif b.main and (sizes[i] >= rules.short_chars or counts[i] / len(words[i]) >= rules.stop_low) or prose(i):
             b.label = True
@@ -279,6 +296,10 @@ def inherit(found: list[Block]) -> None:
     decided = [b.label is not None for b in found]
     if all(decided):
         return
+    if not any(b.label for b in found):  # nothing says what the text is: all that isn't beside it
+        for b in found:
+            b.label = b.label is None and (b.main > 0 or not b.linked)
+        return
     anywhere = _nearest(found, decided)
     own: dict[int, list[bool | None]] = {}
     for region in {b.main for b, d in zip(found, decided, strict=True) if not d}:

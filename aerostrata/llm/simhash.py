@@ -110,7 +110,7 @@ def links(fps: DataFrame, max_bits: int = 4, width: int | None = None, hot: int
     shared = 8 - max_bits
     if width is None:
         width = min(shared, 3 if fps.count() <= WIDE_FROM else 4)
-    index = postings(fps, shared, width)
+    index = postings(fps.repartition(partitions(fps.sparkSession), "fp"), shared, width)
     sizes = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     sized = stored(index.join(sizes.hint("merge"), "key"))
     same = " + ".join(f"int((shiftrightunsigned(x ^ y, {8 * i}) & 255L) = 0L)" for i in range(8))

@@ -167,14 +167,43 @@ def test_html_places_do_not_overrule_long_text():
     assert html_text.main_text(wrapped) == text.strip()
 
 
-def test_html_pages(spark):
+def test_html_teaser_cards_and_names_of_subjects():
+    text = "It was one of the days on which all of the people in the town had to be at home with their families by the evening. " * 3
+    card = f"<body><article class='card'><a href='/x'>Read more</a> today</article><div id='content'><h1>Title</h1><p>{text}</p></div></body>"
+    assert html_text.main_text(card) == f"Title\n{text.strip()}"
+    cards = "".join(f"<article class='card'><a href='/{i}'>Another story of the day</a></article>" for i in range(5))
+    assert html_text.main_text(f"<body>{cards}<div><h1>Title</h1><p>{text}</p></div></body>") == f"Title\n{text.strip()}"
+    subjects = f"<article><p>{text}</p><section id='related-work'><p>Related work of the field.</p></section><div class='notice-board'><p>The notice board of the town.</p></div></article>"
+    assert html_text.main_text(subjects) == f"{text.strip()}\nRelated work of the field.\nThe notice board of the town."
+    layout = f"<article><p>{text}</p><div class='related-posts'><p>{text}</p></div><div class='notice'><p>{text}</p></div><div class='social-share'>Tell all of them</div></article>"
+    assert html_text.main_text(layout) == text.strip()
+    references = f"<article><p>{text}</p><p><a href=/m>More</a></p><ol><li><a href=/s>Smith, A study of it, 2001</a></li><li><a href=/j>Jones, Another, 2003</a></li></ol></article>"
+    assert html_text.main_text(references) == f"{text.strip()}\nSmith, A study of it, 2001\nJones, Another, 2003"
+    both = f"<body><article><p>{text}</p></article><div><p>{text}</p></div></body>"
+    assert html_text.main_text(both) == f"{text.strip()}\n{text.strip()}"
+
+
+def by_cutting(html):
+    """The article of a test page, by cutting strings."""
     from html import unescape
 
-    for r in html_text.op5_html_text(spark, DIR).join(spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "html"), "page_id").collect():
-        body = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
-        parts = [" ".join(unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", body)]
-        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
-    odd = spark.createDataFrame([(1, None, "a"), (2, "<" * 5000, "b"), (3, "<p>" * 20000 + "the end of it", "c")], "page_id long, html string, text string")
+    body = html[html.index("<article>") + 9 : html.index("</article>")]
+    parts = [" ".join(unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", body)]
+    return "\n".join(p for p in parts if p)
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section", None])
+def test_html_pages(spark, tag):
+    """All pages, with their article tag, with others and with none, against an extractor of its own."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    change = F.col("html") if tag == "article" else F.regexp_replace("html", "<(/?)article>", f"<$1{tag}>" if tag else "")
+    got = {r.page_id: r for r in html_text.extract(pages.withColumn("html", change), keep=["page_id", "url"]).collect()}
+    for r in pages.collect():
+        assert got[r.page_id].text == by_cutting(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text), r.page_id
+
+
+def test_html_edges(spark):
+    odd = spark.createDataFrame([(1, None, "a"), (2, "<" * 5000, "b"), (3, "<p>" * 200000 + "the end of it", "c")], "page_id long, html string, text string")
     assert html_text.extract(odd).count() == 3
     assert html_text.extract(odd.limit(0)).count() == 0
 
