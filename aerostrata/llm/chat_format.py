@@ -5,7 +5,9 @@ Turns come sorted by conversation and turn; the machine checks their order, emit
 marks a conversation whose order breaks the rules as invalid without dropping a turn. Control strings inside a text
 are broken up with backslashes, reversibly, so that the formatted conversation can be read back.
 
-A conversation is never held whole: a task streams over sorted turns and carries only the running state.
+A conversation is never held whole: a task streams over the segments of sorted turns, reads them back as one text whose
+turns it has to find, and carries only the running state and an open turn. Digests of a conversation are sequential, so
+a conversation is one task's work.
 
 Cases: null text counts as empty; a null or unknown role is formatted as the template's fallback and makes the
 conversation invalid; turns with equal numbers are ordered by role and text; a null conversation is a group of its own.
@@ -61,8 +63,8 @@ class Machine:
         self.template = template
         self._inside = re.compile(f"(?=(?:{'|'.join(map(re.escape, template.controls()))}))(.)", re.DOTALL)
         heads = "|".join(f"(?P<r{i}>{re.escape(r.before)})" for i, r in enumerate(template.roles.values()))
-        self._head = re.compile(f"{heads}|(?P<other>{re.escape(template.other.before)})")
-        self._names = list(template.roles)
+        self.head = re.compile(f"{heads}|(?P<other>{re.escape(template.other.before)})")
+        self.names = list(template.roles)
 
     def escape(self, text: str) -> str:
         """Double backslashes and put one after the first character of every control string."""
@@ -86,33 +88,52 @@ class Machine:
             return [(self.template.other.before + name + self.template.other_sep, False), (body, False), (self.template.other.after, False)]
         return [(r.before, False), (body, r.learnt), (r.after, False)]
 
-    def read(self, formatted: str) -> Iterator[tuple[str | None, str, bool]]:
-        """(role, text, learnt) of each turn of a formatted text."""
-        at = 0
-        while at < len(formatted):
-            m = self._head.match(formatted, at)
-            if m is None:
-                raise ValueError(f"no turn begins at character {at}")
-            if m.lastgroup == "other":
-                end = formatted.index(self.template.other.after, m.end())
-                name, _, body = formatted[m.end() : end].partition(self.template.other_sep)
-                yield (None if name == "\\0" else self.unescape(name)), self.unescape(body), False
-                at = end + len(self.template.other.after)
-            else:
-                name = self._names[int(m.lastgroup[1:])]
-                r = self.template.roles[name]
-                end = formatted.index(r.after, m.end())
-                yield name, self.unescape(formatted[m.end() : end]), r.learnt
-                at = end + len(r.after)
+    def reader(self) -> Reader:
+        return Reader(self)
 
+    def read(self, formatted: str) -> Iterator[tuple[str | None, str]]:
+        """(role, text) of each turn of a whole formatted conversation."""
+        reader = self.reader()
+        yield from reader.feed(formatted)
+        reader.close()
 
-def _ordered(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    return df.repartition(F.col(conv)).sortWithinPartitions(conv, turn, role, text)
 
+class Reader:
+    """Reads a formatted conversation back from a stream of its text, cut anywhere; it holds one turn at a time."""
 
-def format_turns(df: DataFrame, template: Template | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Segments of every turn: (conv, turn, segment, text, learnt), in a row each. Needs no grouping."""
-    machine = Machine(template or Template())
+    def __init__(self, machine: Machine):
+        self.machine, self.held, self.sought = machine, "", 0
+
+    def feed(self, text: str) -> Iterator[tuple[str | None, str]]:
+        """Turns that are complete now."""
+        self.held += text
+        at, template = 0, self.machine.template
+        while at < len(self.held):
+            m = self.machine.head.match(self.held, at)
+            if m is None:
+                break  # the beginning of a mark, or an error that close() reports
+            other = m.lastgroup == "other"
+            name = None if other else self.machine.names[int(m.lastgroup[1:])]
+            after = (template.other if other else template.roles[name]).after
+            end = self.held.find(after, max(m.end(), self.sought))
+            if end < 0:
+                self.sought = max(m.end(), len(self.held) - len(after) + 1)
+                break
+            body = self.held[m.end() : end]
+            if other:
+                name, _, body = body.partition(template.other_sep)
+                name = None if name == "\\0" else self.machine.unescape(name)
+            yield name, self.machine.unescape(body)
+            at, self.sought = end + len(after), 0
+        self.held = self.held[at:]
+        self.sought = max(0, self.sought - at)
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError(f"no whole turn at {self.held[:40]!r}")
+
+
+def _segments(df: DataFrame, machine: Machine, conv: str, turn: str, role: str, text: str) -> DataFrame:
     kind = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("learnt", T.BooleanType())]))
     found = append_columns(
         df.select(conv, turn, role, text),
@@ -124,58 +145,58 @@ def format_turns(df: DataFrame, template: Template | None = None, conv: str = "c
     return found.select(conv, turn, F.posexplode("segments").alias("segment", "s")).select(conv, turn, "segment", "s.text", "s.learnt")
 
 
+def format_turns(df: DataFrame, template: Template | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Segments of every turn: (conv, turn, segment, text, learnt), in a row each. Needs no grouping."""
+    return _segments(df, Machine(template or Template()), conv, turn, role, text)
+
+
 def summarise(df: DataFrame, template: Template | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Format each conversation, read it back and digest what was read, streaming over its turns.
+    """Format each conversation, read its segments back as one text and digest what was read, streaming over them.
 
-    One row per conversation: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid.
+    One row per conversation: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, n_segments. Turns come from
+    the text alone, whose boundaries the reader has to find; learnt text from the flags of the segments alone.
     """
     machine = Machine(template or Template())
-    schema = T.StructType(
-        [
-            df.schema[conv],
-            T.StructField("n_turns", T.LongType()),
-            T.StructField("turns_sha256", T.StringType()),
-            T.StructField("loss_chars", T.LongType()),
-            T.StructField("loss_sha256", T.StringType()),
-            T.StructField("formatted_chars", T.LongType()),
-            T.StructField("valid", T.BooleanType()),
-        ]
-    )
+    longs, texts = T.LongType(), T.StringType()
+    names = [("n_turns", longs), ("turns_sha256", texts), ("loss_chars", longs), ("loss_sha256", texts), ("formatted_chars", longs), ("valid", T.BooleanType()), ("n_segments", longs)]
+    schema = T.StructType([df.schema[conv], *[T.StructField(n, t) for n, t in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
         now, has, done = None, False, []
-        n = chars = loss = 0
-        turns = learnt = None
+        n = chars = loss = segments = 0
+        turns = learnt = reader = None
         state, valid = "start", True
 
         def close():
-            done.append((now, n, turns.hexdigest(), loss, learnt.hexdigest(), chars, valid and state in machine.template.final))
+            reader.close()
+            done.append((now, n, turns.hexdigest(), loss, learnt.hexdigest(), chars, valid and state in machine.template.final, segments))
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for key, role_, text_ in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for key, piece, flag in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if not has or key != now:
                     if has:
                         close()
                     now, has = key, True
-                    n = chars = loss = 0
-                    turns, learnt = hashlib.sha256(), hashlib.sha256()
+                    n = chars = loss = segments = 0
+                    turns, learnt, reader = hashlib.sha256(), hashlib.sha256(), machine.reader()
                     state, valid = "start", True
-                state, fine = machine.step(state, role_)
-                valid &= fine
-                formatted = "".join(s for s, _ in machine.segments(role_, text_))
-                chars += len(formatted)
-                for r, t, flag in machine.read(formatted):
+                segments += 1
+                chars += len(piece)
+                if flag:
+                    plain = machine.unescape(piece)
+                    loss += len(plain)
+                    learnt.update(plain.encode())
+                for r, t in reader.feed(piece):
                     n += 1
                     turns.update(f"{r if r is not None else ''}\n{t}\n".encode())
-                    if flag:
-                        loss += len(t)
-                        learnt.update(t.encode())
+                    state, fine = machine.step(state, r)
+                    valid &= fine
             if done:
                 yield flush()
                 done.clear()
@@ -183,7 +204,9 @@ def summarise(df: DataFrame, template: Template | None = None, conv: str = "conv
             close()
             yield flush()
 
-    return _ordered(df.select(conv, turn, role, text), conv, turn, role, text).select(conv, role, text).mapInArrow(run, schema)
+    ordered = df.select(conv, turn, role, text).repartition(F.col(conv)).sortWithinPartitions(conv, turn, role, text)
+    # formatting and exploding keep the order of rows in a partition
+    return _segments(ordered, machine, conv, turn, role, text).select(conv, "text", "learnt").mapInArrow(run, schema)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +237,7 @@ WITH rows AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE {learnt}), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE {learnt}), '')) AS loss_sha256,
   CAST(sum(CASE role {marks} END + length(text) + {escapes}) AS BIGINT) AS formatted_chars,
-  bool_and({steps}) AND bool_and(next IS NOT NULL OR role IN ({final})) AS valid
+  bool_and({steps}) AND bool_and(next IS NOT NULL OR role IN ({final})) AS valid, 3 * count(*) AS n_segments
 FROM o GROUP BY conv_id
 """
 

@@ -4,9 +4,11 @@ Features are hashed character trigrams and 4-grams of the whole lower-cased text
 a space), as square roots of relative frequencies, so that the vectors have length one. Both steps use squared-hinge
 linear SVMs, one for each pair of families or of languages, combined by votes and then margins.
 
-Training uses at most `per_language` labelled rows of each language, those with the smallest hash of their id
-(a documented bound: the model's quality does not depend on the corpus size), whose feature vectors are made on the
-executors. Prediction is a map over the scan; its only input is the text.
+Training uses at most `per_language` labelled rows of each language, and `most` in all, shared evenly: those with the smallest
+hash of their id and text (a documented bound: the model's quality does not depend on the corpus size, and at most
+`most` vectors reach the driver, 400 MB at the default). A first pass over ids and hashes finds how large a hash may be; texts
+are read for the chosen rows only, and their feature vectors are made on the executors. Prediction is a map over the
+scan; its only input is the text.
 
 Cases: a null text or one without a letter is `und` with score 0; with one learned language every other text gets it;
 with none every text is `und`; ties go to the name that sorts first.
@@ -140,24 +142,28 @@ class Model:
         return names, scores
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 600) -> Model:
+def sample(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: int, most: int) -> DataFrame:
+    """(i, l, t) of the rows to learn from: of each language those with the smallest hashes, exactly."""
+    rows = labelled.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null").withColumn("h", F.xxhash64("i", "t"))
+    by_hash = Window.partitionBy("l").orderBy("h")
+    ranked = rows.select("l", "h").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_language)
+    limits = {r["l"]: r["hs"] for r in ranked.groupBy("l").agg(F.sort_array(F.collect_list("h")).alias("hs")).collect()}  # per_language at most
+    each = min(per_language, max(1, most // max(1, len(limits))))
+    last = F.lit(None).cast("long")
+    for name, hashes in limits.items():
+        last = F.when(F.col("l") == name, F.lit(hashes[:each][-1])).otherwise(last)
+    near = rows.where(F.col("h") <= last)
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("k") <= each).select("i", "l", "t")
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 600, most: int = 12_000) -> Model:
     """Train on at most `per_language` rows of each language; only their feature vectors reach the driver."""
-    rows = labelled.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    order = F.xxhash64("i")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return Model(np.zeros((0, DIMS), np.float32), np.array([], dtype=object))
-    # a share of the hash range that holds the wanted number of rows with a margin, then the exact bound
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("l") == name, F.lit(min(1.0, (per_language + 6 * per_language**0.5) / n))).otherwise(share)
-    few = rows.withColumn("h", order).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    kept = few.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("k") <= per_language)
 
     def vectors(texts):
         return [[vector_of(t).astype(np.float16).tobytes() if has_letter(t) else None for t in texts]]
 
-    got = append_columns(kept.select("i", "l", "t"), [F.col("t")], [T.StructField("v", T.BinaryType())], vectors, keep=["i", "l"]).where("v is not null").collect()
+    kept = sample(labelled, text, lang, doc_id, per_language, most)
+    got = append_columns(kept, [F.col("t")], [T.StructField("v", T.BinaryType())], vectors, keep=["i", "l"]).where("v is not null").collect()
     got.sort(key=lambda r: (r["l"], str(r["i"]), r["v"]))
     x = np.zeros((len(got), DIMS), np.float32)
     for i, r in enumerate(got):

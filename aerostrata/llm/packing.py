@@ -9,9 +9,13 @@ a block fills its rows but for the last few, which costs less than a row in a th
 
 A row is an id matrix line: `ids` (little-endian uint16, or uint32 for large vocabularies, padded with the end id to
 `seq_len`), `cu_seqlens` (cumulative segment lengths from 0), `resets` (offsets at which positions start again at 0),
-and the document and piece of each segment, from which every document can be put together again.
+and the document, its row key and the piece of each segment, from which every document can be put together again, also where ids
+are null or repeated. Row keys and pack_ids number the rows of a partition; they, and which documents share a row, depend on
+how the input is split, the ids of a document don't.
 
-Cases: a null or empty text is its end id alone; equal lengths are taken in the order of doc_id and piece; a null doc_id
+`save` writes the matrix and a segment table as Parquet, `load` reads the matrix back.
+
+Cases: a null or empty text is its end id alone; equal lengths are taken in the order of doc_id, row and piece; a null doc_id
 stays null in `doc_ids`; an empty table gives no rows.
 """
 
@@ -104,23 +108,23 @@ def best_fit_decreasing(lengths: Sequence[int], seq_len: int) -> list[list[int]]
 
 
 def pack_block(docs: Sequence[tuple], seq_len: int, end_id: int, dtype: np.dtype) -> Iterator[tuple]:
-    """Packed rows of (doc_id, ids) pairs: ids, n_tokens, cu_seqlens, resets, doc_ids, pieces."""
-    segments = [(d, k // seq_len, ids[k : k + seq_len]) for d, ids in docs for k in range(0, len(ids), seq_len)]
-    segments.sort(key=lambda s: (s[0] is None, s[0] if s[0] is not None else 0, s[1]))
-    for row in best_fit_decreasing([len(s[2]) for s in segments], seq_len):
+    """Packed rows of (doc_id, row, ids) triples: ids, n_tokens, cu_seqlens, resets, doc_ids, rows, pieces."""
+    segments = [(d, r, k // seq_len, ids[k : k + seq_len]) for d, r, ids in docs for k in range(0, len(ids), seq_len)]
+    segments.sort(key=lambda s: (s[0] is None, s[0] if s[0] is not None else 0, s[1], s[2]))
+    for row in best_fit_decreasing([len(s[3]) for s in segments], seq_len):
         line = np.full(seq_len, end_id, dtype)
         cu = [0]
         for i in row:
-            ids = segments[i][2]
+            ids = segments[i][3]
             line[cu[-1] : cu[-1] + len(ids)] = ids
             cu.append(cu[-1] + len(ids))
-        yield line.tobytes(), cu[-1], cu, cu[:-1], [segments[i][0] for i in row], [segments[i][1] for i in row]
+        yield line.tobytes(), cu[-1], cu, cu[:-1], *[[segments[i][k] for i in row] for k in range(3)]
 
 
 def pack(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", seq_len: int = 2048, block_tokens: int = 4_000_000, ranks: str | None = None, pattern: str | None = None
 ) -> DataFrame:
-    """Packed rows of all documents: pack_id, ids, n_tokens, cu_seqlens, resets, doc_ids, pieces."""
+    """Packed rows of all documents: pack_id, ids, n_tokens, cu_seqlens, resets, doc_ids, rows, pieces."""
     if ranks is None or pattern is None:
         import public_tokenizers
 
@@ -135,6 +139,7 @@ def pack(
             T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
             T.StructField("resets", T.ArrayType(T.IntegerType())),
             T.StructField("doc_ids", T.ArrayType(T.LongType())),
+            T.StructField("rows", T.ArrayType(T.LongType())),
             T.StructField("pieces", T.ArrayType(T.IntegerType())),
         ]
     )
@@ -145,7 +150,7 @@ def pack(
 
         arrow = to_arrow_schema(schema)
         bpe = _bpe(*sent.value)
-        next_id = TaskContext.get().partitionId() << 40
+        next_id = next_row = TaskContext.get().partitionId() << 40
         held, tokens = [], 0
 
         def packed(docs):
@@ -160,7 +165,8 @@ def pack(
         for batch in batches:
             for part in blocks(batch, [1]):
                 for d, ids in zip(part.column(0).to_pylist(), bpe.encode(part.column(1).to_pylist()), strict=True):
-                    held.append((d, ids))
+                    held.append((d, next_row, ids))
+                    next_row += 1
                     tokens += len(ids)
                     if tokens >= block_tokens:
                         yield from packed(held)
@@ -171,15 +177,33 @@ def pack(
     return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
-def unpack(packed: DataFrame, bytes_per_id: int = 2) -> DataFrame:
-    """(doc_id, piece, ids as binary) of every segment: the way back, without the padding."""
-    return packed.select("ids", F.explode(F.arrays_zip("doc_ids", "pieces", "resets", F.expr("slice(cu_seqlens, 2, size(cu_seqlens))").alias("stops"))).alias("s")).select(
-        F.col("s.doc_ids").alias("doc_id"),
-        F.col("s.pieces").alias("piece"),
-        F.expr(f"substring(ids, s.resets * {bytes_per_id} + 1, (s.stops - s.resets) * {bytes_per_id})").alias("ids"),
+def segments(packed: DataFrame) -> DataFrame:
+    """(pack_id, ids, segment, doc_id, row, piece, start, stop) of every segment."""
+    ends = F.expr("slice(cu_seqlens, 2, size(cu_seqlens))").alias("stops")
+    each = packed.select("pack_id", "ids", F.posexplode(F.arrays_zip("doc_ids", "rows", "pieces", "resets", ends)).alias("segment", "s"))
+    return each.select(
+        "pack_id", "ids", "segment", F.col("s.doc_ids").alias("doc_id"), F.col("s.rows").alias("row"), F.col("s.pieces").alias("piece"), F.col("s.resets").alias("start"), F.col("s.stops").alias("stop")
     )
 
 
+def unpack(packed: DataFrame, bytes_per_id: int = 2) -> DataFrame:
+    """(doc_id, row, piece, ids as binary) of every segment: the way back, without the padding."""
+    part = F.expr(f"substring(ids, start * {bytes_per_id} + 1, (stop - start) * {bytes_per_id})")
+    return segments(packed).select("doc_id", "row", "piece", part.alias("ids"))
+
+
+def save(packed: DataFrame, path: str) -> None:
+    """Write `matrix` (a row for each line, for training) and `segments` (where each piece of a document is, for looking up);
+    the second is made from the first, so the documents are packed once."""
+    packed.write.mode("overwrite").parquet(f"{path}/matrix")
+    segments(load(packed.sparkSession, path)).drop("ids").write.mode("overwrite").parquet(f"{path}/segments")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The packed rows that `save` wrote."""
+    return spark.read.parquet(f"{path}/matrix")
+
+
 def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed rows of 2,048 ids."""
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))

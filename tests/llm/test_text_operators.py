@@ -58,6 +58,31 @@ def test_packing_round_trip(spark, edge_docs, no_docs):
     assert packing.pack(edge_docs).count() > 0
 
 
+def test_packing_of_repeated_and_missing_ids(spark, edge_docs, tmp_path):
+    """Every row comes back by its row key, also from storage; segments of one id are told apart."""
+    import public_tokenizers
+
+    docs = edge_docs.repartition(3)
+    packing.save(packing.pack(docs, seq_len=64, block_tokens=500), str(tmp_path))
+    packed = packing.load(spark, str(tmp_path))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        bpe = packing.ByteBpe(f.read(), public_tokenizers.PATTERN)
+    back = {}
+    for r in packing.unpack(packed).collect():
+        back.setdefault((r.row, r.doc_id), {})[r.piece] = bytes(r.ids)
+    assert all(sorted(p) == list(range(len(p))) for p in back.values())
+    got = sorted((str(d), b"".join(p[k] for k in sorted(p))) for (_, d), p in back.items())
+    assert got == sorted((str(r.doc_id), bpe.encode([r.text])[0].tobytes()) for r in edge_docs.collect())
+    stored = spark.read.parquet(f"{tmp_path}/segments")
+    assert stored.count() == packing.unpack(packed).count() and set(stored.columns) == {"pack_id", "segment", "doc_id", "row", "piece", "start", "stop"}
+
+
+def test_packing_fill(spark):
+    rows = packing.op1_token_packing(spark, "/root/testdata/sf0.1").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    print(f"fill {rows.t / (rows.n * 2048):.4f}")
+    assert rows.t >= 0.99 * rows.n * 2048
+
+
 # SentencePiece
 
 
@@ -235,6 +260,49 @@ def test_language_edges(spark, edge_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(edge_docs, nothing).collect()} == {"und"}
 
 
+def test_language_features_by_hand():
+    def grams(text):
+        data = [b if b >= 128 or 97 <= b <= 122 else 32 for b in f" {text.lower()} ".encode()]
+        total = [0] * langid.DIMS
+        for i in range(len(data) - 2):
+            three = (data[i] * 0x9E3779B1 + data[i + 1] * 0x85EBCA77 + data[i + 2] * 0xC2B2AE3D) % 2**32
+            total[three >> 19] += 1
+            if i + 3 < len(data):
+                four = ((three ^ three >> 15) * 0x27D4EB2F + data[i + 3] * 0x165667B1) % 2**32
+                total[four >> 19] += 1
+        return total
+
+    for text in ("", "a", "ab", "abc", "The cat, the hat; 12 été ЁЖ 你好 ÀB"):
+        assert langid.counts_of(text).tolist() == grams(text)
+
+
+def test_language_sample_is_the_smallest_hashes(spark):
+    """Repeated and missing ids, exact repeats and more languages than the bound on all rows allows."""
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, f"text {k // 2}", lang) for lang in ("aa", "bb", "cc") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashed = [(r.lang, r.h) for r in df.select("lang", F.xxhash64("doc_id", "text").alias("h")).collect()]
+    for per, most, want in ((10, 1000, 10), (60, 1000, 50), (40, 60, 20)):
+        got = langid.sample(df, "text", "lang", "doc_id", per, most).select("l", F.xxhash64("i", "t").alias("h")).collect()
+        for lang in ("aa", "bb", "cc"):
+            assert sorted(r.h for r in got if r.l == lang) == sorted(h for name, h in hashed if name == lang)[:want]
+
+
+def test_language_votes_by_hand():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 20)).astype(np.float32)
+    labels = np.array(["a", "b", "c"] * 20, dtype=object)
+    duel = langid.Duel(["a", "b", "c"], x, labels)
+    best, score = duel.decide(x)
+    for row, b, s in zip(x, best, score, strict=True):
+        votes, sums = dict.fromkeys(range(3), 0.0), dict.fromkeys(range(3), 0.0)
+        for (i, j), w in zip(duel.pairs, duel.weights, strict=True):
+            m = float(row @ w[:-1] + w[-1])
+            votes[i if m >= 0 else j] += 1
+            sums[i] += max(-1, min(1, m))
+            sums[j] -= max(-1, min(1, m))
+        assert max(range(3), key=lambda k: (round(votes[k] + sums[k] / 12, 5), -k)) == b and 0 <= s <= 1
+
+
 def test_language_features_cover_whole_text():
     a, b = "abc " * 10, "xyz " * 10
     assert (langid.counts_of(a * 50 + b) != langid.counts_of(a * 50)).any()
@@ -353,6 +421,27 @@ def test_chat_read_back(spark):
     assert chat_format.summarise(df.limit(0)).count() == 0
 
 
+def test_chat_reader_finds_turns_in_one_text():
+    """A whole conversation, cut anywhere, gives its turns; a text that isn't one is refused."""
+    rnd = random.Random(2)
+    machine = chat_format.Machine(chat_format.Template())
+    bits = ["</s>", "[INST]", " [/INST]", "<s>", "\\", "a", "\n", "<", "<|text|>", "<|role|>", "<|end|>", " ", "<<SYS>>", "<</SYS>>", "é"]
+    for _ in range(400):
+        turns = [(rnd.choice(["user", "assistant", "system", "tool", None]), "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 8)))) for _ in range(rnd.randint(1, 6))]
+        whole = "".join(s for r, t in turns for s, _ in machine.segments(r, t))
+        assert list(machine.read(whole)) == turns
+        reader, got, at = machine.reader(), [], 0
+        while at < len(whole):
+            step = rnd.randint(1, 9)
+            got += reader.feed(whole[at : at + step])
+            at += step
+        reader.close()
+        assert got == turns
+    for broken in ("x", "[INST] a", "<s>a</s>\nrest"):
+        with pytest.raises(ValueError):
+            list(machine.read(broken))
+
+
 def test_chat_order(spark):
     df = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "assistant", "a"), (3, 0, "user", "u")], "conv_id long, turn long, role string, text string")
     assert {r.conv_id: r.valid for r in chat_format.summarise(df).collect()} == {1: True, 2: False, 3: False}
