@@ -301,10 +301,10 @@ def missing_months(spark, d):
     return L.missing_months(months, months.where(~F.col("m").isin(2, 7)))
 
 
-@query(duck("SELECT k AS station, coalesce(n, 0) AS n_years FROM (SELECT DISTINCT s_suppkey AS k FROM supplier) LEFT JOIN (SELECT l_suppkey, count(DISTINCT CASE WHEN l_suppkey % 3 > 0 AND l_quantity > 45 THEN year(l_shipdate) END) AS n FROM lineitem GROUP BY 1) ON k = l_suppkey"))
+@query(duck("SELECT k AS station, coalesce(n, 0) AS n_years FROM (SELECT DISTINCT s_suppkey AS k FROM supplier) LEFT JOIN (SELECT l_suppkey, count(DISTINCT CASE WHEN l_linenumber <> 7 THEN year(l_shipdate) END) AS n FROM lineitem GROUP BY 1) ON k = l_suppkey"))
 def years_with_data(spark, d):
-    """Years with data of every station."""
-    obs = base(spark, d, "lineitem").selectExpr("l_suppkey as station", "l_shipdate as ts", "case when l_suppkey % 3 > 0 and l_quantity > 45 then l_quantity end as value")
+    """Years with data of every station; every seventh line of an order stands for a missing value."""
+    obs = base(spark, d, "lineitem").selectExpr("l_suppkey as station", "l_shipdate as ts", "case when l_linenumber <> 7 then l_quantity end as value")
     return L.years_with_data(obs, base(spark, d, "supplier").select(F.col("s_suppkey").alias("station")), "station")
 
 
@@ -369,7 +369,7 @@ def month_sequence(spark, d):
 
 
 @query(
-    f"SELECT o_custkey, CAST(s AS DATE) AS chunk_start, least(CAST(s + INTERVAL 4 DAY AS DATE), hi) AS chunk_end FROM (SELECT o_custkey, hi, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 5 DAY)) AS s FROM (SELECT o_custkey, lo, least(hi, CAST(lo + INTERVAL 23 DAY AS DATE)) AS hi FROM ({_SPANS})))"
+    f"SELECT o_custkey, CAST(s AS DATE) AS chunk_start, least(CAST(s + INTERVAL 4 DAY AS DATE), hi) AS chunk_end FROM (SELECT o_custkey, hi, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 5 DAY)) AS s FROM ({_SPANS}))"
 )
 def day_chunks(spark, d):
     """Five-day chunks of a span, the last one clipped."""
