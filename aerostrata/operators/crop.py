@@ -48,6 +48,13 @@ def coverage(df: DataFrame, granule: str = "granule_id", ts: str = "ts", order:
     )
 
 
+def with_history(covered: DataFrame, metadata: DataFrame, line: str, granule: str = "granule_id", history: str = "history") -> DataFrame:
+    """Coverage beside the granule's own metadata, which stay as they are (orbit statistics are those of the whole orbit) but for
+    the history, which gets a line more."""
+    joined = covered.join(metadata, granule, "left")
+    return joined.withColumn(history, F.concat_ws("\n", F.nullif(F.col(history), F.lit("")), F.lit(line)))
+
+
 def crop_ratio(before: DataFrame, after: DataFrame, granule: str = "granule_id") -> DataFrame:
     """Pixels of each granule before and after a crop, and the share kept."""
     n, m = before.groupBy(granule).agg(F.count(F.lit(1)).alias("pixels")), after.groupBy(granule).agg(F.count(F.lit(1)).alias("kept"))

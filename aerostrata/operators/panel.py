@@ -26,14 +26,28 @@ def align_floor(panel: DataFrame, source: DataFrame, cadence: str, keys: Sequenc
     return panel.withColumn("_period", floor_to(ts, cadence)).join(src, [*keys, "_period"], "left").drop("_period")
 
 
-def align_asof(panel: DataFrame, source: DataFrame, keys: Sequence[str], value: str, ts: str = "ts") -> DataFrame:
-    """Panel rows with the latest known source value at or before their time, by one sorted window over both."""
+def align_asof(panel: DataFrame, source: DataFrame, keys: Sequence[str], value: str, ts: str = "ts", period: str = "month") -> DataFrame:
+    """Panel rows with the latest known source value at or before their time.
+
+    One sorted window over both sides for each key and period, so that a long record isn't one task's work; where a
+    period has no value yet, it takes the last one of an earlier period, from a table of one row a key and period.
+    """
     rest = [c for c in panel.columns if c not in (*keys, ts)]
+    part = F.date_trunc(period, ts).alias("_period")
+    known = source.where(F.col(value).isNotNull())
+    lasts = known.groupBy(*keys, part).agg(F.max_by(value, F.struct(ts, value)).alias("_last"))
+    spans = lasts.unionByName(panel.select(*keys, part).distinct().withColumn("_last", F.lit(None).cast(source.schema[value].dataType)))
+    spans = spans.groupBy(*keys, "_period").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last")
     both = panel.select(*keys, ts, *rest, F.lit(None).cast(source.schema[value].dataType).alias(value), F.lit(1).alias("_side")).unionByName(
-        source.where(F.col(value).isNotNull()).select(*keys, ts, value, F.lit(0).alias("_side")), allowMissingColumns=True
+        known.select(*keys, ts, value, F.lit(0).alias("_side")), allowMissingColumns=True
     )
-    w = Window.partitionBy(*keys).orderBy(ts, "_side", F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    w = Window.partitionBy(*keys, "_period").orderBy(ts, "_side", F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    latest = both.withColumn("_period", part).withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    on = [latest[k].eqNullSafe(carried[k]) for k in (*keys, "_period")]
+    joined = latest.join(carried, on, "left")
+    return joined.select(*[latest[c] for c in (*keys, ts, *rest)], F.coalesce(latest[value], carried["_carried"]).alias(value))
 
 
 def build_panel(obs: DataFrame, predictors: dict[str, DataFrame], keys: Sequence[str], static: DataFrame | None = None, static_key: str = "comuna") -> DataFrame:
@@ -53,3 +67,18 @@ def surface_spine(comunas: DataFrame, lo: str, hi: str, estimates: DataFrame, ke
     """Every comuna and hour from lo to hi (both included) with its estimate; the hours are made inside each comuna's row."""
     hours = F.explode(F.sequence(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz"), F.expr("interval 1 hour")))
     return comunas.withColumn("hour", hours).join(estimates, list(keys), "left")
+
+
+def surface(spine: DataFrame, fits: DataFrame, means: Sequence[tuple[str, DataFrame, Sequence[str]]], keys: Sequence[str], engine: str, x: str = "x") -> DataFrame:
+    """Every row of the spine with an estimate and the engine that gave it, so that no hour stays empty.
+
+    `fits` has (keys, slope, intercept) of the engine's local regressions; where there is none, or no predictor, the first of `means`
+    that has a row is taken: (tag, table with mean_value, its keys), from the narrowest to the widest. Null only where none has.
+    """
+    out = spine.join(fits.select(*keys, "slope", "intercept"), list(keys), "left").withColumn("estimate", F.col("intercept") + F.col("slope") * F.col(x))
+    out = out.withColumn("engine", F.when(F.col("estimate").isNotNull(), F.lit(engine)))
+    for tag, table, by in means:
+        out = out.join(table.select(*by, F.col("mean_value").alias("_mean")), list(by), "left")
+        out = out.withColumn("engine", F.when(F.col("engine").isNull() & F.col("_mean").isNotNull(), F.lit(tag)).otherwise(F.col("engine")))
+        out = out.withColumn("estimate", F.coalesce("estimate", "_mean")).drop("_mean")
+    return out.drop("slope", "intercept", x)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +27,14 @@ def between_days(df: DataFrame, ts: str, lo: str, hi: str) -> DataFrame:
 
 
 def resolve_columns(df: DataFrame, candidates: Mapping[str, Sequence[str]], keep: Sequence[str] = ()) -> DataFrame:
-    """Each name from the first of its candidates that the table has; names without one are left out.
+    """Each name from the first of its candidates that the table has; names without one are left out with a warning.
     Raises if no name can be resolved."""
     found = {name: next((c for c in options if c in df.columns), None) for name, options in candidates.items()}
     if not any(found.values()):
         raise ValueError(f"none of {sorted(candidates)} is among the columns {df.columns}")
+    missing = sorted(name for name, c in found.items() if c is None)
+    if missing:
+        warnings.warn(f"no column for {', '.join(missing)}", stacklevel=2)
     return df.select(*keep, *[F.col(f"`{c}`").alias(name) for name, c in found.items() if c])
 
 

@@ -54,12 +54,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN CONCAT(text, ' Sin datos') WHEN doc_id % 13 = 0 THEN CONCAT(text, ' No Existe')
  WHEN doc_id % 17 = 0 THEN CONCAT(text, ' SIN DATOS') ELSE text END text FROM documents""",
     ),
-    # daily mean of each station and pollutant (the day under the name `hour`), with a predictor that goes with the value
+    # daily mean of each station and pollutant, with a predictor that goes with the value
     "v_panel": (
         ("events",),
-        f"""SELECT pollutant, station, comuna, CAST(hour AS TIMESTAMP_NTZ) AS hour, lon, lat, AVG(value) value, AVG(value)*0.5e0 + (station % 7)*3e0 + EXTRACT(DAY FROM hour)*0.25e0 x,
- CAST(EXTRACT(DAY FROM hour) AS DOUBLE) day_no FROM (SELECT {_POLLUTANT} pollutant, user_id station, user_id % 25 comuna, date_trunc('DAY', ts) AS hour, value,
- {_LON.format("user_id")} lon, {_LAT.format("user_id")} lat FROM events) GROUP BY pollutant, station, comuna, hour, lon, lat""",
+        f"""SELECT pollutant, station, comuna, CAST(day AS TIMESTAMP_NTZ) AS day, lon, lat, AVG(value) value, AVG(value)*0.5e0 + (station % 7)*3e0 + EXTRACT(DAY FROM day)*0.25e0 x,
+ CAST(EXTRACT(DAY FROM day) AS DOUBLE) day_no FROM (SELECT {_POLLUTANT} pollutant, user_id station, user_id % 25 comuna, date_trunc('DAY', ts) AS day, value,
+ {_LON.format("user_id")} lon, {_LAT.format("user_id")} lat FROM events) GROUP BY pollutant, station, comuna, day, lon, lat""",
     ),
     # out-of-fold predictions of two engines
     "v_oof": (

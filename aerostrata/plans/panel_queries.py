@@ -201,7 +201,7 @@ def rank_engines(spark, d):
 @query(
     duck(
         f"""WITH p AS (SELECT a.pollutant, {KM.format(x1="a.lon", y1="a.lat", x2="b.lon", y2="b.lat")} AS km, 0.5e0 * (a.value - b.value) * (a.value - b.value) AS h
- FROM v_panel a JOIN v_panel b ON a.pollutant = b.pollutant AND a.hour = b.hour AND a.station < b.station)
+ FROM v_panel a JOIN v_panel b ON a.pollutant = b.pollutant AND a.day = b.day AND a.station < b.station)
  SELECT pollutant, CAST(floor(km / 200e0) AS BIGINT) AS distance_bin, round(avg(h), 4) AS gamma, count(*) AS n_pairs FROM p WHERE km <= 2000 GROUP BY 1, 2""",
         "v_panel",
     )
@@ -209,7 +209,7 @@ def rank_engines(spark, d):
 def semivariogram(spark, d):
     """Half mean squared differences of stations by distance."""
     km = haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return A.semivariogram(fixture(spark, d, "v_panel"), 200.0, 2000.0, km).withColumn("gamma", F.round("gamma", 4))
+    return A.semivariogram(fixture(spark, d, "v_panel"), 200.0, 2000.0, km, ("pollutant", "day")).withColumn("gamma", F.round("gamma", 4))
 
 
 @query(

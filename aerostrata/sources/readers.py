@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,9 +83,17 @@ def read_swath(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_static(spark: SparkSession, path: str) -> DataFrame:
-    """Static predictors keyed by comuna."""
-    return spark.read.parquet(path)
+def read_static(spark: SparkSession, path: str, predictors: Sequence[str] | None = None, key: str = "comuna") -> DataFrame:
+    """Static predictors, one row a comuna: the wanted ones (all if none are named). Raises where a predictor is missing or a
+    comuna is repeated, as a join would then repeat the panel's rows."""
+    df = spark.read.parquet(path)
+    lost = [c for c in (key, *(predictors or ())) if c not in df.columns]
+    if lost:
+        raise ValueError(f"no column {', '.join(lost)} in {path}")
+    twice = [r[0] for r in df.groupBy(key).count().where("count > 1").orderBy(key).limit(5).collect()]
+    if twice:
+        raise ValueError(f"repeated {key}: {', '.join(map(str, twice))}")
+    return df if predictors is None else df.select(key, *predictors)
 
 
 def read_listing(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:

@@ -12,27 +12,33 @@ def write_manifest(df: DataFrame, path: str) -> None:
 
 
 def write_cropped(df: DataFrame, path: str, days: tuple[str, str] = ("product", "granule_day")) -> None:
-    """Cropped rows by product and day; rebalancing splits a crowded day over tasks. A day that is written again replaces itself, others stay."""
-    df.hint("rebalance", *days).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*days).parquet(path)
+    """Cropped rows by product and day. A day that is written again replaces itself, others stay."""
+    _write_partitions(df, path, *days)
 
 
 def write_monthly(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Grid rows by year and month; only months that are written are replaced."""
     dated = df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
-    dated.hint("rebalance", "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    _write_partitions(dated, path, "year", "month")
+
+
+def _write_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Replace the partitions that are written, leave the others; rebalancing splits a large partition over tasks."""
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_panel(df: DataFrame, path: str) -> None:
-    """Modelling panel by pollutant."""
-    df.write.mode("overwrite").partitionBy("pollutant").parquet(path)
+    """Modelling panel by pollutant; pollutants that aren't written stay."""
+    _write_partitions(df, path, "pollutant")
 
 
 def write_surface(df: DataFrame, path: str, ts: str = "hour") -> None:
-    """Exposure surface by pollutant, year and month."""
-    df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts)).write.mode("overwrite").partitionBy("pollutant", "year", "month").parquet(path)
+    """Exposure surface by pollutant, year and month; months that aren't written stay."""
+    _write_partitions(df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts)), path, "pollutant", "year", "month")
 
 
-def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Metrics as JSON, importances and comparisons as CSV; such tables are small, so one file."""
-    out = df.coalesce(1).write.mode("overwrite")
+def write_report(df: DataFrame, path: str, kind: str = "json", one_file_rows: int = 100_000) -> None:
+    """Metrics as JSON, importances and comparisons as CSV; in one file where there are at most `one_file_rows` rows, as usual."""
+    small = df.limit(one_file_rows + 1).count() <= one_file_rows
+    out = (df.coalesce(1) if small else df).write.mode("overwrite")
     out.json(path) if kind == "json" else out.option("header", True).csv(path)

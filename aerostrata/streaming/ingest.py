@@ -16,28 +16,54 @@ def dedupe_granules(stream: DataFrame, keys: tuple[str, ...] = ("granule_id", "s
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def crop_batch(batch: DataFrame, epoch: int, out: str, bbox: Bbox = CHILE) -> None:
+LEDGER = "granule_id {id}, status string, file string, n_pixels long, n_bad long, batch long"
+
+
+def _ledger(spark: SparkSession, out: str, epoch: int, kind: str) -> DataFrame:
+    """Granules that earlier batches brought to an end; a batch that runs again doesn't see its own entries."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/ledger")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LEDGER.format(id=kind))
+    return spark.read.schema(LEDGER.format(id=kind)).parquet(f"{out}/ledger").where(F.col("batch") < epoch)
+
+
+def crop_batch(batch: DataFrame, epoch: int, out: str, bbox: Bbox = CHILE, file: str = "file") -> None:
     """Crop one micro-batch: pixels, ledger, coverage and quarantine, each under the batch's own folder, so that a repeated
-    batch overwrites itself."""
+    batch overwrites itself.
+
+    A granule is one file. One that the ledger has as done or empty, under whatever file name it comes again, is not cropped
+    again but entered as `repeated`; one that comes in several files of a batch has no index box of its own file and goes to the
+    quarantine as `split`. Rows without a granule or a place go to the quarantine too, and are counted in the ledger
+    beside their granule (status `bad` where nothing else of it is left). Nothing is dropped without an entry.
+    """
     batch = batch.persist()
     try:
-        good, bad = split_valid(batch, F.col("granule_id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        cropped = crop_index_box(good, bbox)
-        tables = {
-            "pixels": cropped,
-            "quarantine": bad,
-            "coverage": coverage(cropped),
-            "ledger": empty_granules(good, bbox).unionByName(cropped.select("granule_id").distinct().withColumn("status", F.lit("done"))),
-        }
+        rule = F.col("granule_id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+        kind = batch.schema["granule_id"].dataType.simpleString()
+        known = _ledger(batch.sparkSession, out, epoch, kind).where("status in ('done', 'empty')").select("granule_id").distinct().withColumn("_known", F.lit(True))
+        files = (
+            batch.groupBy("granule_id")
+            .agg(F.count_distinct(file).alias("_files"), F.min(file).alias("_file"), F.count(F.lit(1)).alias("n_pixels"), F.count_if(~rule).alias("n_bad"))
+            .join(known, "granule_id", "left")
+            .withColumn("_state", F.when(F.col("_known"), "repeated").when(F.col("granule_id").isNotNull() & (F.col("_files") > 1), "split").when(F.col("n_bad") == F.col("n_pixels"), "bad").otherwise("new"))
+        ).persist()
+        marked = batch.join(files.select("granule_id", "_state").where("granule_id is not null"), "granule_id", "left")
+        good, bad = split_valid(marked.where("_state is null or _state <> 'repeated'"), rule & (F.col("_state") == "new"))
+        cropped = crop_index_box(good.drop("_state"), bbox)
+        ended = empty_granules(good, bbox).unionByName(cropped.select("granule_id").distinct().withColumn("status", F.lit("done")))
+        ledger = files.join(ended, "granule_id", "left").select("granule_id", F.coalesce("status", "_state").alias("status"), F.col("_file").alias("file"), "n_pixels", "n_bad")
+        reason = F.when(F.col("_state") == "split", "granule in several files").otherwise("no granule or place")
+        tables = {"pixels": cropped, "quarantine": bad.withColumn("reason", reason).drop("_state"), "coverage": coverage(cropped), "ledger": ledger}
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch={epoch}")
+        files.unpersist()
     finally:
         batch.unpersist()
 
 
 def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, schema, bbox: Bbox = CHILE, files: int = 4) -> StreamingQuery:
     """Process what is new in a landing folder, a few granule files at a time, and stop; safe to start again."""
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landing)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landing).withColumn("file", F.col("_metadata.file_name"))
     return source.writeStream.foreachBatch(lambda df, epoch: crop_batch(df, epoch, out, bbox)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -158,6 +158,204 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.products(spark).where("version = '10'").count() == 1
 
 
+def test_grid_swath_and_static_readers(spark, tmp_path):
+    grid = spark.createDataFrame([("a", -30.0, -70.0, 1.0), ("b", -31.0, -71.0, 2.0)], "product string, lat double, lon double, value double")
+    grid.write.partitionBy("product").parquet(str(tmp_path / "grid"))
+    assert [(r.product, r.value) for r in readers.read_grid(spark, str(tmp_path / "grid"), "b").collect()] == [("b", 2.0)]
+    grid.drop("product").write.parquet(str(tmp_path / "plain"))
+    assert {r["product"] for r in readers.read_grid(spark, str(tmp_path / "plain"), "c").collect()} == {"c"}
+    nested = spark.createDataFrame([("g", [-30.0, -31.0], [-70.0, -71.0], [[1.0, 2.0], [3.0, 4.0]])], "id string, lats array<double>, lons array<double>, v array<array<double>>")
+    assert {(r.lat, r.lon, r.value) for r in readers.grid_rows(nested, "lats", "lons", "v").collect()} == {(-30.0, -70.0, 1.0), (-30.0, -71.0, 2.0), (-31.0, -70.0, 3.0), (-31.0, -71.0, 4.0)}
+    pixels = spark.createDataFrame([(1, 0, 0, -30.0, -70.0, 5.0)], "granule_id int, scanline int, ground_pixel int, lat double, lon double, value double")
+    pixels.write.parquet(str(tmp_path / "swath"))
+    assert [tuple(r) for r in readers.read_swath(spark, str(tmp_path / "swath")).collect()] == [(1, 0, 0, -30.0, -70.0, 5.0)]
+    static = spark.createDataFrame([(1, 0.5, 9), (2, 0.7, 8)], "comuna int, urban double, roads int")
+    static.write.parquet(str(tmp_path / "static"))
+    assert readers.read_static(spark, str(tmp_path / "static"), ["urban"]).columns == ["comuna", "urban"]
+    assert readers.read_static(spark, str(tmp_path / "static")).count() == 2
+    obs = spark.createDataFrame([(1, 3.0), (3, 4.0)], "comuna int, observed double")
+    joined = panel.build_panel(obs, {}, ["comuna"], readers.read_static(spark, str(tmp_path / "static"), ["urban"]))
+    assert {(r.comuna, r.urban) for r in joined.collect()} == {(1, 0.5), (3, None)}
+    with pytest.raises(ValueError, match="rivers"):
+        readers.read_static(spark, str(tmp_path / "static"), ["rivers"])
+    static.union(static.limit(1)).write.parquet(str(tmp_path / "twice"))
+    with pytest.raises(ValueError, match="repeated comuna"):
+        readers.read_static(spark, str(tmp_path / "twice"))
+
+
+def test_macrozones(spark):
+    zones = {r.nombre_region: r.macrozone for r in geo.macrozones(spark).collect()}
+    assert len(zones) == 16 and zones["Biobío"] == "Sur" and zones["Atacama"] == "Norte Chico"
+
+
+def test_history_and_metadata(spark):
+    covered = spark.createDataFrame([(1, -30.0), (2, -31.0), (3, -32.0)], "granule_id int, lat_min double")
+    meta = spark.createDataFrame([(1, "made", 7), (2, None, 8)], "granule_id int, history string, orbit int")
+    got = {r.granule_id: (r.history, r.orbit, r.lat_min) for r in crop.with_history(covered, meta, "cropped").collect()}
+    assert got == {1: ("made\ncropped", 7, -30.0), 2: ("cropped", 8, -31.0), 3: ("cropped", None, -32.0)}
+
+
+def test_missing_variables_are_warned_of(spark):
+    df = spark.range(1).withColumnRenamed("id", "no2")
+    with pytest.warns(UserWarning, match="o3"):
+        assert predicates.resolve_columns(df, {"NO2": ["NO2_x", "no2"], "o3": ["O3"]}).columns == ["NO2"]
+
+
+def test_writes_leave_other_partitions(spark, tmp_path):
+    rows = spark.sql("select explode(sequence(timestamp_ntz '2020-01-01 00:00:00', timestamp_ntz '2020-03-01 00:00:00', interval 1 month)) hour, 'no2' pollutant, 1.0D estimate")
+    sinks.write_surface(rows, str(tmp_path / "s"))
+    sinks.write_surface(rows.where("month(hour) = 2").withColumn("estimate", F.lit(5.0)), str(tmp_path / "s"))
+    assert sorted((r.month, float(r.estimate)) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [(1, 1.0), (2, 5.0), (3, 1.0)]
+    two = rows.select("pollutant", "estimate").limit(1).union(rows.select(F.lit("o3"), "estimate").limit(1))
+    sinks.write_panel(two, str(tmp_path / "p"))
+    sinks.write_panel(two.where("pollutant = 'o3'"), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    sinks.write_report(spark.range(50).repartition(5), str(tmp_path / "r"))
+    sinks.write_report(spark.range(50).repartition(5), str(tmp_path / "many"), one_file_rows=10)
+    assert len(list((tmp_path / "r").glob("*.json"))) == 1 and len(list((tmp_path / "many").glob("*.json"))) == 5
+
+
+def km_by_hand(a, b):
+    x1, y1, x2, y2 = map(np.radians, (*a, *b))
+    h = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
+    return 2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(h)))
+
+
+@pytest.mark.parametrize("reach", [50.0, 700.0, 3000.0, 12000.0])
+def test_near_pairs_all_over_the_globe(spark, reach):
+    """Across the date line, at the poles and with a crowd in one place, against all pairs."""
+    rng = np.random.default_rng(1)
+    spots = [(float(rng.uniform(-180, 180)), float(rng.uniform(-90, 90))) for _ in range(60)]
+    spots += [(179.9, 10.0), (-179.9, 10.0), (0.0, 90.0), (100.0, 89.9), (0.0, -90.0), (-70.0, -33.0)] + [(-70.0 + i * 0.01, -33.0) for i in range(40)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "station int, lon double, lat double")
+    got = {(r.target, r.source): r.km for r in engines.loso_pairs(df, reach).collect()}
+    want = {(i, j): km_by_hand(a, b) for i, a in enumerate(spots) for j, b in enumerate(spots) if i != j}
+    assert set(got) == {k for k, d in want.items() if d <= reach}
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
+def test_asof_carries_over_periods(spark):
+    """A key with most of the rows, gaps of months and ties, against a search by hand."""
+    rng = np.random.default_rng(3)
+    start = dt.datetime(2020, 1, 1)
+
+    def times(n):
+        return [start + dt.timedelta(hours=int(h)) for h in rng.integers(0, 24 * 400, n)]
+
+    left = [(k, t) for k, n in ((1, 300), (2, 5), (None, 5)) for t in times(n)]
+    right = [(k, t, float(v)) for k, n in ((1, 12), (2, 2), (None, 2)) for t, v in zip(times(n), rng.integers(0, 99, n), strict=True)]
+    right += [(1, right[0][1], 500.0), (1, right[0][1], None)]
+    p = spark.createDataFrame(left, "k int, ts timestamp_ntz")
+    s = spark.createDataFrame(right, "k int, ts timestamp_ntz, v double")
+    got = sorted((r.k or 0, r.ts, r.v) for r in panel.align_asof(p, s, ["k"], "v").collect())
+
+    def latest(k, t):
+        past = [(u, v) for j, u, v in right if j == k and u <= t and v is not None]
+        return max(past)[1] if past else None
+
+    assert got == sorted((k or 0, t, latest(k, t)) for k, t in left)
+
+
+def test_points_of_real_shapes(spark):
+    """A concave polygon, one with a hole-like notch and shared edges, against a ray by hand; crowded points."""
+    shapes = {1: [(-70.0, -33.0), (-69.0, -33.0), (-69.0, -32.0), (-69.5, -32.6), (-70.0, -32.0)], 2: [(-69.0, -33.0), (-66.3, -33.0), (-66.3, -31.1), (-69.0, -32.0)]}
+    edges = [(c, i, *s[i], *s[(i + 1) % len(s)]) for c, s in shapes.items() for i in range(len(s))]
+    e = spark.createDataFrame(edges, "comuna int, edge int, lon1 double, lat1 double, lon2 double, lat2 double")
+    rng = np.random.default_rng(4)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-70.5, -66, 600), rng.uniform(-33.5, -30.5, 600), strict=True))]
+    points += [(900 + i, -69.4, -32.9) for i in range(50)] + [(990, None, -32.0), (991, NAN, -32.0), (992, -69.0, -32.5)]
+
+    def holds(s, x, y):
+        n = 0
+        for (x1, y1), (x2, y2) in zip(s, s[1:] + s[:1], strict=True):
+            n += (y1 <= y) != (y2 <= y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+        return n % 2 == 1
+
+    got = sorted((r.i, r.comuna) for r in geo.assign_comuna(spark.createDataFrame(points, "i int, lon double, lat double"), e).collect())
+    assert got == sorted((i, c) for i, x, y in points if x is not None and x == x for c, s in shapes.items() if holds(s, x, y))
+
+
+def test_surface_has_no_gaps(spark):
+    rows = spark.sql("select * from values (1, 1, 2.0D), (1, 2, null), (2, 1, 4.0D), (2, 3, 1.0D) t(comuna, hour, x)")
+    fits = spark.sql("select * from values (1, 1, 3.0D, 1.0D), (1, 2, 3.0D, 1.0D) t(comuna, hour, slope, intercept)")
+    by_hour = spark.sql("select * from values (1, 9.0D), (2, 8.0D) t(hour, mean_value)")
+    overall = spark.sql("select 1 as one, 7.0D as mean_value")
+    made = panel.surface(rows.withColumn("one", F.lit(1)), fits, [("hour", by_hour, ["hour"]), ("all", overall, ["one"])], ["comuna", "hour"], "gwr")
+    assert {(r.comuna, r.hour): (r.estimate, r.engine) for r in made.collect()} == {(1, 1): (7.0, "gwr"), (1, 2): (8.0, "hour"), (2, 1): (9.0, "hour"), (2, 3): (7.0, "all")}
+
+
+def steps(spark, n=12, hours=20):
+    """Stations whose value is a step of a; b is noise."""
+    rng = np.random.default_rng(0)
+    rows = [(f"s{i}", h, "pm25" if i % 2 else "no2", float(a), float(b), 10.0 if a > 0.5 else 2.0) for i in range(n) for h in range(hours) for a, b in [rng.uniform(size=2)]]
+    return spark.createDataFrame(rows, "station string, hour int, pollutant string, a double, b double, value double")
+
+
+def test_boosting_by_values(spark):
+    table = steps(spark)
+    holes = table.withColumn("a", F.when(F.col("hour") == 3, None).otherwise(F.col("a")))
+    got = engines.gbt_oof(holes, ["a", "b"], folds=5, maxIter=2, maxDepth=2)
+    assert got.count() == table.count()  # no row is lost
+    assert got.where("pred is null").select("hour").distinct().collect() == [(3,)]
+    near = got.where("pred is not null")
+    assert near.where("abs(pred - value) < 0.5").count() >= 0.95 * near.count()
+    assert {r.n for r in got.groupBy("fold").agg(F.count_distinct("station").alias("n")).collect()} == {2, 3}
+    assert got.groupBy("station").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    few = table.where("station in ('s1', 's2', 's3')")
+    alone = engines.gbt_oof(few, ["a", "b"], folds=None, maxIter=1, maxDepth=1)  # exact: every station by itself
+    assert {r.n for r in alone.groupBy("fold").agg(F.count_distinct("station").alias("n")).collect()} == {1} and alone.count() == few.count()
+    from pyspark.ml.linalg import Vectors
+
+    for name in ("s1", "s2", "s3"):
+        model = engines.fit_gbt(few.where(F.col("station") != name), ["a", "b"], maxIter=1, maxDepth=1)
+        for r in alone.where(F.col("station") == name).limit(5).collect():
+            assert model.predict(Vectors.dense([r.a, r.b])) == pytest.approx(r.pred)
+    ranked = engines.importances(spark, engines.fit_gbt(table, ["b", "a"], maxIter=2, maxDepth=2), ["b", "a"]).orderBy("rank").collect()
+    assert [r.feature for r in ranked] == ["a", "b"] and ranked[0].importance > 0.9 and sum(r.importance for r in ranked) == pytest.approx(1.0)
+    top = engines.top_features(table, ["b", "a"], 1, maxIter=2, maxDepth=2).collect()
+    assert {(r.pollutant, r.feature, r["rank"]) for r in top} == {("no2", "a", 1), ("pm25", "a", 1)}
+
+
+def test_kriging_by_hand_without_the_held_out_station(spark):
+    rng = np.random.default_rng(6)
+    spots = [(-70.0 + float(x), -33.0 + float(y)) for x, y in rng.uniform(0, 3, (9, 2))]
+    rows = [("p", i, h, *spots[i], float(5 * np.sin(i) + h + rng.normal())) for i in range(9) for h in range(4)]
+    table = spark.createDataFrame(rows, "pollutant string, station int, hour int, lon double, lat double, value double")
+    km = S.haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    models = engines.loso_variograms(table, 40.0, 600.0, km, ("pollutant", "hour"))
+    fitted = {r.target: (r.nugget, r.sill, r.reach) for r in models.collect()}
+    z = {(i, h): v for _, i, h, _, _, v in rows}
+    for out in range(9):
+        bins = {}
+        for i in range(9):
+            for j in range(i):
+                d = km_by_hand(spots[i], spots[j])
+                if out not in (i, j) and d <= 600:
+                    for h in range(4):
+                        bins.setdefault(int(d // 40), []).append(0.5 * (z[i, h] - z[j, h]) ** 2)
+        want = engines.fit_exponential([((b + 0.5) * 40, np.mean(g), float(len(g))) for b, g in sorted(bins.items())])
+        assert fitted[out] == pytest.approx(want, rel=1e-6, abs=1e-6)
+    places = table.select("station", "lon", "lat").distinct()
+    near = geo.neighbours(places.withColumnRenamed("station", "target"), places, 5, 600.0).where("target <> station").withColumnRenamed("station", "source")
+    sources = {}
+    for r in near.collect():
+        sources.setdefault(r.target, []).append(r.source)
+    for r in engines.krige(table, near, places, models, ("pollutant", "hour")).collect():
+        nugget, sill, reach = fitted[r.target]
+        near_by = sorted(sources[r.target])
+
+        def gamma(a, b):
+            d = km_by_hand(spots[a], spots[b])
+            return nugget + sill * (1 - np.exp(-d / reach)) if d > 0 else 0.0
+
+        n = len(near_by)
+        m = np.ones((n + 1, n + 1))
+        m[n, n] = 0
+        m[:n, :n] = [[gamma(a, b) for b in near_by] for a in near_by]
+        w = np.linalg.solve(m, [*(gamma(a, r.target) for a in near_by), 1.0])
+        assert r.pred == pytest.approx(float(w[:n] @ [z[a, r.hour] for a in near_by]), rel=1e-6, abs=1e-6) and r.n == n
+
+
 def test_empty_tables(spark):
     swath = fixture(spark, DIR, "v_swath").limit(0)
     assert crop.crop_index_box(swath).count() == 0
@@ -171,10 +369,10 @@ def test_regressions_reach_as_far_as_their_kernel(spark):
     from aerostrata.plans import engine_queries as Q
     from aerostrata.plans.fixtures import fixture
 
-    rows = Q.gwr_loso(spark, DIR).select("target", "pollutant", "hour", "n", "pred").orderBy("target", "pollutant", "hour").limit(5).collect()
+    rows = Q.gwr_loso(spark, DIR).select("target", "pollutant", "day", "n", "pred").orderBy("target", "pollutant", "day").limit(5).collect()
     panel = fixture(spark, DIR, "v_panel").toPandas()
     for r in rows:
-        same = panel[(panel.pollutant == r.pollutant) & (panel.hour == r.hour)]
+        same = panel[(panel.pollutant == r.pollutant) & (panel.day == r.day)]
         me, others = same[same.station == r.target].iloc[0], same[same.station != r.target]
         a, b = np.radians(me.lat), np.radians(others.lat)
         h = np.sin((a - b) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(me.lon - others.lon) / 2) ** 2
