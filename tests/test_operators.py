@@ -108,6 +108,20 @@ def test_wide_kernel_is_least_squares(spark):
     assert all(multi[k] == pytest.approx(v, rel=1e-4) for k, v in single.items())
 
 
+def test_network_regression_equals_pairs(spark):
+    """Matrix products by key against sums over pairs, also in small blocks, with stations that lack a value and keys with few."""
+    panel = fixture(spark, DIR, "v_panel").where("day < timestamp_ntz '2024-01-06 00:00:00'").withColumn("x", F.expr("if(station % 11 = 3, null, x)"))
+    known = panel.where("x is not null")
+    pairs = engines.loso_pairs(panel.select("station", "lon", "lat").distinct(), engines.reach(200.0))
+    keys = ["bandwidth", "target", "pollutant", "day"]
+    want = {tuple(r[k] for k in keys): r for r in engines.gwr_loso(known, pairs, [100.0, 200.0], ("pollutant", "day")).collect()}
+    for block in (7, 512):
+        got = {tuple(r[k] for k in keys): r for r in engines.gwr_network(panel, [100.0, 200.0], ("pollutant", "day"), block=block).collect()}
+        assert set(got) == set(want) and want
+        assert all(got[k].n == want[k].n and got[k].pred == pytest.approx(want[k].pred, rel=1e-6, abs=1e-6) and got[k].obs == want[k].obs for k in want)
+    assert engines.gwr_network(panel.limit(0), [100.0], ("pollutant", "day")).count() == 0
+
+
 def test_kriging_weights(spark):
     places = spark.createDataFrame([(i, -70.0 - i * 0.1, -33.0 - (i % 3) * 0.1) for i in range(6)], "station int, lon double, lat double")
     values = places.select("station", F.lit(0).alias("hour"), (F.col("station") * 2.0).alias("value"))
