@@ -6,7 +6,7 @@ linear SVMs, one for each pair of families or of languages, combined by votes an
 
 Training uses at most `per_language` labelled rows of each language, and `most` in all, shared evenly: those with the smallest
 hash of their id and text (a documented bound: the model's quality does not depend on the corpus size, and at most
-`most` vectors reach the driver, 400 MB at the default). A first pass over ids and hashes finds how large a hash may be; texts
+`most` vectors reach the driver, 200 MB at the default). A first pass over ids and hashes finds how large a hash may be; texts
 are read for the chosen rows only, and their feature vectors are made on the executors. Prediction is a map over the
 scan; its only input is the text.
 
@@ -96,7 +96,7 @@ class Duel:
         rows = []
         for i, j in self.pairs:
             mask = np.isin(labels, [self.names[i], self.names[j]])
-            rows.append(_svm(x if mask.all() else x[mask], np.where(labels[mask] == self.names[i], 1.0, -1.0).astype(np.float32)))
+            rows.append(_svm((x if mask.all() else x[mask]).astype(np.float32, copy=False), np.where(labels[mask] == self.names[i], 1.0, -1.0).astype(np.float32)))
         self.weights = np.array(rows, np.float32)
 
     def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,17 +143,26 @@ class Model:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: int, most: int) -> DataFrame:
-    """(i, l, t) of the rows to learn from: of each language those with the smallest hashes, exactly."""
+    """(i, l, t) of the rows to learn from: of each language those with the smallest hashes, exactly.
+
+    Hashes are spread evenly, so the wanted rows lie, with a margin, in a known share of their range, and only rows of that share
+    are ranked; where too few do (rows repeated word for word have one hash), the share is widened."""
     rows = labelled.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null").withColumn("h", F.xxhash64("i", "t"))
-    by_hash = Window.partitionBy("l").orderBy("h")
-    ranked = rows.select("l", "h").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_language)
-    limits = {r["l"]: r["hs"] for r in ranked.groupBy("l").agg(F.sort_array(F.collect_list("h")).alias("hs")).collect()}  # per_language at most
-    each = min(per_language, max(1, most // max(1, len(limits))))
-    last = F.lit(None).cast("long")
-    for name, hashes in limits.items():
-        last = F.when(F.col("l") == name, F.lit(hashes[:each][-1])).otherwise(last)
-    near = rows.where(F.col("h") <= last)
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("k") <= each).select("i", "l", "t")
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = min(per_language, max(1, most // max(1, len(counts))))
+    share = {name: min(1.0, (each + 6 * each**0.5) / n) for name, n in counts.items()}
+    while True:
+        last = F.lit(None).cast("long")
+        for name, part in share.items():
+            last = F.when(F.col("l") == name, F.lit(min(2**63 - 1, int(-(2**63) + part * 2**64)))).otherwise(last)
+        near = rows.where(F.col("h") <= last)
+        got = {r["l"]: r["n"] for r in near.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [name for name, n in counts.items() if got.get(name, 0) < min(each, n)]
+        if not short:
+            break
+        share |= {name: min(1.0, share[name] * 8) for name in short}
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i")))
+    return ranked.where(F.col("k") <= each).select("i", "l", "t")
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 600, most: int = 12_000) -> Model:
@@ -165,11 +174,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     kept = sample(labelled, text, lang, doc_id, per_language, most)
     got = append_columns(kept, [F.col("t")], [T.StructField("v", T.BinaryType())], vectors, keep=["i", "l"]).where("v is not null").collect()
     got.sort(key=lambda r: (r["l"], str(r["i"]), r["v"]))
-    x = np.zeros((len(got), DIMS), np.float32)
-    for i, r in enumerate(got):
-        x[i] = np.frombuffer(r["v"], np.float16)
     labels = np.array([r["l"] for r in got], dtype=object)
-    del got  # the vectors are in x now
+    x = np.zeros((len(got), DIMS), np.float16)  # a duel takes single precision of its own rows
+    for i in range(len(got)):
+        x[i] = np.frombuffer(got[i]["v"], np.float16)
+        got[i] = None
+    del got
     return Model(x, labels)
 
 

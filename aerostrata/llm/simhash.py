@@ -7,16 +7,15 @@ at most `max_bits` of the eight bytes can differ, so linked fingerprints share a
 A posting is keyed by the bytes at a set of positions; the position sets cover every choice of that many shared bytes,
 so a linked pair meets in at least one posting (single bytes would have postings of N / 256 rows and so quadratic
 output). Inside a posting the shared positional bytes of a pair are tallied, pairs below the guaranteed minimum are
-dropped and the others verified bit by bit, before a row is made. Three bytes a key serve up to 2 million distinct
-fingerprints, four beyond.
+dropped and the others verified bit by bit. Three bytes a key serve up to 2 million distinct fingerprints, four beyond; with three
+the tally drops the pairs that share those three only, with four it can't drop any, and the bits decide. Of a posting only the
+links that its components need are made, most of them to a pivot, so its output grows with its size, not with its square.
 
-Postings of more than HOT fingerprints are not paired: each of their fingerprints emits itself and its variants
+Postings of more than HOT fingerprints aren't held in one task: each of their fingerprints emits itself and its variants
 with up to max_bits / 2 flipped bits, and those that share a variant are linked through it. Two fingerprints share such
 a variant exactly if they differ in max_bits bits or fewer, so no link is lost and none invented, in linear space.
-
-With three bytes a key the tally drops the pairs of a posting that share those three only; with four it can't drop any, and
-the bits decide. Tables that are joined come from the shared folder, so that the adaptive plan splits a fingerprint or a hub
-with a large part of all rows over tasks.
+Tables that are joined come from the shared folder, so that the adaptive plan splits a fingerprint or a hub with a large part
+of all rows over tasks.
 
 Equal fingerprints are handled once, by their smallest document. Cases: null and empty texts have the fingerprint zero,
 linked like any other; a text shorter than a shingle is one shingle; a null doc_id keeps its row and its fingerprint.
@@ -36,7 +35,7 @@ from pyspark.sql import types as T
 from aerostrata.llm.common import append_columns, partitions, stored, table
 from aerostrata.llm.graph import connected_components
 
-HOT = 64
+HOT = 4096
 WIDE_FROM = 2_000_000
 BAGS = 3
 _HASHES_AT_ONCE = 1 << 16
@@ -97,49 +96,66 @@ def _byte(i: int) -> str:
     return f"(shiftrightunsigned(fp, {8 * i}) & 255L)"
 
 
-def postings(fps: DataFrame, shared: int, width: int) -> DataFrame:
-    """(key, fp) rows of the inverted index."""
-    keys = [" + ".join([f"{n * 2**32}L", *(f"shiftleft({_byte(i)}, {8 * k})" for k, i in enumerate(s))]) for n, s in enumerate(position_sets(shared, width))]
-    return fps.select(F.expr(f"explode(array({', '.join(keys)}))").alias("key"), "fp")
+def postings(nodes: DataFrame, shared: int, width: int) -> DataFrame:
+    """(key, kind, fp, id) rows of the inverted index over (kind, fp, id); fingerprints of different kinds share no key."""
+    sets = enumerate(position_sets(shared, width))
+    keys = [" + ".join([f"(kind * 128L + {n}L) * {2**32}L", *(f"shiftleft({_byte(i)}, {8 * k})" for k, i in enumerate(s))]) for n, s in sets]
+    return nodes.select(F.expr(f"explode(array({', '.join(keys)}))").alias("key"), "kind", "fp", "id")
 
 
-def links(fps: DataFrame, max_bits: int = 4, width: int | None = None, hot: int = HOT) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of the distinct fingerprints `fp` within `max_bits`."""
+def _linked(shared: int, max_bits: int) -> str:
+    """SQL of the links of one posting `xs`, an array of (fp, id), that give its components.
+
+    All near a pivot are linked to it; each of the rest to the first of those that it is near to. What is near to none of
+    them is linked to all of the rest that it is near to. So a pair within max_bits always ends in one component, without a row a pair.
+    """
+    same = " + ".join(f"int((shiftrightunsigned({{0}}.fp ^ {{1}}.fp, {8 * i}) & 255L) = 0L)" for i in range(8))
+
+    def near(x: str, y: str) -> str:  # the tally of shared bytes first, then the bits
+        return f"(({same.format(x, y)}) >= {shared} AND bit_count({x}.fp ^ {y}.fp) <= {max_bits})"
+
+    def let(name: str, value: str, body: str) -> str:
+        return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+    lone = f"flatten(transform(filter(rest, t -> t.a IS NULL), t -> transform(filter(rest, u -> u.r.id <> t.r.id AND {near('u.r', 't.r')}), u -> struct(t.r.id AS a, u.r.id AS b))))"
+    parts = f"concat(transform(around, x -> struct(p.id AS a, x.id AS b)), transform(filter(rest, t -> t.a IS NOT NULL), t -> struct(t.a.id AS a, t.r.id AS b)), {lone})"
+    rest = f"transform(filter(xs, x -> NOT {near('x', 'p')}), r -> struct(r, get(filter(around, y -> {near('y', 'r')}), 0) AS a))"
+    return let("p", "get(xs, size(xs) div 2)", let("around", f"filter(xs, x -> x.id <> p.id AND {near('x', 'p')})", let("rest", rest, parts)))
+
+
+def links_of(nodes: DataFrame, max_bits: int = 4, width: int | None = None, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between ids whose components are those of all pairs of (kind, fp, id) within `max_bits` of one kind."""
     if max_bits not in (2, 4):
         raise ValueError("max_bits must be 2 or 4")
-    shared = 8 - max_bits
+    shared, spark = 8 - max_bits, nodes.sparkSession
     if width is None:
-        width = min(shared, 3 if fps.count() <= WIDE_FROM else 4)
-    index = postings(fps.repartition(partitions(fps.sparkSession), "fp"), shared, width)
+        width = min(shared, 3 if nodes.count() <= WIDE_FROM else 4)
+    index = postings(nodes.repartition(partitions(spark), "fp"), shared, width)
     sizes = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     sized = stored(index.join(sizes.hint("merge"), "key"))
-    same = " + ".join(f"int((shiftrightunsigned(x ^ y, {8 * i}) & 255L) = 0L)" for i in range(8))
-    near = (
-        sized.where(F.col("n") <= hot)
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .select(
-            F.expr(
-                f"""explode(flatten(transform(fps, (x, i) -> transform(filter(slice(fps, i + 2, {hot}),
-                    y -> ({same}) >= {shared} and bit_count(x ^ y) <= {max_bits}), y -> struct(x as a, y as b)))))"""
-            ).alias("p")
-        )
-        .select("p.a", "p.b")
-        .distinct()
-    )
-    crowded = sized.where(F.col("n") > hot).select("fp").distinct().repartition(partitions(fps.sparkSession), "fp")  # a row becomes two thousand
+    found = sized.where(F.col("n") <= hot).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "id"))).alias("xs"))
+    near = found.select(F.explode(F.expr(_linked(shared, max_bits))).alias("p")).select("p.a", "p.b").distinct()
+    crowded = sized.where(F.col("n") > hot).select("kind", "fp", "id").distinct()
+    if not crowded.limit(1).count():
+        return near
     flips = "flatten(transform(sequence(1, 64), i -> transform(sequence(0, i - 1), j -> fp ^ shiftleft(1L, j) ^ if(i = 64, 0L, shiftleft(1L, i)))))"
     if max_bits == 2:
         flips = "transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))"
-    variants = crowded.select("fp", F.expr(f"explode(concat(array(fp), {flips}))").alias("v"))
-    hubs = stored(variants.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("v", "a"))
-    through = variants.join(hubs.hint("merge"), "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    spread = crowded.repartition(partitions(spark), "fp")  # a row becomes two thousand
+    variants = spread.select("kind", "id", F.expr(f"explode(concat(array(fp), {flips}))").alias("v"))
+    hubs = stored(variants.groupBy("kind", "v").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("kind", "v", "a"))
+    through = variants.join(hubs.hint("merge"), ["kind", "v"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     return near.union(through)
 
 
-def _classes(marked: DataFrame, fp: str, max_bits: int) -> DataFrame:
-    """(fp, c) of every distinct fingerprint of a column: the smallest fingerprint reachable over links."""
-    nodes = stored(marked.select(F.col(fp).alias("fp")).distinct())
+def links(fps: DataFrame, max_bits: int = 4, width: int | None = None, hot: int = HOT) -> DataFrame:
+    """The same for distinct fingerprints `fp` of one kind, as links between fingerprints."""
+    return links_of(fps.select(F.lit(0).alias("kind"), "fp", F.col("fp").alias("id")), max_bits, width, hot)
+
+
+def _classes(marked: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, c) of every distinct fingerprint: the smallest fingerprint reachable over links."""
+    nodes = stored(marked.select("fp").distinct())
     found = connected_components(links(nodes, max_bits))
     return stored(nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("c")))
 
@@ -147,7 +163,7 @@ def _classes(marked: DataFrame, fp: str, max_bits: int) -> DataFrame:
 def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id reachable over links, itself included."""
     marked = stored(fingerprints(df.select(doc_id, text), text, words, keep=[doc_id]))
-    classes = _classes(marked, "fp", max_bits)
+    classes = _classes(marked, max_bits)
     firsts = marked.groupBy("fp").agg(F.min(doc_id).alias("first"))
     least = stored(firsts.join(classes.hint("merge"), "fp").groupBy("c").agg(F.min("first").alias("component_id")))
     by_fp = stored(classes.join(least.hint("merge"), "c").select("fp", "component_id"))
@@ -165,15 +181,10 @@ def copies(df: DataFrame, key: str, text: str = "text", words: int = 5, max_bits
     fields = [T.StructField("v", T.ArrayType(T.LongType()))]
     marked = stored(append_columns(df, [F.col(text)], fields, lambda texts: [[[fingerprint_of(t, words), *word_sets_of(t)] for t in texts]], [key]))
     nodes = stored(marked.select("v").distinct().withColumn("node", F.monotonically_increasing_id()))  # fixed by being written
-    edges = None
-    for k in range(1 + BAGS):
-        firsts = stored(nodes.groupBy(F.col("v")[k].alias("fp")).agg(F.min("node").alias("m")))
-        same = nodes.select(F.col("v")[k].alias("fp"), "node").join(firsts.hint("merge"), "fp").select(F.col("node").alias("a"), F.col("m").alias("b"))
-        found = links(firsts.select("fp"), max_bits)
-        ends = [firsts.select(F.col("fp").alias(c), F.col("m").alias(f"m{c}")).hint("merge") for c in "ab"]
-        near = found.join(ends[0], "a").join(ends[1], "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
-        edges = same.union(near) if edges is None else edges.union(same).union(near)
-    found = stored(connected_components(edges))
+    each = nodes.select("node", F.posexplode("v").alias("kind", "fp"))
+    firsts = stored(each.groupBy("kind", "fp").agg(F.min("node").alias("id")))
+    same = each.join(firsts.hint("merge"), ["kind", "fp"]).where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    found = stored(connected_components(same.union(links_of(firsts, max_bits))))
     groups = stored(nodes.join(found.hint("merge"), "node", "left").select("v", F.coalesce("component", "node").alias("g")))
     rows = stored(marked.groupBy("v", key).agg(F.count(F.lit(1)).alias("n")).join(groups.hint("merge"), "v").select(key, "n", "g"))
     keep = stored(rows.groupBy("g").agg(F.min(key).alias("keep")))
