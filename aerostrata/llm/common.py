@@ -42,7 +42,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(df: DataFrame, gone: DataFrame, key: str, broadcast_rows: int = 500_000) -> DataFrame:
+def without(df: DataFrame, gone: DataFrame, key: str, broadcast_rows: int = 200_000) -> DataFrame:
     """Rows of `df` whose key isn't in `gone` (one column `key`, distinct, stored): a broadcast of what was counted to be
     at most `broadcast_rows` keys, so that texts stay where they are, else a merge join."""
     small = gone.limit(broadcast_rows + 1).count() <= broadcast_rows

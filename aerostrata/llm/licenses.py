@@ -22,12 +22,13 @@ named like a result are replaced, all others stay.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil, log
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerostrata.llm.common import ascii_lower, clear_of, stored, table
+from aerostrata.llm.common import ascii_lower, stored, table
 from aerostrata.llm.license_texts import TEXTS
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -63,12 +64,12 @@ def _at(words: list[str], start: str) -> str:
     return " AND ".join(f"get(words, {start} + {k}) = '{w}'" for k, w in enumerate(words))
 
 
-def noted(df: DataFrame, text: str, templates) -> DataFrame:
-    """One pass over the texts: c0, c1, ... (the table's columns), n_words, b0, b1, b2 (places of base phrases), voc (distinct
+def noted(df: DataFrame, text: str, templates, keep: Sequence[str] | None = None) -> DataFrame:
+    """One pass over the texts: c0, c1, ... (the columns to keep), n_words, b0, b1, b2 (places of base phrases), voc (distinct
     licence words), cands (templates whose key words are all there) and, where there are any, words."""
     vocabulary = sorted({w for _, body, _ in templates for w in body.split()})
     keys = "array(" + ", ".join(_array(sorted(set(phrase.split()), key=lambda w: (-len(w), w))) for _, _, phrase in templates) + ")"
-    docs = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], words_of(F.col(f"`{text}`")).alias("norm"))
+    docs = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns if keep is None else keep)], words_of(F.col(f"`{text}`")).alias("norm"))
     docs = docs.withColumn("words", F.expr("if(norm = '', array(), split(norm, ' ', -1))"))
     for k, p in enumerate(BASE):
         places = f"if(instr(concat(' ', norm, ' '), ' {p} ') = 0, array(), filter(sequence(0, size(words) - 1), i -> {_at(p.split(), 'i')}))"
@@ -119,9 +120,11 @@ def matches(templates, idf: dict[str, float], coverage: float) -> str:
     return f"filter(transform(cands, c -> {each}), m -> m.score >= {coverage})"
 
 
-def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
-    """Adds n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    notes = stored(noted(df, text, templates))
+def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, coverage: float = COVERAGE, keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to the columns `keep` (all). The notes of a pass
+    hold these columns, so texts are written only where they are kept."""
+    names = list(df.columns if keep is None else keep)
+    notes = stored(noted(df, text, templates, names))
     found = notes.withColumn("found", F.expr(matches(templates, idf_of(notes), coverage)))
     base = F.array_compact(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]))
     places = F.concat(*[F.col(f"b{k}") for k in range(len(BASE))])
@@ -129,9 +132,8 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, coverage: float
     def joined(labels):
         return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
-    kept = clear_of(df, RESULTS).columns
     return found.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c in kept],
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in RESULTS],
         "n_words",
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
@@ -144,7 +146,7 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, coverage: float
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
 def _oracle() -> str:

@@ -328,6 +328,43 @@ def test_near_duplicates_of_changed_words(spark):
     assert not any(near_copies(spark, [(" ".join(words(200)), " ".join(words(200))) for _ in range(20)]))
 
 
+def test_near_duplicates_against_brute_force(spark):
+    """What the stage keeps of a table with copies of all kinds, from fingerprints and pairs by hand."""
+    import re
+
+    import corpus_pipeline
+    import xxhash
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+
+    def words(text):
+        return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    def bits(hashes, n):
+        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > n)
+
+    def marks(text):
+        w = words(text)
+        if not w:
+            return [0] * 4
+        shingles = [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+        bag = sorted(set(w))
+        halves = [xxhash.xxh3_128_digest(x.encode(), 42) for x in bag]
+        kinds = [[xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]]
+        kinds += [[int.from_bytes(h[k : k + 8], "little") for h in halves] for k in (0, 8)]
+        kinds.append([int.from_bytes(xxhash.xxh64_digest(x.encode(), 42), "little") for x in bag])
+        return [bits(k, len(k)) for k in kinds]
+
+    found = [marks(t) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if any((a ^ b).bit_count() <= 4 for a, b in zip(found[i], found[j], strict=True))]
+    groups = {}
+    for (doc, _), g in zip(rows, union_find(len(rows), near), strict=True):
+        groups.setdefault(g, []).append(doc)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()}
+    assert got == {min(g) for g in groups.values()} and len(got) < len(rows)
+
+
 def test_near_duplicates_with_repeated_ids(spark):
     import corpus_pipeline
 
