@@ -38,6 +38,7 @@ from aerostrata.llm.graph import connected_components
 HOT = 4096
 WIDE_FROM = 2_000_000
 BAGS = 3
+KIND_AT = 40
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -83,6 +84,11 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 4, seed: int =
 @lru_cache
 def position_sets(shared: int, width: int) -> list[tuple[int, ...]]:
     """Sets of `width` byte positions such that any `shared` of the eight positions hold one of them."""
+    if (shared, width) == (4, 3):
+        # in a ring of three groups: three positions of a group, or two of a group and one of the next; the fewest possible
+        groups = [{0, 1, 2}, {3, 4, 5}, {6, 7}]
+        counts = {s: [len(g & set(s)) for g in groups] for s in combinations(range(8), 3)}
+        return [s for s, c in counts.items() if 3 in c or any(c[g] == 2 and c[(g + 1) % 3] == 1 for g in range(3))]
     missing = set(combinations(range(8), shared))
     out = []
     while missing:
@@ -97,10 +103,10 @@ def _byte(i: int) -> str:
 
 
 def postings(nodes: DataFrame, shared: int, width: int) -> DataFrame:
-    """(key, kind, fp, id) rows of the inverted index over (kind, fp, id); fingerprints of different kinds share no key."""
+    """(key, fp, id) rows of the inverted index over (kind, fp, id); a key tells the kind, shifted by KIND_AT, the positions and the bytes."""
     sets = enumerate(position_sets(shared, width))
-    keys = [" + ".join([f"(kind * 128L + {n}L) * {2**32}L", *(f"shiftleft({_byte(i)}, {8 * k})" for k, i in enumerate(s))]) for n, s in sets]
-    return nodes.select(F.expr(f"explode(array({', '.join(keys)}))").alias("key"), "kind", "fp", "id")
+    keys = [" + ".join([f"kind * {2**KIND_AT}L + {n * 2**32}L", *(f"shiftleft({_byte(i)}, {8 * k})" for k, i in enumerate(s))]) for n, s in sets]
+    return nodes.select(F.expr(f"explode(array({', '.join(keys)}))").alias("key"), "fp", "id")
 
 
 def _linked(shared: int, max_bits: int) -> str:
@@ -135,7 +141,7 @@ def links_of(nodes: DataFrame, max_bits: int = 4, width: int | None = None, hot:
     sized = stored(index.join(sizes.hint("merge"), "key"))
     found = sized.where(F.col("n") <= hot).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "id"))).alias("xs"))
     near = found.select(F.explode(F.expr(_linked(shared, max_bits))).alias("p")).select("p.a", "p.b").distinct()
-    crowded = sized.where(F.col("n") > hot).select("kind", "fp", "id").distinct()
+    crowded = sized.where(F.col("n") > hot).select(F.shiftright("key", KIND_AT).alias("kind"), "fp", "id").distinct()
     if not crowded.limit(1).count():
         return near
     flips = "flatten(transform(sequence(1, 64), i -> transform(sequence(0, i - 1), j -> fp ^ shiftleft(1L, j) ^ if(i = 64, 0L, shiftleft(1L, i)))))"
