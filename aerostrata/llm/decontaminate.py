@@ -86,7 +86,8 @@ def windows(df: DataFrame, literal: str, template: str, keep: list[str]) -> Data
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, h, width, of, item_pos, covers, item_slots, template_width) of the benchmark's windows; `covers` literal windows from item_pos on."""
+    """(item_id, h, width, frame, of, item_pos, covers, item_slots) of the benchmark's windows: `width` of the item's literal windows and
+    `frame` of its template's, `of` its literal windows, of which this one stands for `covers` from item_pos on."""
     sized = items.withColumn("width", F.least(F.size("toks"), F.lit(width))).where("width > 0")
     # once more with names as plain words, as texts in small or in capital letters show them
     named = sized.where("exists(toks, x -> startswith(x, '#p'))").withColumn("toks", F.expr("transform(toks, x -> if(startswith(x, '#p'), substr(x, 3), x))"))
@@ -95,9 +96,11 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
         framed = form.withColumn("frame", F.expr(f"least(size({_STARTS}), {width})")).withColumn("of", F.size("toks") - F.col("width") + 1)
         parts.append(windows(framed, literal, "array(frame)", ["item_id", "width", "frame", "of", "toks"]))
     found = parts[0].unionByName(parts[1])
-    lexical = F.size("slots") * 2 <= F.when(F.size("slots") > 0, F.col("frame")).otherwise(F.col("width"))
+    templated = F.size("slots") > 0
+    lexical = F.size("slots") * 2 <= F.when(templated, F.col("frame")).otherwise(F.col("width"))
+    covers = F.col("stop") - F.col("pos") - F.col("width") + 1
     return found.where(lexical).select(
-        "item_id", "h", "width", F.when(F.size("slots") > 0, F.col("frame")).alias("frame"), "of", F.col("pos").alias("item_pos"), (F.col("stop") - F.col("pos") - F.col("width") + 1).alias("covers"), F.col("slots").alias("item_slots")
+        "item_id", "h", "width", F.when(templated, F.col("frame")).alias("frame"), "of", F.col("pos").alias("item_pos"), covers.alias("covers"), F.col("slots").alias("item_slots")
     )
 
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, log
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerostrata.llm.common import ascii_lower, stored, table
@@ -46,7 +46,7 @@ def _as_words(text: str) -> str:
 TEMPLATES = tuple((label, _as_words(text), phrase) for label, phrase, text in TEXTS)
 
 
-def words_of(text) -> F.Column:
+def words_of(text: Column) -> Column:
     """The words of a text, joined by one space."""
     return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
 

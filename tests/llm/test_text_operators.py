@@ -585,7 +585,6 @@ def test_surrogate_pairs_and_offsets():
 
 def test_memory_of_a_long_text():
     """50 MB of base64 in one text."""
-    import resource
     import subprocess
     import sys
 
