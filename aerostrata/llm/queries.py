@@ -4,7 +4,9 @@ from aerostrata.llm import chat_format, decontaminate, licenses
 from aerostrata.llm.ann import op4_nearest_vectors
 from aerostrata.llm.html_text import op5_html_text
 from aerostrata.llm.langid import op6_language_id
+from aerostrata.llm.mixing import op11_mix_sources
 from aerostrata.llm.packing import op1_token_packing
+from aerostrata.llm.runs import op13_periodic_runs
 from aerostrata.llm.secrets import op9_secret_scan
 from aerostrata.llm.sentencepiece_bpe import op2_sentencepiece
 from aerostrata.llm.simhash import op10_simhash_dedup
@@ -20,6 +22,8 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_mix_sources": op11_mix_sources,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE, "op8_chat_format": chat_format.ORACLE}
