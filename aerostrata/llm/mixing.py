@@ -11,7 +11,8 @@ do the source's. A document left over meets the next one.
 How it spreads: a source is dealt into blocks of about `block` rows by a hash of id and size, however large it is. A task walks
 through its blocks in order of falling size, one row at a time, and no block is held; the one document that a block leaves
 over is a small one. Leftovers go up a reduction tree, `fan` blocks a node, until a source has one, which is drawn. So the words
-of a source miss its target by less than that one document, which stands at the small end of its size order.
+of a source miss its target by less than that one document: a small one, from the end of the size order, unless the fractions of the
+whole source hold fewer words than its largest document (then no rounding that keeps expectations comes nearer for sure).
 Draws are hashes of seed, source, node and place, so reruns agree whatever the number of tasks.
 
 Cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own; a source without words has target

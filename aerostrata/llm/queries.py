@@ -10,6 +10,7 @@ from aerostrata.llm.runs import op13_periodic_runs
 from aerostrata.llm.secrets import op9_secret_scan
 from aerostrata.llm.sentencepiece_bpe import op2_sentencepiece
 from aerostrata.llm.simhash import op10_simhash_dedup
+from aerostrata.llm.spelling import op12_spelling_variants
 
 QUERIES = {
     "op1_token_packing": op1_token_packing,
@@ -23,6 +24,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_mix_sources": op11_mix_sources,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
