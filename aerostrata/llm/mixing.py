@@ -5,14 +5,13 @@ words; a source is read at most `most` times, and what it can't give is shared a
 document of a source is due target / source_size times, a whole number and a fraction.
 
 Fractions become zero or one in pairs. A pair moves words (fraction times size) from one document to the other until
-one of both is whole; which way is drawn so that every document keeps its expectation. The pair's words stay what they were, and so
-do the source's. A document left over meets the next one.
+one of both is whole; which way is drawn so that both keep their expectation. The pair's words stay what they were, and so
+do the source's. A document left over meets the next one; the last one of a source is rounded to the nearer side.
 
 How it spreads: a source is dealt into blocks of about `block` rows by a hash of id and size, however large it is. A task walks
 through its blocks in order of falling size, one row at a time, and no block is held; the one document that a block leaves
-over is a small one. Leftovers go up a reduction tree, `fan` blocks a node, until a source has one, which is drawn. So the words
-of a source miss its target by less than that one document: a small one, from the end of the size order, unless the fractions of the
-whole source hold fewer words than its largest document (then no rounding that keeps expectations comes nearer for sure).
+over is a small one. Leftovers go up a reduction tree, `fan` blocks a node, until a source has one. So the words of a source
+miss its target by half of that one document at most: a small one as a rule, from the end of the size order.
 Draws are hashes of seed, source, node and place, so reruns agree whatever the number of tasks.
 
 Cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own; a source without words has target
@@ -79,7 +78,7 @@ def with_targets(sources: DataFrame, share: float = SHARE, most: float = MOST) -
 def _pivot(batches: Iterator[pa.RecordBatch], schema: T.StructType, level: int, last: bool, seed: int) -> Iterator[pa.RecordBatch]:
     """Rounds fractions in the order of the rows, which come by source and node.
 
-    Every row leaves with its copies and, where it is a node's leftover, its fraction; in the last round leftovers are drawn.
+    Every row leaves with its copies and, where it is a node's leftover, its fraction; in the last round leftovers are rounded.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from xxhash import xxh64_intdigest
@@ -104,7 +103,7 @@ def _pivot(batches: Iterator[pa.RecordBatch], schema: T.StructType, level: int,
         nonlocal carried
         if carried is not None:
             if last:
-                settle(carried, float(draw() < carried[at_part]))
+                settle(carried, float(carried[at_part] > 0.5 or carried[at_part] == 0.5 and draw() < 0.5))
             out.append(carried)
         carried = None
 

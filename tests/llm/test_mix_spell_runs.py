@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerostrata.llm import mixing, runs, spelling
 from aerostrata.llm.fm_index import FmIndex
@@ -58,11 +60,11 @@ def test_mix_of_all_documents(spark):
         assert r.copies in (int(want[r.source] / sizes[r.source]), -(-want[r.source] // sizes[r.source]))
         taken[r.source] += r.taken
     largest = {s: max(r["size"] for r in got if r.source == s) for s in sizes}
-    assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 for s in sizes)
 
 
 def test_mix_is_near_its_targets_and_reruns_agree(spark):
-    """A source with half of all rows: a deep tree over small blocks misses one document at most, large blocks leave a small one."""
+    """A source with half of all rows, in many blocks of a deep tree, and heavy tails of sizes: half of a document is the most missed."""
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * min(900, int(rng.paretovariate(0.8)) + 1)), "hot" if i % 2 else f"s{i % 7}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -71,25 +73,26 @@ def test_mix_is_near_its_targets_and_reruns_agree(spark):
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
     sums = [F.sum("taken").alias("t"), F.first("target").alias("target"), F.max("size").alias("largest")]
     for r in first.groupBy("source").agg(*sums).collect():
-        assert abs(r.t - r.target) <= r.largest, r
-    for r in mixing.mix(docs).where("source = 'hot'").groupBy("source").agg(*sums).collect():
-        assert abs(r.t - r.target) <= 25, r
+        assert abs(r.t - r.target) <= r.largest / 2, r
+    for r in mixing.mix(docs.where("length(text) < 60")).groupBy("source").agg(*sums).collect():
+        assert abs(r.t - r.target) <= 15, r
     other = mixing.mix(docs, block=40, fan=3, seed=7)
     assert first.select("doc_id", "copies").exceptAll(other.select("doc_id", "copies")).count() > 0
 
 
-def test_mix_keeps_expectations(spark):
-    """Over many seeds every document is taken as often as it is due."""
-    docs = spark.createDataFrame([(i, " ".join(["w"] * (3 * i + 1)), "a") for i in range(6)] + [(9, "w " * 40, "b"), (10, "w " * 30, "c")], "doc_id long, text string, source string")
-    due = mixing.mix(docs, weights=(1, 3, 2)).withColumn("rate", F.col("target") / F.col("source_size")).withColumn("n", F.lit(6)).drop("copies", "taken").cache()
-    rate = {r.doc_id: r.rate for r in due.collect()}
-    draws = 80
-    total = Counter()
+def test_mix_keeps_expectations():
+    """Over many seeds every document is taken as often as it is due; words stay the same in each."""
+    kind = T.StructType.fromDDL("doc_id long, source string, node long, size long, copies long, part double")
+    rows = [(i, "a", 0, 90 - i, 1, [0.2, 0.45, 0.7][i % 3]) for i in range(60)]
+    due = sum(r[3] * (r[4] + r[5]) for r in rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=kind.fieldNames())
+    draws, total = 600, Counter()
     for seed in range(draws):
-        for r in mixing.round_copies(due, seed=seed).collect():
-            total[r.doc_id] += r.copies
-    for i, r in rate.items():
-        assert abs(total[i] / draws - r) < 4 * (0.25 / draws) ** 0.5, (i, total[i], r)
+        got = [r for part in mixing._pivot(iter([batch.slice(0, 25), batch.slice(25)]), kind, 0, True, seed) for r in part.to_pylist()]
+        assert len(got) == 60 and {r["part"] for r in got} == {0.0}
+        assert abs(sum(r["size"] * r["copies"] for r in got) - due) <= 45
+        total.update({r["doc_id"]: r["copies"] - 1 for r in got})
+    assert all(abs(total[r[0]] / draws - r[5]) < 4.5 * (0.25 / draws) ** 0.5 for r in rows[:55])
 
 
 def test_targets_of_many_sources(spark):
