@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerostrata.operators.network import pair_sums
+
 
 def hour_of(ts: Column | str) -> Column:
     """The hour a time falls in, as timestamp_ntz."""
@@ -78,16 +80,11 @@ def rank_engines(scores: DataFrame, score: str = "rmse", by: str = "pollutant",
     return scores.withColumn("rank", F.rank().over(Window.partitionBy(by).orderBy(score)))
 
 
-def semivariogram(obs: DataFrame, bin_km: float, max_km: float, km: Column, keys: Sequence[str] = ("pollutant", "hour")) -> DataFrame:
-    """Empirical semivariogram: half the mean squared difference of station pairs of the same hour, by distance bin.
-
-    Stations of an hour are few (about a hundred), so pairs are bounded by the network, not by the length of the record.
-    """
-    a = obs.select(*keys, F.col("station").alias("s1"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.col("value").alias("z1"))
-    b = obs.select(*keys, F.col("station").alias("s2"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), F.col("value").alias("z2"))
-    pairs = a.join(b, list(keys)).where("s1 < s2").withColumn("km", km).where(F.col("km") <= max_km)
-    half = 0.5 * (F.col("z1") - F.col("z2")) * (F.col("z1") - F.col("z2"))
-    return pairs.groupBy(keys[0], F.floor(F.col("km") / bin_km).cast("long").alias("distance_bin")).agg(F.avg(half).alias("gamma"), F.count(F.lit(1)).alias("n_pairs"))
+def semivariogram(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str] = ("pollutant", "hour"), period: str = "month") -> DataFrame:
+    """Empirical semivariogram: half the mean squared difference of station pairs of the same hour, by distance bin, without a row a pair."""
+    ends = pair_sums(obs, bin_km, max_km, keys, period)
+    sums = ends.groupBy(keys[0], F.col("bin").alias("distance_bin")).agg(F.sum("h").alias("_h"), F.sum("n").alias("_n"))
+    return sums.select(keys[0], "distance_bin", (F.col("_h") / F.col("_n")).alias("gamma"), (F.col("_n") / 2).cast("long").alias("n_pairs"))
 
 
 def hour_gaps(df: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFrame:

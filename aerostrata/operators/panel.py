@@ -82,3 +82,36 @@ def surface(spine: DataFrame, fits: DataFrame, means: Sequence[tuple[str, DataFr
         out = out.withColumn("engine", F.when(F.col("engine").isNull() & F.col("_mean").isNotNull(), F.lit(tag)).otherwise(F.col("engine")))
         out = out.withColumn("estimate", F.coalesce("estimate", "_mean")).drop("_mean")
     return out.drop("slope", "intercept", x)
+
+
+def choose_engines(oof: DataFrame, keys: Sequence[str] | None = None, by: str = "pollutant") -> DataFrame:
+    """(by, engine, rmse, n, rank) of out-of-fold rows (by, engine, obs, pred), best first (ties: by name). With `keys`, which name a row, engines
+    are compared on the rows that all engines of their pollutant predict."""
+    known = oof.where("obs is not null and pred is not null and not isnan(pred)")
+    if keys is not None:
+        wanted = known.groupBy(by).agg(F.count_distinct("engine").alias("_all"))
+        shared = known.groupBy(*keys).agg(F.count_distinct("engine").alias("_n")).join(wanted, by).where("_n = _all").select(*keys)
+        known = known.join(shared, list(keys), "left_semi")
+    error = F.col("obs") - F.col("pred")
+    scores = known.groupBy(by, "engine").agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("rmse", "engine")))
+
+
+def surface_of_engines(spine: DataFrame, estimates: dict[str, DataFrame], choice: DataFrame, means: Sequence[tuple[str, DataFrame, Sequence[str]]], keys: Sequence[str], by: str = "pollutant") -> DataFrame:
+    """Every row of the spine with an estimate and the engine that made it: the best one of its pollutant (`choice`: by, engine, rank) that
+    has an estimate (`estimates`: keys and estimate by engine) there, else the first of `means`, as in `surface`."""
+    out, columns = spine.select(*keys), {}
+    for i, (name, df) in enumerate(sorted(estimates.items())):
+        columns[name] = f"_e{i}"
+        made = df.where("estimate is not null and not isnan(estimate)").select(*keys, F.col("estimate").alias(columns[name]))
+        out = out.join(made, list(keys), "left")
+    order = choice.where(F.col("engine").isin(*columns)).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "engine"))), lambda x: x["engine"]).alias("_order"))
+    value = F.create_map(*[x for name, c in columns.items() for x in (F.lit(name), F.col(c))])
+    out = out.join(order, by, "left").withColumn("_by", value)
+    out = out.withColumn("engine", F.expr("get(filter(coalesce(_order, array()), e -> _by[e] IS NOT NULL), 0)"))
+    out = out.withColumn("estimate", F.expr("_by[engine]")).drop("_order", "_by", *columns.values())
+    for tag, table, on in means:
+        out = out.join(table.select(*on, F.col("mean_value").alias("_mean")), list(on), "left")
+        out = out.withColumn("engine", F.when(F.col("engine").isNull() & F.col("_mean").isNotNull(), F.lit(tag)).otherwise(F.col("engine")))
+        out = out.withColumn("estimate", F.coalesce("estimate", "_mean")).drop("_mean")
+    return out

@@ -49,6 +49,19 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
  -56.5e0+CAST(FLOOR(n_nationkey/5e0) AS DOUBLE)*7.9e0 + CASE e.i WHEN 0 THEN 1e0 WHEN 1 THEN 8.9e0 WHEN 2 THEN 7.9e0 ELSE 0e0 END lat2
  FROM nation CROSS JOIN (SELECT 0 i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) e""",
     ),
+    "v_comuna_rect": (
+        ("nation",),
+        """SELECT n_nationkey comuna, e.i edge, -79.7e0 + (n_nationkey % 5)*3.7e0 + CASE WHEN e.i IN (1,2) THEN 3.7e0 ELSE 0e0 END lon1,
+ -58.3e0 + CAST(FLOOR(n_nationkey/5e0) AS DOUBLE)*7.3e0 + CASE WHEN e.i IN (2,3) THEN 7.3e0 ELSE 0e0 END lat1,
+ -79.7e0 + (n_nationkey % 5)*3.7e0 + CASE WHEN e.i IN (0,1) THEN 3.7e0 ELSE 0e0 END lon2,
+ -58.3e0 + CAST(FLOOR(n_nationkey/5e0) AS DOUBLE)*7.3e0 + CASE WHEN e.i IN (1,2) THEN 7.3e0 ELSE 0e0 END lat2
+ FROM nation CROSS JOIN (SELECT 0 i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) e""",
+    ),
+    "v_place": (("customer",), "SELECT c_custkey place, -180e0 + (c_custkey*37 % 3600)*0.1e0 lon, -90e0 + (c_custkey*61 % 1801)*0.1e0 lat FROM customer"),
+    "v_visit": (
+        ("orders",),
+        f"SELECT o_orderkey visit, o_custkey % 100 station, {_LON.format('(o_custkey % 100)')} lon, {_LAT.format('(o_custkey % 100)')} lat, o_orderdate ts FROM orders",
+    ),
     "v_reply": (
         ("documents",),
         """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN CONCAT(text, ' Sin datos') WHEN doc_id % 13 = 0 THEN CONCAT(text, ' No Existe')

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerostrata.functions.scalar import haversine_km
 from aerostrata.operators import aggregate as A
 from aerostrata.operators import geo as G
 from aerostrata.operators import panel as N
@@ -208,8 +207,7 @@ def rank_engines(spark, d):
 )
 def semivariogram(spark, d):
     """Half mean squared differences of stations by distance."""
-    km = haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return A.semivariogram(fixture(spark, d, "v_panel"), 200.0, 2000.0, km, ("pollutant", "day")).withColumn("gamma", F.round("gamma", 4))
+    return A.semivariogram(fixture(spark, d, "v_panel"), 200.0, 2000.0, ("pollutant", "day")).withColumn("gamma", F.round("gamma", 4))
 
 
 @query(

@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from aerostrata.plans import engine_queries, panel_queries, source_queries  # noqa: E402, F401
+from aerostrata.plans import engine_queries, panel_queries, source_queries, surface_queries  # noqa: E402, F401

@@ -103,7 +103,7 @@ def test_wide_kernel_is_least_squares(spark):
     for i in range(30):
         keep = np.arange(30) != i
         assert got[i] == pytest.approx(np.polyfit(x[keep], y[keep], 1)[0], rel=1e-6)
-    multi = {r.target: r.pred for r in engines.gwr_multi(df, pairs, ["x"], 1e9).collect()}
+    multi = {r.target: r.pred for r in engines.gwr_multi(df, ["x"], 1e9).collect()}
     single = {r.target: r.pred for r in engines.gwr_loso(df, pairs, [1e9]).collect()}
     assert all(multi[k] == pytest.approx(v, rel=1e-4) for k, v in single.items())
 
@@ -335,8 +335,7 @@ def test_kriging_by_hand_without_the_held_out_station(spark):
     spots = [(-70.0 + float(x), -33.0 + float(y)) for x, y in rng.uniform(0, 3, (9, 2))]
     rows = [("p", i, h, *spots[i], float(5 * np.sin(i) + h + rng.normal())) for i in range(9) for h in range(4)]
     table = spark.createDataFrame(rows, "pollutant string, station int, hour int, lon double, lat double, value double")
-    km = S.haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    models = engines.loso_variograms(table, 40.0, 600.0, km, ("pollutant", "hour"))
+    models = engines.loso_variograms(table, 40.0, 600.0, ("pollutant", "hour"))
     fitted = {r.target: (r.nugget, r.sill, r.reach) for r in models.collect()}
     z = {(i, h): v for _, i, h, _, _, v in rows}
     for out in range(9):
