@@ -67,6 +67,8 @@ class Boosted:
 
     def _scored(self, df: DataFrame, fold: bool, name: str) -> DataFrame:
         """Rows with the prediction of their fold's model, or of that of all rows."""
+        if not self.groups:
+            return df.withColumn(name, F.lit(None).cast("double"))
         n = len(self.features)
         rows = df.withColumns({"_g": _code(self), **{f"_f{i}": F.col(f).cast("double") for i, f in enumerate(self.features)}})
         sent = df.sparkSession.sparkContext.broadcast(_plain(self))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerostrata.operators import aggregate as A
+from aerostrata.operators import boosting as B
 from aerostrata.operators import engines as E
 from aerostrata.operators import geo as G
 from aerostrata.operators import panel as N
@@ -121,11 +122,11 @@ def surface_engines(spark, d):
     fits = E.gwr_fit(panel, pairs, [300.0], KEYS).withColumnRenamed("target", "comuna")
     near, models = _kriging(panel, targets, stations)
     kriged = E.krige(panel, near, stations, models, KEYS, time="day").withColumnRenamed("target", "comuna")
-    boosted = E.score_gbt(E.fit_gbt(panel, FEATURES, maxIter=5, maxDepth=3), spine, FEATURES)
+    model = B.fit(panel, FEATURES, by="pollutant", trees=4, depth=3)
     estimates = {
         "gwr": spine.join(fits, keys).withColumn("estimate", F.col("intercept") + F.col("slope") * F.col("x")),
         "kriging": kriged.withColumnRenamed("pred", "estimate"),
-        "gbt": boosted.withColumnRenamed("pred", "estimate"),
+        "gbt": model.score(spine, "estimate"),
     }
 
     row = ["pollutant", "station", "day"]
@@ -134,7 +135,7 @@ def surface_engines(spark, d):
     out_of_fold = {
         "gwr": E.gwr_network(panel, [300.0], KEYS).withColumnRenamed("target", "station").select(*row, "pred"),
         "kriging": loso.select(*row, "pred"),
-        "gbt": E.gbt_oof(panel, FEATURES, folds=2, maxIter=5, maxDepth=3).select(*row, "pred"),
+        "gbt": model.out_of_fold(panel).select(*row, "pred"),
     }
     oof = None
     for name, df in out_of_fold.items():
