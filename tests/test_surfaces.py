@@ -69,6 +69,33 @@ def test_shares_of_a_partition_add_up(spark):
     assert geo.cell_shares(inside.limit(0), rects, (0.625, 1.25), (-79.0, -57.0)).count() == 0
 
 
+def holds(ring, x, y):
+    n = 0
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        n += (y1 <= y) != (y2 <= y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+    return n % 2 == 1
+
+
+def test_points_by_quadtree(spark):
+    """A coast of 10,000 edges, stars, and polygons whose ends and sides lie on the lines of the cells, with points on all of these lines."""
+    rng = RNG(5)
+    t = np.linspace(0, 2 * np.pi, 10_000, endpoint=False)
+    r = 1.3 + 0.2 * np.sin(7 * t) + 0.02 * rng.normal(size=10_000)
+    polygons = {1: [(float(x), float(y)) for x, y in zip(-70 + r * np.cos(t), -33 + r * np.sin(t))], 2: star(rng, -67, -33, 1.4), 3: star(rng, -73, -33, 0.2)}
+    polygons |= {4: [(-70.0, -38.0), (-69.0, -38.0), (-69.0, -36.5), (-69.5, -37.0), (-70.0, -36.5)], 5: [(-69.0, -38.0), (-67.5, -38.0), (-67.5, -36.0), (-69.0, -36.5)], 6: [(-65.0, -38.0), (-61.0, -36.0), (-65.0, -34.0)]}
+    e = edges_of(spark, {k: [p] for k, p in polygons.items()})
+    spots = [(float(x), float(y)) for x, y in np.c_[rng.uniform(-74, -60, 2500), rng.uniform(-39, -31, 2500)]]
+    spots += [(-74 + 0.25 * i, -38.5 + 0.25 * j) for i in range(50) for j in range(28)] + polygons[2] + polygons[4] + polygons[6] + polygons[1][::500]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "i int, lon double, lat double")
+    got = sorted((r.i, r.comuna) for r in geo.assign_comuna(points, e).collect())
+    assert got == sorted((i, c) for i, p in enumerate(spots) for c, s in polygons.items() if holds(s, *p))
+    cells = geo._leaves(e, "comuna", 0.5)
+    assert cells.where("comuna = 1 and size(edges) = 0").count() > 5
+    most = geo._leaves(e, "comuna", 0.5, cells.where("comuna = 1 and size(edges) > 64").select("comuna", "_cx", "_cy")).agg(F.max(F.size("edges"))).first()[0]
+    assert most < 300
+    assert geo.assign_comuna(points.limit(0), e).count() == 0 and geo.assign_comuna(points, e.limit(0)).count() == 0
+
+
 def test_nearest_wherever_they_are(spark):
     """Crowds, empty oceans, poles and the date line; fewer stations than asked for; places that are none."""
     rng = RNG(2)
