@@ -10,8 +10,12 @@ Tags and names are evidence, densities decide: where the stop words don't cover
 page whose longer blocks hold hardly any), length and full sentences decide instead; signs of scripts without spaces count threefold.
 An article region with far less text than there is in long blocks beside it counts for nothing, and one with not much more doesn't
 rule these out. The wrapper of a page without other text is not layout, whatever its name. Links make a block a menu, but
-not in an ordered list of the article, as references are. Names such as notice or related count alone or with words of layout
-(related-posts), not in a subject (related-work).
+not in an ordered list of the article, as references are. Names such as ads, comments, notice or related count alone or with words of layout
+(related-posts), not in a subject (related-work, comments-on-the-law). A form, header or other region by its tag alone that holds nearly
+all long text of the page, as forms around whole pages and headers that never end do, counts for nothing; what lies inside it is judged
+by its own.
+
+The reader is linear in the page: it keeps the places of open tags by name, and what names and attributes say by their text.
 
 Cases: null html counts as empty and gives an empty text; unclosed tags, stray end tags, unterminated comments and
 scripts are read to the end of the page; a page on which no block is decided to be text keeps the open blocks of its article, if it
@@ -21,8 +25,10 @@ has one, and all open blocks with no link in them.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,10 +63,20 @@ COMPANIONS = (
     "post posts article articles link links list item items content contents bar box widget widgets button buttons icon icons banner panel block area section container "
     "wrapper story stories news media nav modal overlay form message messages module sidebar inner outer site page top bottom reader user more also"
 ).split()
+#: Further words that stand beside names of adverts, comments and notices in names of layout.
+MORE_COMPANIONS = (
+    "slot unit units leaderboard mpu google dfp gpt native sticky floating mobile desktop left right center thread count author meta avatar settings accept dismiss close text "
+    "title heading label wrap row col column grid holder space zone placement image img video pre after before in inline submit email field input users new all load loop root "
+    "app component js css react ui tag script frame iframe skyscraper rectangle billboard big small show hide toggle tab tabs pane group popover tooltip gate required"
+).split()
 LAYOUT_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(LAYOUT_WORDS)})(?:$|[\s_-]|\d)", re.I)
 _COMPANY = rf"(?:{'|'.join(COMPANIONS)}|\d+)"
 _WEAK = rf"(?:{_COMPANY}[_-]+)*(?:{'|'.join(WEAK_WORDS)})(?:[_-]*\d+|[_-]+(?:{_COMPANY}|{'|'.join(WEAK_WORDS)}))*"
-OTHER_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(OTHER_WORDS)}|comment(?:list|s?form)\w*)(?:$|[\s_-]|\d)|(?:^|\s){_WEAK}(?:$|\s)", re.I)
+WEAK_NAME = re.compile(rf"(?:^|\s){_WEAK}(?:$|\s)", re.I)
+HEADER_NAME = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+COMMENT_PART = re.compile(r"comment(?:list|s?form)\w*")
+_OTHER = frozenset(OTHER_WORDS)
+_BESIDE_OTHER = frozenset((*OTHER_WORDS, *WEAK_WORDS, *COMPANIONS, *MORE_COMPANIONS, *LAYOUT_WORDS))
 #: Whole class, id or role values of the article on pages without article or main tags.
 MAIN_NAMES = {"main", "content", "main-content", "article", "article-body", "article-content", "post", "post-content", "post-body", "entry-content", "story", "story-body", "articlebody"}
 HAS_MAIN = re.compile(r"<(?:article|main)[\s>/]", re.I)
@@ -83,8 +99,8 @@ DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400
 SENTENCE = re.compile(r"[.!?…。！？؟।;:]['\"»”’）)\]]*$")
 
 TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>")
-NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 @dataclass(frozen=True)
@@ -99,21 +115,44 @@ class Rules:
     stop_high: float = 0.22
     stop_none: float = 0.05
     main_share: float = 0.25
+    lifted_share: float = 4.0
+    wrapped_share: float = 0.8
     beside_share: float = 0.5
 
 
 class Block:
-    __slots__ = ("text", "linked", "aside", "main", "heading", "label", "soft", "listed")
+    __slots__ = ("text", "linked", "aside", "main", "heading", "label", "soft", "listed", "hard")
 
-    def __init__(self, text: str, linked: int, aside: bool, main: int, heading: bool, soft: bool = False, listed: bool = False):
+    def __init__(self, text: str, linked: int, aside: bool, main: int, heading: bool, soft: bool = False, listed: bool = False, hard: int = 0):
         self.text, self.linked, self.aside, self.main, self.heading, self.label = text, linked, aside, main, heading, None
         self.soft = soft  # beside the article by the name of a layout part only
         self.listed = listed  # in an ordered list, as references are
-
-
-def _values(attrs: str, ids: bool = True) -> list[str]:
-    """Class, id and role values, with camel case cut up."""
-    return [CAMEL.sub("-", a[1] or a[2] or a[3] or "") for a in NAMES.finditer(attrs) if ids or a[0][:2].lower() != "id"] if "=" in attrs else []
+        self.hard = hard  # the innermost region beside the article by its tag, its name or as it is hidden
+
+
+def _is_other(name: str) -> bool:
+    """Whether a name tells what is never the article: one of these words, alone or with words of layout."""
+    parts = [p.rstrip("0123456789") for p in re.split("[_-]+", name.lower())]
+    if not any(p in _OTHER or COMMENT_PART.fullmatch(p) for p in parts):
+        return False
+    return all(not p or p in _BESIDE_OTHER or COMMENT_PART.fullmatch(p) or len(p) == 1 or any(c.isdigit() for c in p) for p in parts)
+
+
+@lru_cache(1 << 14)
+def _facts(attrs: str, ids: bool) -> tuple[bool, bool, bool, bool, bool]:
+    """What attributes say: (by name never the article, by name layout, hidden, named as a header, named as the article)."""
+    values, names, hidden = [], [], False
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "role", "aria-label") or name == "id" and ids:
+            value = CAMEL.sub("-", value)
+            values.append(value)
+            names += ["-".join(value.split())] if name == "aria-label" else value.split()
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and STYLE_HIDDEN.search(value):
+            hidden = True
+    other = any(map(_is_other, names)) or any(WEAK_NAME.search(v) for v in values)
+    named = any(w in MAIN_NAMES for v in values for w in v.lower().split())
+    return other, any(LAYOUT_NAME.search(v) for v in values), hidden, any(HEADER_NAME.search(v) for v in values), named
 
 
 class Reader:
@@ -122,10 +161,16 @@ class Reader:
     def __init__(self, named_main: bool):
         self.out: list[Block] = []
         self.parts: list[tuple[str, bool]] = []
-        self.stack: list[tuple[str, int, tuple[int, int, int] | None]] = []  # tag, kind of aside, state before an article region
+        self.stack: list[tuple[str, int, tuple[int, int] | None]] = []  # tag, kind of aside, state before an article region
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open tags by name
+        self.holders: list[int] = []
         self.named_main = named_main
-        self.links = self.silent = self.hard = self.soft = self.ordered = 0
+        self.links = self.silent = self.hard = self.soft = self.ordered = self.forms = 0
         self.regions = self.region = self.base = 0  # number of regions, the open one, soft asides around it
+        self.around = [0]  # of each hard region: the one around it
+        self.liftable = [False]  # whether only its tag makes it one
+        self.form = [False]
+        self.inner = 0  # the innermost open one
 
     def text(self, s: str) -> None:
         if not self.silent:
@@ -136,60 +181,100 @@ class Reader:
             words = unescape("".join(p for p, _ in self.parts)).split()
             if words:
                 linked = len(" ".join(unescape("".join(p for p, l in self.parts if l)).split()))
-                self.out.append(Block(" ".join(words), linked, self.hard > 0 or self.soft > self.base, self.region, heading, self.hard == 0 and self.soft > self.base, self.ordered > 0))
+                soft = self.soft > self.base
+                self.out.append(Block(" ".join(words), linked, self.hard > 0 or soft, self.region, heading, soft, self.ordered > 0, self.inner))
             self.parts.clear()
 
     def pop(self) -> str:
         tag, aside, before = self.stack.pop()
-        self.hard -= aside == 2
+        self.places[tag].pop()
+        if tag in HOLDERS:
+            self.holders.pop()
+        if aside == 2:
+            self.hard -= 1
+            self.forms -= tag == "form" and self.liftable[self.inner]
+            self.inner = self.around[self.inner]
         self.soft -= aside == 1
         self.links -= tag == "a"
         self.ordered -= tag == "ol"
         self.silent -= tag in SILENT
         if before is not None:
-            self.region, self.base, _ = before
+            self.region, self.base = before
         return tag
 
     def open(self, tag: str, attrs: str) -> None:
         if tag in ("p", "li", "td", "tr", "dt", "dd", "option") and not self.silent:
             # one of these ends the one before it, unless a container was opened in between
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == tag:
-                    while len(self.stack) > k:
-                        self.pop()
-                    break
-                if self.stack[k][0] in HOLDERS:
-                    break
+            last = self.places[tag]
+            if last and (not self.holders or last[-1] > self.holders[-1]):
+                k = last[-1]
+                while len(self.stack) > k:
+                    self.pop()
         # the id of a heading or paragraph is a mark to jump to and tells its subject
-        values = _values(attrs, tag != "p" and tag not in HEADINGS) if tag in BLOCK and tag not in ("html", "body") else []
+        other, layout, hidden, header, named = _facts(attrs, tag != "p" and tag not in HEADINGS) if attrs else (False,) * 5
+        if tag not in BLOCK or tag in ("html", "body"):
+            other = layout = header = named = False
         aside = 2 if tag in ASIDE_TAGS else 0
-        if any(OTHER_NAME.search(v) for v in values) or STYLE_HIDDEN.search(attrs):
+        if other or hidden:
             aside = 2
-        elif tag not in MAIN_TAGS and any(LAYOUT_NAME.search(v) for v in values):
+        elif tag not in MAIN_TAGS and layout:
             aside = max(aside, 1)
-        heads = tag == "header" or any(re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", v, re.I) for v in values)
-        if heads and self.region and not self.hard and not any(OTHER_NAME.search(v) for v in values):
+        if (tag == "header" or header) and self.region and self.hard == self.forms and not other:
             aside = 0  # the article's own heading
-        main = tag in MAIN_TAGS or self.named_main and any(w in MAIN_NAMES for v in values for w in v.lower().split())
+        main = tag in MAIN_TAGS or self.named_main and named
         before = None
-        if main and aside < 2 and not self.hard and not self.region:
-            before = (self.region, self.base, 0)
+        if main and aside < 2 and self.hard == self.forms and not self.region:
+            before = (self.region, self.base)
             self.regions += 1
             self.region, self.base, aside = self.regions, self.soft, 0
+        self.places[tag].append(len(self.stack))
+        if tag in HOLDERS:
+            self.holders.append(len(self.stack))
         self.stack.append((tag, aside, before))
-        self.hard += aside == 2
+        if aside == 2:
+            self.hard += 1
+            self.around.append(self.inner)
+            self.liftable.append(tag in ASIDE_TAGS and not other and not hidden)
+            self.form.append(tag == "form")
+            self.inner = len(self.around) - 1
+            self.forms += tag == "form" and self.liftable[-1]
         self.soft += aside == 1
         self.links += tag == "a"
         self.ordered += tag == "ol"
         self.silent += tag in SILENT
 
     def close(self, tag: str) -> None:
-        if any(s[0] == tag for s in self.stack):
-            while self.stack and self.pop() != tag:
+        if self.places[tag]:
+            while self.pop() != tag:
                 pass
 
-
-def blocks(html: str) -> list[Block]:
+    def lift(self, rules: Rules) -> None:
+        """Take back regions by tag alone that hold nearly all long text of the page, and forms that hold nearly all of its blocks."""
+        n = len(self.around)
+        sizes = [_size(b.text) if b.linked <= rules.link_density * len(b.text) else 0 for b in self.out]
+        long, some, count = [0] * n, [0] * n, [0] * n  # by region, those of inner ones that are taken back included; 0: in none
+        for size, b in zip(sizes, self.out, strict=True):
+            long[b.hard] += size if size >= rules.long_chars else 0
+            some[b.hard] += size
+            count[b.hard] += 1
+        shut = [True] * n
+        for r in range(n - 1, 0, -1):
+            wraps = self.form[r] and count[r] >= rules.wrapped_share * len(self.out) and some[r] > rules.lifted_share * some[0]
+            shut[r] = not (self.liftable[r] and (wraps or long[r] >= max(rules.long_chars, rules.lifted_share * long[0])))
+            up = self.around[r]
+            count[up] += count[r] if up else 0
+            if not shut[r] and up:
+                long[up] += long[r]
+                some[up] += some[r]
+        shut[0] = False
+        for r in range(1, n):
+            shut[r] = shut[r] or shut[self.around[r]]
+        for b in self.out:
+            b.soft = b.soft and not shut[b.hard]
+            b.aside = shut[b.hard] or b.soft
+
+
+def blocks(html: str, rules: Rules | None = None) -> list[Block]:
     """Blocks in page order; `main` numbers the article region they are in (0: none)."""
     reader = Reader(not HAS_MAIN.search(html))
     at, n = 0, len(html)
@@ -204,6 +289,9 @@ def blocks(html: str) -> list[Block]:
             reader.text(html[at : m.start()])
         at = m.end()
         if m[0] == "<!--":
+            if html.startswith((">", "->"), at):  # an empty comment
+                at = html.index(">", at) + 1
+                continue
             end = html.find("-->", at)
             at = n if end < 0 else end + 3
             continue
@@ -228,6 +316,7 @@ def blocks(html: str) -> list[Block]:
         else:
             reader.open(tag, attrs)
     reader.close_block()
+    reader.lift(rules or Rules())
     return reader.out
 
 
@@ -314,8 +403,9 @@ def inherit(found: list[Block]) -> None:
 
 def main_text(html: str | None, rules: Rules | None = None) -> str:
     """Text blocks of a page joined by one line feed."""
-    found = blocks(html or "")
-    decide(found, rules or Rules())
+    rules = rules or Rules()
+    found = blocks(html or "", rules)
+    decide(found, rules)
     inherit(found)
     return "\n".join(b.text for b in found if b.label)
 
