@@ -344,3 +344,24 @@ def collapse(df: DataFrame, text: str = "text", min_length: int = MIN_LENGTH, mi
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document."""
     return with_runs(table(spark, sf_dir, "documents"), doc_id="doc_id", keep=["doc_id"])
+
+
+#: DuckDB SQL: words that come again one period on, by three at a time, and their unbroken stretches. The table of the check sum is made from its polynomial.
+ORACLE = r"""WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+ coded AS (SELECT doc_id, text, list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: 48 + CAST(substr(CAST(doc_id AS VARCHAR), CAST(i + 1 AS BIGINT), 1) AS BIGINT)) AS b FROM documents),
+ hashed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295) AS h FROM coded, tab),
+ sized AS (SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n, h % 10 = 0 AND len(ws) > 0 AS again, CAST(h // 10 AS BIGINT) AS g FROM hashed),
+ placed AS (SELECT *, CASE WHEN again THEN g % n ELSE n END AS a FROM sized),
+ made AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+ spread AS (SELECT doc_id, n, a, p, ws, unnest(range(n)) AS i FROM made),
+ t AS (SELECT doc_id, n, i, CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END AS word FROM spread),
+ grams AS (SELECT doc_id, n, i, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS gram FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.gram = y.gram WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+ isles AS (SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k),
+ runs AS (SELECT doc_id, start, length, min(q) AS period FROM isles WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / CAST(period AS DOUBLE) DESC, start, period) AS k FROM runs),
+ listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY 1),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+ SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(l.s, '')) AS runs_sha256, sha256(coalesce(k.s, '')) AS collapsed_sha256
+ FROM documents d LEFT JOIN listed l USING (doc_id) LEFT JOIN best b ON b.doc_id = d.doc_id AND b.k = 1 LEFT JOIN kept k ON k.doc_id = d.doc_id"""

