@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import pickle
 import re
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from aerostrata.functions.scalar import CHILE, Bbox
 from aerostrata.operators.crop import coverage, crop_index_box, empty_granules
 from aerostrata.operators.predicates import split_valid
-from aerostrata.sources.sinks import exists, glob, remove
+from aerostrata.sources.sinks import exists, glob, remove, rename
 
 
 def dedupe_granules(stream: DataFrame, keys: tuple[str, ...] = ("granule_id", "scanline", "ground_pixel"), ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -35,15 +36,59 @@ def _ledger(spark: SparkSession, out: str, own: str, kind: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/ledger").where(F.col("batch") != own)
 
 
+def _named(paths: list[str]) -> dict[str, str]:
+    """Paths by the name of their batch."""
+    return {m[1]: p for p in paths if (m := re.search(r"/batch=([^/]+)(?:/_SUCCESS)?$", p))}
+
+
+def _merged(spark: SparkSession, out: str) -> DataFrame:
+    """(name, into) of batches whose ledger entries stand in a merged one."""
+    if not glob(spark, f"{out}/ledger/_merged/*/_SUCCESS"):
+        return spark.createDataFrame([], "name string, into string")
+    return spark.read.schema("name string, into string").parquet(f"{out}/ledger/_merged/*")
+
+
 def sweep(spark: SparkSession, out: str) -> list[str]:
-    """Delete what batches left that were killed before their ledger was complete, and name them. For the time before a stream starts."""
-    done = {m[1] for p in glob(spark, f"{out}/ledger/batch=*/_SUCCESS") if (m := re.search(r"/batch=([^/]+)/_SUCCESS$", p))}
-    left = [(m[1], p) for t in TABLES for p in glob(spark, f"{out}/{t}/batch=*") if (m := re.search(r"/batch=([^/]+)$", p)) and m[1] not in done]
+    """Delete what batches left that were killed before their ledger was complete, and name them; and ledgers of batches that were merged.
+    For the time before a stream starts."""
+    done = set(_named(glob(spark, f"{out}/ledger/batch=*/_SUCCESS")))
+    into, merged = _merged(spark, out).collect(), set()  # a row for each batch
+    while more := {r["name"] for r in into if r["into"] in done | merged} - merged:  # merged ledgers may have been merged again
+        merged |= more
+    for name, path in _named(glob(spark, f"{out}/ledger/batch=*")).items():
+        if name in merged:
+            remove(spark, path)
+    left = [(name, p) for t in TABLES for name, p in _named(glob(spark, f"{out}/{t}/batch=*")).items() if name not in done | merged]
     for _, path in left:
         remove(spark, path)
     return sorted({name for name, _ in left})
 
 
+def compact_ledger(spark: SparkSession, out: str, most: int = 64) -> int:
+    """Merge the ledgers of batches into one where they are more than `most`, and tell how many were merged. For the time before a stream starts.
+
+    The last batch of a checkpoint may run again and must not meet its own entries, so it stays by itself. The merged ledger is written
+    aside and renamed; what is deleted after that is deleted by the next `sweep` if this one is killed.
+    """
+    last: dict[str, int] = {}
+    found = _named(glob(spark, f"{out}/ledger/batch=*/_SUCCESS"))
+    for name in found:
+        head, _, epoch = name.rpartition("-")
+        if epoch.isdigit():
+            last[head] = max(last.get(head, -1), int(epoch))
+    old = sorted(n for n in found if n.startswith("merged-") or (n.rpartition("-")[2].isdigit() and int(n.rpartition("-")[2]) < last[n.rpartition("-")[0]]))
+    if len(old) <= most:
+        return 0
+    into = f"merged-{uuid.uuid4().hex}x"
+    aside = f"{out}/ledger/_aside/{into}"
+    entries = spark.read.parquet(f"{out}/ledger").where(F.col("batch").isin(old)).drop("batch")
+    entries.coalesce(max(1, len(old) // 1024)).write.parquet(aside)
+    spark.createDataFrame([(n, into) for n in old], "name string, into string").coalesce(1).write.parquet(f"{out}/ledger/_merged/{into}")
+    rename(spark, aside, f"{out}/ledger/batch={into}")
+    sweep(spark, out)
+    return len(old)
+
+
 def crop_batch(batch: DataFrame, epoch: int | str, out: str, bbox: Bbox = CHILE, file: str = "file", ready: str | None = None) -> None:
     """Crop one micro-batch: pixels, quarantine, coverage and, last, the ledger, each under the batch's own folder, so that a repeated
     batch overwrites itself and one without a complete ledger counts as not run (`sweep`).
@@ -166,6 +211,7 @@ def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
     comes) or `wait_ms` (how long to wait for a file more, by default an hour), granules in several files are gathered over batches.
     """
     sweep(spark, out)
+    compact_ledger(spark, out)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landing).withColumn("file", F.col("_metadata.file_name"))
     gather = parts is not None or wait_ms is not None
     rows = gathered(source, parts, wait_ms or 3_600_000) if gather else source

@@ -110,6 +110,25 @@ def test_a_batch_that_was_killed_is_swept_and_run_again(spark, tmp_path, monkeyp
     assert ingest.sweep(spark, str(tmp_path / "out")) == []
 
 
+def test_a_merged_ledger_says_the_same(spark, tmp_path, monkeypatch):
+    """Also where the old folders outlive a killed merge; the last batch of a checkpoint stays, as it may run again."""
+    out = str(tmp_path / "out")
+    for k in range(4):
+        land(spark, tmp_path / "landing", f"f{k}", rows_of(k))
+    before = run(spark, tmp_path, files=1)
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "remove", lambda *a: False)
+        assert ingest.compact_ledger(spark, out, most=1) == 3
+    assert len(list((tmp_path / "out" / "ledger").glob("batch=*"))) == 5
+    assert ingest.sweep(spark, out) == []  # nothing of the merged batches goes but their ledgers
+    assert len(list((tmp_path / "out" / "ledger").glob("batch=*"))) == 2
+    assert ingest.compact_ledger(spark, out, most=1) == 0
+    assert ingest.compact_ledger(spark, out, most=0) == 1 and ingest.sweep(spark, out) == []  # once more
+    assert run(spark, tmp_path, files=1) == before
+    ledger, pixels = run(spark, tmp_path, check="anew")
+    assert pixels == before[1] and ledger == sorted(before[0] + [(k, "repeated") for k in range(4)])
+
+
 def test_parts_of_a_granule_are_joined_over_batches(spark, tmp_path):
     schema = SWATH + ", parts int"
     part = lambda rows, n: [(*r, n) for r in rows]
