@@ -94,6 +94,35 @@ def _kriging(panel: DataFrame, targets: DataFrame, stations: DataFrame) -> tuple
     return near, E.variograms(panel, 100.0, 1500.0, KEYS)
 
 
+#: Nugget, sill and reach of a given variogram.
+GIVEN = (0.5, 10.0, 300.0)
+_GAMMA = "(0.5e0 + 10e0 * (1 - exp(-{} / 300e0)))"
+
+
+@query(
+    duck(
+        f"""WITH st AS (SELECT DISTINCT station, lon, lat FROM v_panel),
+ d AS (SELECT t.station AS target, s.station, s.lon, s.lat, {KM.format(x1="t.lon", y1="t.lat", x2="s.lon", y2="s.lat")} AS km FROM st t JOIN st s ON t.station <> s.station),
+ r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY km, station) AS k FROM d),
+ two AS (SELECT a.target, a.station AS s1, b.station AS s2, {_GAMMA.format("a.km")} AS g1, {_GAMMA.format("b.km")} AS g2, {_GAMMA.format(KM.format(x1="a.lon", y1="a.lat", x2="b.lon", y2="b.lat"))} AS g12
+  FROM r a JOIN r b ON a.target = b.target AND a.k = 1 AND b.k = 2),
+ z AS (SELECT target, keys.pollutant, keys.day, g1, g2, g12, p.value AS z1, q.value AS z2, 0.5e0 + (g2 - g1) / (2 * g12) AS w
+  FROM two CROSS JOIN (SELECT DISTINCT pollutant, day FROM v_panel) keys LEFT JOIN v_panel p ON p.station = s1 AND p.pollutant = keys.pollutant AND p.day = keys.day
+  LEFT JOIN v_panel q ON q.station = s2 AND q.pollutant = keys.pollutant AND q.day = keys.day WHERE p.value IS NOT NULL OR q.value IS NOT NULL)
+ SELECT target, pollutant, day, CASE WHEN z1 IS NULL OR z2 IS NULL THEN 1 ELSE 2 END AS n, round(CASE WHEN z2 IS NULL THEN z1 WHEN z1 IS NULL THEN z2 ELSE w * z1 + (1 - w) * z2 END, 4) AS pred,
+  round(CASE WHEN z2 IS NULL THEN 2 * g1 WHEN z1 IS NULL THEN 2 * g2 ELSE w * g1 + (1 - w) * g2 + g1 - (1 - w) * g12 END, 6) AS variance FROM z""",
+        "v_panel",
+    )
+)
+def krige_two(spark, d):
+    """Ordinary kriging of every station from its two nearest neighbours, by a given variogram."""
+    panel = fixture(spark, d, "v_panel")
+    stations = panel.select("station", "lon", "lat").distinct()
+    near = G.nearest(stations.withColumnRenamed("station", "target"), stations, 3).where("target <> station").withColumnRenamed("station", "source")
+    made = E.krige(panel, near, stations, GIVEN, KEYS, time="day")
+    return made.select("target", "pollutant", "day", "n", F.round("pred", 4).alias("pred"), F.round("variance", 6).alias("variance"))
+
+
 @query()
 def krige_comunas(spark, d):
     """Means of comunas by block kriging over points inside them."""
