@@ -7,8 +7,8 @@ at most `max_bits` of the eight bytes can differ, so linked fingerprints share a
 A posting is keyed by the bytes at a set of positions; the position sets cover every choice of that many shared bytes,
 so a linked pair meets in at least one posting (single bytes would have postings of N / 256 rows and so quadratic
 output). Inside a posting the shared positional bytes of a pair are tallied, pairs below the guaranteed minimum are
-dropped and the others verified bit by bit. Three bytes a key serve up to 2 million distinct fingerprints, four beyond; with three
-the tally drops the pairs that share those three only, with four it can't drop any, and the bits decide. Of a posting only the
+dropped and the others verified bit by bit. Keys hold three bytes at every size (20 rows a fingerprint, postings of N / 2^24 rows
+by chance), so the tally drops the pairs that share those three only; `width` asks for other keys. Of a posting only the
 links that its components need are made, most of them to a pivot, so its output grows with its size, not with its square.
 
 Postings of more than HOT fingerprints aren't held in one task: each of their fingerprints emits itself and its variants
@@ -36,7 +36,7 @@ from aerostrata.llm.common import append_columns, partitions, stored, table
 from aerostrata.llm.graph import connected_components
 
 HOT = 4096
-WIDE_FROM = 2_000_000
+WIDTH = 3
 BAGS = 3
 KIND_AT = 40
 _HASHES_AT_ONCE = 1 << 16
@@ -134,8 +134,7 @@ def links_of(nodes: DataFrame, max_bits: int = 4, width: int | None = None, hot:
     if max_bits not in (2, 4):
         raise ValueError("max_bits must be 2 or 4")
     shared, spark = 8 - max_bits, nodes.sparkSession
-    if width is None:
-        width = min(shared, 3 if nodes.count() <= WIDE_FROM else 4)
+    width = min(shared, WIDTH) if width is None else width
     index = postings(nodes.repartition(partitions(spark), "fp"), shared, width)
     sizes = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     sized = stored(index.join(sizes.hint("merge"), "key"))
