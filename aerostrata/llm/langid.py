@@ -2,9 +2,12 @@
 
 Features are hashed character trigrams and 4-grams of the whole lower-cased text (letters kept, everything else read as
 a space), as square roots of relative frequencies, so that the vectors have length one. Both steps use squared-hinge
-linear SVMs, one for each pair of families or of languages, combined by votes and then margins.
+linear SVMs, one for each pair of families or of languages, combined by votes and then margins. Languages that FAMILIES doesn't list
+are grouped by their texts: families of at most GROUP, each the first that is left by name with those nearest to it. So the number
+of SVMs doesn't grow with the square of the labels.
 
-Training uses at most `per_language` labelled rows of each language, and `most` in all, shared evenly: those with the smallest
+At most `languages` labels are learned, those of most rows (ties by name; a documented bound, for columns that hold anything but
+languages); rows of others take no part in training. Training uses at most `per_language` labelled rows of each language, and `most` in all, shared evenly: those with the smallest
 hash of their id and text (a documented bound: the model's quality does not depend on the corpus size, and at most
 `most` vectors reach the driver, 200 MB at the default). A first pass over ids and hashes finds how large a hash may be; texts
 are read for the chosen rows only, and their feature vectors are made on the executors. Prediction is a map over the
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 
 from aerostrata.llm.common import append_columns, table
 
-#: Families of languages by ISO 639-1 code; others form a family of their own.
+#: Families of languages by ISO 639-1 code (fixed values); others are grouped by their texts.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "lb", "fy"),
     "romance": ("fr", "es", "pt", "it", "ca", "ro", "gl", "oc", "la"),
@@ -38,6 +41,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 DIMS = 1 << 13
+GROUP = 8
+LANGUAGES = 200
 
 # bytes as the features see them: letters of ASCII in lower case, all bytes of other characters, else a space
 _SEEN = np.full(256, 32, np.uint8)
@@ -116,12 +121,27 @@ class Duel:
         return best, 1 / (1 + np.exp(-3 * sums[np.arange(len(x)), best] / (n - 1)))
 
 
+def families_of(x: np.ndarray, labels: np.ndarray) -> dict[str, str]:
+    """Family of each language: the listed one, else a group of at most GROUP unlisted languages with near mean vectors."""
+    names = sorted(set(labels.tolist()))
+    family = {name: FAMILY_OF[name] for name in names if name in FAMILY_OF}
+    left = [name for name in names if name not in family]
+    means = {name: x[labels == name].mean(axis=0, dtype=np.float32) for name in left}
+    while left:
+        first, *rest = left
+        near = sorted(rest, key=lambda name: (float(((means[name] - means[first]) ** 2).sum()), name))[: GROUP - 1]
+        family |= dict.fromkeys([first, *near], f"other:{first}")
+        left = [name for name in rest if name not in near]
+    return family
+
+
 class Model:
     """Family decision and the duels inside each family."""
 
     def __init__(self, x: np.ndarray, labels: np.ndarray):
         self.languages = sorted(set(labels.tolist()))
-        families = np.array([FAMILY_OF.get(name, f"other:{name}") for name in labels], dtype=object)
+        family = families_of(x, labels)
+        families = np.array([family[name] for name in labels], dtype=object)
         self.top = Duel(sorted(set(families.tolist())), x, families) if self.languages else None
         self.inner = {f: Duel(sorted(set(labels[families == f].tolist())), x[families == f], labels[families == f]) for f in (self.top.names if self.top else [])}
 
@@ -142,20 +162,21 @@ class Model:
         return names, scores
 
 
-def sample(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: int, most: int) -> DataFrame:
-    """(i, l, t) of the rows to learn from: of each language those with the smallest hashes, exactly.
+def sample(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: int, most: int, languages: int = LANGUAGES) -> DataFrame:
+    """(i, l, t) of the rows to learn from: of each of the `languages` most frequent labels those with the smallest hashes, exactly.
 
     Hashes are spread evenly, so the wanted rows lie, with a margin, in a known share of their range, and only rows of that share
     are ranked; where too few do (rows repeated word for word have one hash), the share is widened."""
     rows = labelled.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null").withColumn("h", F.xxhash64("i", "t"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    numbers = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["l"]: r["n"] for r in numbers.orderBy(F.desc("n"), "l").limit(languages).collect()}
     each = min(per_language, max(1, most // max(1, len(counts))))
     share = {name: min(1.0, (each + 6 * each**0.5) / n) for name, n in counts.items()}
     while True:
-        last = F.lit(None).cast("long")
+        last = F  # one flat CASE
         for name, part in share.items():
-            last = F.when(F.col("l") == name, F.lit(min(2**63 - 1, int(-(2**63) + part * 2**64)))).otherwise(last)
-        near = rows.where(F.col("h") <= last)
+            last = last.when(F.col("l") == name, F.lit(min(2**63 - 1, int(-(2**63) + part * 2**64))))
+        near = rows.where(F.col("h") <= last if share else F.lit(False))
         got = {r["l"]: r["n"] for r in near.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
         short = [name for name, n in counts.items() if got.get(name, 0) < min(each, n)]
         if not short:
@@ -165,13 +186,13 @@ def sample(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language:
     return ranked.where(F.col("k") <= each).select("i", "l", "t")
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 600, most: int = 12_000) -> Model:
-    """Train on at most `per_language` rows of each language; only their feature vectors reach the driver."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 600, most: int = 12_000, languages: int = LANGUAGES) -> Model:
+    """Train on at most `per_language` rows of each of at most `languages` languages; only their feature vectors reach the driver."""
 
     def vectors(texts):
         return [[vector_of(t).astype(np.float16).tobytes() if has_letter(t) else None for t in texts]]
 
-    kept = sample(labelled, text, lang, doc_id, per_language, most)
+    kept = sample(labelled, text, lang, doc_id, per_language, most, languages)
     got = append_columns(kept, [F.col("t")], [T.StructField("v", T.BinaryType())], vectors, keep=["i", "l"]).where("v is not null").collect()
     got.sort(key=lambda r: (r["l"], str(r["i"]), r["v"]))
     labels = np.array([r["l"] for r in got], dtype=object)
