@@ -1,9 +1,31 @@
 """Public licence texts as templates: fixed values, one entry per paragraph or notice.
 
 Paragraphs are entries of their own, because names, years and line breaks between them differ from file to file.
-Each entry has a label, a mandatory key phrase and the text; texts are compared as words.
+Each entry has a label, a mandatory key phrase and the text; texts are compared as words. Names and identifiers are
+entries too, each its own key phrase.
 """
 
+#: label: names and identifiers (fixed values)
+NAMES = {
+    "apache-2.0": ("Apache License 2.0", "Apache-2.0 License", "SPDX-License-Identifier: Apache-2.0"),
+    "gpl-2.0": ("GNU GPL v2", "GNU GPLv2", "GPL version 2", "SPDX-License-Identifier: GPL-2.0"),
+    "gpl-3.0": ("GNU GPL v3", "GNU GPLv3", "GPL version 3", "SPDX-License-Identifier: GPL-3.0"),
+    "lgpl": ("GNU LGPL", "SPDX-License-Identifier: LGPL"),
+    "agpl": ("GNU AGPL", "SPDX-License-Identifier: AGPL"),
+    "mit": ("MIT License", "SPDX-License-Identifier: MIT"),
+    "bsd-2-clause": ("BSD 2-Clause", "2-clause BSD"),
+    "bsd-3-clause": ("BSD 3-Clause", "3-clause BSD"),
+    "isc": ("ISC License", "SPDX-License-Identifier: ISC"),
+    "zlib": ("zlib License", "SPDX-License-Identifier: Zlib"),
+    "mpl-2.0": ("MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License version 2.0"),
+    "epl": ("EPL 2.0", "EPL 1.0"),
+    "cc-by-sa": ("CC BY-SA",),
+    "cc0": ("CC0 1.0",),
+    "unlicense": ("SPDX-License-Identifier: Unlicense",),
+    "bsl-1.0": ("Boost Software License", "SPDX-License-Identifier: BSL-1.0"),
+    "postgresql": ("PostgreSQL License",),
+}
+
 #: (label, key phrase, text)
 TEXTS = (
     ("apache-2.0", "apache license version 2", "licensed under the Apache License, Version 2.0"),
@@ -66,6 +88,13 @@ TEXTS = (
         to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
         and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:""",
     ),
+    (
+        "mit",
+        "publish distribute sublicense",
+        """in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+        and/or sell copies of the Software""",
+    ),
+    ("mit", "substantial portions", "shall be included in all copies or substantial portions of the Software"),
     (
         "mit",
         "permission notice shall be included in all copies",
@@ -129,6 +158,12 @@ TEXTS = (
         required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may
         not be removed or altered from any source distribution.""",
     ),
+    (
+        "zlib",
+        "altered source versions must be plainly marked",
+        """Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may
+        not be removed or altered from any source distribution.""",
+    ),
     ("mpl-2.0", "mozilla public license", "subject to the terms of the Mozilla Public License, v. 2.0"),
     (
         "mpl-2.0",

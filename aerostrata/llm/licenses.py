@@ -1,19 +1,19 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 A text's words are runs of letters, digits and non-ASCII characters after A-Z became a-z. Base phrases are looked up
-word by word. For the method, `license_texts` holds paragraphs and notices of licences, each with a mandatory key phrase;
-the index has a posting (template, position) for each of their words.
+word by word. For the method, `license_texts` holds paragraphs, notices, names and identifiers of licences, each with a mandatory key phrase;
+the index has a posting (template, position) for each word of a key phrase.
 
-One pass over the corpus notes each file's licence words, its words where it has all key words of a template, and what
-the base phrases need; document frequencies over all files come from these notes. Then, for each file and
-template, the rarest words by inverse document frequency that the file has are looked up: as many positions of the template as may
-differ (1 - `coverage` of them, less those whose word the file lacks), and SUPPORT more. Each place of such a word in the
-file proposes a start of the template for each of its postings; starts that SUPPORT postings agree on by
-relative position are kept, and verified: the whole key phrase must stand at its place, and `coverage` of the template's words at theirs.
-At a start with so many words in place, SUPPORT of the positions looked up are in place too, so no match is lost, and
-frequencies only decide what is looked up: words that most files have ("the", "of") hardly ever are.
+A first pass over the corpus counts in how many files each licence word stands. Of a key phrase the SUPPORT words with the highest
+inverse document frequency are looked up, so a file looks up the rarest of its licence words and never those that most files
+have ("the", "of"). In the second pass each place of such a word proposes, for each of its postings, a start of the
+template; starts that SUPPORT postings agree on by relative position are kept, and verified: the whole key phrase must stand at its
+place, so no match is lost whatever the frequencies are, and `coverage` of the template's words must be in place. A word is
+in place at its exact position, or, next to its neighbour in the template, off by up to DRIFT words and one more for every
+DRIFT_EVERY words between it and the key phrase: words put in or left out move the rest of a notice, but don't hide it.
+What a file costs depends on the places of rare words in it and what they point to, not on the number of templates.
 
-Everything is a map over the scan but for the counting of words.
+Both passes are maps over the scan but for the counting of words; nothing of a text is written or shuffled.
 
 Cases: null and empty texts have no words; overlapping and repeated places all count; a label found by both ways is
 listed once; score is 1 with a base label, else the best coverage of an accepted template, else 0; columns of the table
@@ -23,17 +23,19 @@ named like a result are replaced, all others stay.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, log
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerostrata.llm.common import ascii_lower, stored, table
-from aerostrata.llm.license_texts import TEXTS
+from aerostrata.llm.common import ascii_lower, table
+from aerostrata.llm.license_texts import NAMES, TEXTS
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 COVERAGE = 0.6
 SUPPORT = 2
+DRIFT = 2
+DRIFT_EVERY = 5
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -43,7 +45,7 @@ def _as_words(text: str) -> str:
 
 
 #: (label, words, key phrase within them)
-TEMPLATES = tuple((label, _as_words(text), phrase) for label, phrase, text in TEXTS)
+TEMPLATES = tuple((label, _as_words(text), phrase) for label, phrase, text in TEXTS) + tuple((label, _as_words(n), _as_words(n)) for label, names in NAMES.items() for n in names)
 
 
 def words_of(text: Column) -> Column:
@@ -64,19 +66,23 @@ def _at(words: list[str], start: str) -> str:
     return " AND ".join(f"get(words, {start} + {k}) = '{w}'" for k, w in enumerate(words))
 
 
+def key_at(body: str, phrase: str) -> int:
+    """Position of the key phrase in a template."""
+    words, key = body.split(), phrase.split()
+    return next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+
+
 def noted(df: DataFrame, text: str, templates, keep: Sequence[str] | None = None) -> DataFrame:
-    """One pass over the texts: c0, c1, ... (the columns to keep), n_words, b0, b1, b2 (places of base phrases), voc (distinct
-    licence words), cands (templates whose key words are all there) and, where there are any, words."""
+    """The texts as words: c0, c1, ... (the columns to keep), n_words, words, b0, b1, b2 (places of base phrases), voc (distinct
+    licence words)."""
     vocabulary = sorted({w for _, body, _ in templates for w in body.split()})
-    keys = "array(" + ", ".join(_array(sorted(set(phrase.split()), key=lambda w: (-len(w), w))) for _, _, phrase in templates) + ")"
     docs = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns if keep is None else keep)], words_of(F.col(f"`{text}`")).alias("norm"))
     docs = docs.withColumn("words", F.expr("if(norm = '', array(), split(norm, ' ', -1))"))
     for k, p in enumerate(BASE):
         places = f"if(instr(concat(' ', norm, ' '), ' {p} ') = 0, array(), filter(sequence(0, size(words) - 1), i -> {_at(p.split(), 'i')}))"
         docs = docs.withColumn(f"b{k}", F.expr(f"cast({places} as array<int>)"))
     docs = docs.withColumn("voc", F.expr(f"array_distinct(filter(words, x -> x IN ({', '.join(repr(w) for w in vocabulary)})))"))
-    docs = docs.withColumn("cands", F.expr(f"filter(sequence(0, {len(templates) - 1}), c -> forall(get({keys}, c), w -> array_contains(voc, w)))"))
-    return docs.withColumn("n_words", F.size("words").cast("long")).withColumn("words", F.expr("if(size(cands) > 0, words, array())")).drop("norm")
+    return docs.withColumn("n_words", F.size("words").cast("long")).drop("norm")
 
 
 def idf_of(notes: DataFrame) -> dict[str, float]:
@@ -87,44 +93,47 @@ def idf_of(notes: DataFrame) -> dict[str, float]:
 
 
 def lookup_order(body: str, idf: dict[str, float]) -> list[int]:
-    """Positions of a template, rarest words first (words of no file before all)."""
+    """Positions of a template or phrase, rarest words first (words of no file before all)."""
     words = body.split()
     return sorted(range(len(words)), key=lambda p: (-idf.get(words[p], float("inf")), p))
 
 
+def index_of(templates, idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """Postings (template, position) of the SUPPORT rarest words of each key phrase."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, body, phrase) in enumerate(templates):
+        at = key_at(body, phrase)
+        for k in lookup_order(phrase, idf)[:SUPPORT]:
+            index.setdefault(phrase.split()[k], []).append((t, at + k))
+    return index
+
+
 def matches(templates, idf: dict[str, float], coverage: float) -> str:
     """SQL of the accepted templates of a noted file: array of (label, score)."""
+    index = index_of(templates, idf)
+    postings = [f"array({', '.join(f'named_struct({chr(39)}t{chr(39)}, {t}, {chr(39)}q{chr(39)}, {q})' for t, q in at)})" for at in index.values()]
     parts = []
     for label, body, phrase in templates:
-        words, key = body.split(), phrase.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        slack = len(words) - ceil(len(words) * coverage - 1e-9)
-        order = _array(lookup_order(body, idf), quote=False)
-        parts.append(f"named_struct('label', '{label}', 'words', {_array(words)}, 'lookups', {order}, 'at', {at}, 'key', {len(key)}, 'slack', {slack})")
-    word = "coalesce(get(words, {}), '')"
-    score = f"""coalesce(array_max(transform(
-        filter(starts, s -> forall(sequence(0, t.key - 1), q -> {word.format("s + t.at + q")} = get(t.words, t.at + q))),
-        s -> size(filter(sequence(0, size(t.words) - 1), q -> {word.format("s + q")} = get(t.words, q))) / cast(size(t.words) as double))), cast(0 as double))"""
-    agreed = f"""if(size(tally) < {SUPPORT}, array(), array_distinct(transform(
+        parts.append(f"named_struct('label', '{label}', 'words', {_array(body.split())}, 'at', {key_at(body, phrase)}, 'key', {len(phrase.split())})")
+    word = "get(words, {})"
+    proposed = f"""array_sort(flatten(transform(
+        filter(sequence(0, size(words) - 1), i -> get(words, i) IN ({", ".join(f"'{w}'" for w in index)})),
+        i -> transform(element_at(map_from_arrays({_array(index)}, array({", ".join(postings)})), get(words, i)), p -> struct(p.t AS t, i - p.q AS s)))))"""
+    agreed = f"""if(size(tally) < {SUPPORT}, cast(array() AS array<struct<t: int, s: int>>), array_distinct(transform(
         filter(sequence(0, size(tally) - {SUPPORT}), i -> get(tally, i) = get(tally, i + {SUPPORT - 1})), i -> get(tally, i))))"""
-    proposed = """array_sort(flatten(transform(
-        filter(sequence(0, size(words) - 1), i -> array_contains(rare, get(words, i))),
-        i -> transform(filter(looked, p -> get(t.words, p) = get(words, i)), p -> i - p))))"""
-    looked = f"if(t.slack < size(t.words) - size(here), array(), slice(here, 1, t.slack - size(t.words) + size(here) + {SUPPORT}))"
-    body = _let("starts", agreed, score)
-    body = _let("tally", proposed, body)
-    body = _let("rare", "array_distinct(transform(looked, p -> get(t.words, p)))", body)
-    body = _let("looked", looked, body)
-    body = _let("here", "filter(t.lookups, p -> array_contains(voc, get(t.words, p)))", body)
-    each = _let("t", f"get(array({', '.join(parts)}), c)", f"named_struct('label', t.label, 'score', {body})")
-    return f"filter(transform(cands, c -> {each}), m -> m.score >= {coverage})"
+    whole_key = f"forall(sequence(0, t.key - 1), k -> coalesce({word.format('m.s + t.at + k')} = get(t.words, t.at + k), false))"
+    moved = f"""exists(sequence(-{DRIFT} - greatest(t.at - q, q - t.at - t.key + 1, 0) div {DRIFT_EVERY}, {DRIFT} + greatest(t.at - q, q - t.at - t.key + 1, 0) div {DRIFT_EVERY}),
+        d -> {word.format("int(m.s + q + d)")} = get(t.words, q) AND (
+            coalesce({word.format("int(m.s + q + d + 1)")} = get(t.words, q + 1), false) OR coalesce({word.format("int(m.s + q + d - 1)")} = get(t.words, q - 1), false)))"""
+    placed = f"size(filter(sequence(0, size(t.words) - 1), q -> coalesce({word.format('m.s + q')} = get(t.words, q), false) OR coalesce({moved}, false)))"
+    each = _let("t", f"get(array({', '.join(parts)}), m.t)", f"named_struct('label', t.label, 'score', if({whole_key}, {placed} / cast(size(t.words) as double), 0D))")
+    return f"filter(transform({_let('tally', 'if(size(words) = 0, array(), ' + proposed + ')', agreed)}, m -> {each}), m -> m.score >= {coverage})"
 
 
 def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, coverage: float = COVERAGE, keep: Sequence[str] | None = None) -> DataFrame:
-    """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to the columns `keep` (all). The notes of a pass
-    hold these columns, so texts are written only where they are kept."""
+    """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to the columns `keep` (all)."""
     names = list(df.columns if keep is None else keep)
-    notes = stored(noted(df, text, templates, names))
+    notes = noted(df, text, templates, names)
     found = notes.withColumn("found", F.expr(matches(templates, idf_of(notes), coverage)))
     base = F.array_compact(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]))
     places = F.concat(*[F.col(f"b{k}") for k in range(len(BASE))])
@@ -152,9 +161,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     rows = []
     for k, (label, body, phrase) in enumerate(TEMPLATES):
-        words, key = body.split(), phrase.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        rows += [f"({k}, '{label}', {q}, '{w}', {str(at <= q < at + len(key)).lower()}, {len(words)}, {len(key)})" for q, w in enumerate(words)]
+        words, key, at = body.split(), phrase.split(), key_at(body, phrase)
+        rows += [f"({k}, '{label}', {q}, '{w}', {max(at - q, q - at - len(key) + 1, 0)}, {len(words)}, {len(key)})" for q, w in enumerate(words)]
     base = [(k, label, q, w, len(p.split())) for k, (p, label) in enumerate(BASE.items()) for q, w in enumerate(p.split())]
     return f"""
 WITH n AS (
@@ -165,13 +173,18 @@ WITH n AS (
   SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM w
 ), phrases(k, label, q, word, n) AS (
   VALUES {", ".join(f"({k}, '{label}', {q}, '{w}', {n})" for k, label, q, w, n in base)}
-), templates(k, label, q, word, must, n, musts) AS (
+), templates(k, label, q, word, away, n, musts) AS (
   VALUES {", ".join(rows)}
 ), b AS (
   SELECT doc_id, label, i - q AS start FROM p JOIN phrases USING (word) GROUP BY doc_id, k, label, n, i - q HAVING count(*) = n
+), a AS (
+  SELECT doc_id, k, i - q AS start FROM p JOIN templates USING (word) WHERE away = 0 GROUP BY doc_id, k, musts, i - q HAVING count(*) = musts
+), h AS (
+  SELECT DISTINCT doc_id, k, start, label, n, q, away, i - q - start AS off FROM a JOIN templates USING (k) JOIN p USING (doc_id, word)
 ), t AS (
-  SELECT doc_id, label, count(*) / n AS score FROM p JOIN templates USING (word) GROUP BY doc_id, k, label, n, musts, i - q
-  HAVING count(*) FILTER (WHERE must) = musts AND count(*) / n >= {COVERAGE}
+  SELECT doc_id, label, count(DISTINCT h.q) / n AS score FROM h
+  WHERE off = 0 OR abs(off) <= {DRIFT} + away // {DRIFT_EVERY} AND (doc_id, k, start, off, q) IN (SELECT (doc_id, k, start, off, q + 1) FROM h UNION ALL SELECT (doc_id, k, start, off, q - 1) FROM h)
+  GROUP BY doc_id, k, start, label, n HAVING count(DISTINCT h.q) / n >= {COVERAGE}
 ), bs AS (
   SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id
 ), ls AS (
@@ -185,5 +198,5 @@ FROM w LEFT JOIN bs USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN ss USIN
 """
 
 
-#: Every template at every start, without an index or frequencies.
+#: Every template at every place of its key phrase, without an index or frequencies.
 ORACLE = _oracle()

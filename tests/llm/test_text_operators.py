@@ -287,6 +287,17 @@ def test_language_sample_is_the_smallest_hashes(spark):
             assert sorted(r.h for r in got if r.l == lang) == sorted(h for name, h in hashed if name == lang)[:want]
 
 
+def test_language_labels_are_bounded(spark):
+    """The most frequent labels are learned; unlisted ones share families, so duels don't grow with the square."""
+    rows = [(k, f"word{lang} text{lang} " * 3, f"q{lang:02}") for lang in range(40) for k in range(3 if lang < 30 else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, languages=30)
+    assert model.languages == [f"q{k:02}" for k in range(30)]
+    assert len(model.top.names) == 4 and sorted(len(d.names) for d in model.inner.values()) == [6, 8, 8, 8]
+    assert len(model.top.pairs) + sum(len(d.pairs) for d in model.inner.values()) < 110  # 435 if each were a family
+    assert langid.families_of(np.eye(3, dtype=np.float32), np.array(["en", "de", "qq"], dtype=object)) == {"en": "germanic", "de": "germanic", "qq": "other:qq"}
+
+
 def test_language_votes_by_hand():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 20)).astype(np.float32)
@@ -331,7 +342,10 @@ def by_hand(text):
         off = next(i for i in range(len(t)) if t[i : i + len(key)] == key)
         for at in places(phrase):
             s = at - off
-            if sum(0 <= s + q < len(words) and words[s + q] == w for q, w in enumerate(t)) / len(t) >= licenses.COVERAGE:
+            here = lambda i, q: 0 <= i < len(words) and 0 <= q < len(t) and words[i] == t[q]
+            reach = [licenses.DRIFT + max(off - q, q - off - len(key) + 1, 0) // licenses.DRIFT_EVERY for q in range(len(t))]
+            moved = lambda q, i: here(i, q) and (here(i - 1, q - 1) or here(i + 1, q + 1))
+            if sum(here(s + q, q) or any(moved(q, s + q + d) for d in range(-reach[q], reach[q] + 1)) for q in range(len(t))) / len(t) >= licenses.COVERAGE:
                 labels.add(label)
     found = sorted(i for at in base.values() for i in at)
     return len(words), len(found), found[0] if found else None, found[-1] if found else None, ",".join(sorted(x for x, at in base.items() if at)), ",".join(sorted(labels))
@@ -388,6 +402,35 @@ def test_license_frequencies_choose_the_lookups(spark):
     assert words[orders[0][-1]] in common[0].split() and words[orders[1][-1]] in rare[0].split()
 
 
+def test_license_notices_with_moved_words(spark):
+    """A word put in anywhere, every sixth word left out, names and identifiers."""
+    notice = next(body for label, body, _ in licenses.TEMPLATES if label == "zlib").split()
+    grant = " ".join(body for label, body, _ in licenses.TEMPLATES if label == "mit")
+    texts = [" ".join([*notice[:k], "inserted", *notice[k:]]) for k in range(1, len(notice))]
+    sixth = [" ".join(w for q, w in enumerate(body.split()) if q % 6 != r) for body in (" ".join(notice), grant) for r in range(6)]
+    names = {"SPDX-License-Identifier: MIT": "mit", "The MIT License (MIT)": "mit", "GNU GPL v3": "gpl-3.0", "MPL 2.0": "mpl-2.0", "BSD 2-Clause License": "bsd-2-clause"}
+    clean = ["the rights of any person to a copy of this notice", "software that is provided as is", "license license license mit", "permission to use copy modify " * 50]
+    every = [*texts, *sixth, *names, *clean]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(every):
+        assert got[i].labels == by_hand(t)[5], t[:80]
+    n = len(texts)
+    assert all(got[i].labels == "zlib" and got[i].score > 0.9 for i in range(n))
+    assert any(got[n + i].labels == "zlib" for i in range(6)) and all(got[n + i].labels == "mit" for i in range(6, 12))
+    assert [got[n + 12 + i].labels for i in range(len(names))] == list(names.values())
+    assert all(got[i].labels == "" for i in range(n + 12 + len(names), len(every)))
+
+
+def test_license_index_of_many_templates(spark):
+    """Five hundred templates more: what a file looks up is what its rare words point to, and results stay the same."""
+    more = tuple((f"x-{n}", f"terms of the series {n} grant rights number{n} to all of this software", f"series {n} grant rights number{n}") for n in range(500))
+    index = licenses.index_of(more, {w: 1.0 for w in "terms of the series grant rights to all this software".split()})
+    assert max(len(at) for at in index.values()) == 1 and len(index) == 1000
+    df = spark.createDataFrame([(1, "terms of the series 77 grant rights number77 to all of that software"), (2, "series 77 grant rights number78"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df, templates=licenses.TEMPLATES + more).collect()}
+    assert got == {1: "x-77", 2: "", 3: ""}
+
+
 def test_licenses_keep_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "all rights reserved", "x", "y", "z", "w")], "doc_id long, text string, words string, c0 string, labels string, __b0 string")
     r = licenses.scan(df).first()
