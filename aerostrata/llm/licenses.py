@@ -87,9 +87,10 @@ def noted(df: DataFrame, text: str, templates, keep: Sequence[str] | None = None
 
 def idf_of(notes: DataFrame) -> dict[str, float]:
     """Inverse document frequency of the licence words over all files (at most a row for each word of the templates)."""
-    counts = {r["w"]: r["n"] for r in notes.select(F.explode("voc").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # outer, as the filter that Spark infers from a plain explode would make the words twice
+    counts = {r["w"]: r["n"] for r in notes.select(F.explode_outer("voc").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = notes.count()
-    return {w: log((total + 1) / (n + 1)) for w, n in counts.items()}
+    return {w: log((total + 1) / (n + 1)) for w, n in counts.items() if w is not None}
 
 
 def lookup_order(body: str, idf: dict[str, float]) -> list[int]:
