@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerostrata.operators.network import pair_sums
+from aerostrata.operators.network import pair_totals
 
 
 def hour_of(ts: Column | str) -> Column:
@@ -82,9 +82,8 @@ def rank_engines(scores: DataFrame, score: str = "rmse", by: str = "pollutant",
 
 def semivariogram(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str] = ("pollutant", "hour"), period: str = "month") -> DataFrame:
     """Empirical semivariogram: half the mean squared difference of station pairs of the same hour, by distance bin, without a row a pair."""
-    ends = pair_sums(obs, bin_km, max_km, keys, period)
-    sums = ends.groupBy(keys[0], F.col("bin").alias("distance_bin")).agg(F.sum("h").alias("_h"), F.sum("n").alias("_n"))
-    return sums.select(keys[0], "distance_bin", (F.col("_h") / F.col("_n")).alias("gamma"), (F.col("_n") / 2).cast("long").alias("n_pairs"))
+    sums = pair_totals(obs, bin_km, max_km, keys, period)
+    return sums.select(keys[0], F.col("bin").alias("distance_bin"), (F.col("h") / F.col("n")).alias("gamma"), F.col("n").alias("n_pairs"))
 
 
 def hour_gaps(df: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFrame:

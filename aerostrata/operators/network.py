@@ -1,13 +1,16 @@
 """What the stations of a network have in common, as matrix products over a period of keys.
 
-A task gets the rows of one period (a month, or a day of a large network) and works on two matrices, stations by stations in blocks, and
-stations by keys with gaps counted out. Distances and kernels are formed once for all keys of the period. The shuffle is
-linear in the rows; no table has a row a pair. Stations stand still; repeated rows of a station and key count by their mean.
+Stations are dealt into sides by their hash. A task gets two sides of one period (a month, or a day of a large network), packed into two
+rows, and works on a tile: stations by stations in blocks, and stations by keys with gaps counted out. Distances and kernels are formed
+once a tile for all keys and pollutants of the period, and only between the latitudes within reach. What a task holds is
+bounded by the side, not by the network; no table has a row a pair. A row is sent once for each tile of its side. The work is
+that of all pairs. Stations stand still; repeated rows of a station and key count by their mean.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,14 +21,15 @@ from aerostrata.functions.scalar import EARTH_KM
 
 #: Weight of the Gaussian kernel below which a station counts as out of reach.
 NO_WEIGHT = 1e-12
+#: Stations of a side at most, sides of a large network at least (for the sake of tasks), and stations from which on a side is parted for that.
+SIDE, SIDES, FEW = 16_384, 6, 1_024
 
 
-def by_period(df: DataFrame, keys: Sequence[str], period: str) -> tuple[DataFrame, list[str]]:
-    """Rows with the period of their last key, and the columns of a group: a period of the other keys. A last key that isn't a time is a period by itself."""
+def by_period(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
+    """Rows with the period of their last key. A last key that isn't a time is a period by itself."""
     time = keys[-1]
     timed = dict(df.dtypes)[time].startswith(("timestamp", "date"))
-    when = F.date_trunc(period, F.col(time).cast("timestamp")) if timed else F.col(time).cast("string")
-    return df.withColumn("_period", when), [*keys[:-1], "_period"]
+    return df.withColumn("_period", F.date_trunc(period, F.col(time).cast("timestamp")) if timed else F.col(time).cast("string"))
 
 
 def kinds(df: DataFrame, **more: str) -> str:
@@ -33,28 +37,70 @@ def kinds(df: DataFrame, **more: str) -> str:
     return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *[f"`{c}` {t}" for c, t in more.items()]])
 
 
-class Network:
-    """A period's rows as matrices: places of the stations, keys, and a gapless (station, key, column) array with its mask."""
+class Side:
+    """Some stations' rows of a period: places in order of latitude, series (values of the keys but the last), times, columns."""
 
-    def __init__(self, pdf: pd.DataFrame, key: str, columns: Sequence[str]):
-        if pdf.duplicated(["station", key]).any():
-            pdf = pdf.groupby(["station", key], as_index=False, sort=False).agg({"lon": "first", "lat": "first", **dict.fromkeys(columns, "mean")})
-        s, stations = pd.factorize(pdf["station"], sort=True)
-        t, times = pd.factorize(pdf[key], sort=True)
-        self.stations, self.times = np.asarray(stations), times
-        first = np.unique(s, return_index=True)[1]
-        self.lon, self.lat = (np.radians(pdf[c].to_numpy(float)[first]) for c in ("lon", "lat"))
-        self.mask = np.zeros((len(stations), len(times)))
-        self.mask[s, t] = 1.0
-        self.values = np.zeros((len(stations), len(times), len(columns)))
-        self.values[s, t] = pdf[list(columns)].to_numpy(float)
+    def __init__(self, pdf: pd.DataFrame, keys: Sequence[str], columns: Sequence[str]):
+        if pdf.duplicated(["station", *keys]).any():
+            pdf = pdf.groupby(["station", *keys], as_index=False, sort=False).agg({"lon": "first", "lat": "first", **dict.fromkeys(columns, "mean")})
+        pdf = pdf.sort_values(["lat", "station"], kind="stable")
+        s, stations = pd.factorize(pdf["station"])
+        t, self.times = pd.factorize(pdf[keys[-1]])
+        series = pdf.groupby(list(keys[:-1]), sort=False).ngroup().to_numpy() if len(keys) > 1 else np.zeros(len(pdf), np.int64)
+        first = np.unique(series, return_index=True)[1]
+        self.series = [tuple(pdf[k].iloc[at] for k in keys[:-1]) for at in first]
+        self.stations = np.asarray(stations)
+        place = np.unique(s, return_index=True)[1]
+        self.lon, self.lat = (np.radians(pdf[c].to_numpy(float)[place]) for c in ("lon", "lat"))
+        self.s, self.t, self.g = s.astype(np.int32), t.astype(np.int32), series.astype(np.int32)
+        self.values = pdf[list(columns)].to_numpy(float)
 
-    def blocks(self, block: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """Some stations at a time: which, their distances to all, and which of these are other stations."""
-        n = len(self.stations)
-        for k in range(0, n, block):
-            at = slice(k, min(n, k + block))
-            yield at, great_circle(self.lon[at, None], self.lat[at, None], self.lon[None], self.lat[None]), np.arange(k, at.stop)[:, None] != np.arange(n)[None]
+    def points(self) -> np.ndarray:
+        """Places on the unit sphere: (3, stations)."""
+        return np.stack([np.cos(self.lat) * np.cos(self.lon), np.cos(self.lat) * np.sin(self.lon), np.sin(self.lat)])
+
+    def matrices(self, series: tuple, times: pd.Index) -> tuple[np.ndarray, np.ndarray] | None:
+        """Of a series: whether a station has a row at a time, and its values (stations, times, columns)."""
+        if series not in self.series:
+            return None
+        of = self.g == self.series.index(series)
+        s, t = self.s[of], times.get_indexer(pd.Index(self.times))[self.t[of]]
+        s, t, values = s[t >= 0], t[t >= 0], self.values[of][t >= 0]
+        mask, held = np.zeros((len(self.stations), len(times))), np.zeros((len(self.stations), len(times), values.shape[1]))
+        mask[s, t], held[s, t] = 1.0, values
+        return mask, held
+
+
+class Tile:
+    """Two sides of a period, and what they share."""
+
+    def __init__(self, left: Side, right: Side, same: bool):
+        self.left, self.right, self.same = left, right, same
+        found = pd.Index(left.times).intersection(pd.Index(right.times))
+        self.times = found.sort_values()
+        self.series = [x for x in left.series if x in right.series]
+
+    def blocks(self, block: int, max_km: float) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+        """Some stations of the left side at a time: which, the right side's within reach by latitude, the distances, which are others."""
+        p, q, reach = self.left.points(), self.right.points(), max_km / EARTH_KM + 1e-9
+        for k in range(0, len(self.left.stations), block):
+            at = slice(k, min(len(self.left.stations), k + block))
+            low, high = np.searchsorted(self.right.lat, [self.left.lat[at][0] - reach, self.left.lat[at][-1] + reach], side="left")
+            if low == high:
+                continue
+            to = slice(int(low), int(high))
+            h = np.zeros((at.stop - k, to.stop - to.start))
+            for a, b in zip(p, q, strict=True):
+                d = a[at, None] - b[None, to]
+                d *= d
+                h += d
+            np.sqrt(h, out=h)
+            h *= 0.5
+            np.minimum(h, 1.0, out=h)
+            np.arcsin(h, out=h)
+            h *= 2 * EARTH_KM
+            other = np.arange(k, at.stop)[:, None] != np.arange(to.start, to.stop)[None] if self.same else np.ones(h.shape, bool)
+            yield at, to, h, other
 
 
 def great_circle(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
@@ -63,82 +109,164 @@ def great_circle(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray)
     return 2 * EARTH_KM * np.arcsin(np.minimum(1, np.sqrt(h)))
 
 
-def pair_sums(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str], period: str = "month", block: int = 512) -> DataFrame:
+def tiles(rows: DataFrame, keys: Sequence[str], period: str, columns: Sequence[str], work: Callable[[Tile], pd.DataFrame], schema: str, half: bool = False, side: int | None = None) -> DataFrame:
+    """What `work` makes of the tiles of all periods: every ordered pair of sides, or with `half` every unordered one."""
+    n = rows.select("station").distinct().count()
+    sides = max(1, -(-n // (side or SIDE)), min(SIDES, -(-n // FEW)))
+    dealt = by_period(rows, keys, period).withColumn("_side", F.pmod(F.xxhash64("station"), F.lit(sides)).cast("int"))
+    names = list(keys)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_period": [pdf["_period"].iloc[0]], "_side": [pdf["_side"].iloc[0]], "_rows": [pickle.dumps(Side(pdf, names, columns), protocol=5)]})
+
+    packed = dealt.groupBy("_period", "_side").applyInPandas(lambda pdf: pack(pdf), f"_period {dict(dealt.dtypes)['_period']}, _side int, _rows binary")
+    mine, all_sides = F.col("_side"), F.sequence(F.lit(0), F.lit(sides - 1))
+    as_left = F.transform(all_sides, lambda j: F.struct(mine.alias("i"), j.alias("j")))
+    as_right = F.transform(all_sides, lambda i: F.struct(i.alias("i"), mine.alias("j")))
+    wanted = F.array_distinct(F.concat(as_left, as_right))
+    if half:
+        wanted = F.filter(wanted, lambda t: t["i"] <= t["j"])
+    sent = packed.select("_period", "_side", "_rows", F.explode(wanted).alias("_t")).select("_period", "_side", "_rows", "_t.i", "_t.j")
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        held = {int(s): pickle.loads(r) for s, r in zip(pdf["_side"], pdf["_rows"], strict=True)}
+        if i not in held or j not in held:
+            return pd.DataFrame()
+        return work(Tile(held[i], held[j], i == j))
+
+    # a tile is much work for few bytes, so one has a task of its own
+    return sent.repartition(sides * sides, "_period", "i", "j").groupBy("_period", "i", "j").applyInPandas(lambda pdf: tile(pdf), schema)
+
+
+def _pair_rows(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return obs.select(*keys, "station", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("value").cast("double").alias("value")).dropna()
+
+
+def _half_squares(tile: Tile, bin_km: float, max_km: float, bins: int, block: int) -> Iterator[tuple[slice, tuple, np.ndarray, np.ndarray, np.ndarray]]:
+    """By block of a tile and series: which stations, the series, bins of its pairs (`bins` where there is none), half squared differences, numbers."""
+    factors = []
+    for series in tile.series:
+        (m, z), (mr, zr) = tile.left.matrices(series, tile.times), tile.right.matrices(series, tile.times)
+        z, zr = z[:, :, 0], zr[:, :, 0]
+        mean = (z.sum() + zr.sum()) / max(m.sum() + mr.sum(), 1)  # differences stay, squares get small
+        z, zr = np.where(m > 0, z - mean, 0.0), np.where(mr > 0, zr - mean, 0.0)
+        left, right = np.concatenate([0.5 * z**2, m, -z], axis=1), np.concatenate([mr, 0.5 * zr**2, zr], axis=1)
+        factors.append((series, m, mr, left, right))
+    for at, to, km, other in tile.blocks(block, max_km):
+        cell = np.where(other & (km <= max_km), np.floor(km / bin_km), bins).astype(np.int64)
+        for series, m, mr, left, right in factors:
+            yield at, series, cell, np.maximum(left[at] @ right[to].T, 0.0), m[at] @ mr[to].T
+
+
+def pair_sums(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str], period: str = "month", block: int = 512, side: int | None = None) -> DataFrame:
     """(first key, station, bin, h, n): over all keys, half the squared differences of a station to the others that report at the
     same key, summed by bin of distance, and their number. A pair counts at both of its stations."""
-    rows = obs.select(*keys, "station", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("value").cast("double").alias("value")).dropna()
-    dealt, group = by_period(rows, keys, period)
+    rows = _pair_rows(obs, keys)
     name, bins = keys[0], int(max_km // bin_km) + 1
 
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        net = Network(pdf, keys[-1], ["value"])
-        m = net.mask
-        z = np.where(m > 0, net.values[:, :, 0] - net.values.sum() / m.sum(), 0.0)  # differences stay, squares get small
+    def sums(tile: Tile) -> pd.DataFrame:
+        size = len(tile.left.stations) * (bins + 1)
+        total = {x[0]: np.zeros((2, size)) for x in tile.series}
+        for at, series, cell, h, n in _half_squares(tile, bin_km, max_km, bins, block):
+            where = (cell + np.arange(at.start, at.stop)[:, None] * (bins + 1)).ravel()
+            where -= at.start * (bins + 1)
+            part = slice(at.start * (bins + 1), at.stop * (bins + 1))
+            for k, x in enumerate((h, n)):
+                total[series[0]][k, part] += np.bincount(where, weights=x.ravel(), minlength=part.stop - part.start)
         parts = []
-        for at, km, other in net.blocks(block):
-            h = 0.5 * ((z[at] ** 2) @ m.T + m[at] @ (z**2).T) - z[at] @ z.T
-            n = m[at] @ m.T
-            ok = other & (km <= max_km) & (n > 0)
-            i, j = np.nonzero(ok)
-            cell = i * bins + np.floor(km[i, j] / bin_km).astype(np.int64)
-            found = np.unique(cell)
-            total = np.bincount(cell, weights=np.maximum(h[i, j], 0.0)), np.bincount(cell, weights=n[i, j])
-            parts.append(pd.DataFrame({name: pdf[name].iloc[0], "station": net.stations[at][found // bins], "bin": found % bins, "h": total[0][found] if len(found) else [], "n": total[1][found].astype(np.int64) if len(found) else []}))
-        return pd.concat(parts)
-
-    schema = kinds(rows.select(name, "station"), bin="long", h="double", n="long")
-    part = dealt.groupBy(*group).applyInPandas(lambda pdf: sums(pdf), schema)
+        for value, (h, n) in total.items():
+            found = np.flatnonzero((n > 0.5) & (np.arange(size) % (bins + 1) < bins))
+            parts.append(pd.DataFrame({name: [value] * len(found), "station": tile.left.stations[found // (bins + 1)], "bin": found % (bins + 1), "h": h[found], "n": n[found].round().astype(np.int64)}))
+        return pd.concat(parts) if parts else pd.DataFrame()
+
+    part = tiles(rows, keys, period, ["value"], sums, kinds(rows.select(name, "station"), bin="long", h="double", n="long"), side=side)
     return part.groupBy(name, "station", "bin").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
-def local_fits(panel: DataFrame, features: Sequence[str], bandwidths: Sequence[float], keys: Sequence[str], y: str = "value", period: str = "month", block: int = 512) -> DataFrame:
+def pair_totals(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str], period: str = "month", block: int = 512, side: int | None = None) -> DataFrame:
+    """(first key, bin, h, n): the sums of `pair_sums` over all stations, every pair once."""
+    rows = _pair_rows(obs, keys)
+    name, bins = keys[0], int(max_km // bin_km) + 1
+
+    def sums(tile: Tile) -> pd.DataFrame:
+        total = {x[0]: np.zeros((2, bins + 1)) for x in tile.series}
+        for _, series, cell, h, n in _half_squares(tile, bin_km, max_km, bins, block):
+            for k, x in enumerate((h, n)):
+                total[series[0]][k] += np.bincount(cell.ravel(), weights=x.ravel(), minlength=bins + 1) / (2 if tile.same else 1)
+        parts = []
+        for value, (h, n) in total.items():
+            found = np.flatnonzero(n[:bins] > 0.25)
+            parts.append(pd.DataFrame({name: [value] * len(found), "bin": found, "h": h[found], "n": n[found].round().astype(np.int64)}))
+        return pd.concat(parts) if parts else pd.DataFrame()
+
+    part = tiles(rows, keys, period, ["value"], sums, kinds(rows.select(name), bin="long", h="double", n="long"), half=True, side=side)
+    return part.groupBy(name, "bin").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
+
+
+def local_fits(panel: DataFrame, features: Sequence[str], bandwidths: Sequence[float], keys: Sequence[str], y: str = "value", period: str = "month", block: int = 512, side: int | None = None) -> DataFrame:
     """Leave-one-station-out regressions of every station and key on the others, Gaussian in the distance:
     (bandwidth, target, keys, n, beta, obs, pred), beta with the intercept first.
 
-    The normal matrices of all targets and keys of a period are one product of weights and products of predictors. With one
-    predictor they are solved in closed form, and degenerate ones or those of fewer than three stations give no row; with more, a
-    small ridge keeps collinear ones solvable, and as many stations as coefficients give none.
+    A tile gives the normal matrices of its left side's targets over its right side's stations, as one product of weights and products of
+    predictors; tiles are added up, then solved. With one predictor they are solved in closed form, and degenerate ones or those of
+    fewer than three stations give no row; with more, a small ridge keeps collinear ones solvable, and as many stations as
+    coefficients give none.
     """
     columns = [f"_f{i}" for i in range(len(features))]
     numbers = {"lon": "lon", "lat": "lat", **dict(zip(columns, features, strict=True)), "_y": y}
     rows = panel.select(*keys, "station", *[F.col(f).cast("double").alias(c) for c, f in numbers.items()]).dropna()
-    dealt, group = by_period(rows, keys, period)
     p = len(features) + 1
     up = np.triu_indices(p)
+    sums = [f"_s{i}" for i in range(len(up[0]) + p)]
+    own = [*columns, "_y"]
+    widths = [float(b) for b in bandwidths]
+
+    def normal(tile: Tile) -> pd.DataFrame:
+        known = []
+        for series in tile.series:
+            (m, own_values), (mr, values) = tile.left.matrices(series, tile.times), tile.right.matrices(series, tile.times)
+            f = np.concatenate([mr[:, :, None], values[:, :, :-1]], axis=2)
+            terms = np.concatenate([f[:, :, up[0]] * f[:, :, up[1]], f * values[:, :, -1:]], axis=2)
+            known.append((series, m, own_values, mr, terms.reshape(len(terms), -1)))
+        parts = []
+        for at, to, km, other in tile.blocks(block, max(widths) * np.sqrt(-2 * np.log(NO_WEIGHT)) * 1.001):
+            for width in widths:
+                w = np.exp(-0.5 * (km / width) ** 2)
+                w[~other | (w < NO_WEIGHT)] = 0.0
+                met = (w > 0).astype(float)
+                for series, m, own_values, mr, flat in known:
+                    n = (met @ mr[to]).round().astype(np.int64)
+                    i, t = np.nonzero((m[at] > 0) & (n > 0))
+                    got = (w @ flat[to]).reshape(*n.shape, -1)[i, t]
+                    made = {"bandwidth": width, "target": tile.left.stations[at][i], **dict(zip(keys[:-1], ([v] * len(i) for v in series), strict=True)), keys[-1]: tile.times[t]}
+                    made |= {"n": n[i, t]} | dict(zip(sums, got.T, strict=True)) | dict(zip(own, own_values[at][i, t].T, strict=True))
+                    parts.append(pd.DataFrame(made))
+        return pd.concat(parts) if parts else pd.DataFrame()
 
-    def solve(sums: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Coefficients, and where there are any."""
-        a, b = sums[..., : len(up[0])], sums[..., len(up[0]) :]
+    base = ", ".join(["bandwidth double", kinds(rows.select(F.col("station").alias("target"), *keys))])
+    part = tiles(rows, keys, period, own, normal, ", ".join([base, "n long", *[f"{c} double" for c in [*sums, *own]]]), side=side or 2 * SIDE)
+    whole = part.groupBy("bandwidth", "target", *keys).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums], *[F.first(c).alias(c) for c in own])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, got = pdf["n"].to_numpy(), pdf[sums].to_numpy(float)
+        a, b = got[:, : len(up[0])], got[:, len(up[0]) :]
         if p == 2:
-            sw, sx, sxx, sy, sxy = a[..., 0], a[..., 1], a[..., 2], b[..., 0], b[..., 1]
+            sw, sx, sxx, sy, sxy = *a.T, *b.T
             det = sw * sxx - sx * sx
             fine = (n >= 3) & (det > 1e-9 * sw * sxx)
             slope = (sw * sxy - sx * sy)[fine] / det[fine]
-            return np.stack([(sy[fine] - slope * sx[fine]) / sw[fine], slope], axis=1), fine
-        fine = n > p
-        m = np.zeros((int(fine.sum()), p, p))
-        m[:, up[0], up[1]] = a[fine]
-        m[:, up[1], up[0]] = a[fine]
-        scale = np.maximum(np.trace(m, axis1=1, axis2=2) / p, 1e-12)
-        m += 1e-8 * scale[:, None, None] * np.eye(p)
-        return np.linalg.solve(m, b[fine][:, :, None])[:, :, 0], fine
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        net = Network(pdf, keys[-1], [*columns, "_y"])
-        f = np.concatenate([net.mask[:, :, None], net.values[:, :, :-1]], axis=2)
-        obs = net.values[:, :, -1]
-        terms = np.concatenate([f[:, :, up[0]] * f[:, :, up[1]], f * obs[:, :, None]], axis=2)
-        flat, parts = terms.reshape(len(terms), -1), []
-        for at, km, other in net.blocks(block):
-            for width in bandwidths:
-                w = np.exp(-0.5 * (km / width) ** 2)
-                w = np.where(other & (w >= NO_WEIGHT), w, 0.0)
-                n = ((w > 0) @ net.mask).round().astype(np.int64)
-                beta, fine = solve((w @ flat).reshape(*n.shape, -1), np.where(net.mask[at] > 0, n, 0))
-                i, t = np.nonzero(fine)
-                got = {"bandwidth": float(width), "target": net.stations[at][i], **{c: pdf[c].iloc[0] for c in keys[:-1]}, keys[-1]: net.times[t], "n": n[i, t]}
-                parts.append(pd.DataFrame(got | {"beta": pd.Series(list(beta), dtype=object), "obs": obs[at][i, t], "pred": (beta * f[at][i, t]).sum(axis=1)}))
-        return pd.concat(parts)
-
-    schema = ", ".join(["bandwidth double", kinds(rows.select(F.col("station").alias("target"), *keys)), "n long, beta array<double>, obs double, pred double"])
-    return dealt.groupBy(*group).applyInPandas(lambda pdf: fit(pdf), schema)
+            beta = np.stack([(sy[fine] - slope * sx[fine]) / sw[fine], slope], axis=1)
+        else:
+            fine = n > p
+            m = np.zeros((int(fine.sum()), p, p))
+            m[:, up[0], up[1]] = a[fine]
+            m[:, up[1], up[0]] = a[fine]
+            scale = np.maximum(np.trace(m, axis1=1, axis2=2) / p, 1e-12)
+            m += 1e-8 * scale[:, None, None] * np.eye(p)
+            beta = np.linalg.solve(m, b[fine][:, :, None])[:, :, 0]
+        out = pdf[fine]
+        f = np.concatenate([np.ones((len(out), 1)), out[columns].to_numpy(float)], axis=1)
+        return out[["bandwidth", "target", *keys, "n"]].assign(beta=pd.Series(list(beta), dtype=object, index=out.index), obs=out["_y"], pred=(beta * f).sum(axis=1))
+
+    return whole.mapInPandas(lambda batches: map(solve, batches), f"{base}, n long, beta array<double>, obs double, pred double")

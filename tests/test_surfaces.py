@@ -1,6 +1,7 @@
 """Engines side by side, block kriging, area shares, neighbours and swaths against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,22 @@ def test_pair_sums_by_hand(spark, block):
     assert network.pair_sums(spark.createDataFrame(rows, PANEL).limit(0), 60.0, 250.0, ("pollutant", "day")).count() == 0
 
 
+def test_tiles_give_the_same_sums_and_fits(spark):
+    """Networks dealt into many sides: no task holds more than two of them, and the results are those of one side."""
+    rows, _ = small_panel(RNG(17), stations=40)
+    df, keys = spark.createDataFrame(rows, PANEL), ("pollutant", "day")
+    for side in (7, 16):
+        for made in (network.pair_sums, network.pair_totals):
+            one, many = ({tuple(r)[:-2]: tuple(r)[-2:] for r in made(df, 60.0, 250.0, keys, block=4, side=s).collect()} for s in (None, side))
+            assert set(one) == set(many) and all(many[k] == pytest.approx(one[k], rel=1e-8, abs=1e-8) for k in one)
+        one, many = ({(r.target, r.pollutant, r.day): (r.n, r.obs, r.pred) for r in network.local_fits(df, ["f"], [150.0], keys, block=4, side=s).collect()} for s in (None, side))
+        assert set(one) == set(many) and all(many[k] == pytest.approx(one[k], rel=1e-8) for k in one)
+    seen = []
+    for r in network.tiles(df.select(*keys, "station", "lon", "lat", "value"), keys, "month", ["value"], lambda t: pd.DataFrame({"l": [len(t.left.stations)], "r": [len(t.right.stations)]}), "l long, r long", side=7).collect():
+        seen.append(max(r.l, r.r))
+    assert len(seen) > 30 and max(seen) < 20
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_local_fits_are_weighted_least_squares(spark, block):
     rows, spots = small_panel(RNG(9), days=4)
