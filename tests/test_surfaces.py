@@ -97,6 +97,29 @@ def test_points_by_quadtree(spark):
     assert geo.assign_comuna(points.limit(0), e).count() == 0 and geo.assign_comuna(points, e.limit(0)).count() == 0
 
 
+def test_nearest_by_cells_is_exact(spark, monkeypatch):
+    """All levels of cells: oceans, poles, the date line, many at one place, fewer than asked for."""
+    monkeypatch.setattr(geo, "FEW_PAIRS", 0)
+    monkeypatch.setattr(geo, "LEAF", 2)
+    monkeypatch.setattr(geo, "DEEPEST", 5)
+    rng = RNG(3)
+    spots = [(float(x), float(y)) for x, y in np.c_[rng.uniform(-80, -60, 200), rng.uniform(-60, -10, 200)]] + [(179.9, 10.0), (-179.9, 10.1), (0.0, 90.0), (90.0, 89.9), (10.0, -90.0)] + [(-70.0, -33.0)] * 9
+    asked = [(float(x), float(y)) for x, y in np.c_[rng.uniform(-180, 180, 80), rng.uniform(-90, 90, 80)]] + [(180.0, 10.0), (-180.0, 10.0), (45.0, 90.0), (-70.0, -33.0), (0.0, -90.0), (360.0, 0.0), (-0.0, 0.0)]
+    stations = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "station int, lon double, lat double")
+    targets = spark.createDataFrame([(i, *p) for i, p in enumerate(asked)], "target int, lon double, lat double")
+    got = {}
+    for r in geo.nearest(targets, stations, 4).collect():
+        got.setdefault(r.target, {})[r["rank"]] = (r.station, r.km)
+    assert set(got) == set(range(len(asked)))
+    for i, p in enumerate(asked):
+        want = sorted((round(float(km_by_hand(p, q)), 6), j) for j, q in enumerate(spots))[:4]
+        assert [got[i][k][1] for k in range(1, 5)] == pytest.approx([d for d, _ in want], abs=1e-5)
+        assert len({got[i][k][0] for k in range(1, 5)}) == 4
+    assert geo.nearest(targets, stations.limit(3), 4).count() == 3 * len(asked)
+    near = geo.neighbours(stations.withColumnRenamed("station", "target"), stations, 3, 50.0)
+    assert {(r.target, r.station) for r in near.collect()} == {(r.target, r.station) for r in geo.nearest(stations.withColumnRenamed("station", "target"), stations, 3).where("km <= 50").collect()}
+
+
 def test_nearest_wherever_they_are(spark):
     """Crowds, empty oceans, poles and the date line; fewer stations than asked for; places that are none."""
     rng = RNG(2)
