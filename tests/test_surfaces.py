@@ -309,3 +309,18 @@ def test_surface_of_all_engines_has_no_gap(spark):
     assert made.where("estimate is null").count() == 0
     tags = {r.engine for r in made.select("engine").distinct().collect()}
     assert tags <= {"gwr", "kriging", "gbt", "day mean", "mean"} and tags & {"kriging", "gbt"}
+
+
+def test_kriging_deals_targets_into_groups(spark, monkeypatch):
+    """Targets that share a group don't share weights, and calls to a group don't grow with targets."""
+    rng = RNG(23)
+    spots = {i: (-70 + float(x), -33 + float(y)) for i, (x, y) in enumerate(rng.uniform(0, 3, (12, 2)))}
+    values = spark.createDataFrame([(i, h, *spots[i], float(i * h)) for i in spots for h in range(4) if (i + h) % 5], "station int, hour int, lon double, lat double, value double")
+    places = values.select("station", "lon", "lat").distinct()
+    near = geo.nearest(places.withColumnRenamed("station", "target"), places, 4).where("target <> station").withColumnRenamed("station", "source")
+    made = []
+    for groups in (1, 4_096):
+        monkeypatch.setattr(engines, "DEALT", groups)
+        made.append({(r.target, r.hour): tuple(r)[2:] for r in engines.krige(values, near, places, (0.5, 3.0, 90.0)).collect()})
+    assert set(made[0]) == set(made[1]) and len(made[0]) > 40
+    assert all(made[0][k] == pytest.approx(made[1][k], abs=1e-9) for k in made[0])
