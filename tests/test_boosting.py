@@ -104,3 +104,19 @@ def test_small_and_empty_panels(spark):
     assert empty.out_of_fold(df).where("pred is not null").count() == 0 and empty.importances(spark).count() == 0
     few = df.where("station in ('s0', 's1')").limit(4)
     assert boosting.fit(few, ["a"], trees=2, depth=2).feature[0].max() == -1  # too few rows for a split
+
+
+def test_folds_share_the_sums_of_their_trees(spark):
+    """Many stations, few different trees: trees stay in a table, and each fold still equals a refit."""
+    df = table(spark, 3000, 600).where("pollutant = 'p'")
+    edges = [[-1.0, -0.4, 0.0, 0.4, 1.0], [-1.5, -0.7, 0.7, 1.5]]
+    model = boosting.fit(df, ["a", "b"], by="pollutant", trees=2, depth=2, rate=0.5, edges=edges)
+    stations = df.select("station").distinct().count()
+    assert model.models.count() == stations + 1
+    assert model.models.select("feature", "cut").distinct().count() < stations / 4
+    assert [len(f) for f in model.feature] == [1, 1]  # the driver holds the model of all rows only
+    data, got = df.toPandas(), model.out_of_fold(df).toPandas()
+    for out in sorted(set(data.station))[::100]:
+        seen, asked = data[data.station != out], got[got.station == out]
+        predict = grown(seen[["a", "b"]].to_numpy(), seen.value.to_numpy(), edges, 2, 2, 0.5, 5)
+        assert asked.pred.to_numpy() == pytest.approx(np.array([predict(r) for r in asked[["a", "b"]].to_numpy()]), abs=1e-9)
