@@ -324,3 +324,29 @@ def test_kriging_deals_targets_into_groups(spark, monkeypatch):
         made.append({(r.target, r.hour): tuple(r)[2:] for r in engines.krige(values, near, places, (0.5, 3.0, 90.0)).collect()})
     assert set(made[0]) == set(made[1]) and len(made[0]) > 40
     assert all(made[0][k] == pytest.approx(made[1][k], abs=1e-9) for k in made[0])
+
+
+def joined_rows(df):
+    """Rows that the joins of a finished query made."""
+
+    def nodes(plan):
+        yield plan
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            yield from nodes(plan.executedPlan())
+        if plan.nodeName().endswith("QueryStage"):
+            yield from nodes(plan.plan())
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    return sum(p.metrics().apply("numOutputRows").value() for p in nodes(df._jdf.queryExecution().executedPlan()) if "Join" in p.nodeName())
+
+
+def test_swath_crowds_do_not_multiply(spark):
+    """Many visits of a station on the day that a granule has many pixels near it: each visit gets the nearest, ties by scanline and pixel."""
+    pixels = spark.range(2000).selectExpr("1L granule_id", "id % 50 scanline", "id div 50 ground_pixel", "-70d + (id % 7) * 0.01 lon", "-33d lat", "timestamp_ntz '2020-01-02 00:00:00' ts", "cast(id as double) value")
+    visits = spark.range(2000).selectExpr("id visit", "0L station", "-70d lon", "-33d lat", "timestamp_ntz '2020-01-02 06:00:00' ts")
+    found = geo.collocate_swath(visits, pixels, 60.0, 1440.0)
+    rows = found.collect()
+    # the nearest pixels are those with id % 7 = 0, the first of them by scanline and pixel is id 0
+    assert len(rows) == 2000 and {(r.scanline, r.ground_pixel, r.km, r.minutes, r.value) for r in rows} == {(0, 0, 0.0, 360.0, 0.0)}
+    assert 2_000 <= joined_rows(found) < 20_000  # not 4,000,000
