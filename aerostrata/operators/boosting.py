@@ -279,6 +279,8 @@ def fit(
         finite = finite & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
     group = [by] if by else []
     known = panel.where(finite).select(*group, "station", F.col(y).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+    parts = spark.sparkContext.defaultParallelism
+    known = known.coalesce(2 * parts).persist(StorageLevel.MEMORY_AND_DISK)  # else its shuffle is written for each of its readers
     stations = known.groupBy(*group, "station").agg(F.sum("_y").alias("_s"), F.count(F.lit(1)).alias("_n"))
     place = F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.xxhash64("station"), "station")) - 1  # stations of one network
     held = stations.withColumn("fold", (place if folds is None else place % folds).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -298,23 +300,34 @@ def fit(
     wide = max((len(c) for c in cuts), default=0) + 1
     model = Boosted(list(features), cuts, groups, mean, depth, rate, by, held.select(*group, "station", "fold"))
     if not names:
+        known.unpersist()
         return model
 
     keys, n_features = [*group, "station"], len(features)
     bin_names = [f"b{i}" for i in range(n_features)]
+    few = folds is not None  # of few folds each is large: their rows stay dealt out
     on = held.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "fold")
-    rows = known.join(on, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).withColumn("_g", _code(model, F.col(by) if by else None))
+
+    def folded(df: DataFrame) -> DataFrame:
+        return df.join(on, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+
+    rows = (folded(known) if few else known.withColumn("fold", F.lit(-1))).withColumn("_g", _code(model, F.col(by) if by else None))
 
     def placed(batches):
         for pdf in batches:
             x = _binned(pdf[[f"_f{i}" for i in range(n_features)]].to_numpy(float), cuts)
-            yield pd.DataFrame({"_g": pdf["_g"], "fold": pdf["fold"], "y": pdf["_y"] - mean[pdf["_g"].to_numpy(int)]} | {b: x[:, i].astype(np.int16) for i, b in enumerate(bin_names)})
-
-    rows = rows.select("_g", "fold", "_y", *[f"_f{i}" for i in range(n_features)]).mapInPandas(placed, ", ".join(["_g int, fold int, y double", *[f"{b} smallint" for b in bin_names]]))
-    few = folds is not None  # of few folds each is large: their rows stay dealt out
-    cells = rows.groupBy("_g", F.col("fold") if few else F.lit(-1).alias("fold"), *bin_names).agg(F.sum("y").alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
-    cells = cells.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
-    own = rows.groupBy("_g", "fold").agg(F.sum("y").alias("_s"), F.count(F.lit(1)).alias("_n"), *([] if few else [F.collect_list(F.struct("y", *bin_names)).alias("_own")]))
+            yield pd.DataFrame({k: pdf[k] for k in keys} | {"_g": pdf["_g"], "fold": pdf["fold"], "y": pdf["_y"] - mean[pdf["_g"].to_numpy(int)]} | {b: x[:, i].astype(np.int16) for i, b in enumerate(bin_names)})
+
+    types = dict(known.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "_g int, fold int, y double", *[f"{b} smallint" for b in bin_names]])
+    rows = rows.select(*keys, "_g", "fold", "_y", *[f"_f{i}" for i in range(n_features)]).mapInPandas(placed, schema)
+    cells = rows.select("_g", "fold", "y", *bin_names).repartition(parts, "_g", "fold", *bin_names)  # one shuffle: the sums come after it
+    cells = cells.groupBy("_g", "fold", *bin_names).agg(F.sum("y").alias("y"), F.count(F.lit(1)).cast("double").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    totals = [F.sum("y").alias("_s"), F.count(F.lit(1)).alias("_n")]
+    if few:
+        own = rows.groupBy("_g", "fold").agg(*totals)
+    else:  # a station is a fold, so its number joins its row, not its rows
+        own = folded(rows.drop("fold").groupBy(*keys, "_g").agg(*totals, F.collect_list(F.struct("y", *bin_names)).alias("_own")))
     taken = [F.array().cast(f"array<{t}>").alias(c) if few else F.col("_own")[c].alias(c) for c, t in [("y", "double"), *[(b, "smallint") for b in bin_names]]]
     size = F.lit(None).cast("double")
     for g in range(len(names)):
@@ -323,7 +336,7 @@ def fit(
     base = F.when(size > F.col("_n"), -F.col("_s") / (size - F.col("_n"))).otherwise(F.lit(float("nan")))
     empty = [F.lit(b"").alias(c) for c in ("feature", "cut", "leaf", "gain")]
     alone = spark.createDataFrame([(g, -1) for g in range(len(names))], "_g int, fold int").select("_g", "fold", F.lit(0.0).alias("base"), *empty, *[F.array().cast(f"array<{t}>").alias(c) for c, t in [("y", "double"), *[(b, "smallint") for b in bin_names]]])
-    state = own.select("_g", "fold", base.alias("base"), *empty, *taken).unionByName(alone).localCheckpoint()
+    state = own.select("_g", "fold", base.alias("base"), *empty, *taken).unionByName(alone).coalesce(parts).localCheckpoint()
     schema = ", ".join([_MODEL, "y array<double>", *[f"{b} array<smallint>" for b in bin_names]])
     inner = 2 * (2**depth - 1)
 
@@ -349,9 +362,11 @@ def fit(
                 found = spark.sparkContext.broadcast({names_of[r["piece"]]: np.frombuffer(bytes(r["sums"])).reshape(-1, n_features * 2**level * wide) for r in made})
                 grown = state.mapInPandas(lambda batches, found=found, tree=tree, level=level: _grow(batches, found.value, n_features, wide, tree, level, depth, rate, min_rows), schema)
                 state = grown.localCheckpoint()  # else plans hold those of all levels before
-                sent.unpersist()
+                sent.destroy()
+                found.destroy()
     finally:
         cells.unpersist()
+        known.unpersist()
     whole = sorted(state.where("fold = -1").select("_g", "feature", "cut", "leaf", "gain").collect(), key=lambda r: r["_g"])
     feature, cut, leaf = _arrays(*([bytes(r[c]) for r in whole] for c in ("feature", "cut", "leaf")), depth)
     gain = np.frombuffer(b"".join(bytes(r["gain"]) for r in whole)).reshape(feature.shape)

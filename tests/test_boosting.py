@@ -120,3 +120,19 @@ def test_folds_share_the_sums_of_their_trees(spark):
         seen, asked = data[data.station != out], got[got.station == out]
         predict = grown(seen[["a", "b"]].to_numpy(), seen.value.to_numpy(), edges, 2, 2, 0.5, 5)
         assert asked.pred.to_numpy() == pytest.approx(np.array([predict(r) for r in asked[["a", "b"]].to_numpy()]), abs=1e-9)
+
+
+def test_a_fit_reads_its_panel_once(spark):
+    """What makes the panel (a shuffle, a scan) isn't repeated for stations, quantiles, sums and own rows."""
+    df = table(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    for folds in (None, 2):
+        before = read.value
+        boosting.fit(df.mapInPandas(counted, SCHEMA), ["a", "b"], by="pollutant", trees=1, depth=1, folds=folds)
+        assert read.value - before == 300
