@@ -23,6 +23,8 @@ from aerostrata.functions.scalar import EARTH_KM
 NO_WEIGHT = 1e-12
 #: Stations of a side at most, sides of a large network at least (for the sake of tasks), and stations from which on a side is parted for that.
 SIDE, SIDES, FEW = 16_384, 6, 1_024
+#: Stations from which on regressions go by boxes, stations of a box for that on average, and stations of a box and key below which its fits go by tiles.
+MANY, FILLED, SPARSE = 32_768, 160, 32
 
 
 def by_period(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
@@ -204,15 +206,35 @@ def pair_totals(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str
     return part.groupBy(name, "bin").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
+def _boxed(rows: DataFrame, widths: Sequence[float]) -> list[tuple[float, bool, int]]:
+    """Of each bandwidth whether its boxes are full enough, and stations of the fullest box."""
+    from aerostrata.operators.boxes import Boxes
+
+    stations = rows.groupBy("station").agg(F.first("lon").alias("lon"), F.first("lat").alias("lat")).persist()
+    n, low, high = stations.agg(F.count(F.lit(1)), F.min("lat"), F.max("lat")).first()
+    found = []
+    for width in widths:
+        most = boxes = 0
+        if n >= MANY and low >= -90 and high <= 90:
+            boxes, most = stations.groupBy(Boxes(width).of(F.col("lon"), F.col("lat"))).count().agg(F.count(F.lit(1)), F.max("count")).first()
+        found.append((width, bool(boxes) and n >= FILLED * boxes, most or 0))
+    stations.unpersist()
+    return found
+
+
 def local_fits(panel: DataFrame, features: Sequence[str], bandwidths: Sequence[float], keys: Sequence[str], y: str = "value", period: str = "month", block: int = 512, side: int | None = None) -> DataFrame:
     """Leave-one-station-out regressions of every station and key on the others, Gaussian in the distance:
     (bandwidth, target, keys, n, beta, obs, pred), beta with the intercept first.
 
+    Of a large network the sums come from boxes (`boxes.kernel_sums`), but for boxes with few stations at a key: a kernel that is small at all
+    stations is not known well enough from nodes. All other sums come from tiles.
     A tile gives the normal matrices of its left side's targets over its right side's stations, as one product of weights and products of
     predictors; tiles are added up, then solved. With one predictor they are solved in closed form, and degenerate ones or those of
     fewer than three stations give no row; with more, a small ridge keeps collinear ones solvable, and as many stations as
     coefficients give none.
     """
+    from aerostrata.operators.boxes import Boxes, kernel_sums
+
     columns = [f"_f{i}" for i in range(len(features))]
     numbers = {"lon": "lon", "lat": "lat", **dict(zip(columns, features, strict=True)), "_y": y}
     rows = panel.select(*keys, "station", *[F.col(f).cast("double").alias(c) for c, f in numbers.items()]).dropna()
@@ -222,13 +244,19 @@ def local_fits(panel: DataFrame, features: Sequence[str], bandwidths: Sequence[f
     own = [*columns, "_y"]
     widths = [float(b) for b in bandwidths]
 
-    def normal(tile: Tile) -> pd.DataFrame:
+    def terms(present: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """What is added up of rows (..., predictors and y)."""
+        f = np.concatenate([present[..., None], values[..., :-1]], axis=-1)
+        return np.concatenate([f[..., up[0]] * f[..., up[1]], f * values[..., -1:]], axis=-1)
+
+    def normal(tile: Tile, widths: Sequence[float]) -> pd.DataFrame:
         known = []
         for series in tile.series:
             (m, own_values), (mr, values) = tile.left.matrices(series, tile.times), tile.right.matrices(series, tile.times)
-            f = np.concatenate([mr[:, :, None], values[:, :, :-1]], axis=2)
-            terms = np.concatenate([f[:, :, up[0]] * f[:, :, up[1]], f * values[:, :, -1:]], axis=2)
-            known.append((series, m, own_values, mr, terms.reshape(len(terms), -1)))
+            if own_values.shape[2] > len(own):  # only those that are asked for
+                m, own_values, values = m * own_values[:, :, -1], own_values[:, :, :-1], values[:, :, :-1]
+            made = terms(mr, values)
+            known.append((series, m, own_values, mr, made.reshape(len(made), -1)))
         parts = []
         for at, to, km, other in tile.blocks(block, max(widths) * np.sqrt(-2 * np.log(NO_WEIGHT)) * 1.001):
             for width in widths:
@@ -238,6 +266,8 @@ def local_fits(panel: DataFrame, features: Sequence[str], bandwidths: Sequence[f
                 for series, m, own_values, mr, flat in known:
                     n = (met @ mr[to]).round().astype(np.int64)
                     i, t = np.nonzero((m[at] > 0) & (n > 0))
+                    if not len(i):
+                        continue
                     got = (w @ flat[to]).reshape(*n.shape, -1)[i, t]
                     made = {"bandwidth": width, "target": tile.left.stations[at][i], **dict(zip(keys[:-1], ([v] * len(i) for v in series), strict=True)), keys[-1]: tile.times[t]}
                     made |= {"n": n[i, t]} | dict(zip(sums, got.T, strict=True)) | dict(zip(own, own_values[at][i, t].T, strict=True))
@@ -245,8 +275,33 @@ def local_fits(panel: DataFrame, features: Sequence[str], bandwidths: Sequence[f
         return pd.concat(parts) if parts else pd.DataFrame()
 
     base = ", ".join(["bandwidth double", kinds(rows.select(F.col("station").alias("target"), *keys))])
-    part = tiles(rows, keys, period, own, normal, ", ".join([base, "n long", *[f"{c} double" for c in [*sums, *own]]]), side=side or 2 * SIDE)
-    whole = part.groupBy("bandwidth", "target", *keys).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums], *[F.first(c).alias(c) for c in own])
+    schema = ", ".join([base, "n long", *[f"{c} double" for c in [*sums, *own]]])
+
+    def by_tiles(rows: DataFrame, widths: Sequence[float], held: Sequence[str]) -> DataFrame:
+        part = tiles(rows, keys, period, held, lambda tile: normal(tile, widths), schema, side=side or 2 * SIDE)
+        return part.groupBy("bandwidth", "target", *keys).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums], *[F.first(c).alias(c) for c in own])
+
+    made, tiled = [], []
+    for width, filled, crowd in _boxed(rows, widths):
+        if not filled:
+            tiled.append(width)
+            continue
+        grid = Boxes(width)
+        placed = by_period(rows, keys, period).withColumn("_box", grid.of(F.col("lon"), F.col("lat")))
+        sparse = placed.groupBy("_period", "_box", *keys).agg(F.approx_count_distinct("station").alias("_k")).where(F.col("_k") < SPARSE).drop("_k").persist()
+        some = not sparse.isEmpty()
+        if some:
+            placed = placed.join(sparse.withColumn("_weak", F.lit(1.0)), ["_period", "_box", *keys], "left").withColumn("_weak", F.coalesce("_weak", F.lit(0.0)))
+            made.append(by_tiles(placed.drop("_period", "_box"), [width], [*own, "_weak"]))
+        else:
+            sparse.unpersist()
+            placed = placed.withColumn("_weak", F.lit(0.0))
+        made.append(kernel_sums(placed, grid, keys, own, lambda v: terms(np.ones(v.shape[:-1]), v), len(sums), sums, schema, crowd))
+    if tiled:
+        made.append(by_tiles(rows, tiled, own))
+    whole = made[0]
+    for more in made[1:]:
+        whole = whole.unionByName(more)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         n, got = pdf["n"].to_numpy(), pdf[sums].to_numpy(float)

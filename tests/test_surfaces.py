@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aerostrata.operators import aggregate, engines, geo, network, panel
+from aerostrata.operators import aggregate, boxes, engines, geo, network, panel
 from aerostrata.plans.fixtures import fixture
 
 DIR = "/root/testdata/sf0.01"
@@ -350,3 +350,25 @@ def test_swath_crowds_do_not_multiply(spark):
     # the nearest pixels are those with id % 7 = 0, the first of them by scanline and pixel is id 0
     assert len(rows) == 2000 and {(r.scanline, r.ground_pixel, r.km, r.minutes, r.value) for r in rows} == {(0, 0, 0.0, 360.0, 0.0)}
     assert 2_000 <= joined_rows(found) < 20_000  # not 4,000,000
+
+
+def test_boxes_give_the_fits_of_all_pairs(spark, monkeypatch):
+    """Crowds, lone stations, the date line and a pole: sums over boxes are those over tiles, the numbers within reach are equal."""
+    rng = RNG(31)
+    spots = [*np.c_[rng.uniform(-75, -60, 500), rng.uniform(-40, -20, 500)], *np.c_[rng.normal(180, 2, 120) % 360 - 180, rng.normal(3, 2, 120)], *np.c_[rng.uniform(-180, 180, 120), rng.uniform(86, 90, 120)]]
+    spots = [tuple(map(float, p)) for p in spots] + [(-50.0, -60.0), (0.0, 90.0)]
+    days = [np.datetime64("2020-01-30").item(), np.datetime64("2020-01-31").item(), np.datetime64("2020-02-01").item()]
+    rows = [(p, s, d, *spots[s], float(rng.normal(50, 3)), float(rng.normal(9, 2)), float(rng.normal())) for s in range(len(spots)) for d in days for p in ("p", "q") if rng.uniform() < 0.7]
+    df, keys = spark.createDataFrame(rows, PANEL), ("pollutant", "day")
+    made = []
+    for many in (10**9, 0):
+        monkeypatch.setattr(network, "MANY", many)
+        monkeypatch.setattr(network, "FILLED", 0)
+        made.append({(r.bandwidth, r.target, r.pollutant, r.day): (r.n, r.obs, r.pred, *r.beta) for r in network.local_fits(df, ["f"], [150.0, 400.0], keys).collect()})
+    assert len(made[0]) > 4_000 and set(made[0]) == set(made[1])
+    assert all(made[1][k][0] == made[0][k][0] and made[1][k][1:] == pytest.approx(made[0][k][1:], rel=1e-6, abs=1e-6) for k in made[0])
+    monkeypatch.setattr(boxes, "PART", 40)
+    parted = {(r.target, r.pollutant, r.day): (r.n, r.pred) for r in network.local_fits(df, ["f", "g"], [400.0], keys).collect()}
+    monkeypatch.setattr(network, "MANY", 10**9)
+    for r in network.local_fits(df, ["f", "g"], [400.0], keys).collect():
+        assert parted[r.target, r.pollutant, r.day] == (r.n, pytest.approx(r.pred, rel=1e-6))
