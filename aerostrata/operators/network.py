@@ -78,6 +78,7 @@ class Tile:
 
     def __init__(self, left: Side, right: Side, same: bool):
         self.left, self.right, self.same = left, right, same
+        self.twin = np.arange(len(left.stations)) if same else pd.Index(right.stations).get_indexer(left.stations)  # where a station is on the right
         found = pd.Index(left.times).intersection(pd.Index(right.times))
         self.times = found.sort_values()
         self.series = [x for x in left.series if x in right.series]
@@ -101,7 +102,7 @@ class Tile:
             np.minimum(h, 1.0, out=h)
             np.arcsin(h, out=h)
             h *= 2 * EARTH_KM
-            other = np.arange(k, at.stop)[:, None] != np.arange(to.start, to.stop)[None] if self.same else np.ones(h.shape, bool)
+            other = self.twin[at, None] != np.arange(to.start, to.stop)[None]
             yield at, to, h, other
 
 
@@ -111,17 +112,34 @@ def great_circle(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray)
     return 2 * EARTH_KM * np.arcsin(np.minimum(1, np.sqrt(h)))
 
 
-def tiles(rows: DataFrame, keys: Sequence[str], period: str, columns: Sequence[str], work: Callable[[Tile], pd.DataFrame], schema: str, half: bool = False, side: int | None = None) -> DataFrame:
-    """What `work` makes of the tiles of all periods: every ordered pair of sides, or with `half` every unordered one."""
-    n = rows.select("station").distinct().count()
-    sides = max(1, -(-n // (side or SIDE)), min(SIDES, -(-n // FEW)))
-    dealt = by_period(rows, keys, period).withColumn("_side", F.pmod(F.xxhash64("station"), F.lit(sides)).cast("int"))
+def tiles(rows: DataFrame, keys: Sequence[str], period: str, columns: Sequence[str], work: Callable[[Tile], pd.DataFrame], schema: str, half: bool = False, side: int | None = None, left: DataFrame | None = None) -> DataFrame:
+    """What `work` makes of the tiles of all periods: every ordered pair of sides, or with `half` every unordered one. With `left`, rows
+    of some stations, the left sides are made of these alone, so that all others are sent once for each of few sides."""
+
+    def deal(df: DataFrame) -> tuple[DataFrame, int]:
+        n = df.select("station").distinct().count()
+        sides = max(1, -(-n // (side or SIDE)), min(SIDES, -(-n // FEW)))
+        return by_period(df, keys, period).withColumn("_side", F.pmod(F.xxhash64("station"), F.lit(sides)).cast("int")), sides
+
+    dealt, sides = deal(rows)
     names = list(keys)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"_period": [pdf["_period"].iloc[0]], "_side": [pdf["_side"].iloc[0]], "_rows": [pickle.dumps(Side(pdf, names, columns), protocol=5)]})
 
-    packed = dealt.groupBy("_period", "_side").applyInPandas(lambda pdf: pack(pdf), f"_period {dict(dealt.dtypes)['_period']}, _side int, _rows binary")
+    shape = f"_period {dict(dealt.dtypes)['_period']}, _side int, _rows binary"
+    packed = dealt.groupBy("_period", "_side").applyInPandas(lambda pdf: pack(pdf), shape)
+    if left is not None:
+        chosen, lefts = deal(left)
+        chosen = chosen.groupBy("_period", "_side").applyInPandas(lambda pdf: pack(pdf), shape)
+        ends = [chosen.select("_period", F.lit(True).alias("_left"), "_rows", F.col("_side").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("j"))]
+        ends += [packed.select("_period", F.lit(False).alias("_left"), "_rows", F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))).alias("i"), F.col("_side").alias("j"))]
+
+        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            held = {bool(x): pickle.loads(r) for x, r in zip(pdf["_left"], pdf["_rows"], strict=True)}
+            return work(Tile(held[True], held[False], False)) if len(held) == 2 else pd.DataFrame()
+
+        return ends[0].unionByName(ends[1]).repartition(sides * lefts, "_period", "i", "j").groupBy("_period", "i", "j").applyInPandas(lambda pdf: meet(pdf), schema)
     mine, all_sides = F.col("_side"), F.sequence(F.lit(0), F.lit(sides - 1))
     as_left = F.transform(all_sides, lambda j: F.struct(mine.alias("i"), j.alias("j")))
     as_right = F.transform(all_sides, lambda i: F.struct(i.alias("i"), mine.alias("j")))
@@ -253,8 +271,6 @@ def local_fits(panel: DataFrame, features: Sequence[str], bandwidths: Sequence[f
         known = []
         for series in tile.series:
             (m, own_values), (mr, values) = tile.left.matrices(series, tile.times), tile.right.matrices(series, tile.times)
-            if own_values.shape[2] > len(own):  # only those that are asked for
-                m, own_values, values = m * own_values[:, :, -1], own_values[:, :, :-1], values[:, :, :-1]
             made = terms(mr, values)
             known.append((series, m, own_values, mr, made.reshape(len(made), -1)))
         parts = []
@@ -277,8 +293,8 @@ def local_fits(panel: DataFrame, features: Sequence[str], bandwidths: Sequence[f
     base = ", ".join(["bandwidth double", kinds(rows.select(F.col("station").alias("target"), *keys))])
     schema = ", ".join([base, "n long", *[f"{c} double" for c in [*sums, *own]]])
 
-    def by_tiles(rows: DataFrame, widths: Sequence[float], held: Sequence[str]) -> DataFrame:
-        part = tiles(rows, keys, period, held, lambda tile: normal(tile, widths), schema, side=side or 2 * SIDE)
+    def by_tiles(widths: Sequence[float], left: DataFrame | None = None) -> DataFrame:
+        part = tiles(rows, keys, period, own, lambda tile: normal(tile, widths), schema, side=side or 2 * SIDE, left=left)
         return part.groupBy("bandwidth", "target", *keys).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums], *[F.first(c).alias(c) for c in own])
 
     made, tiled = [], []
@@ -292,13 +308,13 @@ def local_fits(panel: DataFrame, features: Sequence[str], bandwidths: Sequence[f
         some = not sparse.isEmpty()
         if some:
             placed = placed.join(sparse.withColumn("_weak", F.lit(1.0)), ["_period", "_box", *keys], "left").withColumn("_weak", F.coalesce("_weak", F.lit(0.0)))
-            made.append(by_tiles(placed.drop("_period", "_box"), [width], [*own, "_weak"]))
+            made.append(by_tiles([width], placed.where("_weak > 0").drop("_period", "_box", "_weak")))
         else:
             sparse.unpersist()
             placed = placed.withColumn("_weak", F.lit(0.0))
         made.append(kernel_sums(placed, grid, keys, own, lambda v: terms(np.ones(v.shape[:-1]), v), len(sums), sums, schema, crowd))
     if tiled:
-        made.append(by_tiles(rows, tiled, own))
+        made.append(by_tiles(tiled))
     whole = made[0]
     for more in made[1:]:
         whole = whole.unionByName(more)
