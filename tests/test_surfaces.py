@@ -120,6 +120,21 @@ def test_nearest_by_cells_is_exact(spark, monkeypatch):
     assert {(r.target, r.station) for r in near.collect()} == {(r.target, r.station) for r in geo.nearest(stations.withColumnRenamed("station", "target"), stations, 3).where("km <= 50").collect()}
 
 
+def test_nearest_starts_at_the_finest_level_with_few_pairs(spark, monkeypatch):
+    """Three levels of cells at these places: one bound of pairs, not one for each level and side; the answers are those of all pairs."""
+    rng = RNG(8)
+    spots = np.c_[rng.uniform(-80, -60, 2_400), rng.uniform(-60, -10, 2_400)]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "station int, lon double, lat double")
+    bounds, bounded = [], geo._bounded
+    monkeypatch.setattr(geo, "_bounded", lambda pairs, k: bounds.append(k) or bounded(pairs, k))
+    got = {(r.target, r["rank"]): (r.station, r.km) for r in geo.nearest(df.withColumnRenamed("station", "target"), df, 3).collect()}
+    assert len(bounds) == 1 and len(got) == 3 * len(spots)
+    for i in range(0, len(spots), 7):
+        km = km_by_hand(spots[i], (spots[:, 0], spots[:, 1]))
+        for rank, j in enumerate(np.argsort(km)[:3], 1):
+            assert got[i, rank] == (j, pytest.approx(km[j], abs=1e-6))
+
+
 def test_nearest_wherever_they_are(spark):
     """Crowds, empty oceans, poles and the date line; fewer stations than asked for; places that are none."""
     rng = RNG(2)
