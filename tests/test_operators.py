@@ -248,6 +248,23 @@ def test_near_pairs_all_over_the_globe(spark, reach):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
+@pytest.mark.parametrize("reach", [0.001, 30.0, 20015.0, 21000.0])
+def test_pairs_of_a_crowd_are_dealt_over_tasks(spark, monkeypatch, reach):
+    """Most stations in one cell, some at one place, two at opposite ends, one without a place: all pairs, and none of the tasks has most of them."""
+    monkeypatch.setattr(geo, "SIDE", 20)
+    monkeypatch.setattr(geo, "TASK_PAIRS", 500)
+    rng = np.random.default_rng(4)
+    spots = [(float(x), float(y)) for x, y in rng.uniform((-70.9, -33.7), (-70.4, -33.2), (150, 2))] + [(-70.5, -33.5)] * 5 + [(109.5, 33.5), (179.99, 0.0), (-179.99, 0.0), (float("nan"), 1.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "station int, lon double, lat double")
+    rows = engines.loso_pairs(df, reach).withColumn("task", F.spark_partition_id()).collect()
+    want = {(i, j): km_by_hand(a, b) for i, a in enumerate(spots) for j, b in enumerate(spots) if i != j}
+    assert len(rows) == len({(r.target, r.source) for r in rows})
+    assert {(r.target, r.source) for r in rows} == {k for k, d in want.items() if d <= reach}
+    if reach > 1:
+        tasks = [r.task for r in rows]
+        assert max(tasks.count(t) for t in set(tasks)) < len(rows) / 2
+
+
 def test_asof_carries_over_periods(spark):
     """A key with most of the rows, gaps of months and ties, against a search by hand."""
     rng = np.random.default_rng(3)
