@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-#: Numbers of one array over models and bins, at a time.
-CELLS = 1_000_000
+#: Numbers of one array over models and bins, at a time: what stays in a core's cache.
+CELLS = 1 << 17
 _MODEL = "_g int, fold int, base double, feature binary, cut binary, leaf binary, gain binary"
 
 
@@ -239,10 +239,9 @@ def _grow(batches: Iterator[pd.DataFrame], found: dict, n_features: int, bins: i
                     mine = at[model]
                     r = np.concatenate(pdf["y"].iloc[at].to_list()) - base[mine] - rate * _predict(x, feature[mine], cut[mine], leaf[mine, :tree], depth)
                     node = _nodes(x, *(np.frombuffer(b, np.int16).astype(np.int64) for b in trees[-1]), level)
-                    for i in range(n_features):
-                        cell = ((model * n_features + i) * width + node) * bins + x[:, i]
-                        n -= np.bincount(cell, minlength=n.size).reshape(n.shape)
-                        s -= np.bincount(cell, weights=r, minlength=n.size).reshape(n.shape)
+                    cell = (((model[:, None] * n_features + np.arange(n_features)) * width + node[:, None]) * bins + x).ravel()
+                    n -= np.bincount(cell, minlength=n.size).reshape(n.shape)
+                    s -= np.bincount(cell, weights=np.repeat(r, n_features), minlength=n.size).reshape(n.shape)
                 for j, fold in enumerate(pdf["fold"].iloc[at]):
                     if (g, fold, trees[-1], None) in found and fold >= 0:
                         own = whole(g, fold, trees, base[at[j : j + 1]], leaf[at[j : j + 1]])

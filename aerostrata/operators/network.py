@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from aerostrata.functions.scalar import EARTH_KM
 
@@ -23,10 +24,17 @@ from aerostrata.functions.scalar import EARTH_KM
 NO_WEIGHT = 1e-12
 #: Stations of a side at most, sides of a large network at least (for the sake of tasks), and stations from which on a side is parted for that.
 SIDE, SIDES, FEW = 16_384, 6, 1_024
+#: Sides of a large network at least where every unordered pair of them is a tile; pairs of a block of these, about (a core's cache holds their numbers).
+PAIR_SIDES, CELLS = 10, 1 << 20
 #: Stations from which on regressions go by boxes, stations of a box for that on average, and stations of a box and key below which its fits go by tiles.
 MANY, FILLED, SPARSE = 32_768, 160, 32
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """A table that is read several times, persisted in two partitions a core, so that its readers have no more tasks than that."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def by_period(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
     """Rows with the period of their last key. A last key that isn't a time is a period by itself."""
     time = keys[-1]
@@ -112,13 +120,13 @@ def great_circle(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray)
     return 2 * EARTH_KM * np.arcsin(np.minimum(1, np.sqrt(h)))
 
 
-def tiles(rows: DataFrame, keys: Sequence[str], period: str, columns: Sequence[str], work: Callable[[Tile], pd.DataFrame], schema: str, half: bool = False, side: int | None = None, left: DataFrame | None = None) -> DataFrame:
+def tiles(rows: DataFrame, keys: Sequence[str], period: str, columns: Sequence[str], work: Callable[[Tile], pd.DataFrame], schema: str, half: bool = False, side: int | None = None, left: DataFrame | None = None, least: int = SIDES) -> DataFrame:
     """What `work` makes of the tiles of all periods: every ordered pair of sides, or with `half` every unordered one. With `left`, rows
     of some stations, the left sides are made of these alone, so that all others are sent once for each of few sides."""
 
     def deal(df: DataFrame) -> tuple[DataFrame, int]:
         n = df.select("station").distinct().count()
-        sides = max(1, -(-n // (side or SIDE)), min(SIDES, -(-n // FEW)))
+        sides = max(1, -(-n // (side or SIDE)), min(least, -(-n // FEW)))
         return by_period(df, keys, period).withColumn("_side", F.pmod(F.xxhash64("station"), F.lit(sides)).cast("int")), sides
 
     dealt, sides = deal(rows)
@@ -155,53 +163,72 @@ def tiles(rows: DataFrame, keys: Sequence[str], period: str, columns: Sequence[s
             return pd.DataFrame()
         return work(Tile(held[i], held[j], i == j))
 
-    # a tile is much work for few bytes, so one has a task of its own
-    return sent.repartition(sides * sides, "_period", "i", "j").groupBy("_period", "i", "j").applyInPandas(lambda pdf: tile(pdf), schema)
+    # a tile is much work for few bytes, so one has a task of its own, among so many that few share one by their hash
+    number = sides * (sides + 1) // 2 if half else sides * sides
+    return sent.repartition(max(number, min(8 * number, 2_000)), "_period", "i", "j").groupBy("_period", "i", "j").applyInPandas(lambda pdf: tile(pdf), schema)
 
 
 def _pair_rows(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return obs.select(*keys, "station", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("value").cast("double").alias("value")).dropna()
 
 
-def _half_squares(tile: Tile, bin_km: float, max_km: float, bins: int, block: int) -> Iterator[tuple[slice, tuple, np.ndarray, np.ndarray, np.ndarray]]:
-    """By block of a tile and series: which stations, the series, bins of its pairs (`bins` where there is none), half squared differences, numbers."""
+def _half_squares(tile: Tile, bin_km: float, max_km: float, bins: int, block: int) -> Iterator[tuple[slice, slice, tuple, np.ndarray, np.ndarray, np.ndarray]]:
+    """By block of a tile and series: which stations of both sides, the series, bins of their pairs (`bins` where there is none), half squared
+    differences, numbers. Bins are the same array for all series of a block."""
     factors = []
     for series in tile.series:
         (m, z), (mr, zr) = tile.left.matrices(series, tile.times), tile.right.matrices(series, tile.times)
         z, zr = z[:, :, 0], zr[:, :, 0]
         mean = (z.sum() + zr.sum()) / max(m.sum() + mr.sum(), 1)  # differences stay, squares get small
         z, zr = np.where(m > 0, z - mean, 0.0), np.where(mr > 0, zr - mean, 0.0)
-        left, right = np.concatenate([0.5 * z**2, m, -z], axis=1), np.concatenate([mr, 0.5 * zr**2, zr], axis=1)
-        factors.append((series, m, mr, left, right))
-    for at, to, km, other in tile.blocks(block, max_km):
-        cell = np.where(other & (km <= max_km), np.floor(km / bin_km), bins).astype(np.int64)
-        for series, m, mr, left, right in factors:
-            yield at, series, cell, np.maximum(left[at] @ right[to].T, 0.0), m[at] @ mr[to].T
+        factors.append((series, m, z, np.concatenate([mr, 0.5 * zr**2, zr], axis=1)))
+    for at, to, km, other in tile.blocks(max(1, min(block, CELLS // len(tile.right.stations))), max_km):
+        cell = np.where(other & (km <= max_km), km / bin_km, bins).astype(np.int64)
+        for series, m, z, right in factors:
+            h = np.concatenate([0.5 * z[at] ** 2, m[at], -z[at]], axis=1) @ right[to].T
+            yield at, to, series, cell, np.maximum(h, 0.0, out=h), m[at] @ right[to, : m.shape[1]].T
 
 
-def pair_sums(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str], period: str = "month", block: int = 512, side: int | None = None) -> DataFrame:
-    """(first key, station, bin, h, n): over all keys, half the squared differences of a station to the others that report at the
-    same key, summed by bin of distance, and their number. A pair counts at both of its stations."""
+def pair_arrays(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str], period: str = "month", block: int = 512, side: int | None = None) -> DataFrame:
+    """(first key, station, h, n): what `pair_sums` has, as arrays by bin, of the stations that have a pair.
+
+    A tile of two sides gives the sums of both, so every pair is formed once, and what leaves it is a row a station and first key."""
     rows = _pair_rows(obs, keys)
     name, bins = keys[0], int(max_km // bin_km) + 1
+    columns = [[f"{c}{i}" for i in range(bins)] for c in "hn"]
 
     def sums(tile: Tile) -> pd.DataFrame:
-        size = len(tile.left.stations) * (bins + 1)
-        total = {x[0]: np.zeros((2, size)) for x in tile.series}
-        for at, series, cell, h, n in _half_squares(tile, bin_km, max_km, bins, block):
-            where = (cell + np.arange(at.start, at.stop)[:, None] * (bins + 1)).ravel()
-            where -= at.start * (bins + 1)
-            part = slice(at.start * (bins + 1), at.stop * (bins + 1))
-            for k, x in enumerate((h, n)):
-                total[series[0]][k, part] += np.bincount(where, weights=x.ravel(), minlength=part.stop - part.start)
+        ends = [tile.left] if tile.same else [tile.left, tile.right]
+        total = {x[0]: [np.zeros((2, len(e.stations), bins + 1)) for e in ends] for x in tile.series}
+        last = None
+        for at, to, series, cell, *found in _half_squares(tile, bin_km, max_km, bins, block):
+            if cell is not last:
+                last, shape = cell, cell.shape
+                spots = [(cell + np.arange(shape[0])[:, None] * (bins + 1)).ravel(), None if tile.same else (cell + np.arange(shape[1])[None] * (bins + 1)).ravel()]
+            for out, of, spot, size in zip(total[series[0]], (at, to), spots, shape, strict=False):
+                for k, x in enumerate(found):
+                    out[k, of] += np.bincount(spot, weights=x.ravel(), minlength=size * (bins + 1)).reshape(size, bins + 1)
         parts = []
-        for value, (h, n) in total.items():
-            found = np.flatnonzero((n > 0.5) & (np.arange(size) % (bins + 1) < bins))
-            parts.append(pd.DataFrame({name: [value] * len(found), "station": tile.left.stations[found // (bins + 1)], "bin": found % (bins + 1), "h": h[found], "n": n[found].round().astype(np.int64)}))
+        for value, outs in total.items():
+            for end, out in zip(ends, outs, strict=True):
+                h, n = out[0, :, :bins], out[1, :, :bins].round().astype(np.int64)
+                some = np.flatnonzero(n.any(axis=1))
+                made = {name: [value] * len(some), "station": end.stations[some]}
+                parts.append(pd.DataFrame(made | {c: x[some, i] for cs, x in zip(columns, (h, n), strict=True) for i, c in enumerate(cs)}))
         return pd.concat(parts) if parts else pd.DataFrame()
 
-    part = tiles(rows, keys, period, ["value"], sums, kinds(rows.select(name, "station"), bin="long", h="double", n="long"), side=side)
-    return part.groupBy(name, "station", "bin").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
+    types = dict.fromkeys(columns[0], "double") | dict.fromkeys(columns[1], "long")
+    part = tiles(rows, keys, period, ["value"], sums, kinds(rows.select(name, "station"), **types), half=True, side=side or 2 * SIDE, least=PAIR_SIDES)
+    added = part.groupBy(name, "station").agg(*[F.sum(c).alias(c) for c in types])
+    return added.select(name, "station", *[F.array(*cs).alias(c) for c, cs in zip("hn", columns, strict=True)])
+
+
+def pair_sums(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str], period: str = "month", block: int = 512, side: int | None = None) -> DataFrame:
+    """(first key, station, bin, h, n): over all keys, half the squared differences of a station to the others that report at the
+    same key, summed by bin of distance, and their number. A pair counts at both of its stations."""
+    arrays = pair_arrays(obs, bin_km, max_km, keys, period, block, side)
+    rows = arrays.select(keys[0], "station", F.posexplode(F.arrays_zip("h", "n")).alias("bin", "_x"))
+    return rows.select(keys[0], "station", F.col("bin").cast("long").alias("bin"), "_x.h", "_x.n").where("n > 0")
 
 
 def pair_totals(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str], period: str = "month", block: int = 512, side: int | None = None) -> DataFrame:
@@ -211,7 +238,7 @@ def pair_totals(obs: DataFrame, bin_km: float, max_km: float, keys: Sequence[str
 
     def sums(tile: Tile) -> pd.DataFrame:
         total = {x[0]: np.zeros((2, bins + 1)) for x in tile.series}
-        for _, series, cell, h, n in _half_squares(tile, bin_km, max_km, bins, block):
+        for _, _, series, cell, h, n in _half_squares(tile, bin_km, max_km, bins, block):
             for k, x in enumerate((h, n)):
                 total[series[0]][k] += np.bincount(cell.ravel(), weights=x.ravel(), minlength=bins + 1) / (2 if tile.same else 1)
         parts = []

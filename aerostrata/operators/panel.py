@@ -88,12 +88,17 @@ def choose_engines(oof: DataFrame, keys: Sequence[str] | None = None, by: str =
     """(by, engine, rmse, n, rank) of out-of-fold rows (by, engine, obs, pred), best first (ties: by name). With `keys`, which name a row, engines
     are compared on the rows that all engines of their pollutant predict."""
     known = oof.where("obs is not null and pred is not null and not isnan(pred)")
-    if keys is not None:
-        wanted = known.groupBy(by).agg(F.count_distinct("engine").alias("_all"))
-        shared = known.groupBy(*keys).agg(F.count_distinct("engine").alias("_n")).join(wanted, by).where("_n = _all").select(*keys)
-        known = known.join(shared, list(keys), "left_semi")
     error = F.col("obs") - F.col("pred")
-    scores = known.groupBy(by, "engine").agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    if keys is None:
+        scores = known.groupBy(by, "engine").agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    else:  # errors are added up by the set of engines that predict a row, so predictions are read once
+        known = known.where(" and ".join(f"`{k}` is not null" for k in keys)).select(*keys, F.struct("engine", (error * error).alias("e")).alias("_p"))
+        found = known.groupBy(*keys).agg(F.collect_list("_p").alias("_p"))
+        found = found.select(by, F.array_sort(F.array_compact(F.array_distinct("_p.engine"))).alias("_set"), F.explode("_p").alias("_p"))
+        sums = found.groupBy(by, "_set", "_p.engine").agg(F.sum("_p.e").alias("_e"), F.count(F.lit(1)).alias("n"))
+        wanted = F.size(F.array_distinct(F.flatten(F.collect_set("_set").over(Window.partitionBy(by)))))  # a row for each set and engine
+        sums = sums.withColumn("_all", wanted).where(F.size("_set") == F.col("_all"))
+        scores = sums.groupBy(by, "engine").agg(F.sqrt(F.sum("_e") / F.sum("n")).alias("rmse"), F.sum("n").alias("n"))
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("rmse", "engine")))
 
 

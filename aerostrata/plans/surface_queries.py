@@ -10,6 +10,7 @@ from aerostrata.operators import boosting as B
 from aerostrata.operators import engines as E
 from aerostrata.operators import geo as G
 from aerostrata.operators import panel as N
+from aerostrata.operators.network import keep, pair_arrays
 from aerostrata.plans.engine_queries import FEATURES, KEYS
 from aerostrata.plans.fixtures import duck, fixture
 from aerostrata.plans.panel_queries import KM
@@ -88,10 +89,10 @@ def engine_choice(spark, d):
     return N.choose_engines(fixture(spark, d, "v_oof")).withColumn("rmse", F.round("rmse", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _kriging(panel: DataFrame, targets: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _kriging(panel: DataFrame, targets: DataFrame, stations: DataFrame, sums: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The eight nearest stations of places (target, lon, lat), and the pollutants' variograms."""
     near = G.nearest(targets, stations, 8).withColumnRenamed("station", "source")
-    return near, E.variograms(panel, 100.0, 1500.0, KEYS)
+    return near, E.variograms(panel, 100.0, 1500.0, KEYS, sums=sums)
 
 
 #: Nugget, sill and reach of a given variogram.
@@ -138,8 +139,10 @@ def krige_comunas(spark, d):
 def surface_engines(spark, d):
     """Every pollutant, comuna and day with an estimate by the pollutant's best engine that has one there: regression, kriging or boosting,
     compared by leaving stations out, on the same rows."""
-    panel = fixture(spark, d, "v_panel")
-    stations = panel.select("station", "lon", "lat").distinct()
+    # read by each engine, twice: the panel, its stations, and the sums over their pairs, from which come the variograms of all and without each station
+    panel = keep(fixture(spark, d, "v_panel"))
+    stations = keep(panel.select("station", "lon", "lat").distinct())
+    sums = keep(pair_arrays(panel, 100.0, 1500.0, KEYS))
     keys = ["pollutant", "comuna", "day"]
     places = panel.select("station", "comuna", "lon", "lat").distinct().groupBy("comuna").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
     pollutants, days = (panel.agg(F.collect_set(c)).scalar() for c in ("pollutant", "day"))
@@ -149,7 +152,7 @@ def surface_engines(spark, d):
     targets = places.withColumnRenamed("comuna", "target")
     pairs = G.near_pairs(targets, stations.withColumnRenamed("station", "source"), E.reach(300.0), "target", "source")
     fits = E.gwr_fit(panel, pairs, [300.0], KEYS).withColumnRenamed("target", "comuna")
-    near, models = _kriging(panel, targets, stations)
+    near, models = _kriging(panel, targets, stations, sums)
     kriged = E.krige(panel, near, stations, models, KEYS, time="day").withColumnRenamed("target", "comuna")
     model = B.fit(panel, FEATURES, by="pollutant", trees=4, depth=3)
     estimates = {
@@ -160,15 +163,16 @@ def surface_engines(spark, d):
 
     row = ["pollutant", "station", "day"]
     own = G.nearest(stations.withColumnRenamed("station", "target"), stations, 9).where("target <> station").withColumnRenamed("station", "source")
-    loso = E.krige(panel, own, stations, E.loso_variograms(panel, 100.0, 1500.0, KEYS), KEYS, time="day").withColumnRenamed("target", "station")
+    loso = E.krige(panel, own, stations, E.loso_variograms(panel, 100.0, 1500.0, KEYS, sums=sums), KEYS, time="day").withColumnRenamed("target", "station")
+    observed = panel.select(*row, F.col("value").alias("obs"))
     out_of_fold = {
-        "gwr": E.gwr_network(panel, [300.0], KEYS).withColumnRenamed("target", "station").select(*row, "pred"),
-        "kriging": loso.select(*row, "pred"),
-        "gbt": model.out_of_fold(panel).select(*row, "pred"),
+        "gwr": E.gwr_network(panel, [300.0], KEYS).withColumnRenamed("target", "station"),
+        "kriging": loso.select(*row, "pred").join(observed, row),  # others' days have no observation
+        "gbt": model.out_of_fold(panel).withColumnRenamed("value", "obs"),
     }
     oof = None
     for name, df in out_of_fold.items():
-        part = df.join(panel.select(*row, F.col("value").alias("obs")), row).withColumn("engine", F.lit(name))
+        part = df.select(*row, "obs", "pred", F.lit(name).alias("engine"))
         oof = part if oof is None else oof.unionByName(part)
     by_day = panel.groupBy("pollutant", "day").agg(F.avg("value").alias("mean_value"))
     overall = panel.groupBy("pollutant").agg(F.avg("value").alias("mean_value"))

@@ -210,6 +210,19 @@ def test_pair_sums_by_hand(spark, block):
     assert network.pair_sums(spark.createDataFrame(rows, PANEL).limit(0), 60.0, 250.0, ("pollutant", "day")).count() == 0
 
 
+def test_blocks_of_pairs_are_bounded(monkeypatch):
+    """What is formed at a time doesn't grow with the stations of a side; a tile of two sides forms each pair once."""
+    rng, monkey = RNG(43), monkeypatch.setattr
+    monkey(network, "CELLS", 400)
+    made = []
+    for low in (0, 100):
+        s = np.repeat(np.arange(low, low + 100), 3)
+        pdf = pd.DataFrame({"pollutant": "p", "day": np.tile([1, 2, 3], 100), "station": s, "lon": s * 0.01, "lat": s % 7 * 0.1, "value": rng.normal(size=300)})
+        made.append(network.Side(pdf, ("pollutant", "day"), ["value"]))
+    blocks = list(network._half_squares(network.Tile(*made, False), 100.0, 1e5, 1001, 512))
+    assert max(h.size for *_, h, _ in blocks) <= 400 and sum(n.sum() for *_, n in blocks) == 3 * 100 * 100
+
+
 def test_tiles_give_the_same_sums_and_fits(spark):
     """Networks dealt into many sides: no task holds more than two of them, and the results are those of one side."""
     rows, _ = small_panel(RNG(17), stations=40)
@@ -315,6 +328,64 @@ def test_the_best_engine_that_has_an_estimate(spark):
     assert got == want | {("s", h): ("mean", 0.7) for h in range(3)}
 
 
+def test_predictions_are_read_once(spark):
+    """Scores on shared rows come from one pass over the predictions, whatever made them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def predict(x):
+        seen.add(1)
+        return x
+
+    rows = [("p", s, e, 1.0, float(s + k)) for s in range(50) for k, e in enumerate("abc") if e != "c" or s % 5] + [("q", 1, "a", 1.0, 2.0), (None, 1, "a", 1.0, 2.0)]
+    oof = spark.createDataFrame(rows, "pollutant string, station int, engine string, obs double, pred double").withColumn("pred", predict("pred"))
+    got = {(r.pollutant, r.engine): (r["rank"], r.n, r.rmse) for r in panel.choose_engines(oof, ["pollutant", "station"]).collect()}
+    shared = [s for s in range(50) if s % 5]
+    want = {("p", e): (k + 1, 40, pytest.approx(np.sqrt(np.mean([(s + k - 1) ** 2 for s in shared])))) for k, e in enumerate("abc")}
+    assert got == want | {("q", "a"): (1, 1, pytest.approx(1.0))}
+    assert seen.value <= 2 * len(rows)  # a filter on the column evaluates it once more; three passes would be six times
+
+
+def test_many_variograms_are_those_of_single_fits():
+    """Together, with gaps, two bins and one bin, against least squares range by range."""
+    rng = RNG(41)
+    d = (np.arange(9) + 0.5) * 40
+    g, w = np.abs(rng.normal(30, 9, (60, 9))) + d / 9, rng.integers(0, 50, (60, 9)).astype(float)
+    w[:, 0] += 1
+    w[5, 1:], w[6, 2:], w[6, 1] = 0, 0, 7
+    made = engines.fit_exponentials(d, g, w)
+    for i in range(60):
+        at, found = w[i] > 0, []
+        for rng_km in np.linspace(d[at].max() / 20, d[at].max() * 2, 60):
+            m, sw = np.stack([np.ones(at.sum()), 1 - np.exp(-d[at] / rng_km)], axis=1), np.sqrt(w[i, at])
+            c = np.maximum(np.linalg.lstsq(m * sw[:, None], g[i, at] * sw, rcond=None)[0], 0)
+            found.append(((w[i, at] * (m @ c - g[i, at]) ** 2).sum(), c[0], max(c[1], 1e-9), rng_km))
+        least = min(f[0] for f in found)
+        best = next(f for f in found if f[0] <= least + 1e-12 * (w[i, at] * g[i, at] ** 2).sum())
+        assert tuple(made[i]) == pytest.approx(best[1:], rel=1e-6)
+
+
+def test_kriging_systems_are_solved_together():
+    """Systems of any scale against least squares one by one; two sources at one place share their weight."""
+    rng = RNG(42)
+    for n in (1, 2, 5):
+        lon, lat = -70 + rng.uniform(0, 2, (40, n)), -33 + rng.uniform(0, 2, (40, n))
+        if n > 1:
+            lon[3, 1], lat[3, 1] = lon[3, 0], lat[3, 0]
+        g0 = rng.uniform(1, 5, (40, n))
+        model = np.stack([rng.uniform(0, 1, 40), 10.0 ** rng.uniform(-9, 3, 40), rng.uniform(50, 400, 40), rng.uniform(0, 1, 40)], axis=1)
+        w, variance = engines._weights(lon, lat, g0, model)
+        for i in range(40):
+            x, y = np.radians(lon[i]), np.radians(lat[i])
+            km = network.great_circle(x[:, None], y[:, None], x[None], y[None])
+            m = np.ones((n + 1, n + 1))
+            m[:n, :n], m[n, n] = np.where(km > 0, model[i, 0] + model[i, 1] * (1 - np.exp(-km / model[i, 2])), 0.0), 0
+            b = np.append(g0[i], 1.0)
+            want = np.linalg.lstsq(m, b, rcond=None)[0]
+            assert w[i] == pytest.approx(want[:n], rel=1e-6, abs=1e-8) and variance[i] == pytest.approx(want @ b - model[i, 3], rel=1e-6, abs=1e-8)
+        assert n == 1 or w[3, 0] == pytest.approx(w[3, 1])
+
+
 def test_surface_of_all_engines_has_no_gap(spark):
     from aerostrata.plans.surface_queries import surface_engines
 
