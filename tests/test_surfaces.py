@@ -412,6 +412,15 @@ def test_kriging_deals_targets_into_groups(spark, monkeypatch):
     assert all(made[0][k] == pytest.approx(made[1][k], abs=1e-9) for k in made[0])
 
 
+def test_kriged_rows_are_spread_over_tasks(spark):
+    """However few bytes the rows have, a task sorts those of few targets."""
+    rng = RNG(24)
+    places = spark.createDataFrame([(i, -70 + float(x), -33 + float(y)) for i, (x, y) in enumerate(rng.uniform(0, 3, (12, 2)))], "station int, lon double, lat double")
+    near = geo.nearest(places.withColumnRenamed("station", "target"), places, 4).where("target <> station").withColumnRenamed("station", "source")
+    rows = engines.krige(places.selectExpr("station", "1 hour", "lon value"), near, places, (0.5, 3.0, 90.0)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 12 and len({r.task for r in rows}) > 8
+
+
 def joined_rows(df):
     """Rows that the joins of a finished query made."""
 
